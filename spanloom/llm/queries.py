@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, urlrules
+from . import mixing, quality, sharding, urlrules, warc
 from .common import table
 
 SHARD_BYTES = 32 << 20
@@ -16,6 +16,17 @@ def op2_sharding(spark, d):
     return sharding.extendible_shards(docs, SHARD_BYTES).select("doc_id", "doc_bytes", "shard", "shard_bytes", "shard_rows")
 
 
+def op3_quality(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return quality.score_quality(docs, table(spark, d, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_warc(spark, d):
+    captures = warc.archive_pages(table(spark, d, "pages"))
+    number = lambda c: F.col(c).cast("long").alias(c)
+    return captures.select(number("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), number("refers_to"))
+
+
 def op6_urlrules(spark, d):
     return urlrules.filter_urls(table(spark, d, "pages"), URL_RULES)
 
@@ -25,9 +36,17 @@ def op9_mixing(spark, d):
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op6_urlrules, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_quality, op4_warc, op6_urlrules, op9_mixing)}
 
 ORACLE_SQL = {
+    "op4_warc": """
+with p as (select page_id, coalesce(html, '') as body from pages),
+q as (select page_id, octet_length(encode(body)) as payload_bytes, sha1(body) as payload_digest from p),
+g as (select payload_digest, max(page_id) as last from q where payload_bytes >= 1000 group by payload_digest)
+select page_id, payload_bytes, payload_digest,
+       case when last is null or page_id is not distinct from last then 'response' else 'revisit' end as record_type,
+       case when page_id is distinct from last then last end as refers_to
+from q left join g using (payload_digest)""",
     "op6_urlrules": r"""
 with u as (
   select page_id, url, coalesce(case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end, '') as r from pages
