@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, urlrules, warc
+from . import decontam, mixing, neardup, quality, sharding, urlrules, warc
 from .common import table
 
 SHARD_BYTES = 32 << 20
@@ -31,12 +31,20 @@ def op6_urlrules(spark, d):
     return urlrules.filter_urls(table(spark, d, "pages"), URL_RULES)
 
 
+def op7_neardup(spark, d):
+    return neardup.label_duplicates(table(spark, d, "documents"))
+
+
+def op8_decontam(spark, d):
+    return decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op9_mixing(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_quality, op4_warc, op6_urlrules, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_quality, op4_warc, op6_urlrules, op7_neardup, op8_decontam, op9_mixing)}
 
 ORACLE_SQL = {
     "op4_warc": """
