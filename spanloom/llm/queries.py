@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, quality, sharding, urlrules, warc
+from . import decontam, mixing, neardup, quality, repeats, sharding, urlrules, warc
 from .common import table
 
 SHARD_BYTES = 32 << 20
@@ -44,7 +44,12 @@ def op9_mixing(spark, d):
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_quality, op4_warc, op6_urlrules, op7_neardup, op8_decontam, op9_mixing)}
+def op10_repeats(spark, d):
+    out = repeats.remove_repeats(table(spark, d, "documents").select("doc_id", "text"), 400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_quality, op4_warc, op6_urlrules, op7_neardup, op8_decontam, op9_mixing, op10_repeats)}
 
 ORACLE_SQL = {
     "op4_warc": """
