@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, quality, repeats, sharding, urlrules, warc
+from . import decontam, mixing, neardup, quality, repeats, sharding, surrogates, urlrules, warc
 from .common import table
 
 SHARD_BYTES = 32 << 20
+#: For these queries only; a real run takes its key from a secret store.
+SURROGATE_KEY = b"key of the registered queries"
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
@@ -27,6 +29,10 @@ def op4_warc(spark, d):
     return captures.select(number("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), number("refers_to"))
 
 
+def op5_surrogates(spark, d):
+    return surrogates.with_surrogates(table(spark, d, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 def op6_urlrules(spark, d):
     return urlrules.filter_urls(table(spark, d, "pages"), URL_RULES)
 
@@ -49,7 +55,7 @@ def op10_repeats(spark, d):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_quality, op4_warc, op6_urlrules, op7_neardup, op8_decontam, op9_mixing, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_quality, op4_warc, op5_surrogates, op6_urlrules, op7_neardup, op8_decontam, op9_mixing, op10_repeats)}
 
 ORACLE_SQL = {
     "op4_warc": """
