@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, quality, repeats, sharding, surrogates, urlrules, warc
+from . import decontam, media, mixing, neardup, quality, repeats, sharding, surrogates, urlrules, warc
 from .common import table
 
 SHARD_BYTES = 32 << 20
@@ -13,6 +13,11 @@ SURROGATE_KEY = b"key of the registered queries"
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op1_media(spark, d):
+    pictures = media.render_vectors(table(spark, d, "embeddings").select("vec_id", "embedding"))
+    return media.picture_copies(pictures, key="vec_id")
+
+
 def op2_sharding(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return sharding.extendible_shards(docs, SHARD_BYTES).select("doc_id", "doc_bytes", "shard", "shard_bytes", "shard_rows")
@@ -55,7 +60,7 @@ def op10_repeats(spark, d):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_quality, op4_warc, op5_surrogates, op6_urlrules, op7_neardup, op8_decontam, op9_mixing, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_sharding, op3_quality, op4_warc, op5_surrogates, op6_urlrules, op7_neardup, op8_decontam, op9_mixing, op10_repeats)}
 
 ORACLE_SQL = {
     "op4_warc": """
