@@ -16,7 +16,7 @@ from .graph import components
 TREES, DEPTH = 24, 8
 #: Candidate components of more members are verified in pairs of blocks of about half as many.
 BLOCK = 512
-CHUNK_BYTES, GROUP_BYTES = 4 << 20, 4 << 20
+CHUNK_BYTES, GROUP_BYTES = 1 << 20, 4 << 20
 
 
 def forest_depth(similarity: float, target: float, trees: int = TREES, deepest: int = DEPTH) -> int:
