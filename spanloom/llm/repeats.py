@@ -15,7 +15,7 @@ from .suffixes import repeated_windows
 
 #: A window's shard is that of the least of its substrings of so many bytes.
 MER = 128
-CHUNK_BYTES, SHARD_BYTES = 2 << 20, 2 << 20
+CHUNK_BYTES, SHARD_BYTES = 1 << 20, 3 << 19
 _AT = 24
 
 
