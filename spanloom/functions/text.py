@@ -99,8 +99,10 @@ def word_set(c: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    last = F.size(tokens) - n + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    """Runs of n tokens joined by blanks. tokens is best a column: an expression would be evaluated 2n times."""
+    m = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    parts = [F.slice(tokens, k + 1, m) for k in range(n)]
+    return F.transform(F.arrays_zip(*(x.alias(f"g{k}") for k, x in enumerate(parts))), lambda g: F.concat_ws(" ", *(g[f"g{k}"] for k in range(n))))
 
 
 def lexicon_count(c: Column, terms: Sequence[str]) -> Column:

@@ -67,7 +67,7 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.6, relevance: str = "si
             near = sims if len(order) == 1 else np.maximum(near, sims)
         return pd.DataFrame({key: pdf[key].iloc[order].to_numpy(), "place": np.arange(1, len(order) + 1), relevance: rel[order]})
 
-    return few.groupBy(F.lit(0)).applyInPandas(lambda pdf: pick(pdf), f"{key} long, place long, {relevance} double")
+    return few.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: pick(pdf), f"{key} long, place long, {relevance} double")
 
 
 def stratified(vectors: DataFrame, query: list[float], strata: dict[str, tuple[Column, int]], k: int, key: str = "vec_id") -> DataFrame:

@@ -80,5 +80,5 @@ def bootstrap_mean(df: DataFrame, value: str, by: str, replicates: int, seed: st
     reps = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("u", u).withColumn("w", weight)
     means = reps.groupBy(by, "rep").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
     mean = df.groupBy(by).agg(F.round(F.avg(value), 6).alias("mean"), F.count("*").alias("n"))
-    ci = means.groupBy(by).agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
+    ci = means.groupBy(by).agg(F.round(F.percentile("m", F.lit(0.025)) + 1e-7, 4).alias("low"), F.round(F.percentile("m", F.lit(0.975)) + 1e-7, 4).alias("high"))
     return mean.join(ci, by)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,44 +103,71 @@ def _iou(a, b) -> float:
 
 
 def _fold(spans: DataFrame, by: list[str], keep, order: list[str], schema: str) -> DataFrame:
-    """Applies keep (a function from a group's rows in order to rows) to every group; a group is one document's spans."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = [o.lstrip("-") for o in order]
-        return keep(pdf.sort_values(names, ascending=[not o.startswith("-") for o in order], kind="stable").reset_index(drop=True))
+    """Applies keep to every group (a dict of arrays, by column, in order); it returns tuples of what follows ``by``. A group is one document's spans.
 
-    return spans.groupBy(*by).applyInPandas(run, schema)
+    Rows are dealt and sorted by Spark and pass through in batches, a group that a batch's end may have cut waits for
+    the next; so many small groups cost no more than few large ones.
+    """
+    names = spans.columns
+    fields = [f.split()[0] for f in schema.split(", ")]
+
+    def fold(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        cols = {c: pdf[c].to_numpy() for c in names}
+        out = []
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            group = {c: v[a:b] for c, v in cols.items()}
+            head = tuple(group[c][0] for c in by)
+            out += [head + r for r in keep(group)]
+        return pd.DataFrame(out, columns=fields)
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            starts = (pdf[by] != pdf[by].shift()).any(axis=1).to_numpy().nonzero()[0]
+            rest = pdf.iloc[starts[-1] :].reset_index(drop=True)
+            yield fold(pdf, starts)
+        if rest is not None and len(rest):
+            yield fold(rest, np.array([0, len(rest)]))
+
+    keys = [F.desc(o[1:]) if o.startswith("-") else F.col(o) for o in order]
+    return spans.repartition(*by).sortWithinPartitions(*by, *keys).select(*names).mapInPandas(run, schema)
 
 
 def nms(spans: DataFrame, thresholds: dict[str, float], default: float = 0.5, key: str = "doc_id") -> DataFrame:
     """Greedy suppression per document and label: by falling score (then start and end), a span stays if its IoU with every kept one is below the label's threshold."""
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, kept = thresholds.get(pdf["label"][0], default), []
-        rows = pdf[["start", "end"]].to_numpy()
-        live: list[int] = []
-        for i in range(len(rows)):
-            if all(_iou(rows[i], rows[k]) < t for k in live):
-                live.append(i)
-                kept.append(i)
-        return pdf.loc[kept, [key, "label", "start", "end", "score"]]
+    def keep(g: dict) -> list[tuple]:
+        t = thresholds.get(g["label"][0], default)
+        at: dict[int, list[int]] = {}  # kept spans by the cells they touch
+        out = []
+        for i, (s, e) in enumerate(zip(g["start"].tolist(), g["end"].tolist(), strict=True)):
+            cells = range(s // CELL, max(s, e - 1) // CELL + 1)
+            if all(_iou((s, e), (g["start"][k], g["end"][k])) < t for k in {k for c in cells for k in at.get(c, ())}):
+                for c in cells:
+                    at.setdefault(c, []).append(i)
+                out.append((s, e, float(g["score"][i])))
+        return out
 
     return _fold(spans, [key, "label"], keep, ["-score", "start", "end"], f"{key} long, label string, start long, end long, score double")
 
 
 def consensus_clusters(spans: DataFrame, voters: int, key: str = "doc_id") -> DataFrame:
     """Clusters of spans per document and label: by (start, end) a span joins the first cluster whose first member it overlaps; clusters of more than half of the voters give their longest, then earliest, span."""
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list[int]] = []
-        rows = pdf[["start", "end"]].to_numpy()
-        for i, (s, e) in enumerate(rows):
-            home = next((c for c in clusters if max(rows[c[0]][0], s) < min(rows[c[0]][1], e)), None)
+    def keep(g: dict) -> list[tuple]:
+        rows = list(zip(g["start"].tolist(), g["end"].tolist(), strict=True))
+        clusters: list[list[tuple[int, int]]] = []
+        live: list[list[tuple[int, int]]] = []  # those that a later span may still overlap
+        for s, e in rows:
+            live = [c for c in live if c[0][1] > s]
+            home = next((c for c in live if max(c[0][0], s) < min(c[0][1], e)), None)
             if home is None:
-                clusters.append([i])
+                clusters.append([(s, e)])
+                live.append(clusters[-1])
             else:
-                home.append(i)
-        best = [min(c, key=lambda i: (rows[i][0] - rows[i][1], rows[i][0])) for c in clusters if len(c) >= voters // 2 + 1]
-        size = [len(c) for c in clusters if len(c) >= voters // 2 + 1]
-        return pdf.loc[best, [key, "label", "start", "end"]].assign(votes=size)
+                home.append((s, e))
+        return [(*min(c, key=lambda x: (x[0] - x[1], x[0])), len(c)) for c in clusters if len(c) >= voters // 2 + 1]
 
     return _fold(spans, [key, "label"], keep, ["start", "end"], f"{key} long, label string, start long, end long, votes long")
 
@@ -146,21 +176,21 @@ def greedy_match(gold: DataFrame, pred: DataFrame, threshold: float = 0.5, key:
     """Matches per document and label: each gold span in order takes the unmatched prediction with the highest IoU of at least the threshold (the first of equals). Counts tp, fp, fn."""
     both = gold.select(key, "label", "start", "end", F.lit(True).alias("is_gold")).unionByName(pred.select(key, "label", "start", "end", F.lit(False).alias("is_gold")))
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, p = (pdf[pdf["is_gold"] == x][["start", "end"]].to_numpy() for x in (True, False))
+    def keep(g: dict) -> list[tuple]:
+        rows = list(zip(g["start"].tolist(), g["end"].tolist(), g["is_gold"].tolist(), strict=True))
+        gold_, pred_ = [r for r in rows if r[2]], [r for r in rows if not r[2]]
+        longest = max((e - s for s, e, _ in pred_), default=0)
+        begins = [r[0] for r in pred_]
         used: set[int] = set()
-        for s in g:
-            best, at = threshold, -1
-            lo = 0
-            for k in range(lo, len(p)):
-                if p[k][0] >= s[1]:
-                    break
-                v = _iou(s, p[k])
-                if k not in used and (v > best or (v >= threshold and at < 0)):
+        for s, e, _ in gold_:
+            best, at = 0.0, -1
+            for k in range(bisect.bisect_left(begins, s - longest), bisect.bisect_left(begins, e)):
+                v = _iou((s, e), pred_[k])
+                if k not in used and v >= threshold and v > best:
                     best, at = v, k
             if at >= 0:
                 used.add(at)
-        return pd.DataFrame({key: [pdf[key][0]], "label": [pdf["label"][0]], "tp": [len(used)], "fp": [len(p) - len(used)], "fn": [len(g) - len(used)]})
+        return [(len(used), len(pred_) - len(used), len(gold_) - len(used))]
 
     return _fold(both, [key, "label"], keep, ["start", "end"], f"{key} long, label string, tp long, fp long, fn long")
 
@@ -171,18 +201,15 @@ def resolve_conflicts(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     Same label and IoU of at least 0.9: the higher score stays. Action and Effect that overlap: the later one is
     trimmed to begin after the earlier, or goes if nothing is left. Actor and Victim nested: the smaller stays.
     """
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [list(r) for r in pdf[["label", "start", "end", "score"]].itertuples(index=False)]
+    def keep(g: dict) -> list[tuple]:
+        rows = [list(r) for r in zip(g["label"].tolist(), g["start"].tolist(), g["end"].tolist(), g["score"].tolist(), strict=True)]
+        begin = [r[1] for r in rows]
         alive = [True] * len(rows)
         for i in range(len(rows)):
             for j in range(i + 1, len(rows)):
-                if not alive[i]:
+                if not alive[i] or begin[j] >= rows[i][2]:
                     break
-                if not alive[j]:
-                    continue
-                if rows[j][1] >= rows[i][2]:
-                    if pdf["start"][j] >= rows[i][2]:
-                        break
+                if not alive[j] or rows[j][1] >= rows[i][2]:
                     continue
                 (la, sa, ea, pa), (lb, sb, eb, pb) = rows[i], rows[j]
                 if la == lb and _iou((sa, ea), (sb, eb)) >= 0.9:
@@ -192,8 +219,7 @@ def resolve_conflicts(spans: DataFrame, key: str = "doc_id") -> DataFrame:
                     alive[j] = rows[j][1] < eb
                 elif {la, lb} == {"Actor", "Victim"} and ((sa <= sb and eb <= ea) or (sb <= sa and ea <= eb)):
                     alive[i if ea - sa > eb - sb else j] = False
-        out = pd.DataFrame([r for r, a in zip(rows, alive, strict=True) if a], columns=["label", "start", "end", "score"])
-        return out.assign(**{key: pdf[key][0]})[[key, "label", "start", "end", "score"]]
+        return [tuple(r) for r, a in zip(rows, alive, strict=True) if a]
 
     return _fold(spans, [key], keep, ["start", "end", "label"], f"{key} long, label string, start long, end long, score double")
 

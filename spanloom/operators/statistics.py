@@ -193,7 +193,8 @@ def benjamini_hochberg(df: DataFrame, p: str = "p") -> DataFrame:
 
 def ngram_log_odds(df: DataFrame, n: int, k: int, a: str, b: str, alpha: float = 0.01, text: str = "text", label: str = "doc_label") -> DataFrame:
     """Smoothed log-odds of word n-grams between two classes: the k highest and the k lowest."""
-    grams = df.where(F.col(label).isin(a, b)).select(label, F.explode(ngrams(cue_words(F.col(text)), n)).alias("gram"))
+    tokens = df.where(F.col(label).isin(a, b)).select(label, cue_words(F.col(text)).alias("_tokens"))
+    grams = tokens.select(label, F.explode(ngrams(F.col("_tokens"), n)).alias("gram"))
     counts = grams.groupBy("gram").agg(F.count_if(F.col(label) == a).alias("na"), F.count_if(F.col(label) == b).alias("nb"))
     totals = counts.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"), F.count("*").alias("v"))
     odds = lambda c, t: F.log((F.col(c) + alpha) / (F.col(t) + alpha * F.col("v") - F.col(c) - alpha))
