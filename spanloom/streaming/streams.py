@@ -8,7 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, kind: str = "parquet", files: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(kind).load(path)
+    """A stream of the files in a folder, or of the one file of that name."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(kind)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).load(folder)
+    return reader.load(path)
 
 
 def windowed_counts(events: DataFrame, ts: str, by: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
