@@ -20,18 +20,53 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 1e-10, dot(a, b) / n).otherwise(F.lit(0.0))
 
 
-def _against(vector: Column, query: list[float]) -> Column:
-    """Cosine similarity to a given vector, without a join: its numbers are in the plan."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    norm = float(np.sqrt(sum(float(x) ** 2 for x in query)))
-    n = F.sqrt(dot(vector, vector)) * F.lit(norm)
-    return F.when(n > 1e-10, dot(vector, q) / n).otherwise(F.lit(0.0))
-
-
-def knn(vectors: DataFrame, query: list[float], k: int, where: Column | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k rows with the highest cosine similarity to one query (of equals the lesser key) that meet a condition. One scan; each task keeps its own k."""
-    rows = vectors if where is None else vectors.where(where)
-    return rows.withColumn("sim", F.round(_against(F.col(vector), query), 6)).orderBy(F.desc("sim"), key).limit(k)
+def _blocks(queries: DataFrame, key: str, vector: str, tag: str | None, block: int):
+    """The queries in blocks of at most ``block`` rows: (ids, matrix of unit rows, tags)."""
+    n = queries.count()
+    parts = max(1, -(-n // (block // 2)))
+    for p in range(parts):
+        rows = queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == p).select(key, vector, *([tag] if tag else [])).orderBy(key).collect()
+        for lo in range(0, len(rows), block):
+            part = rows[lo : lo + block]
+            m = np.array([[float(x) for x in r[1]] for r in part], dtype=np.float64)
+            yield np.array([r[0] for r in part]), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-10), [r[2] for r in part] if tag else None
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, tag: str | None = None, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+    """For each query the k rows with the highest cosine similarity (of equals the lesser key): query, key, sim, rank. With tag, only rows whose tag equals the query's.
+
+    Queries go out in blocks of bounded size; every task scores its rows against a block and keeps k for each query,
+    and these meet by query. Rows and queries without a vector match nothing. Similarities are rounded to 6 digits.
+    """
+    kind = f"query long, {key} long, sim double"
+    src = vectors.where(f"{vector} is not null").select(key, vector, *([tag] if tag else []))
+    found = []
+    for ids, unit, tags in _blocks(queries.where(f"{vector} is not null"), key, vector, tag, block):
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, unit, tags))
+
+        def score(batches, shared=shared):
+            ids, unit, tags = shared.value
+            for pdf in batches:
+                m = np.array(pdf[vector].to_list(), dtype=np.float64)
+                if not len(m):
+                    continue
+                keys = pdf[key].to_numpy()
+                order = np.argsort(keys, kind="stable")
+                m, keys = m[order], keys[order]
+                sims = np.round(unit @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-10)).T, 6)
+                if tags is not None:
+                    sims = np.where(np.array(tags, dtype=object)[:, None] == pdf[tag].to_numpy()[order][None, :], sims, -2.0)
+                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                q = np.repeat(np.arange(len(ids)), top.shape[1])
+                best = sims[q, top.ravel()]
+                ok = best > -2
+                yield pd.DataFrame({"query": ids[q][ok], key: keys[top.ravel()][ok], "sim": best[ok]})
+
+        found.append(src.mapInPandas(score, kind))
+    if not found:
+        return vectors.sparkSession.createDataFrame([], f"{kind}, rank int")
+    w = Window.partitionBy("query").orderBy(F.desc("sim"), key)
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def minmax(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
@@ -43,42 +78,37 @@ def minmax(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     return j.withColumn("norm", F.round(norm, 6)).drop("_lo", "_hi", "_n")
 
 
-def two_stage(vectors: DataFrame, query: list[float], k: int, factor: int, second: Column, most: int = 50, key: str = "vec_id") -> DataFrame:
-    """k·factor (at most ``most``) nearest, then the k best of them by a second score."""
-    first = knn(vectors, query, min(most, k * factor), key=key)
-    return first.withColumn("second", F.round(second, 6)).orderBy(F.desc("second"), key).limit(k)
-
+def two_stage(vectors: DataFrame, queries: DataFrame, k: int, factor: int, second: Column, most: int = 50, key: str = "vec_id") -> DataFrame:
+    """For each query k·factor (at most ``most``) nearest, then the k best of them by a second score over sim and the row's columns."""
+    first = knn(vectors, queries, min(most, k * factor), key=key).drop("rank")
+    scored = first.join(vectors, key).withColumn("second", F.round(second, 6))
+    w = Window.partitionBy("query").orderBy(F.desc("second"), key)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", key, "sim", "second", "rank")
 
-def mmr(candidates: DataFrame, k: int, weight: float = 0.6, relevance: str = "sim", key: str = "vec_id", vector: str = "embedding", most: int = 10_000) -> DataFrame:
-    """Picks k of a candidate list (at most ``most`` rows, a retrieval's result) in turn: the highest weight·relevance − (1−weight)·greatest similarity to those picked; of equals the lesser key. Adds place, from 1."""
-    few = candidates.orderBy(F.desc(relevance), key).limit(most)
 
+def mmr(candidates: DataFrame, k: int, weight: float = 0.6, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Of each query's candidates (a retrieval's result with vectors) picks k in turn: the highest weight·sim − (1−weight)·greatest similarity to those picked; of equals the lesser key. Returns query, key, place and sim."""
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key).reset_index(drop=True)
         v = np.array(pdf[vector].to_list(), dtype=float)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
-        rel, near, left, order = pdf[relevance].to_numpy(float), np.zeros(len(pdf)), np.ones(len(pdf), bool), []
+        rel, near, left, order = pdf["sim"].to_numpy(float), np.zeros(len(pdf)), np.ones(len(pdf), bool), []
         for _ in range(min(k, len(pdf))):
-            score = np.where(left, np.round(weight * rel - (1 - weight) * near, 9), -np.inf)
-            i = int(score.argmax())
+            value = np.where(left, np.round(weight * rel - (1 - weight) * near, 9), -np.inf)
+            i = int(value.argmax())
             order.append(i)
             left[i] = False
-            sims = v @ v[i]
-            near = sims if len(order) == 1 else np.maximum(near, sims)
-        return pd.DataFrame({key: pdf[key].iloc[order].to_numpy(), "place": np.arange(1, len(order) + 1), relevance: rel[order]})
-
-    return few.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: pick(pdf), f"{key} long, place long, {relevance} double")
-
-
-def stratified(vectors: DataFrame, query: list[float], strata: dict[str, tuple[Column, int]], k: int, key: str = "vec_id") -> DataFrame:
-    """Nearest rows of each stratum up to its number, first ones first, cut at k: adds stratum, turn and place."""
-    parts = []
-    for i, (name, (where, n)) in enumerate(strata.items()):
-        part = knn(vectors, query, n, where, key=key)
-        parts.append(part.select(key, "sim", F.lit(name).alias("stratum"), F.lit(i).alias("nth"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("sim"), key)).alias("turn")))
-    every = reduce(DataFrame.unionByName, parts)
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("turn", "nth"))
-    return every.withColumn("place", place).where(F.col("place") <= k).drop("nth")
+            near = v @ v[i] if len(order) == 1 else np.maximum(near, v @ v[i])
+        return pd.DataFrame({"query": pdf["query"].iloc[order].to_numpy(), key: pdf[key].iloc[order].to_numpy(), "place": np.arange(1, len(order) + 1), "sim": rel[order]})
+
+    return candidates.groupBy("query").applyInPandas(pick, f"query long, {key} long, place long, sim double")
+
+
+def stratified(vectors: DataFrame, queries: DataFrame, strata: dict[str, tuple[Column, int]], k: int, key: str = "vec_id") -> DataFrame:
+    """For each query the nearest rows of each stratum up to its number, first ones first, cut at k: query, key, sim, stratum, turn, place."""
+    parts = [knn(vectors.where(where), queries, n, key=key).select("query", key, "sim", F.lit(name).alias("stratum"), F.lit(i).alias("nth"), F.col("rank").alias("turn")) for i, (name, (where, n)) in enumerate(strata.items())]
+    place = F.row_number().over(Window.partitionBy("query").orderBy("turn", "nth"))
+    return reduce(DataFrame.unionByName, parts).withColumn("place", place).where(F.col("place") <= k).drop("nth")
 
 
 def embed(docs: DataFrame, embedder, size: int, batch: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -136,46 +136,43 @@ def hard_examples(spark, d):
 # ---------------------------------------------------------------- vectors
 
 
-def _query(vectors):
-    """The vector of id 0: one row."""
-    return list(vectors.where("vec_id = 0").select("embedding").first()[0])
+def _queries(vectors):
+    """Every row whose id is divisible by 50 is a query, against all rows."""
+    return vectors.where("vec_id % 50 = 0")
 
 
-SIM_SQL = "q as (select embedding as qe from embeddings where vec_id = 0), s as (select vec_id, label, round(list_sum(list_transform(list_zip(embedding, qe), lambda p: p[1]::double * p[2]::double)) / (sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(qe, lambda x: x::double * x::double)))), 6) as sim from embeddings, q)"
+SIM_SQL = "q as (select vec_id as query, label as qlabel, embedding as qe from embeddings where vec_id % 50 = 0), s as (select query, qlabel, vec_id, label, round(list_sum(list_transform(list_zip(embedding, qe), lambda p: p[1]::double * p[2]::double)) / (sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(qe, lambda x: x::double * x::double)))), 6) as sim from embeddings, q)"
 
 
-@query(f"with {SIM_SQL} select vec_id, sim from s where label = 3 order by sim desc, vec_id limit 10")
+@query(f"with {SIM_SQL} select query, vec_id, sim, (row_number() over (partition by query order by sim desc, vec_id))::int as rank from s where label = qlabel qualify rank <= 10")
 def knn_filtered(spark, d):
     v = table(spark, d, "embeddings")
-    return rt.knn(v, _query(v), 10, F.col("label") == 3).select("vec_id", "sim")
+    return rt.knn(v, _queries(v), 10, tag="label")
 
 
-@query(f"with {SIM_SQL}, f as (select * from s order by sim desc, vec_id limit 40) select vec_id, sim, round(sim * 0.5 + label / 20.0, 6)::double as second from f order by second desc, vec_id limit 8")
+@query(f"with {SIM_SQL}, f as (select * from s qualify row_number() over (partition by query order by sim desc, vec_id) <= 40), g as (select query, vec_id, sim, round(sim + label / 20.0, 6)::double as second from f) select *, (row_number() over (partition by query order by second desc, vec_id))::int as rank from g qualify rank <= 8")
 def two_stage_topk(spark, d):
     v = table(spark, d, "embeddings")
-    return rt.two_stage(v, _query(v), 8, 5, F.col("sim") * 0.5 + F.col("label") / 20.0).select("vec_id", "sim", "second")
+    return rt.two_stage(v, _queries(v), 8, 5, F.col("sim") + F.col("label") / 20.0)
 
 
-@query(f"with {SIM_SQL} select vec_id, label, sim, round(case when count(*) over w = 1 then 1.0 when max(sim) over w = min(sim) over w then 0.5 else (sim - min(sim) over w) / (max(sim) over w - min(sim) over w) end, 6) as norm from s window w as (partition by label)")
+@query(f"with {SIM_SQL}, t as (select query, vec_id, sim from s qualify row_number() over (partition by query order by sim desc, vec_id) <= 20) select query, vec_id, sim, round(case when count(*) over w = 1 then 1.0 when max(sim) over w = min(sim) over w then 0.5 else (sim - min(sim) over w) / (max(sim) over w - min(sim) over w) end, 6) as norm from t window w as (partition by query)")
 def minmax_scores(spark, d):
     v = table(spark, d, "embeddings")
-    q = _query(v)
-    sims = v.select("vec_id", "label", F.round(rt._against(F.col("embedding"), q), 6).alias("sim"))
-    return rt.minmax(sims, "sim", "label")
+    return rt.minmax(rt.knn(v, _queries(v), 20).drop("rank"), "sim", "query")
 
 
 @query()
 def mmr_select(spark, d):
     v = table(spark, d, "embeddings")
-    return rt.mmr(rt.knn(v, _query(v), 50), 10)
+    return rt.mmr(rt.knn(v, _queries(v), 50).join(v.select("vec_id", "embedding"), "vec_id"), 10)
 
 
-@query(f"""with {SIM_SQL}, p as (select vec_id, sim, 'low' as stratum, 0 as nth, row_number() over (order by sim desc, vec_id) as turn from s where label < 3 union all
-select vec_id, sim, 'mid', 1, row_number() over (order by sim desc, vec_id) from s where label between 3 and 6 union all select vec_id, sim, 'high', 2, row_number() over (order by sim desc, vec_id) from s where label > 6),
-c as (select * from p where turn <= case stratum when 'low' then 4 when 'mid' then 4 else 2 end), o as (select vec_id, sim, stratum, turn::int as turn, row_number() over (order by turn, nth)::int as place from c) select * from o where place <= 9""")
+@query(f"""with {SIM_SQL}, p as (select query, vec_id, sim, case when label < 3 then 'low' when label <= 6 then 'mid' else 'high' end as stratum from s), r as (select *, (row_number() over (partition by query, stratum order by sim desc, vec_id))::int as turn from p),
+c as (select * from r where turn <= case stratum when 'low' then 4 when 'mid' then 4 else 2 end) select query, vec_id, sim, stratum, turn, (row_number() over (partition by query order by turn, case stratum when 'low' then 0 when 'mid' then 1 else 2 end))::int as place from c qualify place <= 9""")
 def stratified_retrieve(spark, d):
     v = table(spark, d, "embeddings")
-    return rt.stratified(v, _query(v), {"low": (F.col("label") < 3, 4), "mid": (F.col("label").between(3, 6), 4), "high": (F.col("label") > 6, 2)}, 9)
+    return rt.stratified(v, _queries(v), {"low": (F.col("label") < 3, 4), "mid": (F.col("label").between(3, 6), 4), "high": (F.col("label") > 6, 2)}, 9)
 
 
 # ---------------------------------------------------------------- samples and folds
@@ -249,8 +246,8 @@ def vocabulary_sets(spark, d):
     return both.agg(F.count("*").alias("in_either"), F.count_if(F.col("sides") == 3).alias("in_both"), F.count_if(F.col("sides") == 2).alias("only_benchmark"))
 
 
-@query("select p.page_id, d.source, coalesce(d.source, 'none') as filled from pages p full join (select doc_id, source from documents) d on p.page_id = d.doc_id where p.page_id is not null or d.doc_id % 100 = 0")
+@query("select p.page_id, d.doc_id, d.source, coalesce(d.source, 'none') as filled from pages p full join (select doc_id, source from documents) d on p.page_id = d.doc_id")
 def full_outer_ids(spark, d):
     p, docs = table(spark, d, "pages").select("page_id"), table(spark, d, "documents").select("doc_id", "source")
     j = p.join(docs, p["page_id"] == docs["doc_id"], "full")
-    return j.where("page_id is not null or doc_id % 100 = 0").select("page_id", "source", F.coalesce("source", F.lit("none")).alias("filled"))
+    return j.select("page_id", "doc_id", "source", F.coalesce("source", F.lit("none")).alias("filled"))
