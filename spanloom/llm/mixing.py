@@ -105,9 +105,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     these names are replaced. Documents without words have copies 0 unless whole copies are taken. Null sources
     are one source. Repeated rows count as documents each. An empty table stays empty.
     """
-    out = docs.drop("size", "source_size", "target", "copies", "taken")
-    (src,) = fresh(out, "src")
-    out = out.withColumns({"size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), src: F.concat(F.when(F.col(source).isNull(), "1").otherwise("0"), F.coalesce(source, F.lit("")))})
+    docs = docs.drop("size", "source_size", "target", "copies", "taken")
+    # Working columns have names that docs does not have.
+    src, whole, extra, parts, alike, rank, part, before, places, in_part = fresh(docs, "src", "whole", "extra", "parts", "alike", "rank", "part", "before", "places", "in_part")
+    words = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    out = docs.withColumns({"size": words, src: F.concat(F.when(F.col(source).isNull(), "1").otherwise("0"), F.coalesce(source, F.lit("")))})
     lengths = staged(out.groupBy(src, "size").agg(F.count("*").alias("n")), "lengths")
     per = sorted(lengths.groupBy(src).agg(F.sum(F.col("size") * F.col("n")).alias("words")).limit(MAX_SOURCES + 1).collect(), key=lambda r: r[0].encode())
     if len(per) > MAX_SOURCES:
@@ -119,29 +121,28 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size").reset_index(drop=True)
-        whole = int(pdf["target"][0] // pdf["source_size"][0]) if pdf["source_size"][0] else 0
-        whole = min(whole, most)
-        extra = fit_counts(pdf["size"].to_numpy(), pdf["n"].to_numpy(), pdf["target"][0] - whole * pdf["source_size"][0]) if whole < most else 0
-        return pdf.assign(whole=whole, extra=extra)
+        full = int(pdf["target"][0] // pdf["source_size"][0]) if pdf["source_size"][0] else 0
+        full = min(full, most)
+        some = fit_counts(pdf["size"].to_numpy(), pdf["n"].to_numpy(), pdf["target"][0] - full * pdf["source_size"][0]) if full < most else 0
+        return pdf.assign(whole=full, extra=some)
 
     fitted = lengths.join(small(plan, len(per)), src).groupBy(src).applyInPandas(fit, f"`{src}` string, size long, n long, source_size long, target double, whole int, extra long")
-    fitted = staged(fitted.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("n") / F.greatest(F.lit(PART_ROWS), F.sqrt(F.col("n")))))), "fitted")
-    n = fitted.count()
-    out = out.join(small(fitted, n).withColumnRenamed("n", "alike"), [src, "size"])
+    split = F.greatest(F.lit(1), F.ceil(F.col("n") / F.greatest(F.lit(PART_ROWS), F.sqrt(F.col("n")))))
+    fitted = staged(fitted.select(src, "size", "source_size", "target", F.col("whole").alias(whole), F.col("extra").alias(extra), F.col("n").alias(alike), split.alias(parts)), "fitted")
+    out = out.join(small(fitted), [src, "size"])
     # Where only some documents of a length go: rank them by hash, in parts by the hash itself.
-    rank, part, before = fresh(out, "rank", "part", "before")
-    rest = F.col("extra").between(1, F.col("alike") - 1)
+    rest = F.col(extra).between(1, F.col(alike) - 1)
     spread = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(key).isNull(), F.col(text))
-    out = out.withColumns({rank: spread, part: F.when(rest, F.floor(F.shiftrightunsigned(spread, 33) * F.col("parts") / F.lit(float(1 << 31)))).cast("long")})
-    counted = out.where(rest).groupBy(src, "size", part, "extra").agg(F.count("*").alias("in_part"))
+    out = out.withColumns({rank: spread, part: F.when(rest, F.floor(F.shiftrightunsigned(spread, 33) * F.col(parts) / F.lit(float(1 << 31)))).cast("long")})
+    counted = out.where(rest).groupBy(src, "size", part, extra).agg(F.count("*").alias(in_part))
     before_w = Window.partitionBy(src, "size").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    edge = counted.withColumn(before, F.coalesce(F.sum("in_part").over(before_w), F.lit(0))).where(F.col(before) < F.col("extra"))
-    edge = staged(edge.select(src, "size", part, (F.col("extra") - F.col(before)).alias("places"), "in_part"), "edge")
+    edge = counted.withColumn(before, F.coalesce(F.sum(in_part).over(before_w), F.lit(0))).where(F.col(before) < F.col(extra))
+    edge = staged(edge.select(src, "size", part, (F.col(extra) - F.col(before)).alias(places), in_part), "edge")
     out = out.join(small(edge), [src, "size", part], "left")
-    inside = F.col("places") >= F.col("in_part")
-    cut = F.col("places").isNotNull() & ~inside
-    sure = out.where(~cut | F.col("places").isNull()).withColumn("copies", F.col("whole") + F.when(F.coalesce(inside, F.lit(False)) | (F.col("extra") >= F.col("alike")), 1).otherwise(0))
-    nth = F.row_number().over(Window.partitionBy(src, "size", part).orderBy(rank, F.col(key), F.col(text)))
-    ranked = out.where(cut).withColumn("copies", F.col("whole") + F.when(nth <= F.col("places"), 1).otherwise(0))
+    inside = F.coalesce(F.col(places) >= F.col(in_part), F.lit(False))
+    cut = F.col(places).isNotNull() & ~inside
+    sure = out.where(~cut).withColumn("copies", F.col(whole) + F.when(inside | (F.col(extra) >= F.col(alike)), 1).otherwise(0))
+    nth = F.row_number().over(Window.partitionBy(src, "size", part).orderBy(rank, F.col(key)))  # equal ranks: equal rows
+    ranked = out.where(cut).withColumn("copies", F.col(whole) + F.when(nth <= F.col(places), 1).otherwise(0))
     both = sure.unionByName(ranked)
-    return both.withColumns({"copies": F.col("copies").cast("int"), "taken": F.col("copies") * F.col("size")}).select(*docs.drop("size", "source_size", "target", "copies", "taken").columns, "size", "source_size", "target", "copies", "taken")
+    return both.withColumns({"copies": F.col("copies").cast("int"), "taken": F.col("copies") * F.col("size")}).select(*docs.columns, "size", "source_size", "target", "copies", "taken")
