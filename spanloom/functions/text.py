@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lexicons import VERDICT_NO, VERDICT_YES
+
 SMART, PLAIN = "‘’‚“”„–—", "'''\"\"\"--"
 
 
@@ -33,7 +35,7 @@ def doc_label(c: Column, table: Mapping[str, str]) -> Column:
 def verdict_label(c: Column) -> Column:
     """conspiracy, non or ambiguous, for a free-form verdict."""
     x = F.replace(F.trim(F.lower(c)), F.lit("."), F.lit(""))
-    return F.when(x.isin("yes", "true", "1", "conspiracy"), "conspiracy").when(x.isin("no", "false", "0", "non"), "non").otherwise("ambiguous")
+    return F.when(x.isin(*VERDICT_YES), "conspiracy").when(x.isin(*VERDICT_NO), "non").otherwise("ambiguous")
 
 
 def span_label(c: Column) -> Column:

@@ -6,12 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.lexicons import DOC_LABELS, LABELS, MARKER_ALIASES, STRICT_LABELS
-
-ID_KEYS = ("doc_id", "_id", "id", "comment_id", "uid", "guid")
-SOURCE_KEYS = ("subreddit", "source", "community")
-TEXT_KEYS = ("text", "body", "content", "comment", "selftext")
-LABEL_KEYS = ("conspiracy", "label", "doc_label", "gold", "annotation", "class")
+from ..functions.lexicons import DOC_LABELS, ID_KEYS, LABEL_KEYS, LABELS, MARKER_ALIASES, SOURCE_KEYS, STRICT_LABELS, TEXT_KEYS
 
 
 def _have(df: DataFrame, keys: tuple[str, ...]) -> list[Column]:

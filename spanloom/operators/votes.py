@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def council(votes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per key over votes (juror, verdict yes/no, confidence): tally, mean confidences, signed sum, dissent and level of consensus."""
+    """Per key over votes (juror, verdict yes/no, confidence): tally, mean confidences, signed sum, dissent and level of consensus (unanimous, strong from three alike on, else split; chaotic without votes)."""
     yes, no = F.col("verdict") == "yes", F.col("verdict") == "no"
-    agg = votes.groupBy(key).agg(F.count_if(yes).alias("yes"), F.count_if(no).alias("no"), F.round(F.avg(F.when(yes, F.col("confidence"))), 6).alias("yes_confidence"), F.round(F.avg(F.when(no, F.col("confidence"))), 6).alias("no_confidence"),
+    agg = votes.groupBy(key).agg(F.count_if(yes).alias("yes"), F.count_if(no).alias("no"), F.round(F.coalesce(F.avg(F.when(yes, F.col("confidence"))), F.lit(0.0)), 6).alias("yes_confidence"), F.round(F.coalesce(F.avg(F.when(no, F.col("confidence"))), F.lit(0.0)), 6).alias("no_confidence"),
                                  F.round(F.sum(F.when(yes, F.col("confidence")).otherwise(-F.col("confidence"))), 6).alias("signed"))
     total, least = F.col("yes") + F.col("no"), F.least("yes", "no")
-    dissent = F.round(least / total, 6)
-    level = F.when(least == 0, "unanimous").when(least / total <= 0.25, "strong").when(least / total < 0.5, "split").otherwise("chaotic")
+    dissent = F.round(F.when(total > 0, least / total).otherwise(0.0), 6)
+    level = F.when(total == 0, "chaotic").when(least == 0, "unanimous").when(F.greatest("yes", "no") >= 3, "strong").otherwise("split")
     return agg.withColumns({"dissent": dissent, "consensus": level})
 
 

@@ -22,9 +22,9 @@ def _votes(spark, d):
     return e.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("juror"), F.when(F.floor(F.col("value") * 100) % 2 == 0, "yes").otherwise("no").alias("verdict"), (F.col("event_id") % 101 / F.lit(100.0)).alias("confidence"), "event_id")
 
 
-COUNCIL_SQL = VOTES_SQL + """, agg as (select doc_id, count(*) filter (verdict = 'yes') as yes, count(*) filter (verdict = 'no') as no, round(avg(case when verdict = 'yes' then confidence end), 6) as yes_confidence, round(avg(case when verdict = 'no' then confidence end), 6) as no_confidence,
+COUNCIL_SQL = VOTES_SQL + """, agg as (select doc_id, count(*) filter (verdict = 'yes') as yes, count(*) filter (verdict = 'no') as no, round(coalesce(avg(case when verdict = 'yes' then confidence end), 0), 6) as yes_confidence, round(coalesce(avg(case when verdict = 'no' then confidence end), 0), 6) as no_confidence,
   round(sum(case when verdict = 'yes' then confidence else -confidence end), 6) as signed from votes group by 1),
-council as (select *, round(least(yes, no) / (yes + no), 6) as dissent, case when least(yes, no) = 0 then 'unanimous' when least(yes, no) / (yes + no) <= 0.25 then 'strong' when least(yes, no) / (yes + no) < 0.5 then 'split' else 'chaotic' end as consensus from agg)"""
+council as (select *, round(least(yes, no) / (yes + no), 6) as dissent, case when least(yes, no) = 0 then 'unanimous' when greatest(yes, no) >= 3 then 'strong' else 'split' end as consensus from agg)"""
 
 
 @query(f"with {COUNCIL_SQL} select * from council")

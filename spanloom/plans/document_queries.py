@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lexical as lex
+from ..functions import lexicons as lx
 from ..functions import text as tx
 from ..functions.hashing import simhash64
-from ..functions.lexicons import ABSOLUTIST, DOC_LABELS, HEDGES
+from ..functions.lexicons import ABSOLUTIST, HEDGES
 from ..operators import documents as dc
 from ..operators import duplicates as dup
 from ..operators import statistics as st
@@ -312,3 +314,49 @@ r as (select doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) as w from tf join d
 select doc_id, term, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) as weight from r""")
 def tfidf(spark, d):
     return st.tfidf(_docs(spark, d))
+
+
+def _cue(cues):
+    return f"regexp_matches(text, '(?i)(^|[^a-z0-9_])({'|'.join(cues)})([^a-z0-9_]|$)')"
+
+
+SUBTYPE_SQL = f"""{ANNOTATED_SQL}, sub as (select *, case doc_label when 'non' then case when {_cue(lx.CUES_DEBUNK)} then 'non_debunking' when {_cue(lx.CUES_MUNDANE)} then 'non_mundane' else 'non_reporting' end
+  when 'conspiracy' then case when {_cue(lx.CUES_EVANGELIST)} then 'con_evangelist' when {_cue(lx.CUES_INSIDER)} then 'con_insider' else 'con_general' end else 'ambiguous' end as subtype from annotated)"""
+
+
+@query(f"with {SUBTYPE_SQL} select doc_id, doc_label, subtype from sub")
+def subtype_class(spark, d):
+    return annotated(spark, d).select("doc_id", "doc_label", lex.subtype(F.col("text"), F.col("doc_label")).alias("subtype"))
+
+
+def _in(words):
+    return ", ".join(f"'{w}'" for w in words)
+
+
+@query(f"""with {SUBTYPE_SQL}, t as (select *, regexp_extract_all(lower(text), '[a-z0-9_]+') as w from sub),
+r as (select doc_id, doc_label, subtype, length(text) as n, len(list_filter(w, lambda x: x in ({_in(ABSOLUTIST)}))) / greatest(len(w), 1) as a, len(list_filter(w, lambda x: x in ({_in(HEDGES)}))) / greatest(len(w), 1) as h from t),
+k as (select *, (doc_label = 'non' and doc_id % 3 > 0) or subtype = 'non_debunking' as is_hard_negative from r)
+select doc_id, round(case when n > 200 and n < 2000 then 1 else 0 end + 1 - case when doc_id % 7 = 0 then 5 else 0 end + case when (doc_label = 'conspiracy' and a > 0.015) or (doc_label = 'non' and h > 0.015) then 2 else 0 end + case when is_hard_negative then 3 else 0 end, 3)::double as score, is_hard_negative from k""")
+def richness_score(spark, d):
+    a = annotated(spark, d).withColumn("tokens", tx.ascii_words(F.col("text"))).withColumn("kind", lex.subtype(F.col("text"), F.col("doc_label")))
+    score, hard = lex.richness(F.col("text"), F.col("doc_label"), F.col("kind"), F.col("tokens"), F.col("doc_id") % 3, F.col("doc_id") % 7 == 0)
+    return a.select("doc_id", score.alias("score"), hard.alias("is_hard_negative"))
+
+
+def _share(words):
+    return f"len(list_filter(low, lambda x: x in ({_in(words)}))) / n"
+
+
+@query(f"""with t as (select doc_id, text, regexp_extract_all(lower(text), '[a-z0-9_]+') as low, list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: regexp_full_match(x, '[A-Za-z]+')) as words from documents),
+m as (select *, greatest(len(words), 1) as n, (length(text) - length(replace(text, '?', ''))) / (len(regexp_extract_all(text, '[.!?]+')) + 1) as density from t)
+select doc_id, round_even({_share(lx.ATTRIBUTION)} * 100, 2)::double as attribution_density, round_even({_share(lx.UNCERTAINTY)}, 3)::double as uncertainty_ratio, round_even({_share(lx.INTENSITY)}, 3)::double as epistemic_intensity, round_even({_share(lx.PASSIVE)}, 3)::double as agency_gap,
+  round_even(density, 2)::double as question_density, round_even(len(list_filter(words, lambda x: length(x) > 1 and x = upper(x))) / n, 3)::double as shouting_score, density > 0.35 and {_share(lx.UNCERTAINTY)} > 0.05 as is_jaqing from m""")
+def forensic_stats(spark, d):
+    return _docs(spark, d).select("doc_id", *(c.alias(k) for k, c in lex.profile(F.col("text")).items()))
+
+
+@query()
+def profile_warnings(spark, d):
+    p = forensic_stats(spark, d)
+    w = lex.warnings(F.col("attribution_density"), F.col("is_jaqing"), F.col("shouting_score"), F.col("agency_gap"))
+    return p.select(F.explode(w).alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))

@@ -175,7 +175,7 @@ def test_bh_and_auc(spark):
 def test_votes_edge_cases(spark):
     v = spark.createDataFrame([(1, "yes", 0.9), (1, "no", 0.1), (2, "yes", 0.4)], "doc_id long, verdict string, confidence double")
     got = {r["doc_id"]: r["consensus"] for r in vt.council(v).collect()}
-    assert got == {1: "chaotic", 2: "unanimous"}
+    assert got == {1: "split", 2: "unanimous"}
     p = spark.createDataFrame([(1, 0.6, None), (1, None, 0.9), (2, None, None)], "doc_id long, p_yes double, p_no double")
     assert {r["doc_id"]: r["p_yes"] for r in vt.average_probability(p).collect()} == {1: 0.35, 2: 0.5}
 
