@@ -172,6 +172,50 @@ def consensus_clusters(spans: DataFrame, voters: int, key: str = "doc_id") -> Da
     return _fold(spans, [key, "label"], keep, ["start", "end"], f"{key} long, label string, start long, end long, votes long")
 
 
+def positional_nms(spans: DataFrame, threshold: float = 0.9, key: str = "doc_id") -> DataFrame:
+    """Per document and label, by (start, end): a span stays if its IoU with every kept one is below the threshold."""
+    def keep(g: dict) -> list[tuple]:
+        kept: list[tuple[int, int]] = []
+        live: list[tuple[int, int]] = []
+        for s, e in zip(g["start"].tolist(), g["end"].tolist(), strict=True):
+            live = [t for t in live if t[1] > s]
+            if all(_iou((s, e), t) < threshold for t in live):
+                kept.append((s, e))
+                live.append((s, e))
+        return kept
+
+    return _fold(spans, [key, "label"], keep, ["start", "end"], f"{key} long, label string, start long, end long")
+
+
+def self_consistency(spans: DataFrame, runs: int, threshold: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """Spans of several runs, per document and label by (start, end): a span joins the first cluster whose representative, its middle member, it overlaps with at least the threshold; clusters of max(2, runs/3) members give their representative."""
+    def keep(g: dict) -> list[tuple]:
+        clusters: list[list[tuple[int, int]]] = []
+        live: list[list[tuple[int, int]]] = []
+        for s, e in zip(g["start"].tolist(), g["end"].tolist(), strict=True):
+            live = [c for c in live if c[len(c) // 2][1] > s]  # a representative only ever moves on by joining
+            home = next((c for c in live if _iou((s, e), c[len(c) // 2]) >= threshold), None)
+            if home is None:
+                clusters.append([(s, e)])
+                live.append(clusters[-1])
+            else:
+                home.append((s, e))
+        return [(*c[len(c) // 2], len(c)) for c in clusters if len(c) >= max(2, runs // 3)]
+
+    return _fold(spans, [key, "label"], keep, ["start", "end"], f"{key} long, label string, start long, end long, votes long")
+
+
+def cap_per_label(spans: DataFrame, n: int, order: list[Column], key: str = "doc_id") -> DataFrame:
+    """The first n spans of each label of a document."""
+    return spans.withColumn("rank", F.row_number().over(Window.partitionBy(key, "label").orderBy(*order))).where(F.col("rank") <= n)
+
+
+def salience(label: Column, length: Column) -> Column:
+    """Weight of a span as an example: Actions and Effects before Actors and Victims before Evidence, short ones first."""
+    weight = F.when(label.isin("Action", "Effect"), 3).when(label.isin("Actor", "Victim"), 2).otherwise(1)
+    return weight + 1 / (1 + length / 10.0)
+
+
 def greedy_match(gold: DataFrame, pred: DataFrame, threshold: float = 0.5, key: str = "doc_id") -> DataFrame:
     """Matches per document and label: each gold span in order takes the unmatched prediction with the highest IoU of at least the threshold (the first of equals). Counts tp, fp, fn."""
     both = gold.select(key, "label", "start", "end", F.lit(True).alias("is_gold")).unionByName(pred.select(key, "label", "start", "end", F.lit(False).alias("is_gold")))

@@ -72,3 +72,11 @@ def dossier(spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """Per key the different texts of each role, sorted: 'Role: a; b' lines in order of role."""
     per = spans.groupBy(key, "label").agg(F.array_join(F.array_sort(F.collect_set(text)), "; ").alias("texts"))
     return per.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "label", "texts"))), "\n").alias("dossier"))
+
+
+def graded_score(votes: DataFrame, gold: DataFrame, key: str = "doc_id") -> DataFrame:
+    """1 where the commonest verdict (of equals yes) is the gold one, else the share of votes for the gold one."""
+    n = votes.groupBy(key).agg(F.count_if(F.col("verdict") == "yes").alias("yes"), F.count("*").alias("n")).join(gold.select(key, "gold"), key)
+    for_gold = F.when(F.col("gold") == "yes", F.col("yes")).otherwise(F.col("n") - F.col("yes"))
+    win = F.when(F.col("yes") * 2 >= F.col("n"), "yes").otherwise("no")
+    return n.select(key, F.round(F.when(win == F.col("gold"), 1.0).otherwise(for_gold / F.col("n")), 6).alias("score"))

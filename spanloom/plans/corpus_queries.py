@@ -66,6 +66,14 @@ def prob_average(spark, d):
     return vt.average_probability(s)
 
 
+@query(f"""with {VOTES_SQL}, n as (select doc_id, count(*) filter (verdict = 'yes') as yes, count(*) as n, case when doc_id % 2 = 0 then 'yes' else 'no' end as gold from votes group by 1)
+select doc_id, round(case when case when yes * 2 >= n then 'yes' else 'no' end = gold then 1.0 else case gold when 'yes' then yes else n - yes end / n end, 6)::double as score from n""")
+def graded_scores(spark, d):
+    v = _votes(spark, d)
+    gold = v.select("doc_id").distinct().withColumn("gold", F.when(F.col("doc_id") % 2 == 0, "yes").otherwise("no"))
+    return vt.graded_score(v, gold)
+
+
 @query("""with f as (select user_id as doc_id, event_type as flag from events) select doc_id, flag, count(*) as n from f group by 1, 2 having count(*) >= 2""")
 def repeated_flags(spark, d):
     v = _votes(spark, d).withColumn("flags", F.array("juror"))

@@ -291,3 +291,32 @@ select doc_id, start, md5(regexp_replace(regexp_replace(raw, '^[ \\t\\r\\n\\f\\x
 def crop_context(spark, d):
     g = _spans(spark, d, "gold").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return dc.crop(g).select("doc_id", "start", F.md5("snippet").alias("snippet_md5"), F.col("new_start").cast("long").alias("new_start"))
+
+
+@query()
+def span_positional_nms(spark, d):
+    return sp.positional_nms(_spans(spark, d, "pred"))
+
+
+@query()
+def span_self_consistency(spark, d):
+    return sp.self_consistency(_spans(spark, d), 3)
+
+
+@query(f"""{G}, r as (select doc_id, label, start, "end", (row_number() over (partition by doc_id, label order by "end" - start, start))::int as rank from g) select * from r where rank <= 3""")
+def span_caps(spark, d):
+    return sp.cap_per_label(_spans(spark, d, "gold"), 3, [F.col("end") - F.col("start"), F.col("start")])
+
+
+@query(f"""{G} select doc_id, start, round(case when label in ('Action', 'Effect') then 3 when label in ('Actor', 'Victim') then 2 else 1 end + 1 / (1 + ("end" - start) / 10.0::double), 6)::double as salience from g""")
+def span_salience(spark, d):
+    g = _spans(spark, d, "gold")
+    return g.select("doc_id", "start", F.round(sp.salience(F.col("label"), F.col("end") - F.col("start")), 6).alias("salience"))
+
+
+@query(f"""{G}, x as (select g.*, text, length(text) as n from g join documents using (doc_id)) select doc_id, label as type, start as startIndex, "end" as endIndex from x where start >= 0 and "end" > start and "end" <= n""")
+def span_submission(spark, d):
+    """Spans as an array per document, brought to the submission's names, exploded again."""
+    g = _spans(spark, d, "gold").groupBy("doc_id").agg(F.collect_list(F.struct("label", "start", "end", F.lit("").alias("text"))).alias("markers"))
+    j = g.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").withColumn("out", dc.submission(g))
+    return j.select("doc_id", F.inline("out")).select("doc_id", "type", "startIndex", "endIndex")
