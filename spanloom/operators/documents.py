@@ -88,12 +88,16 @@ def submission(df: DataFrame, column: str = "markers") -> Column:
     return F.transform(F.filter(F.col(column), ok), lambda m: F.struct(m["label"].alias("type"), m["start"].alias("startIndex"), m["end"].alias("endIndex"), m["text"].alias("text")))
 
 
-def crop(df: DataFrame, around: int = 120) -> DataFrame:
-    """For rows (text, start, end): the text within ``around`` characters of the span, without outer white space, and the span's bounds in it."""
-    lo = F.greatest(F.lit(0), F.col("start") - around)
-    raw = F.substring(F.col("text"), (lo + 1).cast("int"), (F.least(F.length("text"), F.col("end") + around) - lo).cast("int"))
-    lead = F.length(raw) - F.length(F.regexp_replace(raw, r"^[ \t\r\n\f\x0B]+", ""))
-    return df.withColumns({"snippet": F.regexp_replace(raw, r"^[ \t\r\n\f\x0B]+|[ \t\r\n\f\x0B]+$", ""), "new_start": F.col("start") - lo - lead, "new_end": F.col("end") - lo - lead})
+def crop_parts(around: int = 120) -> dict:
+    """For spans.with_text: the text within ``around`` characters of the span, without outer white space, and the span's bounds in it."""
+    lo = lambda s: F.greatest(F.lit(0), s["start"] - around)
+    raw = lambda t, s: F.substring(t, (lo(s) + 1).cast("int"), (F.least(F.length(t), s["end"] + around) - lo(s)).cast("int"))
+    lead = lambda t, s: F.length(raw(t, s)) - F.length(F.regexp_replace(raw(t, s), r"^[ \t\r\n\f\x0B]+", ""))
+    return {
+        "snippet": lambda t, s: F.regexp_replace(raw(t, s), r"^[ \t\r\n\f\x0B]+|[ \t\r\n\f\x0B]+$", ""),
+        "new_start": lambda t, s: s["start"] - lo(s) - lead(t, s),
+        "new_end": lambda t, s: s["end"] - lo(s) - lead(t, s),
+    }
 
 
 def attach_fallback(left: DataFrame, right: DataFrame, key: str, column: str) -> DataFrame:

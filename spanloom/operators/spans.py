@@ -35,6 +35,19 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], a: str = "a",
     return pairs.where(meet & (F.col("_cell") == first)).drop("_cell")
 
 
+def with_text(spans: DataFrame, docs: DataFrame, derive: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Adds columns derived from a span and its document's text: derive maps a name to a function of (text, span struct).
+
+    Spans of a document meet its text as one array, so a text moves once and not once for each of its spans. Spans
+    without a document go.
+    """
+    cols = [c for c in spans.columns if c != key]
+    grouped = spans.groupBy(key).agg(F.collect_list(F.struct(*cols)).alias("_spans"))
+    j = grouped.join(docs.select(key, F.col(text).alias("_text")), key)
+    made = F.transform("_spans", lambda s: F.struct(*(s[c].alias(c) for c in cols), *(f(F.col("_text"), s).alias(n) for n, f in derive.items())))
+    return j.select(key, F.inline(made))
+
+
 def self_overlaps(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """Unordered pairs of overlapping spans of a document, ordered by (start, end, label), with iou."""
     pairs = overlap_join(spans, spans, [key])

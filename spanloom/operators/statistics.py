@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import LABELS
 from ..functions.text import cue_words, lexicon_count, ngrams
-from .spans import overlap_join, self_overlaps
+from .spans import overlap_join, self_overlaps, with_text
 
 
 def r6(c: Column) -> Column:
@@ -95,10 +95,10 @@ def first_occurrence(spans: DataFrame, lengths: DataFrame, key: str = "doc_id")
 
 def offset_integrity(spans: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Spans in all, inside their text, and with more than white space."""
-    j = spans.join(docs.select(key, F.length("text").alias("n_text"), "text"), key)
+    body = lambda t, s: F.trim(F.substring(t, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))) != ""
+    j = with_text(spans, docs, {"n_text": lambda t, s: F.length(t), "filled": body}, key)
     ok = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("n_text"))
-    body = F.trim(F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
-    return j.agg(F.count("*").alias("total"), F.count_if(ok).alias("in_bounds"), F.count_if(ok & (body != "")).alias("with_text"))
+    return j.agg(F.count("*").alias("total"), F.count_if(ok).alias("in_bounds"), F.count_if(ok & F.col("filled")).alias("with_text"))
 
 
 def overlap_pairs(spans: DataFrame) -> DataFrame:
@@ -139,12 +139,12 @@ def max_pair_iou(left: DataFrame, right: DataFrame, key: str = "doc_id") -> Data
 
 def boundary_context(spans: DataFrame, docs: DataFrame, k: int = 25, key: str = "doc_id") -> DataFrame:
     """By label: the k commonest five characters, and single words, before and after spans (of equals the lesser)."""
-    j = spans.join(docs.select(key, "text"), key)
-    before = F.substring("text", F.greatest(F.lit(1), F.col("start") - 4).cast("int"), F.least(F.lit(5), F.col("start")).cast("int"))
-    after = F.substring("text", (F.col("end") + 1).cast("int"), 5)
+    cut = lambda a, n: lambda t, s: F.substring(t, a(s).cast("int"), n(s).cast("int"))
     # A word cannot be cut out of more than the neighbourhood.
-    left = F.substring("text", F.greatest(F.lit(1), F.col("start") - 79).cast("int"), F.least(F.lit(80), F.col("start")).cast("int"))
-    right = F.substring("text", (F.col("end") + 1).cast("int"), 80)
+    j = with_text(spans.select(key, "label", "start", "end"), docs, {
+        "before": cut(lambda s: F.greatest(F.lit(1), s["start"] - 4), lambda s: F.least(F.lit(5), s["start"])), "after": cut(lambda s: s["end"] + 1, lambda s: F.lit(5)),
+        "left": cut(lambda s: F.greatest(F.lit(1), s["start"] - 79), lambda s: F.least(F.lit(80), s["start"])), "right": cut(lambda s: s["end"] + 1, lambda s: F.lit(80))}, key)
+    before, after, left, right = (F.col(c) for c in ("before", "after", "left", "right"))
     w1, w2 = F.regexp_extract(F.lower(left), "([a-z0-9_]+)[^a-z0-9_]*$", 1), F.regexp_extract(F.lower(right), "^[^a-z0-9_]*([a-z0-9_]+)", 1)
     kinds = F.array(*(F.struct(F.lit(n).alias("kind"), v.alias("value")) for n, v in (("char_before", before), ("char_after", after), ("word_before", w1), ("word_after", w2))))
     counts = j.select("label", F.inline(kinds)).where("value <> ''").groupBy("label", "kind", "value").agg(F.count("*").alias("n"))
