@@ -135,7 +135,8 @@ def _grow(bins: np.ndarray, grad: np.ndarray, hess: np.ndarray, rows: np.ndarray
 def _lasso(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
     """Accelerated proximal gradient for the logistic loss with an absolute penalty on the weights, not on the offset."""
     n, m = x.shape
-    rate = 4.0 / max(np.linalg.norm(np.column_stack([x, np.ones(n)]), 2) ** 2 / n, 1e-9)
+    wide = np.column_stack([x, np.ones(n)])
+    rate = 4.0 / max(np.linalg.eigvalsh(wide.T @ wide / n)[-1], 1e-9)
     w = z = np.zeros(m)
     b = c = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     t = 1.0
@@ -146,7 +147,10 @@ def _lasso(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tu
         b2 = c - rate * r.mean()
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, c = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
+        moved = max(np.abs(w2 - w).max(initial=0), abs(b2 - b))
         w, b, t = w2, b2, t2
+        if moved < 1e-4:
+            break
     return w, b
 
 
