@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import decontam, media, mixing, neardup, quality, repeats, sharding, surrogates, urlrules, warc
-from .common import table
+from .common import staged, table
 
 SHARD_BYTES = 32 << 20
 #: For these queries only; a real run takes its key from a secret store.
@@ -14,7 +14,10 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 
 
 def op1_media(spark, d):
-    pictures = media.render_vectors(table(spark, d, "embeddings").select("vec_id", "embedding"))
+    """The vectors are drawn once, in tasks of a few hundred, into a table with a media column."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    tasks = max(1, vectors.count() // 400)
+    pictures = staged(media.render_vectors(vectors.repartition(tasks)), "pictures")
     return media.picture_copies(pictures, key="vec_id")
 
 
