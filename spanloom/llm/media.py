@@ -16,11 +16,11 @@ from .common import small, staged
 from .graph import components
 
 SCALES = (1.0, 0.75, 0.5625)
-CORNERS, BITS, PATCH, MARGIN = 12, 128, 8, 12
-TABLES = 5
+CORNERS, BITS, PATCH, MARGIN = 16, 128, 8, 12
+TABLES = 6
 #: Of a descriptor's bits a table compares KEY_BITS; buckets of more than FULL features compare more, and at last all.
 KEY_BITS, FULL = (64, 96, 128), 8
-VOTES = 5
+VOTES = 6
 #: Matched descriptors differ in at most so many bits.
 DISTANCE = 16
 GROUPS = 64
@@ -273,7 +273,7 @@ def picture_copies(media: DataFrame, image: str = "image", key: str = "media_id"
 # ---------------------------------------------------------------- a media column for tables that have vectors only
 
 
-def waves(vector: list[float], side: int = 64) -> np.ndarray:
+def waves(vector: list[float], side: int = 96) -> np.ndarray:
     """Grey levels of a sum of waves along both axes, weighed by the vector."""
     x = np.nan_to_num(np.array([0.0 if e is None else e for e in vector], dtype=float))
     n = int(np.ceil(np.sqrt(len(x))))

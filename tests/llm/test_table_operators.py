@@ -235,6 +235,17 @@ def test_copies_of_pictures(spark):
     assert media.picture_copies(df.where("false")).count() == 0
 
 
+def test_copies_at_the_size_of_the_query(spark):
+    rng = np.random.default_rng(7)
+    base = [media.waves(rng.normal(size=64).tolist()) for _ in range(12)]
+    side = base[0].shape[0]
+    part = lambda p, share: p[side - int(side * share) :, side - int(side * share) :]
+    edits = [lambda p: part(p, 0.75), lambda p: np.clip(p * 0.8 + 20, 0, 255), lambda p: np.rot90(p), lambda p: p + rng.normal(0, 2, p.shape)]
+    pictures = [(i, media.encode_png(p)) for i, p in enumerate(base)] + [(100 + i, media.encode_png(np.clip(edits[i % 4](p), 0, 255))) for i, p in enumerate(base)]
+    got = {r["media_id"]: (r["class_id"], r["n_links"]) for r in media.picture_copies(spark.createDataFrame(pictures, "media_id long, image binary")).collect()}
+    assert [got[100 + i] for i in range(12)] == [(i, 1) for i in range(12)]
+
+
 def test_picture_formats():
     g = np.arange(48, dtype=np.uint8).reshape(6, 8)
     assert (media.decode(media.encode_png(g)) == g).all()
