@@ -9,25 +9,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, staged
+from .common import chunks, small, staged
 from .graph import components
 
 SCALES = (1.0, 0.75, 0.5625)
 CORNERS, BITS, PATCH, MARGIN = 16, 128, 8, 12
 TABLES = 6
-#: Of a descriptor's bits a table compares KEY_BITS; buckets of more than FULL features compare more, and at last all.
-KEY_BITS, FULL = (64, 96, 128), 8
+#: Of a descriptor's bits a table compares so many.
+KEY_BITS = 64
 VOTES = 6
 #: Matched descriptors differ in at most so many bits.
 DISTANCE = 16
-GROUPS = 64
+#: Pictures are compared in pairs of blocks of about so many; in a task SLICE of them at a time, and so many pairs of features.
+BLOCK, LEAST_BLOCKS, SLICE, PAIRS = 8_000, 3, 250, 1 << 20
 _RNG = np.random.default_rng(1234)
 _TESTS = np.clip(_RNG.normal(0, PATCH / 2, (BITS, 4)), -PATCH, PATCH)
 _TABLE_BITS = [_RNG.permutation(BITS) for _ in range(TABLES)]
-_FEATURE = "key binary, x float, y float, scale float, angle float, b0 long, b1 long"
+#: A picture and its features(): rows of x, y, scale and angle (32-bit floats), then rows of two 64-bit words.
+_FEATURE = "key binary, data binary"
 
 
 # ---------------------------------------------------------------- pictures
@@ -160,16 +162,6 @@ def _words(bits: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)
 
 
-#: For each number of compared bits and table the bits that it compares, as two longs.
-_KEPT = [[_words(np.isin(np.arange(BITS), order[:n])[None])[0].tolist() for order in _TABLE_BITS] for n in KEY_BITS]
-
-
-def bucket(level: int, table: int) -> Column:
-    """The bucket of a descriptor (b0, b1) in a table, at a level of KEY_BITS."""
-    m0, m1 = _KEPT[level][table]
-    return F.xxhash64(F.lit(level * TABLES + table), F.col("b0").bitwiseAND(F.lit(m0).cast("long")), F.col("b1").bitwiseAND(F.lit(m1).cast("long")))
-
-
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
@@ -178,8 +170,9 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if px is None:
                 continue
             at, bits = features(px)
-            rows += [(key, *map(float, a), *w) for a, w in zip(at, _words(bits).tolist() if len(bits) else [], strict=True)]
-        yield pd.DataFrame(rows, columns=["key", "x", "y", "scale", "angle", "b0", "b1"])
+            if len(bits):
+                rows.append((key, at.astype(np.float32).tobytes() + _words(bits).tobytes()))
+        yield pd.DataFrame(rows, columns=["key", "data"])
 
 
 # ---------------------------------------------------------------- matching
@@ -200,46 +193,93 @@ def consensus(a: np.ndarray, b: np.ndarray, slack: float = 3.0) -> int:
     return len({(round(x / 3), round(y / 3)) for x, y in a[fits[best], :2]})
 
 
-def _judge(least: int):
+class _Block:
+    """The features of some pictures, one after another, and for each table their compared bits in order."""
+
+    def __init__(self, data: list[bytes]) -> None:
+        n = np.array([len(d) // 32 for d in data], dtype=np.int64)
+        self.first = np.concatenate([[0], np.cumsum(n)])
+        self.own = np.repeat(np.arange(len(data)), n)
+        self.at = np.frombuffer(b"".join(d[: len(d) // 2] for d in data), np.float32).reshape(-1, 4).astype(float)
+        self.words = np.frombuffer(b"".join(d[len(d) // 2 :] for d in data), np.uint64).reshape(-1, 2)
+        bits = np.unpackbits(self.words.view(np.uint8).reshape(-1, BITS // 8), axis=1)
+        self.keys = [np.ascontiguousarray(np.packbits(bits[:, order[:KEY_BITS]], axis=1)).view(np.uint64).ravel() for order in _TABLE_BITS]
+        self.order = [np.argsort(k, kind="stable") for k in self.keys]
+        self.sorted = [k[o] for k, o in zip(self.keys, self.order, strict=True)]
+
+
+def _matches(left: _Block, right: _Block, lo: int, hi: int, twins: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features of left's pictures lo to hi and of right within DISTANCE that agree in a table, each pair once. twins: left is right; pairs of a picture and a later one, or itself where twins."""
+    rows = np.arange(left.first[lo], left.first[hi])
+    for t in range(TABLES):
+        begin = np.searchsorted(right.sorted[t], left.keys[t][rows], side="left")
+        n = np.searchsorted(right.sorted[t], left.keys[t][rows], side="right") - begin
+        for i, j in chunks(n, PAIRS):
+            m = n[i:j]
+            a = np.repeat(rows[i:j], m)
+            b = right.order[t][np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin[i:j], m)]
+            if twins is not None:
+                keep = (right.own[b] > left.own[a]) | ((right.own[b] == left.own[a]) & twins[left.own[a]])
+                a, b = a[keep], b[keep]
+            keep = np.bitwise_count(left.words[a] ^ right.words[b]).sum(axis=1, dtype=np.int64) <= DISTANCE
+            for u in range(t):
+                keep &= left.keys[u][a] != right.keys[u][b]
+            yield a[keep], b[keep]
+
+
+def _linked(least: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b"], kind="stable")
-        a, b = pdf["a"].to_numpy(), pdf["b"].to_numpy()
-        at = [pdf[[f"{s}x", f"{s}y", f"{s}scale", f"{s}angle"]].to_numpy(float) for s in "ab"]
-        starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        out = [(a[i], b[i]) for i, j in zip(starts, np.append(starts[1:], len(a)), strict=True) if j - i >= least and consensus(at[0][i:j], at[1][i:j]) >= least]
-        return pd.DataFrame(out, columns=["a", "b"])
+        pdf = pdf.sort_values(["block", "key"], kind="stable")
+        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
+        sides = [pdf[pdf["block"] == b] for b in ((low,) if low == high else (low, high))]
+        if any(side.empty for side in sides):
+            return pd.DataFrame({"node": [], "root": [], "others": [], "alike": []})
+        keys = [side["key"].to_list() for side in sides]
+        left, right = (blocks := [_Block(side["data"].to_list()) for side in sides])[0], blocks[-1]
+        twins = sides[0]["twins"].to_numpy(bool) if low == high else None
+        weight = {k: n for side in sides for k, n in zip(side["key"], side["rows"], strict=True)}
+        others, root, alike = dict.fromkeys(weight, 0), {k: k for k in weight}, set()
+
+        def top(k: bytes) -> bytes:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        for lo in range(0, len(keys[0]), SLICE):
+            a, b = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *_matches(left, right, lo, min(lo + SLICE, len(keys[0])), twins), strict=True))
+            pair = left.own[a] * len(keys[-1]) + right.own[b]
+            _, where, votes = np.unique(pair, return_inverse=True, return_counts=True)
+            a, b, pair = (x[votes[where] >= least] for x in (a, b, pair))
+            order = np.lexsort((b, a, pair))
+            a, b, pair = a[order], b[order], pair[order]
+            starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else []
+            for i, j in zip(starts, [*starts[1:], len(pair)], strict=False):
+                p, q = keys[0][left.own[a[i]]], keys[-1][right.own[b[i]]]
+                x, y = left.at[a[i:j]], right.at[b[i:j]]
+                if (consensus(x, y) if p <= q else consensus(y, x)) < least:
+                    continue
+                if p == q:
+                    alike.add(p)
+                    continue
+                others[p] += weight[q]
+                others[q] += weight[p]
+                p, q = top(p), top(q)
+                root[max(p, q)] = min(p, q)
+        return pd.DataFrame([(k, top(k), n, k in alike) for k, n in others.items() if n or k in alike], columns=["node", "root", "others", "alike"])
 
     return run
 
 
-def picture_links(features_: DataFrame, least: int = VOTES) -> DataFrame:
-    """Pairs (a, b), a < b, of pictures whose matched corners agree on a similarity transform.
+def picture_links(found: DataFrame, least: int = VOTES) -> DataFrame:
+    """Of pictures (key, data, rows, twins) those whose matched corners agree with another's on a similarity transform: node, root (the least it is linked to here), others (rows of those linked to it), alike (has twins and agrees with itself).
 
-    Features meet in the buckets of TABLES tables over some of their bits. A bucket of more than FULL features
-    compares more bits, and at last all; features equal in all bits are each matched with the bucket's first only.
+    Features match if they agree on the bits of one of TABLES tables and differ in at most DISTANCE bits: all that do,
+    however many share the bits. Pictures meet in pairs of blocks, so that there are no rows for pairs; a picture has a row for each.
     """
-    one = F.struct("key", "x", "y", "scale", "angle", "b0", "b1")
-    level = features_.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))))
-    matches = None
-    for i in range(len(KEY_BITS)):
-        last = i == len(KEY_BITS) - 1
-        level = level.withColumn("bucket", F.element_at(F.array(*(bucket(i, t) for t in range(TABLES))), F.col("t") + 1))
-        counted = level.groupBy("bucket").agg(F.count("*").alias("n"), *([F.min(one).alias("first")] if last else [])).where("n > 1")
-        joined = level.join(small(staged(counted, "buckets")), "bucket")
-        grouped = joined.where(F.col("n") <= FULL).groupBy("bucket").agg(F.array_sort(F.collect_list(one)).alias("fs"))
-        near = lambda x, y: (y["key"] > x["key"]) & (F.bit_count(y["b0"].bitwiseXOR(x["b0"])) + F.bit_count(y["b1"].bitwiseXOR(x["b1"])) <= DISTANCE)
-        pairs = grouped.select(F.explode(F.flatten(F.transform("fs", lambda x: F.transform(F.filter("fs", lambda y: near(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
-        if last:
-            star = joined.where((F.col("n") > FULL) & (F.col("key") > F.col("first.key"))).select(F.struct(F.col("first").alias("a"), one.alias("b")).alias("p"))
-            pairs = pairs.unionByName(star)
-        matches = pairs if matches is None else matches.unionByName(pairs)
-        if not last:
-            level = staged(joined.where(F.col("n") > FULL).drop("bucket", "n"), "large")
-    flat = matches.select(F.col("p.a.key").alias("a"), F.col("p.b.key").alias("b"), *(F.col(f"p.{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in ("x", "y", "scale", "angle")))
-    flat = staged(flat.distinct(), "matches")  # a pair of features may meet in several tables
-    votes = flat.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b")
-    likely = flat.join(staged(votes, "votes"), ["a", "b"]).withColumn("group", F.pmod(F.xxhash64("a", "b"), F.lit(GROUPS * 16)))
-    return staged(likely.groupBy("group").applyInPandas(_judge(least), "a binary, b binary"), "links")
+    blocks = max(LEAST_BLOCKS, -(-found.count() // BLOCK))
+    own = found.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = own.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "data", "rows", "twins")
+    return staged(met.groupBy("low", "high").applyInPandas(_linked(least), "node binary, root binary, others long, alike boolean"), "links")
 
 
 def picture_copies(media: DataFrame, image: str = "image", key: str = "media_id", least: int = VOTES) -> DataFrame:
@@ -248,21 +288,27 @@ def picture_copies(media: DataFrame, image: str = "image", key: str = "media_id"
     Pictures of equal bytes are one beforehand (each linked to the others); others are linked if at least ``least``
     corners agree on one shift, turn and scale, which crops and changes of brightness keep. n_links counts rows
     linked to the picture directly. Null and undecodable pictures are linked only to equal bytes, null to none;
-    a picture without corners likewise. Keys are integers; repeated rows count each.
+    a picture without corners likewise. Pictures of equal features are compared once. Keys are integers; repeated rows count each.
     """
     own = F.unhex(F.md5(image))
     src = media.select(F.col(key).cast("long").alias("id"), own.alias("key"), F.col(image).alias("image"))
     classes = staged(src.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")), "pictures")
     # Features depend on a picture's bytes alone: copies within a batch are read once, those left over go here.
-    found = staged(src.where("key is not null").select("key", "image").mapInPandas(_extract, _FEATURE).dropDuplicates(["key", "x", "y", "scale"]), "features")
-    links = picture_links(found, least)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    direct = both.join(classes.select(F.col("key").alias("b"), "n"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("links"))
-    out = classes.join(direct, "key", "left")
-    if not links.isEmpty():
-        out = out.join(components(links).withColumnRenamed("node", "key"), "key", "left")
+    found = staged(src.where("key is not null").select("key", "image").mapInPandas(_extract, _FEATURE).dropDuplicates(["key"]), "features")
+    # Pictures of equal features are compared as one, the node, which counts for all their rows.
+    nodes = staged(found.withColumn("equal", F.sha2("data", 256)).groupBy("equal").agg(F.min("key").alias("node")), "nodes")
+    placed = staged(found.select("key", F.sha2("data", 256).alias("equal")).join(nodes, "equal").select("key", "node").join(classes.select("key", "n"), "key"), "placed")
+    weight = staged(placed.groupBy("node").agg(F.sum("n").alias("rows"), (F.count("*") > 1).alias("twins")), "weights")
+    links = picture_links(found.join(weight.withColumnRenamed("node", "key"), "key"), least)
+    apart = links.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    direct = links.groupBy("node").agg(F.sum("others").alias("others"), F.max("alike").alias("alike"))
+    if not apart.isEmpty():
+        roots = components(apart)
     else:
-        out = out.withColumn("root", F.lit(None).cast("binary"))
+        roots = links.select("node", "root").where("false")
+    linked = placed.join(weight, "node").join(direct, "node", "left").join(roots, "node", "left")
+    linked = linked.select("key", F.coalesce("root", F.when(F.col("alike"), F.col("node"))).alias("root"), (F.coalesce("others", F.lit(0)) + F.when(F.col("alike"), F.col("rows") - F.col("n")).otherwise(0)).alias("links"))
+    out = classes.join(linked, "key", "left")
     out = staged(out.withColumns({"root": F.coalesce("root", "key"), "links": F.coalesce("links", F.lit(0)) + F.col("n") - 1}), "linked")
     least_id = staged(out.groupBy("root").agg(F.min("least").alias("class_id")), "class_ids")
     labels = staged(out.join(least_id, "root").select("key", "class_id", "links"), "labels")

@@ -1,5 +1,6 @@
 """Sharding, classifier, archives, URL rules, mixing, pictures and the pipeline."""
 
+import hashlib
 import itertools
 import random
 import zlib
@@ -246,6 +247,29 @@ def test_copies_at_the_size_of_the_query(spark):
     assert [got[100 + i] for i in range(12)] == [(i, 1) for i in range(12)]
 
 
+def test_large_groups_of_pictures_are_linked_in_full(spark):
+    rng = np.random.default_rng(11)
+    base = media.waves(rng.normal(size=64).tolist())
+    other = media.waves(rng.normal(size=64).tolist())
+    chunk = lambda i: b"\0\0\0\4tEXt%04d\0\0\0\0" % i  # noqa: E731 (other bytes, the same pixels)
+    same = [(i, media.encode_png(other) + chunk(i)) for i in range(30)]
+    edited = [(100 + i, media.encode_png(np.clip(base + rng.normal(0, 2, base.shape), 0, 255))) for i in range(20)]
+    marks = [media.features(media.decode(image)) for _, image in edited]
+    words = [media._words(bits).view(np.uint64) for _, bits in marks]
+
+    def linked(i, j):
+        i, j = sorted((i, j), key=lambda k: hashlib.md5(edited[k][1]).digest())
+        near = np.bitwise_count(words[i][:, None] ^ words[j][None]).sum(axis=2) <= media.DISTANCE
+        agree = np.any([(marks[i][1][:, None, o[:64]] == marks[j][1][None, :, o[:64]]).all(axis=2) for o in media._TABLE_BITS], axis=0)
+        a, b = np.nonzero(near & agree)
+        return len(a) >= media.VOTES and media.consensus(marks[i][0][a], marks[j][0][b]) >= media.VOTES
+
+    want = {100 + i: sum(linked(i, j) for j in range(20) if j != i) for i in range(20)}
+    got = {r["media_id"]: (r["class_id"], r["n_links"]) for r in media.picture_copies(spark.createDataFrame(same + edited, "media_id long, image binary")).collect()}
+    assert all(got[i] == (0, 29) for i in range(30))
+    assert {k: got[k][1] for k in want} == want and max(want.values()) > 8
+
+
 def test_picture_formats():
     g = np.arange(48, dtype=np.uint8).reshape(6, 8)
     assert (media.decode(media.encode_png(g)) == g).all()
