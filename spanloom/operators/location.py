@@ -46,21 +46,62 @@ def _normal(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
+def _near_end(text: str, quote: str, most: int) -> int | None:
+    """The first end of a substring with the fewest edits to quote, if they are at most ``most``.
+
+    Of most + 1 pieces of quote one occurs unchanged in each such substring, so only the places around pieces are
+    searched, by bit-parallel columns (Myers).
+    """
+    n = len(quote)
+    cuts = [n * k // (most + 1) for k in range(most + 2)]
+    near = sorted({(max(0, p - a - most), p - a + n + most) for a, b in zip(cuts[:-1], cuts[1:], strict=True) for p in all_positions(text, quote[a:b])})
+    runs: list[list[int]] = []
+    for lo, hi in near:
+        if runs and lo <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], hi)
+        else:
+            runs.append([lo, hi])
+    equal: dict[str, int] = {}
+    for i, q in enumerate(quote):
+        equal[q] = equal.get(q, 0) | 1 << i
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    best, end = most + 1, None
+    for lo, hi in runs:
+        up, down, score = full, 0, n
+        for j, c in enumerate(text[lo:hi], lo + 1):
+            eq = equal.get(c, 0)
+            x = (((eq & up) + up) ^ up) | eq | down
+            rise, fall = down | (full & ~(x | up)), up & x
+            score += bool(rise & top) - bool(fall & top)
+            rise, fall = rise << 1, fall << 1
+            v = eq | down
+            up, down = full & (fall | ~(v | rise)), full & rise & v
+            if score < best:
+                best, end = score, j
+    return end
+
+
 def _near(text: str, quote: str, share: float) -> tuple[int, int] | None:
     """The substring with the fewest edits to quote, if they are at most ``share`` of its length (Sellers' algorithm)."""
     most = int(len(quote) * share)
-    row, begin = list(range(len(quote) + 1)), [0] * (len(quote) + 1)
-    best = (most + 1, 0, 0)
-    for j, c in enumerate(text, 1):
+    end = _near_end(text, quote, most)
+    if end is None:
+        return None
+    # An alignment of a cell before this window costs more than ``most``.
+    first = max(0, end - 2 * (len(quote) + most) - 2)
+    row, begin = list(range(len(quote) + 1)), [first] * (len(quote) + 1)
+    for j, c in enumerate(text[first:end], first + 1):
         new, start = [0], [j]
         for i, q in enumerate(quote, 1):
-            cost, at = min((row[i - 1] + (q != c), begin[i - 1]), (row[i] + 1, begin[i]), (new[i - 1] + 1, start[i - 1]), key=lambda x: x[0])
+            cost, at = row[i - 1] + (q != c), begin[i - 1]
+            if row[i] + 1 < cost:
+                cost, at = row[i] + 1, begin[i]
+            if new[i - 1] + 1 < cost:
+                cost, at = new[i - 1] + 1, start[i - 1]
             new.append(cost)
             start.append(at)
         row, begin = new, start
-        if row[-1] < best[0]:
-            best = (row[-1], begin[-1], j)
-    return None if best[0] > most else best[1:]
+    return begin[-1], end
 
 
 def locate(text: str | None, quote: str | None, nth: int = 1) -> tuple[int, int, str]:

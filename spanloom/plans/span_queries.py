@@ -281,7 +281,7 @@ def locate_fuzzy(spark, d):
     first = _spans(spark, d, "gold").groupBy("doc_id").agg(F.min(F.struct("start", "end")).alias("x"))
     q = first.join(docs, "doc_id").withColumn("quote", F.expr("substring(text, int(x.start) + 1, int(x.end - x.start))"))
     q = q.withColumn("quote", F.replace(F.concat(F.upper("quote"), F.lit("x")), F.lit(" "), F.lit("  ")))
-    return lc.locate_spans(q.select("doc_id", F.expr("substring(text, 1, int(x.end) + 200)").alias("text"), "quote")).select("doc_id", "start", "end", "how")
+    return lc.locate_spans(q.select("doc_id", "text", "quote")).select("doc_id", "start", "end", "how")
 
 
 @query(f"""{G}, j as (select g.doc_id, text, start, "end", greatest(0, start - 120) as lo, least(length(text), "end" + 120) as hi from g join documents using (doc_id)),
