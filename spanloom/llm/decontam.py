@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, chunks, shingles
+from .common import U, chunks, shingles, staged
 
 #: 64-bit fingerprints are found within this distance: of four blocks of 16 bits one then differs in at most 3 bits.
 RADIUS, BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 15, 4, 16, 3
@@ -25,28 +25,60 @@ _BITS = np.arange(64, dtype=np.uint64)
 _FILTER = 1 << 20
 
 
+def size_classes(sizes: np.ndarray) -> list[list[int]]:
+    """The least and greatest size of each class of items that share a window size."""
+    out: list[list[int]] = []
+    for n in np.unique(sizes).tolist():
+        if not out or n > out[-1][0] * RATIO:
+            out.append([n, n])
+        out[-1][1] = n
+    return out
+
+
+def whole_statistics(src: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray, list[list[int]]]:
+    """Over all items (column t): their number, the shingles of several items in order and in how many they are, and the classes of sizes.
+
+    A shingle of one item weighs as much as an unknown one, so those need not be kept.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, begin = shingles(batch.column(0).to_pylist(), width)
+            sets = [np.unique(s[a:b]).view(np.int64) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(begin)), pa.array(sets, pa.list_(pa.int64()))], ["size", "s"])
+
+    seen = staged(src.select("t").mapInArrow(read, "size long, s array<long>").where("size > 0"), "shingles")
+    size = seen.groupBy("size").count().toPandas()
+    common = seen.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 1").toPandas()
+    key = common["s"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    return max(int(size["count"].sum()), 1), key[order], common["df"].to_numpy(np.int64)[order], size_classes(size["size"].to_numpy(np.int64))
+
+
 class Items:
     """Benchmark items ready for search: shingle sets, weights, fingerprints and the block tables over them."""
 
-    def __init__(self, ids: list[int], texts: list[bytes], width: int) -> None:
+    def __init__(self, ids: list[int], texts: list[bytes], width: int, whole: tuple[int, np.ndarray, np.ndarray, list[list[int]]] | None = None) -> None:
+        """whole: statistics of the benchmark that these items are a part of, from whole_statistics()."""
         s, begin = shingles(texts, width)
         every = [(i, s[a:b]) for i, a, b in zip(ids, begin[:-1], begin[1:], strict=True) if b > a]
         self.width, self.ids = width, [i for i, _ in every]
         self.lists = [x for _, x in every]
         self.sets = [np.unique(x) for x in self.lists]
         self.known, df = np.unique(np.concatenate(self.sets) if self.sets else np.zeros(0, dtype=np.uint64), return_counts=True)
-        n = max(len(every), 1)
+        n, self.common, common_df = max(len(every), 1), np.zeros(0, dtype=np.uint64), np.zeros(0)
+        if whole:
+            n, self.common, common_df, _ = whole
+            _, i, j = np.intersect1d(self.known, self.common, assume_unique=True, return_indices=True)
+            df[i] = common_df[j]
+        self.common_weight = 1 + np.log(n / common_df)
         self.rare = 1 + np.log(n)  # the weight of a shingle of one item or none
         self.weight = 1 + np.log(n / df)
         self.filter = np.zeros(_FILTER, dtype=bool)
         self.filter[(self.known & U(_FILTER - 1)).astype(np.int64)] = True
         size = np.array([len(x) for x in self.lists], dtype=np.int64)
-        self.sizes, self.class_of = [], np.zeros(len(size), dtype=np.int64)
-        for k in np.argsort(size):
-            if not self.sizes or size[k] > self.sizes[-1][0] * RATIO:
-                self.sizes.append([int(size[k]), int(size[k])])
-            self.sizes[-1][1] = int(size[k])
-            self.class_of[k] = len(self.sizes) - 1
+        self.sizes = whole[3] if whole else size_classes(size)
+        self.class_of = np.searchsorted([lo for lo, _ in self.sizes], size, side="right") - 1
         self.prints = np.array([self.fingerprints(x, np.ones(len(x), bool), len(x))[0][0] for x in self.lists], dtype=np.uint64)
 
     def weights(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +89,9 @@ class Items:
         real = self.known[at] == s[hit] if len(self.known) else np.zeros(0, bool)
         hit[np.flatnonzero(hit)[~real]] = False
         out = np.full(len(s), self.rare)
+        if len(self.common):  # items of other passes may have it
+            other = np.minimum(np.searchsorted(self.common, s), len(self.common) - 1)
+            out = np.where(self.common[other] == s, self.common_weight[other], out)
         out[hit] = self.weight[at[real]]
         return out, hit
 
@@ -112,6 +147,7 @@ class Items:
     def matches(self, s: np.ndarray, hit: np.ndarray, least: float) -> list[dict]:
         """Items that some window of their own size in s is similar to; of several windows the most similar, then the first."""
         longest = self.sizes[-1][1]
+        present = np.unique(self.class_of)
         where = np.flatnonzero(hit)
         breaks = np.flatnonzero(np.diff(where) > 2 * longest) + 1
         best: dict[int, tuple[float, int, int]] = {}
@@ -121,7 +157,7 @@ class Items:
             weight, _ = self.weights(part)
             total = np.concatenate([[0], np.cumsum(np.where(part_hit, weight, 0))])
             wanted: dict[int, list[int]] = {}
-            for k, (_, prints, start) in enumerate(self.all_fingerprints(part, part_hit, [b for _, b in self.sizes])):
+            for k, (_, prints, start) in zip(present, self.all_fingerprints(part, part_hit, [self.sizes[k][1] for k in present]), strict=True):
                 q, item = self.search(prints)
                 own = self.class_of[item] == k
                 for i, at in zip(item[own].tolist(), start[q[own]].tolist(), strict=True):
@@ -175,10 +211,11 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     size = src.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     passes = max(1, -(-size // PASS_BYTES))
     sc = docs.sparkSession.sparkContext
+    whole = whole_statistics(src, width) if passes > 1 else None
     found = []
     for p in range(passes):
         rows = sorted((r["i"], bytes(r["t"])) for r in src.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == p).collect())  # about PASS_BYTES at most
-        items = sc.broadcast(Items([i for i, _ in rows], [t for _, t in rows], width))
+        items = sc.broadcast(Items([i for i, _ in rows], [t for _, t in rows], width, whole))
         found.append(_searcher(items, similarity)(F.col(text).cast("binary")))
     return docs.drop(column).withColumn(column, F.array_sort(F.concat(*found)) if len(found) > 1 else found[0])
 
