@@ -173,11 +173,13 @@ def _as_written(plain: str, kind: str, replacement: str) -> str:
     return "".join(next(it, "") if c.isalnum() and c.isascii() else c for c in plain)
 
 
-def replace_entities(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, int]:
+def replace_entities(text: str, key: bytes, drawn: dict[tuple[str, str], tuple[str, int]]) -> tuple[str, int]:
+    """text with surrogates, and how many. drawn: kind and attempt of the entities that are not drawn as met at the first attempt."""
     out, at = [], 0
     entities = find_entities(text)
     for a, b, kind, canon in entities:
-        out += [text[at:a], _as_written(text[a:b], kind, surrogate(key, kind, canon, attempts.get((_family(kind), canon), 0)))]
+        kind, attempt = drawn.get((_family(kind), canon), (kind, 0))
+        out += [text[at:a], _as_written(text[a:b], kind, surrogate(key, kind, canon, attempt))]
         at = b
     return "".join([*out, text[at:]]), len(entities)
 
@@ -210,7 +212,7 @@ def with_surrogates(docs: DataFrame, key: bytes, text: str = "text") -> DataFram
         return pa.array([surrogate(key, k, c, a) for k, c, a in zip(kinds.to_pylist(), canons.to_pylist(), attempts.to_pylist(), strict=True)], pa.string())
 
     # A name met with different titles is one entity; it takes the first of the kinds.
-    names = found.groupBy(F.split("kind", ":")[0].alias("family"), "canon").agg(F.min("kind").alias("kind"))
+    names = found.groupBy(F.split("kind", ":")[0].alias("family"), "canon").agg(F.min("kind").alias("kind"), (F.min("kind") != F.max("kind")).alias("several"))
     entities = staged(names.withColumn("attempt", F.lit(0)), "entities")
     for _ in range(ROUNDS):
         drawn = staged(entities.withColumn("drawn", F.lower(F.arrow_udf(draw, "string")("kind", "canon", "attempt"))), "drawn")
@@ -221,18 +223,18 @@ def with_surrogates(docs: DataFrame, key: bytes, text: str = "text") -> DataFram
             break
         again = drawn.join(clash, ["family", "drawn"], "left")
         lost = F.col("n").isNotNull() & (F.coalesce("real", F.lit(False)) | (F.col("canon") != F.col("first.canon")))
-        entities = staged(again.select("family", "canon", "kind", F.when(lost, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt")), "entities")
+        entities = staged(again.select("family", "canon", "kind", "several", F.when(lost, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt")), "entities")
     else:
         raise RuntimeError(f"surrogates still coincide after {ROUNDS} draws")
-    odd = entities.where("attempt > 0")
-    per = found.withColumn("family", F.split("kind", ":")[0]).drop("kind").join(odd, ["family", "canon"]).groupBy("own").agg(F.collect_set(F.struct("family", "canon", "attempt")).alias("odd"))
+    odd = entities.where("attempt > 0 or several")
+    per = found.select("own", F.split("kind", ":")[0].alias("family"), "canon").join(odd, ["family", "canon"]).groupBy("own").agg(F.collect_set(F.struct("family", "canon", "kind", "attempt")).alias("odd"))
     per = staged(per.select(F.col("own").alias(own), F.col("odd").alias(exceptions)), "exceptions")
     out_kind = pa.struct([("text", pa.string()), ("n", pa.int32())])
 
     def replace(texts: pa.Array, odd: pa.Array) -> pa.Array:
         rows = []
         for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True):
-            new, n = replace_entities(t, key, {(x["family"], x["canon"]): x["attempt"] for x in o or ()}) if t else (t, 0)
+            new, n = replace_entities(t, key, {(x["family"], x["canon"]): (x["kind"], x["attempt"]) for x in o or ()}) if t else (t, 0)
             rows.append({"text": new, "n": n})
         return pa.array(rows, out_kind)
 
