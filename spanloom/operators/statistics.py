@@ -138,15 +138,32 @@ def max_pair_iou(left: DataFrame, right: DataFrame, key: str = "doc_id") -> Data
 
 
 def boundary_context(spans: DataFrame, docs: DataFrame, k: int = 25, key: str = "doc_id") -> DataFrame:
-    """By label: the k commonest five characters, and single words, before and after spans (of equals the lesser)."""
+    """By label: the k commonest five characters, single words and pairs of words before and after spans (of equals the lesser)."""
     cut = lambda a, n: lambda t, s: F.substring(t, a(s).cast("int"), n(s).cast("int"))
-    # A word cannot be cut out of more than the neighbourhood.
+    word, gap = "([a-z0-9_]+)", "[^a-z0-9_]"
+
+    def found(s: Column, n: int, end: str = "") -> Column:
+        return F.concat_ws(" ", *(F.regexp_extract(s, f"^{gap}*{word}{f'{gap}+{word}' if n == 2 else ''}{end}", i) for i in range(1, n + 1)))
+
+    def words(near: Column, whole: Column, n: int) -> Column:
+        # Words that end within the neighbourhood are those of the whole text, which is read only for others.
+        inside = found(near, n, gap)
+        return F.when(F.trim(inside) != "", inside).otherwise(F.when(F.trim(found(whole, n)) != "", found(whole, n)).otherwise(""))
+
+    def before(n: int):
+        def run(t: Column, s: Column) -> Column:
+            back = lambda c: F.reverse(F.lower(c))
+            return F.reverse(words(back(cut(lambda s: F.greatest(F.lit(1), s["start"] - 79), lambda s: F.least(F.lit(80), s["start"]))(t, s)), back(F.substring(t, F.lit(1), s["start"].cast("int"))), n))
+
+        return run
+
+    def after(n: int):
+        return lambda t, s: words(F.lower(cut(lambda s: s["end"] + 1, lambda s: F.lit(80))(t, s)), F.lower(F.substring(t, (s["end"] + 1).cast("int"), F.length(t))), n)
+
     j = with_text(spans.select(key, "label", "start", "end"), docs, {
-        "before": cut(lambda s: F.greatest(F.lit(1), s["start"] - 4), lambda s: F.least(F.lit(5), s["start"])), "after": cut(lambda s: s["end"] + 1, lambda s: F.lit(5)),
-        "left": cut(lambda s: F.greatest(F.lit(1), s["start"] - 79), lambda s: F.least(F.lit(80), s["start"])), "right": cut(lambda s: s["end"] + 1, lambda s: F.lit(80))}, key)
-    before, after, left, right = (F.col(c) for c in ("before", "after", "left", "right"))
-    w1, w2 = F.regexp_extract(F.lower(left), "([a-z0-9_]+)[^a-z0-9_]*$", 1), F.regexp_extract(F.lower(right), "^[^a-z0-9_]*([a-z0-9_]+)", 1)
-    kinds = F.array(*(F.struct(F.lit(n).alias("kind"), v.alias("value")) for n, v in (("char_before", before), ("char_after", after), ("word_before", w1), ("word_after", w2))))
+        "char_before": cut(lambda s: F.greatest(F.lit(1), s["start"] - 4), lambda s: F.least(F.lit(5), s["start"])), "char_after": cut(lambda s: s["end"] + 1, lambda s: F.lit(5)),
+        "word_before": before(1), "word_after": after(1), "words_before": before(2), "words_after": after(2)}, key)
+    kinds = F.array(*(F.struct(F.lit(n).alias("kind"), F.col(n).alias("value")) for n in ("char_before", "char_after", "word_before", "word_after", "words_before", "words_after")))
     counts = j.select("label", F.inline(kinds)).where("value <> ''").groupBy("label", "kind", "value").agg(F.count("*").alias("n"))
     w = Window.partitionBy("label", "kind").orderBy(F.desc("n"), "value")
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -122,7 +122,18 @@ k as (select label, unnest([{{'kind': 'char_before', 'value': substr(text, cast(
   {{'kind': 'word_before', 'value': regexp_extract(lower(substr(text, cast(greatest(1, start - 79) as bigint), cast(least(80, start) as bigint))), '([a-z0-9_]+)[^a-z0-9_]*$', 1)}}, {{'kind': 'word_after', 'value': regexp_extract(lower(substr(text, cast("end" + 1 as bigint), 80)), '^[^a-z0-9_]*([a-z0-9_]+)', 1)}}]) as x from j)
 select label, x.kind as kind, x.value as value, count(*) as n, row_number() over (partition by label, x.kind order by count(*) desc, x.value)::int as rank from k where x.value <> '' group by 1, 2, 3 qualify rank <= 25""")
 def boundary_context_top(spark, d):
-    return st.boundary_context(_spans(spark, d, "gold"), table(spark, d, "documents"))
+    got = st.boundary_context(_spans(spark, d, "gold"), table(spark, d, "documents"))
+    return got.where(~F.col("kind").startswith("words"))
+
+
+@query(f"""{G}, j as (select g.*, lower(substr(text, 1, cast(start as bigint))) as l, lower(substr(text, cast("end" + 1 as bigint))) as r from g join documents using (doc_id)),
+k as (select label, unnest([{{'kind': 'word_before', 'value': regexp_extract(l, '([a-z0-9_]+)[^a-z0-9_]*$', 1)}}, {{'kind': 'word_after', 'value': regexp_extract(r, '^[^a-z0-9_]*([a-z0-9_]+)', 1)}},
+  {{'kind': 'words_before', 'value': trim(regexp_extract(l, '([a-z0-9_]+)[^a-z0-9_]+([a-z0-9_]+)[^a-z0-9_]*$', 1) || ' ' || regexp_extract(l, '([a-z0-9_]+)[^a-z0-9_]+([a-z0-9_]+)[^a-z0-9_]*$', 2))}},
+  {{'kind': 'words_after', 'value': trim(regexp_extract(r, '^[^a-z0-9_]*([a-z0-9_]+)[^a-z0-9_]+([a-z0-9_]+)', 1) || ' ' || regexp_extract(r, '^[^a-z0-9_]*([a-z0-9_]+)[^a-z0-9_]+([a-z0-9_]+)', 2))}}]) as x from j)
+select label, x.kind as kind, x.value as value, count(*) as n, row_number() over (partition by label, x.kind order by count(*) desc, x.value)::int as rank from k where x.value <> '' group by 1, 2, 3 qualify rank <= 25""")
+def boundary_words_top(spark, d):
+    """Single words and pairs of words of the whole text on either side of a span."""
+    return st.boundary_context(_spans(spark, d, "gold"), table(spark, d, "documents")).where(F.col("kind").startswith("word"))
 
 
 @query(f"""{W} select doc_id, label, start, "end", count(distinct role) as votes from spans group by 1, 2, 3, 4 having count(distinct role) >= 2""")
