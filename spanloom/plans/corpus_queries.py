@@ -10,7 +10,7 @@ from ..operators import sampling as sm
 from ..operators import statistics as st
 from ..operators import votes as vt
 from ..operators.views import ANNOTATED_SQL, annotated, table
-from .registry import query
+from .registry import ORACLE, query
 
 # ---------------------------------------------------------------- votes: events as jurors' verdicts on users
 
@@ -241,6 +241,20 @@ def bootstrap_ci(spark, d):
     return sm.bootstrap_mean(docs, "v", "source", 100)
 
 
+@query(ORACLE["split_search"].replace("range(200)", "range(500)"))
+def split_search_500(spark, d):
+    """split_search over as many splits as the reference."""
+    groups = annotated(spark, d).groupBy(F.col("source").alias("grp"), "doc_label").agg(F.count("*").alias("n"))
+    return sm.split_search(groups, 500, 0.8)
+
+
+@query(ORACLE["bootstrap_ci"].replace("range(1, 101)", "range(1, 1001)"))
+def bootstrap_ci_1000(spark, d):
+    """bootstrap_ci over as many replicates as the reference."""
+    docs = table(spark, d, "documents").select("source", F.col("doc_id").alias("id"), F.length("text").cast("double").alias("v"))
+    return sm.bootstrap_mean(docs, "v", "source", 1000)
+
+
 # ---------------------------------------------------------------- set operations on ids and vocabularies
 
 
