@@ -5,13 +5,19 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A table is broadcast only if it was counted and has at most this many rows of a few small columns.
-BROADCAST_ROWS = 500_000
+#: A table is broadcast only if its measured rows take at most so many bytes.
+BROADCAST_BYTES = 16 << 20
+#: Texts become Python objects and arrays in slices of about so many bytes.
+SLICE_BYTES = 1 << 20
 _OWN: dict[str, str] = {}
 
 
@@ -20,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir, or where it is unset and all runs in one process, a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         at = _OWN.setdefault(app, _OWN.get(app) or f"file://{tempfile.mkdtemp(prefix='spanloom-')}")
     return at.rstrip("/")
@@ -38,18 +47,38 @@ def staged(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
-def unstage(df: DataFrame) -> None:
+def unstage(*tables: DataFrame | None) -> None:
     """Deletes what staged() wrote, for tables that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for df in tables:
+        if df is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _width(c: Column, kind: T.DataType) -> Column:
+    """The bytes that a value takes in memory, nested values by their number of elements and the elements' fixed parts."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (T.StringType, T.BinaryType, T.ArrayType)) or isinstance(inner, T.StructType) and any(not isinstance(f.dataType, T.NumericType) for f in inner.fields):
+            return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda n, x: n + _width(x, inner)), F.lit(16).cast("long"))
+        each = 8 * len(inner.fields) + 24 if isinstance(inner, T.StructType) else 8
+        return F.coalesce(F.size(c), F.lit(0)) * each + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(c[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(8)
+
 
+def table_bytes(df: DataFrame) -> int:
+    """The bytes that the rows of df take in memory, by one aggregate over them."""
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(24))
+    return df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the limit, else df as it is."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df with a broadcast hint if its measured rows are within the limit of bytes, else df as it is."""
+    return F.broadcast(df) if table_bytes(df) <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -113,12 +142,24 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of data, and the words' starts."""
-    s, e = words(data)
-    if not len(s):
-        return np.zeros(0, dtype=np.uint64), s
-    p, up = prefix_hash(data)
-    return mix((p[e] - p[s]) * up[s]), s
+    """A 64-bit hash of each word of data, and the words' starts. Works through long data piece by piece, cut at white space."""
+    parts, lo = [], 0
+    while True:
+        hi = min(lo + SLICE_BYTES, len(data))
+        while hi < len(data) and not _SPACE[data[hi]]:  # to the end of the word
+            gap = np.flatnonzero(_SPACE[data[hi : hi + SLICE_BYTES]])
+            hi = hi + int(gap[0]) if len(gap) else min(hi + SLICE_BYTES, len(data))
+        piece = data[lo:hi]
+        s, e = words(piece)
+        if len(s):
+            p, up = prefix_hash(piece)
+            parts.append((mix((p[e] - p[s]) * up[s]), s + lo))
+        if hi >= len(data):
+            break
+        lo = hi
+    if not parts:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def concat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,3 +200,10 @@ def chunks(sizes: np.ndarray, limit: int):
         j = max(i + 1, int(np.searchsorted(total, total[i] + limit, side="right")) - 1)
         yield i, j
         i = j
+
+
+def slices(values: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges (i, j) of an array of binary values of about ``limit`` bytes together, one value at least, with the values (null: empty): only they become Python objects."""
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    for i, j in chunks(sizes, SLICE_BYTES if limit is None else limit):
+        yield i, j, [b"" if x is None else x for x in values.slice(i, j - i).to_pylist()]

@@ -9,12 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, concat, fresh, prefix_hash, shingles, small, word_hashes, words
+from .common import concat, fresh, prefix_hash, shingles, slices, word_hashes, words
 
 #: The classifier is fitted on at most about so many labelled rows, chosen by a hash of their ids.
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, RATE, BINS = 24, 3, 0.3, 32
-CHUNK_BYTES = 1 << 20
 
 STATISTICS = ("n_bytes", "n_words", "word_bytes", "longest_word", "upper", "lower", "digit", "space", "high", "symbol", "point", "bang", "bar", "words_a_line", "same_lines", "kinds_of_words", "kinds_of_pairs", "commonest_word", "marked_words", "capital_words", "short_words")
 
@@ -97,8 +96,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str
     @F.arrow_udf(f"struct<{','.join(f'{k}: double' for k in STATISTICS)}>")
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = [b"" if x is None else x for x in batch.to_pylist()]
-            parts = [statistics(texts[i:j]) for i, j in chunks(np.array([len(t) + 1 for t in texts], dtype=np.int64), CHUNK_BYTES)]
+            parts = [statistics(texts) for _, _, texts in slices(batch)]
             yield pa.StructArray.from_arrays([pa.array(np.concatenate([p[k] for p in parts]) if parts else [], pa.float64()) for k in STATISTICS], fields=list(kind))
 
     return docs.withColumn(name, measure(F.col(text).cast("binary"))), name
@@ -224,7 +222,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", th
     chosen = known.where(F.shiftrightunsigned(F.xxhash64(F.lit(3), F.col("k").cast("string")), 33) < F.lit(int((1 << 31) * min(1.0, SAMPLE_ROWS / max(n, 1)))))
     sample = docs.select(F.col(key).alias("k"), text).join(F.broadcast(chosen), "k")
     sample, stats = with_statistics(sample, text)
-    rows = sample.select("y", "k", f"{stats}.*").dropDuplicates(["k"]).toPandas().sort_values("k")  # at most about SAMPLE_ROWS rows of numbers
+    # Of several texts of one id the least statistics count, so that refits agree.
+    rows = sample.select("y", "k", stats).groupBy("k").agg(F.min("y").alias("y"), F.min(stats).alias(stats)).select("y", "k", f"{stats}.*").toPandas().sort_values("k")  # at most about SAMPLE_ROWS rows of numbers
     rules, offset = fit_rules(rows[list(STATISTICS)].to_numpy(dtype=float), (rows["y"].to_numpy() >= 0.5).astype(float))
     out, stats = with_statistics(docs, text)
     out = out.withColumn("score", compile_rules(rules, offset, stats)).drop(stats)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, small
@@ -32,6 +32,11 @@ def _pattern(host: str, path: str) -> str:
     return rf"(?s)^{h}\n{re.escape(path)}".replace("\n", r"\n")
 
 
+def _values(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    """A table of literal rows, as an array in the plan, so that no Python worker has a part in it."""
+    return spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(row, names, strict=True))) for row in rows))))
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", key: str = "page_id", default: str = "allow") -> DataFrame:
     """Judges every URL by the longest fitting rule.
 
@@ -56,10 +61,10 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str =
         return empty
     literal = sorted({t for _, h, p in rules for t in rule_tokens(h, p)})
     spark = pages.sparkSession
-    known = spark.createDataFrame([(t,) for t in literal], "token string") if literal else None
+    known = _values(spark, [(t,) for t in literal], ("token",)) if literal else None
     counts = {}
     if known is not None:
-        seen = base.select(F.explode(tokens).alias("token")).join(small(known, len(literal)), "token")
+        seen = base.select(F.explode(tokens).alias("token")).join(small(known), "token")
         counts = {r["token"]: r["n"] for r in seen.groupBy("token").agg(F.count("*").alias("n")).collect()}  # at most one row per token of the rules
     filed = [(min(rule_tokens(h, p), key=lambda t: (counts.get(t, 0), t), default="*"), len(h + p) * 1_000_000 + len(h) * 10 + (v == "block"), h + p, v, _pattern(h, p)) for v, h, p in rules]
     fits = F.concat_ws("\n", "host", "path")
@@ -72,9 +77,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str =
         found = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.element_at(lookup, t), F.filter(F.element_at(lookup, F.lit(filed[0][0])), lambda _: F.lit(False)))))
         best = F.array_max(F.filter(found, lambda r: F.regexp_like(fits, r["pattern"])))
         return base.withColumn("b", best).select(key, "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
-    table = spark.createDataFrame(filed, "token string, rank long, rule string, verdict string, pattern string")
+    table = _values(spark, filed, ("token", "rank", "rule", "verdict", "pattern"))
     (row,) = fresh(base, "row")
     # The candidates of a row meet again by the row's own values: equal URLs have equal verdicts.
-    hit = base.select("host", "path").distinct().withColumn("token", F.explode(tokens)).join(small(table, len(filed)), "token").where(F.expr("regexp_like(concat_ws('\n', host, path), pattern)"))
+    hit = base.select("host", "path").distinct().withColumn("token", F.explode(tokens)).join(small(table), "token").where(F.expr("regexp_like(concat_ws('\n', host, path), pattern)"))
     best = hit.groupBy("host", "path").agg(F.max(F.struct("rank", "rule", "verdict")).alias(row))
     return base.join(best, ["host", "path"], "left").select(key, "host", "path", F.col(f"{row}.rule").alias("rule"), F.coalesce(f"{row}.verdict", F.lit(default)).alias("verdict"))
