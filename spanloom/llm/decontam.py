@@ -10,17 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, chunks, shingles, staged
+from .common import U, fresh, shingles, slices, small, staged, unstage
 
 #: 64-bit fingerprints are found within this distance: of four blocks of 16 bits one then differs in at most 3 bits.
 RADIUS, BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 15, 4, 16, 3
 #: Items whose sizes differ by at most this ratio share a window size.
 RATIO = 1.15
-#: Items go to the executors in passes of at most about so many bytes of text, and are indexed so many at a time.
-PASS_BYTES, INDEX_ITEMS = 16 << 20, 4_000
-CHUNK_BYTES = 1 << 20
+#: Items go to the executors in passes of at most about so many bytes of text; their block tables take at most about so many bytes.
+PASS_BYTES, INDEX_BYTES = 16 << 20, 64 << 20
+#: Windows are fingerprinted so many starts at a time, and looked up so many at a time.
+STARTS, LOOKUPS = 1 << 14, 1 << 12
 MATCHES = "array<struct<item_id: long, similarity: double, start: int, words: int>>"
-_MASKS = np.array([sum(1 << b for b in c) for n in range(BLOCK_RADIUS + 1) for c in itertools.combinations(range(BLOCK_BITS), n)], dtype=np.int64)
+#: By radius: all differences of a block of at most so many bits.
+_MASKS = [np.array([sum(1 << b for b in c) for n in range(r + 1) for c in itertools.combinations(range(BLOCK_BITS), n)], dtype=np.int64) for r in range(BLOCK_RADIUS + 1)]
+#: Weights in fingerprints are whole multiples of this, so that sums do not depend on where they begin.
+_UNIT = 1 / 1024
 _BITS = np.arange(64, dtype=np.uint64)
 _FILTER = 1 << 20
 
@@ -100,43 +104,52 @@ class Items:
         return next(iter(self.all_fingerprints(s, hit, [size])))[1:]
 
     def all_fingerprints(self, s: np.ndarray, hit: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        sign = (((s[:, None] >> _BITS) & U(1)).astype(np.float64) * 2 - 1) * self.weights(s)[0][:, None]
-        total = np.concatenate([np.zeros((1, 64)), np.cumsum(sign, axis=0)])
+        weight = np.rint(self.weights(s)[0] / _UNIT).astype(np.int64 if len(s) > 1 << 16 else np.int32)
+        total = np.zeros((len(s) + 1, 64), dtype=weight.dtype)
+        for b in range(64):
+            np.cumsum(np.where((s >> U(b)) & U(1), weight, -weight), out=total[1:, b])
         seen = np.concatenate([[0], np.cumsum(hit)])
         for size in sizes:
             m = min(size, len(s))
             start = np.flatnonzero(seen[m:] > seen[:-m])
-            bits = total[start + m] - total[start] > 0
+            bits = total[start + m] > total[start]
             yield size, np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel(), start
 
-    def tables(self) -> list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
-        """For each run of INDEX_ITEMS items, a table per block: items by every value within BLOCK_RADIUS bits of theirs."""
+    def tables(self) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
+        """A table per block, of items by every value within some bits of theirs, as many bits as INDEX_BYTES allow: these, and the tables. Lookups cover the other bits of BLOCK_RADIUS."""
         if not hasattr(self, "_tables"):
-            self._tables = []
-            for lo in range(0, len(self.prints), INDEX_ITEMS):
-                part, per = self.prints[lo : lo + INDEX_ITEMS], []
-                for b in range(BLOCKS):
-                    value = ((part >> U(b * BLOCK_BITS)) & U((1 << BLOCK_BITS) - 1)).astype(np.int64)
-                    near = (value[:, None] ^ _MASKS).ravel()
-                    order = np.argsort(near, kind="stable")
-                    per.append((np.searchsorted(near[order], np.arange((1 << BLOCK_BITS) + 1)), (order // len(_MASKS) + lo).astype(np.int32)))
-                self._tables.append((lo, per))
+            near = max(r for r in range(BLOCK_RADIUS + 1) if not r or len(self.prints) * len(_MASKS[r]) * BLOCKS * 4 <= INDEX_BYTES)
+            per = []
+            for b in range(BLOCKS):
+                value = ((self.prints >> U(b * BLOCK_BITS)) & U((1 << BLOCK_BITS) - 1)).astype(np.uint16)
+                every = (value[:, None] ^ _MASKS[near].astype(np.uint16)).ravel()
+                order = np.argsort(every, kind="stable").astype(np.int32 if len(every) < 1 << 31 else np.int64)
+                begin = np.concatenate([[0], np.cumsum(np.bincount(every, minlength=1 << BLOCK_BITS))])
+                order //= len(_MASKS[near])
+                per.append((begin, order))
+            self._tables = (near, per)
         return self._tables
 
     def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (fingerprint number, item number) within RADIUS."""
-        q, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for _, per in self.tables():
+        if not self.ids:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        near, per = self.tables()
+        masks = _MASKS[BLOCK_RADIUS - near]
+        pairs = [np.zeros(0, np.int64)]
+        step = max(1, LOOKUPS * len(_MASKS[0]) // len(masks))
+        for lo in range(0, len(prints), step):
+            part = prints[lo : lo + step]
             for b, (begin, item) in enumerate(per):
-                value = ((prints >> U(b * BLOCK_BITS)) & U((1 << BLOCK_BITS) - 1)).astype(np.int64)
+                value = (((part >> U(b * BLOCK_BITS)) & U((1 << BLOCK_BITS) - 1)).astype(np.int64)[:, None] ^ masks).ravel()
                 n = begin[value + 1] - begin[value]
-                who = np.repeat(np.arange(len(prints)), n)
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[value][who]
-                near = np.bitwise_count(prints[who] ^ self.prints[item[at]]) <= RADIUS
-                q.append(who[near])
-                found.append(item[at][near].astype(np.int64))
-        pair = np.unique(np.concatenate(q) * len(self.ids) + np.concatenate(found)) if self.ids else np.zeros(0, np.int64)
-        return pair // max(len(self.ids), 1), pair % max(len(self.ids), 1)
+                who = np.repeat(np.arange(len(value)), n)
+                at = item[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[value][who]].astype(np.int64)
+                who //= len(masks)
+                close = np.bitwise_count(part[who] ^ self.prints[at]) <= RADIUS
+                pairs.append(np.unique((who[close] + lo) * len(self.ids) + at[close]))
+        pair = np.unique(np.concatenate(pairs))
+        return pair // len(self.ids), pair % len(self.ids)
 
     def similarity(self, s: np.ndarray, item: int) -> float:
         """Weight of the common shingles over that of all, as sets."""
@@ -151,8 +164,10 @@ class Items:
         where = np.flatnonzero(hit)
         breaks = np.flatnonzero(np.diff(where) > 2 * longest) + 1
         best: dict[int, tuple[float, int, int]] = {}
-        for run in np.split(where, breaks):
-            lo, hi = max(0, int(run[0]) - longest), min(len(s), int(run[-1]) + longest + 1)
+        runs = [(max(0, int(run[0]) - longest), min(len(s), int(run[-1]) + longest + 1)) for run in np.split(where, breaks)]
+        # Long stretches are taken so many starts at a time, each with a window's length behind it.
+        pieces = [(max(begin, min(lo, end - longest)), min(end, lo + STARTS + longest)) for begin, end in runs for lo in range(begin, max(begin + 1, end - longest + 1), STARTS)]
+        for lo, hi in pieces:
             part, part_hit = s[lo:hi], hit[lo:hi]
             weight, _ = self.weights(part)
             total = np.concatenate([[0], np.cumsum(np.where(part_hit, weight, 0))])
@@ -183,10 +198,9 @@ def _searcher(items, similarity: float):
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = items.value
         for batch in batches:
-            texts = [b"" if x is None else x for x in batch.to_pylist()]
-            out: list[list[dict]] = [[] for _ in texts]
-            for i, j in chunks(np.array([len(t) + 1 for t in texts], dtype=np.int64), CHUNK_BYTES) if known.ids else ():
-                s, begin = shingles(texts[i:j], known.width)
+            out: list[list[dict]] = [[] for _ in range(len(batch))]
+            for i, _, texts in slices(batch) if known.ids else ():
+                s, begin = shingles(texts, known.width)
                 _, hit = known.weights(s)
                 for d in np.unique(np.searchsorted(begin, np.flatnonzero(hit), side="right") - 1):
                     a, b = begin[d], begin[d + 1]
@@ -205,21 +219,33 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     shingle sets decides: the weight of a shingle is 1 + ln(items / items that have it), an unknown one counting
     as one item's. Items without words, and null ones, match nothing; an item of fewer than ``width`` words is one
     shingle, which only a text of the same words has. Null and empty texts match nothing. Items with the same id
-    and repeated rows count each. A column of that name is replaced.
+    and repeated rows count each. A column of that name is replaced. A benchmark of more than PASS_BYTES is taken in
+    passes one after another, each of which reads the texts again; statistics are those of the whole.
     """
     src = benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).cast("binary").alias("t")).where("i is not null and t is not null")
     size = src.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     passes = max(1, -(-size // PASS_BYTES))
     sc = docs.sparkSession.sparkContext
     whole = whole_statistics(src, width) if passes > 1 else None
-    found = []
+    parts, own = [], fresh(docs.drop(column), "own")[0]
     for p in range(passes):
         rows = sorted((r["i"], bytes(r["t"])) for r in src.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == p).collect())  # about PASS_BYTES at most
         items = sc.broadcast(Items([i for i, _ in rows], [t for _, t in rows], width, whole))
-        found.append(_searcher(items, similarity)(F.col(text).cast("binary")))
-    return docs.drop(column).withColumn(column, F.array_sort(F.concat(*found)) if len(found) > 1 else found[0])
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:
+        found = _searcher(items, similarity)(F.col(text).cast("binary"))
+        if passes == 1:
+            return docs.drop(column).withColumn(column, found)
+        texts = docs.where(F.col(text).isNotNull()).select(F.md5(text).alias(own), found.alias("m")).where(F.size("m") > 0)
+        parts.append(staged(texts.groupBy(own).agg(F.first("m").alias("m")), "matches"))  # equal texts have equal matches
+        items.destroy()
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    every = staged(every.groupBy(own).agg(F.array_sort(F.flatten(F.collect_list("m"))).alias(column)), "matches")
+    unstage(*parts)
+    out = docs.drop(column).withColumn(own, F.md5(text)).join(small(every), own, "left")
+    return out.withColumn(column, F.coalesce(column, F.array().cast(MATCHES))).drop(own)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The matches as rows: key, item_id, similarity, start, words."""
-    return with_matches(docs.select(key, "text"), benchmark, column="matches", **how).select(key, F.inline("matches"))
+    return with_matches(docs.select(key, text), benchmark, text=text, column="matches", **how).select(key, F.inline("matches"))
