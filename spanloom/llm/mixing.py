@@ -7,11 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, fresh, small, staged
+from .common import fresh, small, staged, unstage
 
-#: One row per source goes to the driver; beyond so many sources the call is refused.
-MAX_SOURCES = 1_000_000
-#: The dynamic programme covers at most so many words; a longer remainder is first cut down by the longest documents left.
+#: Up to so many sources their targets are computed on the driver, beyond in aggregates over a table of them.
+DRIVER_SOURCES = 100_000
+#: The dynamic programme covers sums in a range of so many words.
 PROGRAMME_WORDS = 1 << 20
 #: Documents of one source and length are ranked in parts of about so many.
 PART_ROWS = 128
@@ -38,8 +38,10 @@ def targets(sizes: list[int], weights: list[float], budget: float, most: float)
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
     """How many documents of each length to take so that their words come as near ``budget`` as can be (the lesser sum of two as near).
 
-    An even share of each length is taken first, then longest documents while more than PROGRAMME_WORDS are
-    missing; a bounded-knapsack programme over the sums up to the remainder (and one document more) does the rest.
+    A bounded-knapsack programme over all sums decides where all documents have at most PROGRAMME_WORDS. Beyond, an
+    even share of each length is taken first, and the programme then adds and gives back documents, over sums
+    within PROGRAMME_WORDS / 2 of the budget. It ends as soon as it meets the whole number next to the budget that
+    the lengths' common divisor allows, than which none is nearer.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     take = np.zeros(len(lengths), dtype=np.int64)
@@ -47,51 +49,79 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.nda
     budget = min(float(budget), float(total))
     if not total or budget <= 0:
         return take
-    take = np.floor(counts * (budget / total)).astype(np.int64)
-    while (over := int((lengths * take).sum()) - budget) > 0:  # rounding of large counts
-        i = int(np.argmax(np.where(take > 0, lengths, -1)))
-        take[i] -= min(int(take[i]), max(1, int(over // max(lengths[i], 1))))
-    order = np.argsort(-lengths, kind="stable")
+    order = [int(i) for i in np.argsort(-lengths, kind="stable") if lengths[i] > 0 and counts[i] > 0]
+    low, high = 0, total
+    if total > PROGRAMME_WORDS:
+        low, high = -(PROGRAMME_WORDS // 2), PROGRAMME_WORDS // 2
+        take = np.floor(counts * (budget / total)).astype(np.int64)
+        for i in order:  # a remainder beyond the range is cut down by the longest documents
+            left = budget - int((lengths * take).sum())
+            if abs(left) <= PROGRAMME_WORDS / 4:
+                break
+            k = int(abs(left) // lengths[i])
+            take[i] += min(k, int(counts[i] - take[i])) if left > 0 else -min(k, int(take[i]))
     left = budget - int((lengths * take).sum())
-    for i in order:
-        if left <= PROGRAMME_WORDS:
-            break
-        if lengths[i] > 0 and (k := min(int(counts[i] - take[i]), int((left - PROGRAMME_WORDS / 2) // lengths[i]))) > 0:
-            take[i] += k
-            left -= k * int(lengths[i])
-    spare = counts - take
-    usable = [i for i in order if spare[i] > 0 and lengths[i] > 0]
-    if not usable or left <= 0:
-        return take
-    shortest = int(lengths[usable[-1]])
-    top = int(np.floor(left)) + shortest  # beyond it no sum is nearer than the one without its shortest document
-    by = np.full(top + 1, -1, dtype=np.int32)  # the item that first reached a sum
-    seen = np.zeros(top + 1, dtype=bool)
-    seen[0] = True
-    goal = round(left)
-    items = []
-    for i in usable:
-        n, power = min(int(spare[i]), top // int(lengths[i])), 1
-        while n > 0 and not seen[goal]:
-            k = min(power, n)
-            w = k * int(lengths[i])
-            if w <= top:
-                new = seen[:-w] & ~seen[w:] if w else seen[:0]
-                by[w:][new] = len(items)
-                seen[w:] |= new
-            items.append((i, k, w))
-            n, power = n - k, power * 2
-        if seen[goal]:
-            break
-    sums = np.flatnonzero(seen)
+    step = int(np.gcd.reduce(lengths[order]))
+    below = int(left // step) * step
+    goal = below if left - below <= below + step - left else below + step  # no sum is nearer
+    seen = np.zeros(high - low + 1, dtype=bool)
+    by = np.full(high - low + 1, -1, dtype=np.int32)  # the item that first reached a sum
+    seen[-low] = True
+    items: list[tuple[int, int, int]] = []
+    for sign in (1, -1) if low else (1,):
+        for i in order:
+            n, power = int(counts[i] - take[i]) if sign > 0 else int(take[i]), 1
+            n = min(n, (high - low) // int(lengths[i]))
+            while n > 0 and not (low <= goal <= high and seen[goal - low]):
+                k = min(power, n)
+                w = k * int(lengths[i])
+                if w < len(seen):
+                    there, here = (seen[w:], seen[:-w]) if sign > 0 else (seen[:-w], seen[w:])
+                    new = here & ~there
+                    (by[w:] if sign > 0 else by[:-w])[new] = len(items)
+                    there |= new
+                items.append((i, sign * k, sign * w))
+                n, power = n - k, power * 2
+    sums = np.flatnonzero(seen) + low
     best = int(sums[np.argmin(np.abs(sums - left))])
     while best:
-        i, k, w = items[by[best]]
+        i, k, w = items[by[best - low]]
         take[i] += k
         best -= w
     return take
 
 
+def _plan(lengths: DataFrame, src: str, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
+    """Columns src, source_size and target, a row per source; see targets()."""
+    per = staged(lengths.groupBy(src).agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), "sources")
+    spark, n = lengths.sparkSession, per.count()
+    if n <= DRIVER_SOURCES:
+        rows = sorted(per.collect(), key=lambda r: r[0].encode())
+        sizes = [int(r[1]) for r in rows]
+        aims = targets(sizes, [float(weights[i % len(weights)]) for i in range(n)], share * sum(sizes), most)
+        return spark.createDataFrame([(r[0], s, float(t)) for r, s, t in zip(rows, sizes, aims, strict=True)], f"`{src}` string, source_size long, target double")
+    # The number of each source in order: of its range's first one, and within the range.
+    sorted_ = staged(per.repartitionByRange(max(1, n // DRIVER_SOURCES), src).sortWithinPartitions(src).withColumn("at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftrightunsigned("at", 33)
+    counts = {r[0]: r[1] for r in sorted_.groupBy(part.alias("part")).count().collect()}  # a row for each range
+    first = dict(zip(sorted(counts), np.cumsum([0, *(counts[p] for p in sorted(counts))]).tolist(), strict=False))
+    table = spark.createDataFrame(list(first.items()), "part long, first long")
+    number = F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (number % len(weights) + 1).cast("int"))
+    every = staged(sorted_.withColumn("part", part).join(F.broadcast(table), "part").select(src, "source_size", weight.alias("weight")), "weighed")
+    unstage(sorted_)
+    # A source is full from some unit on for good, as the others' unit only grows.
+    unit, budget = -1.0, share * every.agg(F.sum("source_size")).first()[0]
+    while True:
+        full = F.col("weight") * unit > F.lit(most) * F.col("source_size")
+        taken, left = every.agg(F.coalesce(F.sum(F.when(full, F.col("source_size"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))).first()
+        again = (budget - most * taken) / left if left > 0 else 0.0
+        if again <= unit or left <= 0:
+            break
+        unit = again
+    return every.select(src, "source_size", F.when(full, F.lit(most) * F.col("source_size")).otherwise(F.col("weight") * max(unit, 0.0)).cast("double").alias("target"))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """Decides how often each document enters a mix whose sources have words in given proportions.
 
@@ -107,17 +137,13 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     # Working columns have names that docs does not have.
-    src, whole, extra, parts, alike, rank, part, before, places, in_part = fresh(docs, "src", "whole", "extra", "parts", "alike", "rank", "part", "before", "places", "in_part")
+    src, whole, extra, alike, rank, cut, places, same = fresh(docs, "src", "whole", "extra", "alike", "rank", "cut", "places", "same")
     words = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    out = docs.withColumns({"size": words, src: F.concat(F.when(F.col(source).isNull(), "1").otherwise("0"), F.coalesce(source, F.lit("")))})
-    lengths = staged(out.groupBy(src, "size").agg(F.count("*").alias("n")), "lengths")
-    per = sorted(lengths.groupBy(src).agg(F.sum(F.col("size") * F.col("n")).alias("words")).limit(MAX_SOURCES + 1).collect(), key=lambda r: r[0].encode())
-    if len(per) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = [int(r[1]) for r in per]
-    aims = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(per))], share * sum(sizes), most)
-    spark = docs.sparkSession
-    plan = spark.createDataFrame([(r[0], s, float(t)) for r, s, t in zip(per, sizes, aims, strict=True)], f"`{src}` string, source_size long, target double")
+    spread = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(key).isNull(), F.col(text)), 1)
+    out = docs.withColumns({"size": words, rank: spread, src: F.concat(F.when(F.col(source).isNull(), "1").otherwise("0"), F.coalesce(source, F.lit("")))})
+    narrow = staged(out.select(src, "size", rank), "narrow")  # all that is decided on; texts are read once more, at the end
+    lengths = staged(narrow.groupBy(src, "size").agg(F.count("*").alias("n")), "lengths")
+    plan = _plan(lengths, src, weights, share, most)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size").reset_index(drop=True)
@@ -126,23 +152,27 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
         some = fit_counts(pdf["size"].to_numpy(), pdf["n"].to_numpy(), pdf["target"][0] - full * pdf["source_size"][0]) if full < most else 0
         return pdf.assign(whole=full, extra=some)
 
-    fitted = lengths.join(small(plan, len(per)), src).groupBy(src).applyInPandas(fit, f"`{src}` string, size long, n long, source_size long, target double, whole int, extra long")
-    split = F.greatest(F.lit(1), F.ceil(F.col("n") / F.greatest(F.lit(PART_ROWS), F.sqrt(F.col("n")))))
-    fitted = staged(fitted.select(src, "size", "source_size", "target", F.col("whole").alias(whole), F.col("extra").alias(extra), F.col("n").alias(alike), split.alias(parts)), "fitted")
-    out = out.join(small(fitted), [src, "size"])
-    # Where only some documents of a length go: rank them by hash, in parts by the hash itself.
-    rest = F.col(extra).between(1, F.col(alike) - 1)
-    spread = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(key).isNull(), F.col(text))
-    out = out.withColumns({rank: spread, part: F.when(rest, F.floor(F.shiftrightunsigned(spread, 33) * F.col(parts) / F.lit(float(1 << 31)))).cast("long")})
-    counted = out.where(rest).groupBy(src, "size", part, extra).agg(F.count("*").alias(in_part))
-    before_w = Window.partitionBy(src, "size").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    edge = counted.withColumn(before, F.coalesce(F.sum(in_part).over(before_w), F.lit(0))).where(F.col(before) < F.col(extra))
-    edge = staged(edge.select(src, "size", part, (F.col(extra) - F.col(before)).alias(places), in_part), "edge")
-    out = out.join(small(edge), [src, "size", part], "left")
-    inside = F.coalesce(F.col(places) >= F.col(in_part), F.lit(False))
-    cut = F.col(places).isNotNull() & ~inside
-    sure = out.where(~cut).withColumn("copies", F.col(whole) + F.when(inside | (F.col(extra) >= F.col(alike)), 1).otherwise(0))
-    nth = F.row_number().over(Window.partitionBy(src, "size", part).orderBy(rank, F.col(key)))  # equal ranks: equal rows
-    ranked = out.where(cut).withColumn("copies", F.col(whole) + F.when(nth <= F.col(places), 1).otherwise(0))
-    both = sure.unionByName(ranked)
-    return both.withColumns({"copies": F.col("copies").cast("int"), "taken": F.col("copies") * F.col("size")}).select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+    fitted = lengths.join(small(plan), src).groupBy(src).applyInPandas(fit, f"`{src}` string, size long, n long, source_size long, target double, whole int, extra long")
+    fitted = staged(fitted.select(src, "size", "source_size", "target", F.col("whole").alias(whole), F.col("extra").alias(extra), F.col("n").alias(alike)), "fitted")
+    # Where only some documents of a length go: the rank up to which they do, found in parts by the rank itself.
+    some = narrow.join(small(fitted.where(F.col(extra).between(1, F.col(alike) - 1))), [src, "size"])
+    parts = F.greatest(F.lit(1), F.ceil(F.col(alike) / F.greatest(F.lit(PART_ROWS), F.sqrt(F.col(alike)))))
+    some = some.select(src, "size", rank, extra, F.floor(F.col(rank).cast("double") * parts / F.lit(float(1 << 63))).cast("long").alias("part"))
+    counted = staged(some.groupBy(src, "size", "part", extra).agg(F.count("*").alias("inside")), "parts")
+    before = F.coalesce(F.sum("inside").over(Window.partitionBy(src, "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = counted.withColumn("before", before).where((F.col("before") < F.col(extra)) & (F.col("before") + F.col("inside") >= F.col(extra)))
+    edge = staged(edge.select(src, "size", "part", (F.col(extra) - F.col("before")).alias("wanted")), "edge")
+    ranks = some.join(small(edge), [src, "size", "part"]).groupBy(src, "size", "wanted", rank).agg(F.count("*").alias(same))
+    upto = F.sum(same).over(Window.partitionBy(src, "size").orderBy(rank))
+    last = ranks.withColumn("upto", upto).where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col(same) < F.col("wanted")))
+    last = staged(last.select(src, "size", F.col(rank).alias(cut), (F.col("wanted") - F.col("upto") + F.col(same)).alias(places), same), "cuts")
+    torn = not last.where(F.col(places) < F.col(same)).isEmpty()  # rows of one rank are equal in key and text; only some of them go
+    out = out.join(small(fitted), [src, "size"]).join(small(last), [src, "size"], "left")
+    goes = F.when(F.col(extra) >= F.col(alike), 1).when(F.col(extra) < 1, 0).when(F.col(rank) < F.col(cut), 1).when((F.col(rank) == F.col(cut)) & (F.col(places) == F.col(same)), 1).otherwise(0)
+    every = out.withColumn("copies", F.col(whole) + goes)
+    if torn:
+        split = F.coalesce((F.col(rank) == F.col(cut)) & (F.col(places) < F.col(same)), F.lit(False))
+        nth = F.row_number().over(Window.partitionBy(src, "size").orderBy(rank))
+        every = every.where(~split).unionByName(out.where(split).withColumn("copies", F.col(whole) + F.when(nth <= F.col(places), 1).otherwise(0)))
+    unstage(lengths, narrow, counted, edge)
+    return every.withColumns({"copies": F.col("copies").cast("int"), "taken": F.col("copies") * F.col("size")}).select(*docs.columns, "size", "source_size", "target", "copies", "taken")

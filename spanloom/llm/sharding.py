@@ -6,96 +6,97 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fresh, small, staged
+from .common import fresh, small, staged, unstage
 
-#: Bits of a directory beyond those that even shards would need; more make buckets finer before a split.
-SPARE_BITS = 5
-MAX_BITS = 24
+#: Bits counted in one round beyond those that even shards would need, and at most.
+SPARE_BITS, MAX_BITS = 5, 30
 
 
-def _prefix(h: Column, bits: int) -> Column:
-    """The first bits of a hash, as text of 0 and 1: the name of a bucket."""
-    return F.lpad(F.bin(F.shiftrightunsigned(h, 64 - bits)), bits, "0") if bits else F.lit("")
+def bucket_hash(key: Column, text: Column) -> Column:
+    """60 bits of the MD5 of key and text, as a number; null is not the empty text."""
+    told = lambda c: F.coalesce(F.concat(F.lit("1"), c.cast("string")), F.lit("0"))
+    return F.conv(F.substring(F.md5(F.concat(told(key), F.lit("|"), told(text))), 1, 15), 16, 10).cast("long")
+
+
+def _bits(h: Column, used: int, bits: int) -> Column:
+    """The bits of a hash of 60 that follow the first ``used``, as text of 0 and 1: the name of a bucket within one named by those."""
+    return F.lpad(F.bin(F.shiftright(h, 60 - used - bits).bitwiseAND((1 << bits) - 1)), bits, "0") if bits else F.lit("")
 
 
 def _leaves(cells: DataFrame, bits: int, limit: int) -> DataFrame:
-    """Of the tree over cells (name of ``bits`` bits, bytes, rows): the buckets at or under the limit whose parent is over it, and cells over it that no bit here splits."""
-    nodes = cells.select(F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"), "*").groupBy("depth", F.expr("substr(cell, 1, depth)").alias("node")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+    """Of the trees over cells (lead, cell of ``bits`` bits, bytes, rows): the buckets at or under the limit whose parent is over it, and cells over it that no bit here splits."""
+    depths = F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth")
+    nodes = cells.select(depths, "*").groupBy("lead", "depth", F.expr("substr(cell, 1, depth)").alias("node")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
     nodes = staged(nodes, "nodes")
-    over = nodes.where((F.col("bytes") > limit) & (F.col("rows") > 1))
-    split = over.where(F.col("depth") < bits).select((F.col("depth") + 1).alias("depth"), F.col("node").alias("up"))
-    children = nodes.withColumn("up", F.expr("substr(node, 1, greatest(depth - 1, 0))"))
-    below = children.join(split, ["depth", "up"], "left_semi").unionByName(children.where("depth = 0"))
     whole = (F.col("bytes") <= limit) | (F.col("rows") <= 1)
-    return below.where(whole | (F.col("depth") == bits)).select("node", "depth", "bytes", "rows", whole.alias("done"))
+    split = nodes.where(~whole & (F.col("depth") < bits)).select("lead", (F.col("depth") + 1).alias("depth"), F.col("node").alias("up"))
+    children = nodes.withColumn("up", F.expr("substr(node, 1, greatest(depth - 1, 0))"))
+    below = children.join(split, ["lead", "depth", "up"], "left_semi").unionByName(children.where("depth = 0"))
+    leaves = staged(below.where(whole | (F.col("depth") == bits)).select("lead", "node", "depth", "bytes", "rows", whole.alias("done")), "leaves")
+    unstage(nodes)
+    return leaves
+
+
+def _numbered(rest: DataFrame, h: str, columns: list[str]) -> DataFrame:
+    """rest with another hash in h, that also covers the other columns and, of rows equal in all, a number from 0 for each. Equal rows are numbered by the part of the table they are in, so that however many there are, no task has all."""
+    at, part, nth, before = fresh(rest, "at", "part", "nth", "before")
+    fixed = staged(rest.withColumn(h, F.xxhash64(h, *columns)).withColumn(at, F.monotonically_increasing_id()), "rest")
+    parted = fixed.withColumn(part, F.shiftrightunsigned(at, 33))
+    counts = parted.groupBy(h, part).agg(F.count("*").alias(nth))
+    up = Window.partitionBy(h).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = staged(counts.select(h, part, F.coalesce(F.sum(nth).over(up), F.lit(0)).alias(before)), "counts")
+    own = F.row_number().over(Window.partitionBy(h, part).orderBy(at))
+    again = parted.join(small(counts), [h, part]).withColumn(h, F.shiftrightunsigned(F.xxhash64(h, F.col(before) + own), 4))
+    out = staged(again.drop(at, part, before), "rest")
+    unstage(counts, fixed)
+    return out
 
 
 def extendible_shards(df: DataFrame, limit: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Deals the rows of df into shards of at most ``limit`` bytes of text.
 
-    A row's bucket is named by the first bits of a hash of its key and text. A directory over a few bits more than
-    even shards need is counted in one pass; only buckets over the limit split on the next bit. Buckets over the
-    limit at the directory's end continue on the bits of a second hash, that also covers a number each row gets
-    among equals, so that repeated rows part too. A document longer than the limit has a shard of its own.
+    A row's bucket is named by the first bits of a hash of its key and text. Bits are counted in one pass, a few more
+    than even shards need; only buckets over the limit split on the next bit. The directory has as many bits as the
+    deepest bucket, and those of its names that rows have. Buckets still over the limit go on, until none is, on the
+    hash's other bits, and where these end on the bits of another hash, which also covers the other columns and a
+    number that each of equal rows gets. A document longer than the limit has a shard of its own.
 
     Adds shard (the bucket's bits, as text; empty if one shard is enough), shard_bytes, shard_rows and doc_bytes
-    (null text: 0). Columns of those names in df are replaced. Null keys and texts hash as such; an empty table
-    stays empty. Reruns agree.
+    (null text: 0). Columns of those names in df are replaced; others may have any names. Null keys and texts hash as
+    such; an empty table stays empty. Reruns agree, whatever the order of rows.
     """
     if limit < 1:
         raise ValueError("limit must be positive")
     out = df.drop("shard", "shard_bytes", "shard_rows", "doc_bytes")
-    h, cell = fresh(out, "h", "cell")
-    spread = F.xxhash64(F.col(key).cast("string"), F.col(key).isNull(), F.col(text), F.col(text).isNull())
+    added = ["doc_bytes", "shard", "shard_bytes", "shard_rows"]
+    h, lead, cell, done = fresh(out, "h", "lead", "cell", "done")
+    hashed = [f"`{f.name}`" for f in out.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    out = out.withColumns({h: spread, "doc_bytes": size})
-    total = out.agg(F.coalesce(F.sum("doc_bytes"), F.lit(0))).first()[0]
-    return _split(out, h, cell, total, limit, "", 0).drop(h, cell)
-
-
-def _split(out: DataFrame, h: str, cell: str, total: int, limit: int, lead: str, round_: int) -> DataFrame:
-    bits = min(MAX_BITS, max(0, math.ceil(math.log2(max(total, 1) / limit))) + SPARE_BITS)
-    named = out.withColumn(cell, _prefix(F.col(h), bits))
-    cells = named.groupBy(F.col(cell).alias("cell")).agg(F.sum("doc_bytes").alias("bytes"), F.count("*").alias("rows"))
-    leaves = staged(_leaves(cells, bits, limit), "leaves")
-    # The directory: each cell points at its bucket.
-    n = 1 << bits
-    directory = leaves.withColumn("pad", F.lit(bits) - F.col("depth")).select(
-        F.explode(F.when(F.col("pad") == 0, F.array("node")).otherwise(F.expr("transform(sequence(0L, shiftleft(1L, pad) - 1), x -> concat(node, lpad(bin(x), pad, '0')))"))).alias(cell),
-        F.concat(F.lit(lead), "node").alias("shard"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"), F.col("done").alias("shard_done"))
-    dealt = named.join(small(directory, n), cell)
-    open_ = leaves.where("not done").agg(F.count("*"), F.max("bytes")).first()
-    if not open_[0] or round_ >= 5:
-        return dealt.drop("shard_done")
-    # Buckets of equal hashes, or finer than the directory: number the equals, and hash on.
-    rest = staged(dealt.where("not shard_done"), "rest")
-    part, nth = fresh(rest, "part", "nth")
-    by = Window.partitionBy(h, part).orderBy(part)
-    rest = rest.withColumn(part, F.spark_partition_id()).withColumn(nth, F.row_number().over(by)).withColumn(h, F.xxhash64(F.lit(round_), h, part, nth)).drop(part, nth)
-    rest = staged(rest.withColumn("lead", F.col("shard")).drop("shard", "shard_bytes", "shard_rows", "shard_done", cell), "rest2")
-    more = _split_under(rest, h, open_[1], limit, round_)
-    done = dealt.where("shard_done").drop("shard_done", cell)
-    return done.unionByName(more.select(*done.columns)).withColumn(cell, F.lit(None).cast("string"))
-
-
-def _split_under(rest: DataFrame, h: str, largest: int, limit: int, round_: int) -> DataFrame:
-    """Splits each leading bucket of rest further, all in one pass; buckets still over the limit go on."""
-    bits = min(MAX_BITS, max(0, math.ceil(math.log2(max(largest, 1) / limit))) + SPARE_BITS)
-    named = rest.withColumn("sub", _prefix(F.col(h), bits))
-    cells = named.groupBy("lead", "sub").agg(F.sum("doc_bytes").alias("bytes"), F.count("*").alias("rows"))
-    depths = F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth")
-    nodes = staged(cells.select(depths, "*").groupBy("lead", "depth", F.expr("substr(sub, 1, depth)").alias("node")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")), "nodes")
-    fit = (F.col("bytes") <= limit) | (F.col("rows") <= 1)
-    inner = nodes.where(~fit & (F.col("depth") < bits)).select("lead", (F.col("depth") + 1).alias("depth"), F.col("node").alias("up"))
-    leaves = nodes.where("depth > 0").withColumn("up", F.expr("substr(node, 1, depth - 1)")).join(inner, ["lead", "depth", "up"], "left_semi").where(fit | (F.col("depth") == bits))
-    directory = leaves.withColumn("pad", F.lit(bits) - F.col("depth")).select(
-        "lead", F.explode(F.when(F.col("pad") == 0, F.array("node")).otherwise(F.expr("transform(sequence(0L, shiftleft(1L, pad) - 1), x -> concat(node, lpad(bin(x), pad, '0')))"))).alias("sub"),
-        F.concat("lead", "node").alias("shard"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))
-    dealt = staged(named.join(directory, ["lead", "sub"]).drop("lead", "sub"), "dealt")
-    over = (F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)
-    left = dealt.where(over).agg(F.count("*"), F.max("shard_bytes")).first()
-    if not left[0] or round_ >= 5:
-        return dealt
-    again = dealt.where(over).withColumn("lead", F.col("shard")).drop("shard", "shard_bytes", "shard_rows").withColumn(h, F.xxhash64(F.lit(round_ + 100), h))
-    return dealt.where(~over).unionByName(_split_under(again, h, left[1], limit, round_ + 1).select(*dealt.columns))
+    open_ = out.withColumns({h: bucket_hash(F.col(key), F.col(text)), "doc_bytes": size, lead: F.lit("")})
+    largest = open_.agg(F.coalesce(F.sum("doc_bytes"), F.lit(0))).first()[0]
+    result, used = None, 0
+    while True:
+        bits = min(MAX_BITS, max(0, math.ceil(math.log2(max(largest, 1) / limit))) + SPARE_BITS) if result is None else min(MAX_BITS, 60 - used)
+        name = _bits(F.col(h), used, bits)
+        cells = staged(open_.groupBy(F.col(lead).alias("lead"), name.alias("cell")).agg(F.sum("doc_bytes").alias("bytes"), F.count("*").alias("rows")), "cells")
+        leaves = _leaves(cells, bits, limit)
+        deepest, over = leaves.agg(F.coalesce(F.max("depth"), F.lit(0)), F.max(F.when(~F.col("done"), F.col("bytes")))).first()
+        names = cells.select("lead", F.substring("cell", 1, deepest).alias("cell")).distinct()
+        names = names.select("lead", "cell", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("depth")).withColumn("node", F.expr("substr(cell, 1, depth)"))
+        directory = names.join(leaves, ["lead", "depth", "node"])
+        directory = directory.select(F.col("lead").alias(lead), F.col("cell").alias(cell), F.concat("lead", "node").alias("shard"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"), F.col("done").alias(done))
+        directory = staged(directory, "directory")
+        unstage(cells, leaves)
+        dealt = open_.withColumn(cell, F.substring(name, 1, deepest)).join(small(directory), [lead, cell])
+        settled = dealt.where(done).select(*out.columns, *added)
+        result = settled if result is None else result.unionByName(settled)
+        if over is None:
+            return result
+        rest = dealt.where(~F.col(done)).withColumn(lead, F.col("shard")).select(*out.columns, "doc_bytes", h, lead)
+        used += bits
+        if used < 60:
+            open_ = staged(rest, "rest")
+        else:
+            open_, used = _numbered(rest, h, hashed), 0
