@@ -47,12 +47,44 @@ def test_shards_fit(spark):
     assert again == {(r["doc_id"], r["shard"]) for r in rows}
 
 
+def brute_shards(rows, limit):
+    """Each row's bucket by splitting lists of rows bit by bit."""
+    import hashlib
+
+    told = lambda x: "0" if x is None else f"1{x}"
+    name = {i: f"{int(hashlib.md5(f'{told(k)}|{told(t)}'.encode()).hexdigest()[:15], 16):060b}" for i, (k, t) in enumerate(rows)}
+    size = {i: len((t or "").encode()) for i, (_, t) in enumerate(rows)}
+    out, open_ = {}, [("", list(name))]
+    while open_:
+        lead, part = open_.pop()
+        if sum(size[i] for i in part) <= limit or len(part) <= 1:
+            out |= dict.fromkeys(part, lead)
+        else:
+            open_ += [(lead + bit, here) for bit in "01" if (here := [i for i in part if name[i].startswith(lead + bit)])]
+    return out
+
+
+def test_shards_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()] + [(None, "a"), (None, None), (7777, None), (8888, "z" * 90_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (3_000, 50_000, 1 << 30):
+        want = brute_shards(rows, limit)
+        got = {(r["doc_id"], r["text"]): r["shard"] for r in sharding.extendible_shards(df, limit).collect()}
+        assert got == {rows[i]: s for i, s in want.items()}
+
+
 def test_shards_of_repeated_and_odd_rows(spark):
     rows = [(1, "x" * 100, "a")] * 50 + [(None, None, None)] * 5 + [(2, "y" * 5000, "b"), (3, "", "c")]
-    df = spark.createDataFrame(rows, DOCS).withColumn("h", F.lit(1)).withColumn("cell", F.lit("c")).withColumn("shard", F.lit("old"))
-    got = sharding.extendible_shards(df, 300).collect()
-    assert len(got) == len(rows) and got[0]["h"] == 1
-    check_shards(got, 300)
+    df = spark.createDataFrame(rows, DOCS)
+    for n in ("h", "cell", "shard", "lead", "sub", "done", "at", "part", "nth", "before", "bytes", "rows", "depth", "node"):
+        df = df.withColumn(n, F.lit("c"))
+    for parts in (1, 6):
+        got = sharding.extendible_shards(df.repartition(parts), 300).collect()
+        assert len(got) == len(rows) and got[0]["h"] == "c" and got[0]["lead"] == "c"
+        check_shards(got, 300)
+    sizes = lambda d: sorted((r["shard"], r["shard_rows"]) for r in d.collect())
+    assert sizes(sharding.extendible_shards(df.repartition(1), 300)) == sizes(sharding.extendible_shards(df.repartition(6), 300))
     assert sharding.extendible_shards(df.where("false"), 300).count() == 0
     with pytest.raises(ValueError):
         sharding.extendible_shards(df, 0)
@@ -181,10 +213,35 @@ def test_fit_counts_is_nearest(counts, share):
     sums = {0}
     for x, n in zip(lengths.tolist(), have.tolist(), strict=True):
         sums = {s + x * k for s in sums for k in range(n + 1)}
-    # The even share taken first is kept, so the programme is nearest among the sums above it.
     budget = min(share * total, total)
-    best = min(abs(s - budget) for s in sums)
-    assert abs((take * lengths).sum() - budget) <= max(best, max(lengths.tolist()))
+    got = (take * lengths).sum()
+    assert abs(got - budget) <= min(abs(x - budget) for x in sums) + 1e-9
+    assert got <= min((x for x in sums if abs(abs(x - budget) - abs(got - budget)) < 1e-9), default=got)
+    # The programme that adds to an even share and gives back is as near where its range holds all sums.
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(mixing, "PROGRAMME_WORDS", max(total - 1, 4))
+        other = mixing.fit_counts(lengths, have, share * total)
+        assert ((other >= 0) & (other <= have)).all() and abs((other * lengths).sum() - budget) <= max(lengths.tolist())
+
+
+def test_fit_counts_of_large_sources():
+    rng = np.random.default_rng(1)
+    lengths = np.unique(rng.integers(1, 20_000, 3000))
+    have = rng.integers(1, 400, len(lengths))
+    total = int((lengths * have).sum())
+    for budget in (1000.4, total * 0.3 + 0.2, total - 6.0):
+        take = mixing.fit_counts(lengths, have, budget)
+        assert ((take >= 0) & (take <= have)).all() and abs((take * lengths).sum() - budget) <= 0.5
+    even = mixing.fit_counts(np.array([20_000, 30_000]), np.array([500, 500]), 12_345_678.0)
+    assert (even * [20_000, 30_000]).sum() == 12_350_000  # no multiple of the common divisor is nearer
+
+
+def test_targets_of_many_sources(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i * 7 % 30), f"s{i % 41:02d}" if i % 9 else None) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted((r["doc_id"], r["source_size"], round(r["target"], 6)) for r in mixing.mix_sources(df).collect())
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 9)
+    assert sorted((r["doc_id"], r["source_size"], round(r["target"], 6)) for r in mixing.mix_sources(df).collect()) == want
 
 
 def test_targets():

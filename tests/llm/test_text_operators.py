@@ -138,16 +138,44 @@ def test_decontamination(spark):
     assert set(got) <= want and {*planted.items()} <= set(got)
 
 
-def test_multi_index_finds_all_in_radius():
+def test_multi_index_finds_all_in_radius(monkeypatch):
     items = decontam.Items(list(range(300)), [f"a{i} b{i} c{i} d{i} e{i} f{i}".encode() for i in range(300)], 5)
     rng = np.random.default_rng(0)
     q = items.prints[rng.integers(0, 300, 2000)]
     for k in range(2000):
         for b in rng.choice(64, rng.integers(0, 20), replace=False):
             q[k] ^= np.uint64(1) << np.uint64(b)
-    i, j = items.search(q)
     want = {(a, b) for a in range(2000) for b in np.flatnonzero(np.bitwise_count(items.prints ^ q[a]) <= decontam.RADIUS)}
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+    for room in (decontam.INDEX_BYTES, 300 * 137 * 16, 300 * 17 * 16, 0):  # however little room there is for tables
+        monkeypatch.setattr(decontam, "INDEX_BYTES", room)
+        items.__dict__.pop("_tables", None)
+        i, j = items.search(q)
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_decontamination_recall(spark, monkeypatch):
+    """Every planted item with a window still similar is found, at all distances from 0.8 on, and in long texts piece by piece."""
+    rng = random.Random(14)
+    say = lambda n: [f"u{rng.randrange(4000)}" for _ in range(n)]
+    items = [say(rng.randrange(20, 90)) for _ in range(60)]
+    shared = [s for t in items for s in shingle_set(" ".join(t))]
+    df = collections.Counter(shared)
+    weight = lambda s: 1 + np.log(60 / df.get(s, 1))
+    docs, want = [], set()
+    for i, item in enumerate(items):
+        for edits in range(4):
+            w = list(item)
+            for at in rng.sample(range(len(w)), edits):
+                w[at] = "other"
+            docs.append(" ".join(say(rng.randrange(60)) + w + say(rng.randrange(60))))
+            if weighted(shingle_set(" ".join(w)), shingle_set(" ".join(item)), weight) >= 0.8:
+                want.add((len(docs) - 1, i))
+    docs.append(" ".join(docs))  # a long text with everything in it
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    for starts in (decontam.STARTS, 500):
+        monkeypatch.setattr(decontam, "STARTS", starts)
+        got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame(spark, docs), bench).collect()}
+        assert len(want) > 90 and len(want & got) >= 0.99 * len(want) and {(len(docs) - 1, i) for i in range(60)} <= got
 
 
 def test_decontamination_of_odd_tables(spark):
@@ -183,12 +211,17 @@ def test_suffix_order_and_prefixes(monkeypatch):
     assert len(set(got)) == 600 and keys == sorted(keys, reverse=True)
 
 
-def test_repeats_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_repeats_equal_brute_force(spark, monkeypatch, hot):
+    """Also where every least substring with different runs counts as hot."""
+    if hot:
+        monkeypatch.setattr(repeats, "HOT_BYTES", 0)
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdeéß") for _ in range(rng.randrange(1, 9)))
     say = lambda n: " ".join(word() for _ in range(n))
     shared = [say(40) for _ in range(4)]
     texts = [say(30) + rng.choice(shared) + say(rng.randrange(60)) for _ in range(25)]
+    texts += [say(rng.randrange(9)) + shared[0] * 2 + say(rng.randrange(9)) for _ in range(30)]
     texts += [texts[0], "ab" * 300, "z" * 450, "z" * 399, "", None, shared[0] * 3, say(200)]
     n = 200
     got = {r["doc_id"]: r for r in repeats.remove_repeats(frame(spark, texts), n).collect()}
@@ -249,3 +282,59 @@ def test_surrogates_of_empty_table(spark):
 def test_hash_of_kept_bytes_is_that_of_text(spark):
     r = repeats.remove_repeats(frame(spark, ["short é"])).select(F.sha2("kept", 256).alias("h")).first()
     assert r["h"] == hashlib.sha256("short é".encode()).hexdigest()
+
+
+def test_prefixes_are_shortened_as_far_as_a_set_needs():
+    assert neardup.least_attainable(3, 0.8) == 1 and neardup.least_attainable(4, 0.8) == 0.8 and neardup.least_attainable(6, 0.8) == pytest.approx(5 / 6)
+    for n in range(1, 30):
+        want = min(i / u for i in range(1, n + 1) for u in range(n, 2 * n + 2) if i / u >= 0.8)
+        assert neardup.least_attainable(n, 0.8) == pytest.approx(want)
+    depths = neardup.prefix_lengths(0.8, 0.9999)
+    assert depths[3] == neardup.DEPTH and depths[-1] == 5 and all(5 <= d <= neardup.DEPTH for d in depths)
+
+
+def test_walk_links_what_shares_a_prefix(monkeypatch):
+    rng = np.random.default_rng(3)
+    label = np.array(sorted(map(tuple, rng.integers(0, 2, (300, 1 + neardup.DEPTH * neardup.MINIMUM_BYTES)).astype(np.uint8) * [0, *[1, 0] * neardup.DEPTH])), dtype=np.uint8)
+    depth = rng.choice([5, 6, 8], 300).astype(np.int8)
+    keys = np.array([b"%d" % i for i in range(300)], dtype=object)
+    wide = 1 + np.maximum.outer(depth, depth).astype(int) * neardup.MINIMUM_BYTES
+    want = {(i, j) for i in range(300) for j in range(i) if (label[i, : wide[i, j]] == label[j, : wide[i, j]]).all()}
+
+    def classes(pairs):
+        root = list(range(300))
+        for i, j in pairs:
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    for step in (300, 7, 1):
+        walk, got = neardup._Walk([5, 6, 7, 8]), []
+        for lo in range(0, 300, step):
+            a, b = walk.step(label[lo : lo + step], depth[lo : lo + step], keys[lo : lo + step])
+            got += [(int(x), int(y)) for x, y in zip(a, b, strict=True)]
+        assert set((max(p), min(p)) for p in got) <= want and classes(got) == classes(want)
+
+
+def test_recall_at_each_similarity(spark, monkeypatch):
+    """Pairs of each similarity from 0.8 on are found as often as the target says, over ranges of a few labels."""
+    monkeypatch.setattr(neardup, "RANGE_ROWS", 500)
+    rng = random.Random(4)
+    texts = []
+    for _ in range(150):
+        w = [f"v{rng.randrange(3000)}" for _ in range(rng.choice([20, 60, 150]))]
+        texts.append(" ".join(w))
+        for edits in (1, 2, 3):
+            x = list(w)
+            for _ in range(edits):
+                x[rng.randrange(len(x))] = "z"
+            texts.append(" ".join(x))
+    sets = [shingle_set(t) for t in texts]
+    want = collections.Counter()
+    for k in range(0, len(texts), 4):
+        for i in range(k, k + 4):
+            for j in range(k, k + 4):
+                if i != j and (texts[i] == texts[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                    want[i] += 1
+    got = {r["doc_id"]: r["n_links"] for r in neardup.label_duplicates(frame(spark, texts)).collect()}
+    assert sum(got.values()) >= 0.999 * sum(want.values()) and all(got[i] <= want[i] for i in got)
