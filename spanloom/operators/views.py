@@ -55,3 +55,32 @@ SPANS_SQL = TOKENS_SQL + """, anchors as (
 ANNOTATED_SQL = """annotated as (
   select d.*, case l.toxic when 1 then 'conspiracy' when 0 then 'non' else 'cant_tell' end as doc_label
   from documents d left join labels l using (doc_id))"""
+
+
+def span_texts(docs: DataFrame) -> DataFrame:
+    """spans() with span_text, put together from the tokens."""
+    by = Window.partitionBy("doc_id").orderBy("i")
+    t = tokens(docs).withColumns({"t1": F.lead("tok", 1).over(by), "t2": F.lead("tok", 2).over(by)})
+    label = F.element_at(F.array(*(F.lit(x) for x in ("Actor", "Action", "Effect", "Victim", "Evidence"))), (F.length("tok") + F.col("i")) % 5 + 1)
+    body = lambda w: F.when(w == 0, F.col("tok")).when(w == 1, F.concat("tok", F.lit(" "), "t1")).otherwise(F.concat("tok", F.lit(" "), "t1", F.lit(" "), "t2"))
+    gold = F.when(F.col("i") % 7 == 3, F.struct(F.lit("gold").alias("role"), body(F.col("i") % 3).alias("body")))
+    pred = F.when((F.col("i") % 7).isin(3, 4), F.struct(F.lit("pred").alias("role"), body(F.col("i") % 2).alias("body")))
+    made = t.select("doc_id", label.alias("label"), F.col("s").alias("start"), F.explode(F.array_compact(F.array(gold, pred))).alias("x")).where("x.body is not null")
+    return made.select("doc_id", "x.role", "label", "start", (F.col("start") + F.length("x.body")).alias("end"), F.col("x.body").alias("span_text"))
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """The gold spans that begin with a capital A to Z: doc_id, label, start, end, span_text. Many documents have none."""
+    return span_texts(docs).where("role = 'gold'").where(F.col("span_text").rlike("^[A-Z]")).drop("role")
+
+
+SPAN_TEXTS_SQL = TOKENS_SQL + """, leads as (
+  select *, lead(tok, 1) over w as t1, lead(tok, 2) over w as t2 from tokens window w as (partition by doc_id order by i)
+), bodies as (
+  select 'gold' as role, *, case i % 3 when 0 then tok when 1 then tok || ' ' || t1 else tok || ' ' || t1 || ' ' || t2 end as span_text from leads where i % 7 = 3
+  union all select 'pred' as role, *, case i % 2 when 0 then tok else tok || ' ' || t1 end as span_text from leads where i % 7 in (3, 4)
+), span_texts as (
+  select doc_id, role, case (length(tok) + i) % 5 when 0 then 'Actor' when 1 then 'Action' when 2 then 'Effect' when 3 then 'Victim' else 'Evidence' end as label,
+         s as start, cast(s + length(span_text) as bigint) as "end", span_text
+  from bodies where span_text is not null
+), marked as (select doc_id, label, start, "end", span_text from span_texts where role = 'gold' and regexp_matches(span_text, '^[A-Z]'))"""
