@@ -3,84 +3,23 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators.staging import small, stage_dir, staged, table_bytes, unstage  # noqa: F401
 
-#: A table is broadcast only if its measured rows take at most so many bytes.
-BROADCAST_BYTES = 16 << 20
 #: Texts become Python objects and arrays in slices of about so many bytes.
 SLICE_BYTES = 1 << 20
-_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or where it is unset and all runs in one process, a folder of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        at = _OWN.setdefault(app, _OWN.get(app) or f"file://{tempfile.mkdtemp(prefix='spanloom-')}")
-    return at.rstrip("/")
-
-
-def staged(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation beyond it."""
-    spark = df.sparkSession
-    path = f"{stage_dir(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def unstage(*tables: DataFrame | None) -> None:
-    """Deletes what staged() wrote, for tables that no later step reads."""
-    for df in tables:
-        if df is not None:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _width(c: Column, kind: T.DataType) -> Column:
-    """The bytes that a value takes in memory, nested values by their number of elements and the elements' fixed parts."""
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
-    if isinstance(kind, T.ArrayType):
-        inner = kind.elementType
-        if isinstance(inner, (T.StringType, T.BinaryType, T.ArrayType)) or isinstance(inner, T.StructType) and any(not isinstance(f.dataType, T.NumericType) for f in inner.fields):
-            return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda n, x: n + _width(x, inner)), F.lit(16).cast("long"))
-        each = 8 * len(inner.fields) + 24 if isinstance(inner, T.StructType) else 8
-        return F.coalesce(F.size(c), F.lit(0)) * each + 16
-    if isinstance(kind, T.StructType):
-        return sum((_width(c[f.name], f.dataType) for f in kind.fields), F.lit(16))
-    return F.lit(8)
-
-
-def table_bytes(df: DataFrame) -> int:
-    """The bytes that the rows of df take in memory, by one aggregate over them."""
-    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(24))
-    return df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
-
-
-def small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """df with a broadcast hint if its measured rows are within the limit of bytes, else df as it is."""
-    return F.broadcast(df) if table_bytes(df) <= (BROADCAST_BYTES if limit is None else limit) else df
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df does not have yet, made from names."""
     have, out = {c.lower() for c in df.columns}, []
