@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,3 +158,56 @@ def time_anchor(c: Column) -> Column:
 def evidence_kinds(c: Column) -> Column:
     kinds = {"url": r"(?i)https?://|<url>|www\.", "quote": "[\"“”]", "numeric": r"\d", "named": r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"}
     return F.array_compact(F.array(*(F.when(c.rlike(p), F.lit(k)) for k, p in kinds.items())))
+
+
+def nfkc(c: Column) -> Column:
+    """Unicode's compatibility composition, in Arrow batches: Spark has no function for it."""
+
+    def compose(values: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in values.to_pylist()], pa.string())
+
+    return F.arrow_udf(compose, "string")(c)
+
+
+def nfkc_key(c: Column) -> Column:
+    """NFKC, straight quotes, lower case, single blanks."""
+    return F.trim(F.regexp_replace(F.lower(fold_quotes(nfkc(F.coalesce(c, F.lit(""))))), r"[ \t\r\n\f\x0B]+", " "))
+
+
+def markdown_text(c: Column) -> Column:
+    """Text of markdown: code, images and tags go, links keep their words, marks of headings, quotes, lists and emphasis go; text nodes joined by blanks."""
+    x = F.regexp_replace(c, r"(?s)```.*?```", " ")
+    for pattern, by in ((r"`[^`\n]*`", " "), (r"!\[[^\]\n]*\]\([^)\n]*\)", " "), (r"\[([^\]\n]*)\]\([^)\n]*\)", "$1"), (r"(?m)^ {0,3}(#{1,6} +|> ?|[-*+] +|[0-9]+[.] +)", ""), (r"\*\*([^*\n]+)\*\*", "$1"), (r"\*([^*\n]+)\*", "$1"), (r"__([^_\n]+)__", "$1")):
+        x = F.regexp_replace(x, pattern, by)
+    return html_text(x)
+
+
+# What a purpose clause begins with, and what tells that a span names its source.
+PURPOSES = ("to ", "in order to ", "so that ", "so as to ", "for the purpose of ")
+ATTRIBUTION = r"(?i)(^|[^a-z0-9_])(according to|said|reported|per|study|report)([^a-z0-9_]|$)"
+NUMBERS = r"(^|[^A-Za-z0-9_])[0-9][0-9,]*([.][0-9]+)? *(%|million|billion|cases|people|USD|dollars|€)"
+DOMAIN = r"(?i)https?://|www[.]|[a-z0-9-]+[.](com|org|net|gov|edu)([^a-z0-9_]|$)"
+
+
+def starts_purpose(c: Column, purposes: Sequence[str] = PURPOSES) -> Column:
+    low = F.ltrim(F.lower(c))
+    out = F.lit(False)
+    for p in purposes:
+        out = out | low.startswith(p)
+    return out
+
+
+def looks_cited(c: Column) -> Column:
+    """Whether a span has an address, names a source or has double or curly quotes."""
+    low = F.lower(c)
+    out = F.contains(low, F.lit("http")) | F.contains(low, F.lit("www.")) | F.contains(low, F.lit("according to"))
+    for q in ('"', "\u2018", "\u2019", "\u201c", "\u201d"):
+        out = out | F.contains(c, F.lit(q))
+    return out
+
+
+def is_evidence(c: Column, attribution: str = ATTRIBUTION, numbers: str = NUMBERS) -> Column:
+    """Whether a span has an address, or a quote or a number with a unit together with an attribution."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    quote = F.contains(t, F.lit('"')) | F.contains(t, F.lit("'")) | F.contains(t, F.lit("\u201c")) | F.contains(t, F.lit("\u201d"))
+    return (t != "") & (t.rlike(DOMAIN) | ((quote | t.rlike(numbers)) & t.rlike(attribution)))

@@ -104,6 +104,59 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.6, key: str = "vec_id",
     return candidates.groupBy("query").applyInPandas(pick, f"query long, {key} long, place long, sim double")
 
 
+def _mmr_order(vectors: np.ndarray, relevance: np.ndarray, k: int, weight: float, first: float) -> tuple[list[int], list[float]]:
+    """Indices in the order of greatest weight·relevance − (1−weight)·similarity to those picked (``first`` before any is), and these values; of equals the earlier."""
+    v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-10)
+    near, left, order, values = np.full(len(v), first), np.ones(len(v), bool), [], []
+    for _ in range(min(k, len(v))):
+        value = np.where(left, np.round(weight * relevance - (1 - weight) * near, 9), -np.inf)
+        i = int(value.argmax())
+        order.append(i)
+        values.append(float(value[i]))
+        left[i] = False
+        near = np.maximum(near, v @ v[i]) if len(order) > 1 or first == -1.0 else v @ v[i]
+    return order, values
+
+
+def mmr_centroid(candidates: DataFrame, k: int, weight: float = 0.6, by: str = "query", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Of each group's candidates picks k that are near the mean of all their directions and far from each other; all in key order if there are no more than k. Returns by, key, place.
+
+    A group is one query's candidates, and thus of bounded size.
+    """
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key).reset_index(drop=True)
+        order = list(range(len(pdf)))
+        if k < len(pdf):
+            v = np.array(pdf[vector].to_list(), dtype=float)
+            v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-10
+            mean = v.mean(axis=0)
+            order, _ = _mmr_order(v, v @ mean / max(float(np.linalg.norm(mean)), 1e-10), k, weight, -1.0)
+        return pd.DataFrame({by: pdf[by].iloc[order].to_numpy(), key: pdf[key].iloc[order].to_numpy(), "place": np.arange(1, len(order) + 1)})
+
+    return candidates.groupBy(by).applyInPandas(pick, f"{by} long, {key} long, place long")
+
+
+def mmr_quality(candidates: DataFrame, k: int, score: str = "score", weight: float = 0.5, by: str = "query", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Of each group's candidates picks k by a score, brought to 0 to 1 within the group (1 if all are equal), and distance to those picked; the first has the best score. All in key order if there are no more than k. Returns by, key, place."""
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key).reset_index(drop=True)
+        order = list(range(len(pdf)))
+        if k < len(pdf):
+            q = pdf[score].to_numpy(float)
+            q = (q - q.min()) / (q.max() - q.min()) if q.max() > q.min() else np.ones(len(q))
+            order, _ = _mmr_order(np.array(pdf[vector].to_list(), dtype=float), q, k, weight, 0.0)
+        return pd.DataFrame({by: pdf[by].iloc[order].to_numpy(), key: pdf[key].iloc[order].to_numpy(), "place": np.arange(1, len(order) + 1)})
+
+    return candidates.groupBy(by).applyInPandas(pick, f"{by} long, {key} long, place long")
+
+
+def hard_negatives(vectors: DataFrame, queries: DataFrame, flag: Column, k: int, factor: int, second: Column, most: int = 50, key: str = "vec_id") -> DataFrame:
+    """two_stage() among the rows that ``flag`` marks as hard negatives."""
+    return two_stage(vectors.where(flag), queries, k, factor, second, most, key)
+
+
 def stratified(vectors: DataFrame, queries: DataFrame, strata: dict[str, tuple[Column, int]], k: int, key: str = "vec_id") -> DataFrame:
     """For each query the nearest rows of each stratum up to its number, first ones first, cut at k: query, key, sim, stratum, turn, place."""
     parts = [knn(vectors.where(where), queries, n, key=key).select("query", key, "sim", F.lit(name).alias("stratum"), F.lit(i).alias("nth"), F.col("rank").alias("turn")) for i, (name, (where, n)) in enumerate(strata.items())]
