@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.lexicons import DOC_LABELS, ID_KEYS, LABEL_KEYS, LABELS, MARKER_ALIASES, SOURCE_KEYS, STRICT_LABELS, TEXT_KEYS
 
+from .staging import staged
+
 
 def _have(df: DataFrame, keys: tuple[str, ...]) -> list[Column]:
     return [F.col(k) for k in keys if k in df.columns]
@@ -36,9 +38,22 @@ def unique_by_id(df: DataFrame, key: str = "doc_id", *order: Column) -> DataFram
 
 
 def fill_ids(df: DataFrame, name: str, order: list[Column], key: str = "doc_id") -> DataFrame:
-    """Ids '<name>_doc_<7 digits>' by row number for rows without one."""
-    nth = F.row_number().over(Window.orderBy(*order)) - 1
-    return df.withColumn(key, F.coalesce(F.col(key).cast("string"), F.concat(F.lit(f"{name}_doc_"), F.lpad(nth.cast("string"), 7, "0"))))
+    """Ids '<name>_doc_<7 digits>' by row number in the given order for rows without one.
+
+    Rows are sorted in ranges and numbered within theirs, so that no task has all; the driver adds up a number for each range.
+    """
+    at, part, first = "_at", "_part", "_first"
+    fixed = staged(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()))
+    parted = fixed.withColumn(part, F.shiftrightunsigned(at, 33))
+    counts = sorted((r[part], r["count"]) for r in parted.groupBy(part).count().collect())  # a row for each range
+    sums, total = [], 0
+    for p, n in counts:
+        sums.append((p, total))
+        total += n
+    starts = df.sparkSession.createDataFrame(sums, f"{part} long, {first} long")
+    nth = F.col(first) + F.col(at).bitwiseAND((1 << 33) - 1)
+    out = parted.join(F.broadcast(starts), part).withColumn(key, F.coalesce(F.col(key).cast("string"), F.concat(F.lit(f"{name}_doc_"), F.lpad(nth.cast("string"), 7, "0"))))
+    return out.select(*df.columns)
 
 
 def markers(c: Column, drop_bad: bool = True) -> Column:
@@ -48,6 +63,23 @@ def markers(c: Column, drop_bad: bool = True) -> Column:
     return F.filter(norm, keep)
 
 
+def span_records(markers: Column, prediction_spans: Column, prediction: Column) -> Column:
+    """The spans of a record, whichever of the three arrays (label, type, start, startIndex, end, endIndex, text, score) it has first, as (label, start, end, text, score); spans without a label or an offset go. An offset of 0 is one."""
+    norm = F.transform(F.coalesce(markers, prediction_spans, prediction), lambda m: F.struct(
+        F.coalesce(m["label"], m["type"]).alias("label"), F.coalesce(m["start"], m["startIndex"]).alias("start"), F.coalesce(m["end"], m["endIndex"]).alias("end"), m["text"].alias("text"), m["score"].alias("score")))
+    return F.filter(norm, lambda m: m["label"].isNotNull() & m["start"].isNotNull() & m["end"].isNotNull())
+
+
+def few_shot_entries(docs: DataFrame, text: str = "text", spans: str = "spans", label: str = "doc_label") -> DataFrame:
+    """Examples for both tasks, with kind: s1 for texts that are not blank, whatever their spans; s2 for those of the two classes. Texts are trimmed, and spans (label, start, end) cut to them; those under three characters go."""
+    t = F.trim(F.coalesce(F.col(text), F.lit("")))
+    low = lambda x: F.least(F.greatest(x, F.lit(0)), F.length(t))
+    cut = F.filter(F.transform(F.col(spans), lambda m: F.struct(m["label"].alias("label"), low(m["start"]).alias("start"), F.greatest(low(m["start"]), low(m["end"])).alias("end"))), lambda m: m["label"].isin(*LABELS) & (m["end"] - m["start"] >= 3))
+    good = docs.withColumn(text, t).where(F.col(text) != "").withColumn(spans, F.coalesce(cut, F.col(spans)))
+    both = good.withColumn("kind", F.explode(F.array(F.lit("s1"), F.lit("s2"))))
+    return both.where((F.col("kind") == "s1") | F.col(label).isin("conspiracy", "non"))
+
+
 def explode_markers(df: DataFrame, column: str = "markers", key: str = "doc_id") -> DataFrame:
     return df.select(key, F.inline(column)).withColumn("text_len", F.length("text"))
 

@@ -28,6 +28,14 @@ def macro_f1(scores: DataFrame) -> DataFrame:
     return scores.agg(r6(F.avg("f1")).alias("macro_f1"), r6(_f1(tp, fp, fn)).alias("micro_f1"))
 
 
+def export_scores(per_label: DataFrame) -> DataFrame:
+    """prf() as one row of named scores: macro F1, F1, precision and recall over all labels, and the three of each label."""
+    each = [F.max(F.when(F.col("label") == x, F.col(c))).alias(f"{p}_{x}") for x in sorted(LABELS) for p, c in (("F1", "f1"), ("Precision", "precision"), ("Recall", "recall"))]
+    tp, fp, fn = F.sum("tp"), F.sum("fp"), F.sum("fn")
+    div = lambda a, b: r6(F.when(b > 0, a / b).otherwise(0.0))
+    return per_label.agg(r6(F.avg("f1")).alias("F1_Macro"), r6(_f1(tp, fp, fn)).alias("F1_Aggregate"), div(tp, tp + fp).alias("Precision_Aggregate"), div(tp, tp + fn).alias("Recall_Aggregate"), *each)
+
+
 def binary_metrics(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Over rows (y 0/1, p_label 0/1): confusion, accuracy, precision, recall, F1 binary, macro and weighted."""
     y, p = F.col("y") == 1, F.col("p_label") == 1

@@ -147,6 +147,21 @@ def locate_spans(quotes: DataFrame, text: str = "text", quote: str = "quote") ->
     return quotes.withColumn("_at", find(F.col(text), F.col(quote), nth)).select(*quotes.columns, "_at.start", "_at.end", "_at.how")
 
 
+def locate_in_context(quotes: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Adds start and end to rows (key, before, quote, after): see locate_context(). A document meets its quotes as one array, and its text crosses to Python once."""
+    cols = [c for c in quotes.columns if c != key]
+    grouped = quotes.groupBy(key).agg(F.collect_list(F.struct(*cols)).alias("quotes_"))
+    j = grouped.join(docs.select(key, F.col(text).alias("text_")), key)
+
+    @F.pandas_udf("array<struct<start: long, end: long>>")
+    def find(texts: pd.Series, rows: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("start", "end"), locate_context(t, r["before"] or "", r["quote"] or "", r["after"] or ""), strict=True)) for r in q] for t, q in zip(texts, rows, strict=True)])
+
+    asked = F.transform("quotes_", lambda q: F.struct(*(q[c].alias(c) for c in ("before", "quote", "after"))))
+    both = j.withColumn("found_", find("text_", asked)).select(key, F.inline(F.arrays_zip("quotes_", "found_")))
+    return both.select(key, *(F.col(f"quotes_.{c}").alias(c) for c in cols), "found_.start", "found_.end")
+
+
 def similarity(a: str, b: str) -> float:
     """How alike two labels' texts are: 1 for equal ones whatever the case, .9 and .8 for a part of a compound, else the better of matching blocks and word overlap."""
     x, y = a.strip().lower(), b.strip().lower()

@@ -164,6 +164,11 @@ def stratified(vectors: DataFrame, queries: DataFrame, strata: dict[str, tuple[C
     return reduce(DataFrame.unionByName, parts).withColumn("place", place).where(F.col("place") <= k).drop("nth")
 
 
+def attach_most(df: DataFrame, by: str, n: int, order: list[Column]) -> DataFrame:
+    """At most the first n rows of each value of ``by``, with their rank."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n)
+
+
 def embed(docs: DataFrame, embedder, size: int, batch: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Vectors of texts by a function from a list of texts to a list of vectors, in batches; where it fails texts are tried alone, and those that fail again get zeros."""
     def run(batches):

@@ -45,13 +45,17 @@ def score(start: str = "start", end: str = "end"):
 TOKENS_SQL = """tokens as (
   select doc_id, i, tok, cast(sum(length(tok) + 1) over (partition by doc_id order by i) - length(tok) - 1 as bigint) as s
   from (select doc_id, unnest(string_split(text, ' ')) as tok, generate_subscripts(string_split(text, ' '), 1) - 1 as i from documents))"""
-SPANS_SQL = TOKENS_SQL + """, anchors as (
-  select 'gold' as role, *, i % 3 as w from tokens where i % 7 = 3
-  union all select 'pred' as role, *, i % 2 as w from tokens where i % 7 in (3, 4)
-), spans as (
-  select a.doc_id, a.role, case (length(a.tok) + a.i) % 5 when 0 then 'Actor' when 1 then 'Action' when 2 then 'Effect' when 3 then 'Victim' else 'Evidence' end as label,
-         a.s as start, cast(b.s + length(b.tok) as bigint) as "end"
-  from anchors a join tokens b on b.doc_id = a.doc_id and b.i = a.i + a.w)"""
+SPAN_TEXTS_SQL = TOKENS_SQL + """, leads as (
+  select *, lead(tok, 1) over w as t1, lead(tok, 2) over w as t2 from tokens window w as (partition by doc_id order by i)
+), bodies as (
+  select 'gold' as role, *, case i % 3 when 0 then tok when 1 then tok || ' ' || t1 else tok || ' ' || t1 || ' ' || t2 end as span_text from leads where i % 7 = 3
+  union all select 'pred' as role, *, case i % 2 when 0 then tok else tok || ' ' || t1 end as span_text from leads where i % 7 in (3, 4)
+), span_texts as (
+  select doc_id, role, case (length(tok) + i) % 5 when 0 then 'Actor' when 1 then 'Action' when 2 then 'Effect' when 3 then 'Victim' else 'Evidence' end as label,
+         s as start, cast(s + length(span_text) as bigint) as "end", span_text
+  from bodies where span_text is not null
+), marked as (select doc_id, label, start, "end", span_text from span_texts where role = 'gold' and regexp_matches(span_text, '^[A-Z]'))"""
+SPANS_SQL = SPAN_TEXTS_SQL + """, spans as (select doc_id, role, label, start, "end" from span_texts)"""
 ANNOTATED_SQL = """annotated as (
   select d.*, case l.toxic when 1 then 'conspiracy' when 0 then 'non' else 'cant_tell' end as doc_label
   from documents d left join labels l using (doc_id))"""
@@ -74,13 +78,3 @@ def marked(docs: DataFrame) -> DataFrame:
     return span_texts(docs).where("role = 'gold'").where(F.col("span_text").rlike("^[A-Z]")).drop("role")
 
 
-SPAN_TEXTS_SQL = TOKENS_SQL + """, leads as (
-  select *, lead(tok, 1) over w as t1, lead(tok, 2) over w as t2 from tokens window w as (partition by doc_id order by i)
-), bodies as (
-  select 'gold' as role, *, case i % 3 when 0 then tok when 1 then tok || ' ' || t1 else tok || ' ' || t1 || ' ' || t2 end as span_text from leads where i % 7 = 3
-  union all select 'pred' as role, *, case i % 2 when 0 then tok else tok || ' ' || t1 end as span_text from leads where i % 7 in (3, 4)
-), span_texts as (
-  select doc_id, role, case (length(tok) + i) % 5 when 0 then 'Actor' when 1 then 'Action' when 2 then 'Effect' when 3 then 'Victim' else 'Evidence' end as label,
-         s as start, cast(s + length(span_text) as bigint) as "end", span_text
-  from bodies where span_text is not null
-), marked as (select doc_id, label, start, "end", span_text from span_texts where role = 'gold' and regexp_matches(span_text, '^[A-Z]'))"""

@@ -1,6 +1,6 @@
 """All queries of the library, by name."""
 
-from . import corpus_queries, document_queries, selection_queries, span_queries, stream_queries  # noqa: F401
+from . import corpus_queries, document_queries, repair_queries, selection_queries, source_queries, span_queries, stream_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

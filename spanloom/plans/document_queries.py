@@ -13,7 +13,7 @@ from ..operators import documents as dc
 from ..operators import duplicates as dup
 from ..operators import statistics as st
 from ..operators.views import ANNOTATED_SQL, annotated, table
-from .registry import query
+from .registry import ORACLE, query
 
 #: Cue lists for made-up text: words it has.
 CUES = {"absolutist": ("all", "the", "every", "be of"), "hedges": ("that", "with", "la de")}
@@ -189,7 +189,9 @@ def lsh_pairs(spark, d):
     return dup.simhash_pairs(simhash64(_docs(spark, d)))
 
 
-@query()
+@query("with " + SIMHASH_SQL + """, p as (select xor(a.h, b.h) as x, bit_count(xor(a.h, b.h)) as n from hashes a join hashes b on a.doc_id < b.doc_id and bit_count(xor(a.h, b.h)) <= 6),
+s as (select b as bands, n, list_bool_or(list_transform(range(b), lambda k: (x >> (k * (64 // b))) & ((1::ubigint << (64 // b)) - 1) = 0)) as near from p, (values (4), (8), (16)) v(b))
+select bands::int as bands, d as distance, count(n) filter (near and n <= d) as pairs from s, (values (2), (4), (6)) w(d) group by 1, 2""")
 def lsh_sweep_counts(spark, d):
     return dup.band_sweep(simhash64(_docs(spark, d)), (4, 8, 16), (2, 4, 6))
 
@@ -239,7 +241,16 @@ def split_verify(spark, d):
     return kept.join(still, "dup_comp").groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("dup_comp").alias("comps"), F.sum((F.col("splits") > 1).cast("long")).alias("leaking"))
 
 
-@query()
+def _term_counts() -> str:
+    """Matches of whole terms, with every other character doubled so that neighbours do not share one."""
+    lists = CUES | {"english_absolutist": ABSOLUTIST, "english_hedges": HEDGES}
+    one = lambda t: "|".join(x.replace(" ", "  ") for x in sorted(t, key=len, reverse=True))
+    return ", ".join(f"{{'metric': '{k}', 'n': len(regexp_extract_all(t, '(?:^|[^a-z0-9_])(?:{one(t)})(?:[^a-z0-9_]|$)'))}}" for k, t in lists.items())
+
+
+@query(f"""with {ANNOTATED_SQL}, t as (select doc_label, length(text) as n, regexp_replace(lower(text), '([^a-z0-9_])', '\\1\\1', 'g') as t from annotated), c as (select doc_label, n, unnest([{_term_counts()}]) as x from t),
+r as (select x.metric as metric, doc_label, x.n * 1000.0 / greatest(n, 1) as rate from c)
+select metric, doc_label, round(avg(rate), 4) as mean, round(quantile_cont(rate, 0.5), 4) as median, round(stddev_samp(rate), 4) as std, count(*) as n from r group by 1, 2""")
 def lexicon_rates(spark, d):
     return st.lexicon_rates(annotated(spark, d), CUES | {"english_absolutist": ABSOLUTIST, "english_hedges": HEDGES})
 
@@ -355,7 +366,7 @@ def forensic_stats(spark, d):
     return _docs(spark, d).select("doc_id", *(c.alias(k) for k, c in lex.profile(F.col("text")).items()))
 
 
-@query()
+@query(f"""select warning, count(*) as n from (select unnest([case when attribution_density > 3.5 then 'attribution' end, case when is_jaqing then 'jaq' end, case when shouting_score > 0.10 then 'emotion' end, case when agency_gap > 0.06 then 'passive' end]) as warning from ({ORACLE['forensic_stats']})) where warning is not null group by 1""")
 def profile_warnings(spark, d):
     p = forensic_stats(spark, d)
     w = lex.warnings(F.col("attribution_density"), F.col("is_jaqing"), F.col("shouting_score"), F.col("agency_gap"))

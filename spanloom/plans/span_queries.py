@@ -74,12 +74,13 @@ def first_occurrence_quantiles(spark, d):
     return st.first_occurrence(_spans(spark, d, "gold"), _lengths(spark, d))
 
 
-# Overlaps: in SQL each span meets the next few of its document only, by place; no span here is longer than three tokens.
+# Overlaps: in SQL each span meets the next twelve of its document by place. That is enough: a span has at most three tokens, and at
+# most three spans begin at a token (one gold, two predicted places), so at most eight others begin before its end.
 OV = f"""{W}, o as (select *, row_number() over (partition by doc_id order by start, "end", label) as rn from spans),
 pairs as (select a.doc_id, a.label as label_a, b.label as label_b, a.start as sa, a."end" as ea, b.start as sb, b."end" as eb,
   (least(a."end", b."end") - greatest(a.start, b.start)) / (greatest(a."end", b."end") - least(a.start, b.start)) as iou
-  from o a join o b on a.doc_id = b.doc_id and b.rn between a.rn + 1 and a.rn + 12
-  where (a.start, a."end", a.label) < (b.start, b."end", b.label) and a.start < a."end" and b.start < b."end" and greatest(a.start, b.start) < least(a."end", b."end")),
+  from o a, (select unnest(range(1, 13)) as k) k, o b where b.doc_id = a.doc_id and b.rn = a.rn + k.k
+  and (a.start, a."end", a.label) < (b.start, b."end", b.label) and a.start < a."end" and b.start < b."end" and greatest(a.start, b.start) < least(a."end", b."end")),
 named as (select doc_id, least(label_a, label_b) || '/' || greatest(label_a, label_b) as pair, iou, sa < sb as starts_first, (sa <= sb and eb <= ea) or (sb <= sa and ea <= eb) as contain from pairs where label_a <> label_b)"""
 
 
@@ -167,9 +168,9 @@ def merge_tiny_gaps(spark, d):
     return sp.merge_gaps(_spans(spark, d, "pred"), ["doc_id"], 1)
 
 
-@query(rf"""{G}, w as (select g.doc_id, label, greatest(start - 1, 0) as start, least("end" + 1, length(text)) as "end", text from g join documents using (doc_id)),
-b as (select *, substr(text, cast(start + 1 as bigint), cast("end" - start as bigint)) as body from w where start < "end"),
-t as (select doc_id, label, start + length(body) - length(regexp_replace(body, '^[ \t\r\n\f\x0B]+', '')) as new_start, "end" - (length(body) - length(regexp_replace(body, '[ \t\r\n\f\x0B]+$', ''))) as new_end from b)
+@query(rf"""{G}, per as (select doc_id, list({{'label': label, 's': greatest(start - 1, 0), 'e': "end" + 1}}) as l from g group by 1),
+w as (select doc_id, unnest(list_transform(l, lambda x: {{'label': x.label, 's': x.s, 'e': least(x.e, length(text)), 'body': substr(text, x.s + 1, least(x.e, length(text)) - x.s)}})) as x from per join documents using (doc_id)),
+t as (select doc_id, x.label as label, x.s + length(x.body) - length(regexp_replace(x.body, '^[ \t\r\n\f\x0B]+', '')) as new_start, x.e - (length(x.body) - length(regexp_replace(x.body, '[ \t\r\n\f\x0B]+$', ''))) as new_end from w where x.s < x.e)
 select doc_id, label, new_start, new_end from t where new_start < new_end""")
 def trim_boundaries(spark, d):
     wide = _spans(spark, d, "gold").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
@@ -201,7 +202,10 @@ def prior_penalty(spark, d):
     return j.select("doc_id", "label", "start", "end", F.round(p, 5).alias("penalty"))
 
 
-@query()
+@query(f"""{OV}, n as (select doc_id, length(text) as n from documents), x as (select p.*, n from pairs p join n using (doc_id)),
+d as (select label_a, label_b, case when iou < 0.6 then 'both' when ea - sa < eb - sb then 'action' when eb - sb < ea - sa then 'effect' else 'action' end as decision from x where label_a = 'Action' and label_b = 'Effect'
+  union all select label_a, label_b, case when (sa <= sb and eb <= ea) or (sb <= sa and ea <= eb) then case when ea - sa <= eb - sb then 'actor' else 'victim' end when iou < 0.5 then 'both' when sa / n <= 0.25 then 'actor' else 'victim' end from x where label_a = 'Actor' and label_b = 'Victim')
+select label_a, label_b, decision, count(*) as n from d group by 1, 2, 3""")
 def pair_rules(spark, d):
     """Decisions for overlapping Action/Effect and Actor/Victim pairs."""
     p = st.self_overlaps(_spans(spark, d)).join(_lengths(spark, d), "doc_id")
@@ -229,9 +233,10 @@ def span_conflicts(spark, d):
     return sp.resolve_conflicts(_scored(spark, d))
 
 
-CAND = f"""{G}, gi as (select *, row_number() over (partition by doc_id order by start, "end") as rn from g),
+# As above: an overlapping pair of one label is at most six places apart.
+CAND = f"""{G}, u as (select doc_id, label, role, start, "end", row_number() over (partition by doc_id, label order by start, "end", role) as rn from spans),
 c as (select g.doc_id, g.label, g.start as start_g, g."end" as end_g, p.start as start_p, p."end" as end_p, round((least(g."end", p."end") - greatest(g.start, p.start)) / (greatest(g."end", p."end") - least(g.start, p.start)), 6) as iou
-from g join p on g.doc_id = p.doc_id and g.label = p.label and greatest(g.start, p.start) < least(g."end", p."end"))"""
+from u g, (select unnest(range(-6, 7)) as k) k, u p where g.role = 'gold' and p.role = 'pred' and p.doc_id = g.doc_id and p.label = g.label and p.rn = g.rn + k.k and greatest(g.start, p.start) < least(g."end", p."end"))"""
 
 
 @query(f"{CAND} select doc_id, label, start_g, end_g, start_p, end_p, iou from c where iou >= 0.5")
@@ -240,12 +245,18 @@ def match_candidates(spark, d):
 
 
 # Gold spans here never overlap one another, so the greedy match is: each takes its best candidate, and a prediction counts once.
-@query()
+PRF = f"""{CAND}, b as (select * from c where iou >= 0.5 qualify row_number() over (partition by doc_id, label, start_g order by iou desc, start_p, end_p) = 1),
+hit as (select label, count(distinct (doc_id, start_p, end_p)) as tp from b group by 1),
+n as (select l.label, coalesce(tp, 0)::bigint as tp, ((select count(*) from p where p.label = l.label) - coalesce(tp, 0))::bigint as fp, ((select count(*) from g where g.label = l.label) - coalesce(tp, 0))::bigint as fn from (values ('Actor'), ('Action'), ('Effect'), ('Victim'), ('Evidence')) l(label) left join hit using (label)),
+prf as (select label, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1 from n)"""
+
+
+@query(f"{PRF} select * from prf")
 def span_prf_char(spark, d):
     return ev.prf(sp.greedy_match(_spans(spark, d, "gold"), _spans(spark, d, "pred")))
 
 
-@query()
+@query(f"{PRF} select round(avg(f1), 6) as macro_f1, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) as micro_f1 from prf")
 def span_macro_f1(spark, d):
     return ev.macro_f1(ev.prf(sp.greedy_match(_spans(spark, d, "gold"), _spans(spark, d, "pred"))))
 
@@ -324,7 +335,7 @@ def span_salience(spark, d):
     return g.select("doc_id", "start", F.round(sp.salience(F.col("label"), F.col("end") - F.col("start")), 6).alias("salience"))
 
 
-@query(f"""{G}, x as (select g.*, text, length(text) as n from g join documents using (doc_id)) select doc_id, label as type, start as startIndex, "end" as endIndex from x where start >= 0 and "end" > start and "end" <= n""")
+@query(f"""{G}, x as (select g.*, n from g join (select doc_id, length(text) as n from documents) using (doc_id)) select doc_id, label as type, start as startIndex, "end" as endIndex from x where start >= 0 and "end" > start and "end" <= n""")
 def span_submission(spark, d):
     """Spans as an array per document, brought to the submission's names, exploded again."""
     g = _spans(spark, d, "gold").groupBy("doc_id").agg(F.collect_list(F.struct("label", "start", "end", F.lit("").alias("text"))).alias("markers"))

@@ -25,10 +25,10 @@ def read_jsonl_repaired(spark: SparkSession, path: str, schema: str = RECORD) ->
     return parsed.where("_corrupt_record is null").drop("_corrupt_record")
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """One document per file: doc_id is the file's name without its ending."""
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return spark.read.option("wholetext", True).text(path).select(F.regexp_replace(name, r"\.[^.]*$", "").alias("doc_id"), F.col("value").alias("text"))
+def read_texts(spark: SparkSession, path: str, part: int = -1) -> DataFrame:
+    """One document per file: doc_id is the file's name without its ending, or that of another part of its path (-2: its folder's)."""
+    name = F.element_at(F.split(F.input_file_name(), "/"), part)
+    return spark.read.text(path, wholetext=True).select(F.regexp_replace(F.url_decode(name), r"\.[^.]*$", "").alias("doc_id"), F.col("value").alias("text"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -60,8 +60,15 @@ def has_labels(df: DataFrame, label: Column, rows: int = 200) -> bool:
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes and SHA-256 of every file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """path, bytes, SHA-256 and a preview (the first 200 bytes as text) of every file. Files are read whole, one at a time: for configuration and prompts, not for data."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.decode(F.substring("content", 1, 200), "UTF-8").alias("preview"))
+
+
+def collection(vectors: DataFrame, **filters) -> DataFrame:
+    """The rows of a vector table whose metadata columns have the given values: key, vector and metadata, as a collection returns them."""
+    for column, value in filters.items():
+        vectors = vectors.where(F.col(column) == value)
+    return vectors
 
 
 def rehydrate(ids: DataFrame, fetched: DataFrame, key: str = "_id") -> tuple[DataFrame, DataFrame]:

@@ -49,9 +49,19 @@ def package(rows: DataFrame, zip_path: str, name: str, limit: int = 1_000_000) -
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """table with the given columns from changes where these have the key."""
-    new = changes.select(key, *(F.col(c).alias(f"_new_{c}") for c in columns), F.lit(True).alias("_hit"))
-    return table.join(new, key, "left").select(*(F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns))
+    """table with the given columns from changes where these have the key, and the rows of changes whose key is new; columns that changes lacks are null there. Keys are unique in changes."""
+    hit, *new = ["_hit", *(f"_new_{c}" for c in columns)]
+    while {hit, *new} & set(table.columns):
+        hit, new = f"_{hit}", [f"_{c}" for c in new]
+    made = changes.select(F.col(key).alias(f"{hit}k"), F.lit(True).alias(hit), *(F.col(c).alias(n) for c, n in zip(columns, new, strict=True)))
+    j = table.join(made, F.col(key) == F.col(f"{hit}k"), "full")
+    pick = {c: F.when(F.col(hit), F.col(n)).otherwise(F.col(c)) for c, n in zip(columns, new, strict=True)}
+    return j.select(*(F.coalesce(F.col(key), F.col(f"{hit}k")).alias(key) if c == key else pick.get(c, F.col(c)).alias(c) for c in table.columns))
+
+
+def update_metadata(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """upsert() of the rows that are there; no new ones."""
+    return upsert(table, changes.join(table.select(key), key, "left_semi"), key, columns)
 
 
 def cache_misses(prompts: DataFrame, cache: DataFrame, prompt: str = "prompt") -> DataFrame:
@@ -60,6 +70,13 @@ def cache_misses(prompts: DataFrame, cache: DataFrame, prompt: str = "prompt") -
     return keyed.join(cache.where(F.trim("response") != "").select("key"), "key", "left_anti")
 
 
+def cache_add(cache: DataFrame, answers: DataFrame, prompt: str = "prompt", response: str = "response") -> DataFrame:
+    """The cache (key, response) with the filled responses to prompts that it lacks; of several answers to one prompt the first by text."""
+    filled = answers.where(F.trim(F.coalesce(response, F.lit(""))) != "").groupBy(F.sha2(F.col(prompt), 256).alias("key")).agg(F.min(response).alias("response"))
+    known = cache.where(F.trim("response") != "")
+    return known.select("key", "response").unionByName(filled.join(known.select("key"), "key", "left_anti"))
+
+
 def manifest(spark: SparkSession, sizes: dict[str, int], config: dict[str, str]) -> DataFrame:
     """One row: sizes and configuration as maps."""
     return spark.createDataFrame([(sizes, config)], "sizes map<string, long>, config map<string, string>")
