@@ -11,11 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, stage_dir, staged
+from .common import small, stage_dir, staged, unstage
 
 #: Payloads at least so long are written once; later captures of the same bytes refer to that one.
 REVISIT_BYTES = 1000
 FILE_BYTES = 8 << 20
+#: Archives are read so many bytes at a time, and records handed on when they have about so many.
+PIECE_BYTES, BATCH_BYTES = 1 << 16, 2 << 20
 EOL = "\r\n"
 PRIMARY = ("response", "revisit", "resource")
 RECORDS = "record_id string, type string, concurrent_to string, refers_to string, uri string, date string, payload_digest string, payload_bytes long, block string, payload binary, file string"
@@ -80,19 +82,79 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES)
     out.select(F.explode(records).alias("value")).write.option("lineSep", EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-def _parse(data: bytes, name: str, payloads: bool) -> Iterator[tuple]:
-    at = 0
+def _inflate(data: bytes) -> Iterator[bytes]:
+    """The contents of an archive, piece by piece: gzip members one after another, or plain records from where there is no member."""
+    view, at = memoryview(data), 0
     while at < len(data):
-        head = data.find(b"\r\n\r\n", at)
-        lines = data[at : max(head, at)].split(b"\r\n")
-        if head < 0 or not lines[0].startswith(b"WARC/"):
+        if data[at : at + 2] != b"\x1f\x8b":
+            for lo in range(at, len(data), PIECE_BYTES):
+                yield bytes(view[lo : lo + PIECE_BYTES])
+            return
+        z = zlib.decompressobj(31)
+        while not z.eof:
+            if at >= len(data):
+                raise ValueError("a gzip member is cut short")
+            chunk = view[at : at + PIECE_BYTES]
+            at += len(chunk)
+            if part := z.decompress(chunk):
+                yield part
+        at -= len(z.unused_data)
+
+
+class _Reader:
+    """Takes bytes off a stream of pieces, of which it holds no more than it must."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.held, self.at, self.done = pieces, bytearray(), 0, 0
+
+    def _more(self) -> bool:
+        part = next(self.pieces, None)
+        if part is None:
+            return False
+        if self.at > PIECE_BYTES:
+            del self.held[: self.at]
+            self.at = 0
+        self.held += part
+        return True
+
+    def upto(self, mark: bytes) -> bytes | None:
+        """What stands before mark, which is taken, too; None if it does not come."""
+        look = self.at
+        while (end := self.held.find(mark, look)) < 0:
+            behind = len(self.held) - self.at
+            if not self._more():
+                return None
+            look = max(self.at, self.at + behind - len(mark))
+        out = bytes(self.held[self.at : end])
+        self.done += end + len(mark) - self.at
+        self.at = end + len(mark)
+        return out
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) - self.at < n and self._more():
+            pass
+        out = bytes(self.held[self.at : self.at + n])
+        self.at += len(out)
+        self.done += len(out)
+        return out
+
+    def rest(self) -> bool:
+        return len(self.held) > self.at or self._more()
+
+
+def _parse(pieces: Iterator[bytes], name: str, payloads: bool) -> Iterator[tuple]:
+    source = _Reader(pieces)
+    while source.rest():
+        at = source.done
+        head = source.upto(b"\r\n\r\n")
+        lines = (head or b"").split(b"\r\n")
+        if head is None or not lines[0].startswith(b"WARC/"):
             raise ValueError(f"{name}: no record at byte {at}")
         h = {k.strip().lower(): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines[1:])}
-        begin, n = head + 4, int(h[b"content-length"])
-        block = data[begin : begin + n]
-        if len(block) < n or data[begin + n : begin + n + 4] != b"\r\n\r\n":
+        n = int(h[b"content-length"])
+        block = source.take(n)
+        if len(block) < n or source.take(4) != b"\r\n\r\n":
             raise ValueError(f"{name}: record at byte {at} is cut short")
-        at = begin + n + 4
         kind, digest, size, payload, text = h.get(b"warc-type"), None, None, None, None
         if kind in PRIMARY:
             http, _, rest = block.partition(b"\r\n\r\n")
@@ -112,21 +174,24 @@ def _parse(data: bytes, name: str, payloads: bool) -> Iterator[tuple]:
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of plain or gzipped archives under path: a row each, payload null unless payloads are asked for.
 
-    payload_digest is the hex SHA-1 of a response's payload as read (checked against its header) or, of a revisit,
-    what its header says; payload_bytes of a revisit is what its HTTP header says. A damaged archive is an error.
+    Members are inflated piece by piece and records handed on as they come, so that a task holds an archive as it is
+    stored, and a few records. payload_digest is the hex SHA-1 of a response's payload as read (checked against its
+    header) or, of a revisit, what its header says; payload_bytes of a revisit is what its HTTP header says. A damaged archive is an error.
     """
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                raw = b""
-                while data[:2] == b"\x1f\x8b":  # members one after another
-                    z = zlib.decompressobj(31)
-                    raw += z.decompress(data) + z.flush()
-                    data = z.unused_data
-                rows = list(_parse(raw + data, name, payloads))
-                yield pd.DataFrame(rows, columns=names)
+                rows, held = [], 0
+                for row in _parse(_inflate(data), name, payloads):
+                    rows.append(row)
+                    held += 500 + len(row[8] or "") + len(row[9] or b"")
+                    if held > BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(parse, RECORDS)
@@ -135,18 +200,29 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, request, response (or revisit, or resource) and metadata.
 
-    A request or metadata record belongs to the record its WARC-Concurrent-To names, also by way of another
-    request or metadata record; a response that itself names a request draws that request to it. Records that name
-    nothing stand alone. request and response are structs (null if missing; of several the one with the largest
-    record_id), metadata an array of structs ordered by record_id. Records without a type or id are left out.
+    A request or metadata record belongs to the record its WARC-Concurrent-To names, also by way of any number of
+    other requests or metadata records; a response that itself names a request draws that request to it. Records that
+    name nothing stand alone, as do those that name one another in a circle. request and response are structs (null
+    if missing; of several the one with the largest record_id), metadata an array of structs ordered by record_id.
+    Records without a type or id are left out.
     """
     known = records.where("type is not null and record_id is not null")
     primary = F.col("type").isin(*PRIMARY)
     up = known.where("concurrent_to is not null").select(F.when(primary, F.col("concurrent_to")).otherwise(F.col("record_id")).alias("id"), F.when(primary, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("up"))
     up = staged(up.groupBy("id").agg(F.min("up").alias("up")), "up")
-    rest = known.where(~primary).withColumn("root", F.coalesce("concurrent_to", "record_id"))
-    for k in range(2):
-        rest = rest.join(up.select(F.col("id").alias("root"), F.col("up").alias(f"up{k}")), "root", "left").withColumn("root", F.coalesce(f"up{k}", "root")).drop(f"up{k}")
+    open_ = before = None
+    while True:  # each round a record names what the one that it names does
+        on = staged(up.join(up.select(F.col("id").alias("up"), F.col("up").alias("next")), "up"), "chains")
+        n = on.count()
+        if not n or n == open_ and n == before:
+            break
+        before, open_ = open_, n
+        further = staged(up.join(on.select("id", "next"), "id", "left").select("id", F.coalesce("next", "up").alias("up")), "up")
+        unstage(up, on)
+        up = further
+    circles = on.select("id")
+    rest = known.where(~primary).withColumn("id", F.col("record_id")).join(up, "id", "left").join(circles.withColumn("circle", F.lit(True)), "id", "left")
+    rest = rest.withColumn("root", F.when(F.col("circle"), F.col("record_id")).otherwise(F.coalesce("up", "record_id"))).select(*known.columns, "root")
     every = known.where(primary).withColumn("root", F.col("record_id")).unionByName(rest)
     one = F.struct("record_id", *[c for c in records.columns if c != "record_id"])
     return every.groupBy(F.col("root").alias("capture_id")).agg(

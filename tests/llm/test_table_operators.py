@@ -1,5 +1,6 @@
 """Sharding, classifier, archives, URL rules, mixing, pictures and the pipeline."""
 
+import gzip
 import hashlib
 import itertools
 import random
@@ -154,16 +155,28 @@ def test_warc_round_trip(spark):
 def test_transactions_through_chains(spark):
     rec = lambda id_, kind, to=None: (id_, kind, to, None, None, None, None, None, "", None, "f")
     records = spark.createDataFrame([rec("r1", "response"), rec("q1", "request", "r1"), rec("m1", "metadata", "q1"), rec("r2", "response", "q2"), rec("q2", "request"), rec("m2", "metadata", "q2"), rec("lone", "request"), rec(None, "response")], warc.RECORDS)
-    got = {r["capture_id"]: (r["request"] and r["request"]["record_id"], r["response"] and r["response"]["record_id"], [m["record_id"] for m in r["metadata"]]) for r in warc.assemble(records).collect()}
-    assert got == {"r1": ("q1", "r1", ["m1"]), "r2": ("q2", "r2", ["m2"]), "lone": ("lone", None, [])}
+    read = lambda df: {r["capture_id"]: (r["request"] and r["request"]["record_id"], r["response"] and r["response"]["record_id"], [m["record_id"] for m in r["metadata"]]) for r in warc.assemble(df).collect()}
+    assert read(records) == {"r1": ("q1", "r1", ["m1"]), "r2": ("q2", "r2", ["m2"]), "lone": ("lone", None, [])}
+    long = [rec("r", "response")] + [rec(f"m{i:02d}", "metadata", f"m{i - 1:02d}" if i else "r") for i in range(21)] + [rec("c1", "metadata", "c2"), rec("c2", "metadata", "c1")]
+    assert read(spark.createDataFrame(long, warc.RECORDS)) == {"r": (None, "r", [f"m{i:02d}" for i in range(21)]), "c1": (None, None, ["c1"]), "c2": (None, None, ["c2"])}
 
 
 def test_damaged_archives_are_errors():
     good = b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    assert [r[8] for r in warc._parse(good * 2, "f", True)] == ["abc", "abc"]
-    for bad in (good[:-3], b"junk" + good, good.replace(b"3", b"9")):
+    assert [r[8] for r in warc._parse(warc._inflate(good * 2), "f", True)] == ["abc", "abc"]
+    for bad in (good[:-3], b"junk" + good, good.replace(b"3", b"9"), gzip.compress(good)[:-9]):
         with pytest.raises(ValueError):
-            list(warc._parse(bad, "f", True))
+            list(warc._parse(warc._inflate(bad), "f", True))
+
+
+def test_archives_of_many_members(monkeypatch):
+    """A member for each record, and one for several; read in time that grows with the archive only."""
+    record = lambda body: b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n" % (len(body), len(body) + 4) + b"\r\n\r\n" + body + b"\r\n\r\n"
+    bodies = [bytes([97 + i % 26]) * (i * 37 % 5000) for i in range(600)]
+    archive = b"".join(gzip.compress(record(b)) for b in bodies[:400]) + gzip.compress(b"".join(map(record, bodies[400:500]))) + b"".join(map(record, bodies[500:]))
+    for piece in (1 << 16, 100, 7):
+        monkeypatch.setattr(warc, "PIECE_BYTES", piece)
+        assert [r[9] for r in warc._parse(warc._inflate(archive), "f", True)] == bodies
 
 
 # ---------------------------------------------------------------- URL rules
