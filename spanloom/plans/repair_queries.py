@@ -234,7 +234,7 @@ def clip_and_slice(spark, d):
 
 @query(f"""{W}, t as (select doc_id, i, tok from tokens), q as (select m.doc_id, m.label, m.start, m.span_text, b.tok as before from marked m join tokens k on k.doc_id = m.doc_id and k.s = m.start join t b on b.doc_id = m.doc_id and b.i = k.i - 1),
 p as (select doc_id, list({{'label': label, 'at': start, 'q': span_text, 'b': before}}) as l from q where before <> '' and not regexp_matches(before || span_text, '[\\t\\r\\n\\f\\v]') group by 1),
-x as (select doc_id, unnest(list_transform(l, lambda s: {{'label': s.label, 'at': s.at, 'start': instr(text, s.b || ' ' || s.q) + length(s.b), 'n': length(s.q)}})) as s from p join documents using (doc_id))
+x as (select doc_id, unnest(list_transform(l, lambda s: {{'label': s.label, 'at': s.at, 'start': length(regexp_extract(text, '(?s)^(.*?' || regexp_escape(s.b) || '\\s*)' || array_to_string(list_transform(string_split(s.q, ' '), lambda w: regexp_escape(w)), '\\s+'), 1)), 'n': length(s.q)}})) as s from p join documents using (doc_id))
 select doc_id, s.label as label, s.at as at, s.start as start, s.start + s.n as "end" from x""")
 def locate_by_context(spark, d):
     """Quotes with the word before them: where both stand together first."""
