@@ -259,14 +259,51 @@ def test_surrogates_keep_type_and_coreference(spark):
     assert surrogates._luhn(card[3]) == 0 and got[1][0][card[0] : card[1]].count(" ") == 3
     assert got[2][0].endswith("clean 2020-01-02 3.14")
     names = [e[2] for e in surrogates.find_entities(got[3][0])]
-    assert names == ["name:f:latin", "name:m:latin", "name:m:cyrillic"]
+    assert names == ["given:f:latin", "surname:latin", "given:m:latin", "surname:latin", "given:m:cyrillic", "surname:cyrillic"]
+    last = [got[3][0][e[0] : e[1]] for e in surrogates.find_entities(got[3][0]) if e[2] == "surname:latin"]
+    assert last[0] == last[1]
+
+
+def test_mentions_of_one_person_stay_together(spark):
+    text = "Dr. Maria Lopez called. Later Lopez said that Maria left. Mrs. Lopez agreed. MARIA LOPEZ signed. Contact Juan Perez. Passport no: AB1234567, born on 03/04/1980, 12 Elm Street, token: abcdef123456."
+    new = surrogates.with_surrogates(frame(spark, [text, "Juan Perez and Mr. Juan Lopez"]), KEY).orderBy("doc_id").collect()
+    got = new[0]["text"]
+    for real in ("Maria", "Lopez", "MARIA", "LOPEZ", "Juan", "Perez", "AB1234567", "03/04/1980", "12 Elm", "abcdef123456"):
+        assert real not in got
+    m = __import__("re").fullmatch(r"Dr\. (\w+) (\w+) called\. Later (\w+) said that (\w+) left\. Mrs\. (\w+) agreed\. (\w+) (\w+) signed\. Contact (\w+) (\w+)\. Passport no: [A-Z]{2}\d{7}, born on \d\d/\d\d/\d{4}, \d\d \w+ Street, token: [a-z]{6}\d{6}\.", got)
+    assert m and m[2] == m[3] == m[5] and m[1] == m[4] and (m[6], m[7]) == (m[1].upper(), m[2].upper())
+    assert new[1]["text"] == f"{m[8]} {m[9]} and Mr. {m[8]} {m[2]}"
+
+
+def test_surrogates_are_one_to_one(spark):
+    """Brute force over a table of many entities: equal ones have equal surrogates, different ones different ones, none is real, forms stay."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    domains = [word(2) + ".org" for _ in range(60)] + [word(5) + ".co.uk" for _ in range(20)]
+    real = [f"{word(1)}@{rng.choice(domains)}" for _ in range(300)] + [f"{rng.randrange(10**9):09d}" for _ in range(100)]
+    names = [(rng.choice(["Mr", "Ms"]), word(4).capitalize(), word(4).capitalize()) for _ in range(120)]
+    texts = [f"see {x} now" for x in real + real[:50]] + [f"{t} {g} {n} came" for t, g, n in names]
+    got = [r["text"] for r in surrogates.with_surrogates(frame(spark, texts), KEY).orderBy("doc_id").collect()]
+    forward, back, hosts = {}, {}, {}
+    for x, t in zip(real + real[:50], got, strict=False):
+        y = t.split()[1]
+        assert forward.setdefault(x, y) == y and back.setdefault(y, x) == x and y not in set(real) and len(y.split("@")) == len(x.split("@"))
+        if "@" in x:
+            a, b = x.split("@")[1], y.split("@")[1]
+            assert hosts.setdefault(a, b) == b and a.split(".")[1:] == b.split(".")[1:]
+    assert len(set(hosts.values())) == len(hosts) and not set(hosts.values()) & set(hosts)
+    for place in (1, 2):
+        forward, back = {}, {}
+        for n, t in zip(names, got[len(real) + 50 :], strict=True):
+            y = t.split()[place]
+            assert forward.setdefault(n[place], y) == y and back.setdefault(y, n[place]) == n[place]
 
 
 def test_surrogates_stay_distinct(spark, monkeypatch):
     real = surrogates.surrogate
-    monkeypatch.setattr(surrogates, "surrogate", lambda key, kind, canon, attempt=0: f"9.9.9.{len(canon) % 2 + attempt}")
+    monkeypatch.setattr(surrogates, "surrogate", lambda key, kind, canon, attempt=0: "9.9.9.9")
     with pytest.raises(RuntimeError):
-        monkeypatch.setattr(surrogates, "ROUNDS", 2)
+        monkeypatch.setattr(surrogates, "STUCK_ROUNDS", 2)
         surrogates.with_surrogates(frame(spark, [f"ip 11.2.3.{i}" for i in range(60)]), KEY)
     monkeypatch.setattr(surrogates, "surrogate", real)
     texts = [f"Mr Adam{i}" for i in range(10)] + [f"Dr {n}" for n in ("Korlan", "Merlan")] + [f"ip 11.2.{i}.3" for i in range(50)]
