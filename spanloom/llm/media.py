@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -12,24 +13,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, small, staged
+from .common import chunks, fresh, small, staged
 from .graph import components
 
-SCALES = (1.0, 0.75, 0.5625)
-CORNERS, BITS, PATCH, MARGIN = 16, 128, 8, 12
-TABLES = 6
-#: Of a descriptor's bits a table compares so many.
-KEY_BITS = 64
-VOTES = 6
+#: Levels of a picture, corners of each, and the smoothing of a level in its pixels.
+SCALES, CORNERS, SIGMA = (1.0, 0.84, 0.71, 0.59, 0.5), 16, 1.0
+#: Tests of a descriptor, the radius of the patch they are in, and how far corners keep from the edge.
+BITS, PATCH = 128, 12
+MARGIN = PATCH + 2
+#: Tables, and the bits of a descriptor that one compares.
+TABLES, KEY_BITS = 12, 26
+VOTES = 5
 #: Matched descriptors differ in at most so many bits.
-DISTANCE = 16
+DISTANCE = 28
 #: Pictures are compared in pairs of blocks of about so many; in a task SLICE of them at a time, and so many pairs of features.
-BLOCK, LEAST_BLOCKS, SLICE, PAIRS = 8_000, 3, 250, 1 << 20
-_RNG = np.random.default_rng(1234)
-_TESTS = np.clip(_RNG.normal(0, PATCH / 2, (BITS, 4)), -PATCH, PATCH)
-_TABLE_BITS = [_RNG.permutation(BITS) for _ in range(TABLES)]
-#: A picture and its features(): rows of x, y, scale and angle (32-bit floats), then rows of two 64-bit words.
-_FEATURE = "key binary, data binary"
+BLOCK, LEAST_BLOCKS, SLICE, PAIRS = 8_000, 3, 500, 1 << 20
+#: Pictures of one size are measured so many pixels at a time.
+STACK_PIXELS = 1 << 18
+
+
+def _tests() -> np.ndarray:
+    """Pairs of points within a disc, drawn evenly, which a turn leaves in it."""
+    rng = np.random.default_rng(1234)
+    points = rng.uniform(-PATCH, PATCH, (BITS * 8, 2))
+    points = points[np.hypot(points[:, 0], points[:, 1]) <= PATCH][: 2 * BITS]
+    return points.reshape(BITS, 4)
+
+
+_TESTS = _tests()
+_TABLE_BITS = [np.random.default_rng(100 + t).permutation(BITS)[:KEY_BITS] for t in range(TABLES)]
+#: A corner: place in quarters of a pixel, level, and angle in 256ths of a turn.
+_CORNER = np.dtype([("x", "<u2"), ("y", "<u2"), ("level", "u1"), ("angle", "u1")])
+_FEATURE_BYTES = _CORNER.itemsize + BITS // 8
 
 
 # ---------------------------------------------------------------- pictures
@@ -104,21 +119,21 @@ def decode(data: bytes | None) -> np.ndarray | None:
     return None
 
 
-def _resize(px: np.ndarray, scale: float) -> np.ndarray:
-    h, w = max(1, int(px.shape[0] * scale)), max(1, int(px.shape[1] * scale))
-    y, x = np.clip((np.arange(h) + 0.5) / scale - 0.5, 0, px.shape[0] - 1), np.clip((np.arange(w) + 0.5) / scale - 0.5, 0, px.shape[1] - 1)
-    y0, x0 = y.astype(int), x.astype(int)
-    y1, x1 = np.minimum(y0 + 1, px.shape[0] - 1), np.minimum(x0 + 1, px.shape[1] - 1)
-    fy, fx = (y - y0)[:, None], (x - x0)[None, :]
-    return (px[y0][:, x0] * (1 - fx) + px[y0][:, x1] * fx) * (1 - fy) + (px[y1][:, x0] * (1 - fx) + px[y1][:, x1] * fx) * fy
+@functools.lru_cache(maxsize=256)
+def _sampler(n: int, scale: float) -> np.ndarray:
+    """A matrix that takes n values to those of a level: Gaussian means about its pixels' centres."""
+    m = max(1, int(n * scale))
+    centre = (np.arange(m) + 0.5) / scale - 0.5
+    w = np.exp(-((np.arange(n)[None] - centre[:, None]) ** 2) / (2 * (SIGMA / scale) ** 2))
+    return (w / w.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def _blur(px: np.ndarray, r: int) -> np.ndarray:
-    """Means over squares of 2r+1 pixels, the edge repeated."""
-    h, w = px.shape
-    p = np.pad(px, r, mode="edge")
-    p = sum((p[k : k + h] for k in range(1, 2 * r + 1)), p[:h])
-    return sum((p[:, k : k + w] for k in range(1, 2 * r + 1)), p[:, :w]) / (2 * r + 1) ** 2
+    """Means over squares of 2r+1 pixels of a stack of pictures, the edge repeated."""
+    h, w = px.shape[1:]
+    p = np.pad(px, ((0, 0), (r, r), (r, r)), mode="edge")
+    p = sum((p[:, k : k + h] for k in range(1, 2 * r + 1)), p[:, :h])
+    return sum((p[:, :, k : k + w] for k in range(1, 2 * r + 1)), p[:, :, :w]) / (2 * r + 1) ** 2
 
 
 _DY, _DX = (a.ravel() for a in np.mgrid[-PATCH : PATCH + 1, -PATCH : PATCH + 1])
@@ -126,35 +141,62 @@ _DISC = _DX**2 + _DY**2 <= PATCH**2
 _DY, _DX = _DY[_DISC], _DX[_DISC]
 
 
-def features(px: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Up to CORNERS corners at each scale: rows of x, y (in the picture's pixels), scale and angle; and their BITS tests."""
-    at, bits = [], []
-    for scale in SCALES:
-        img = _resize(px, scale) if scale != 1 else px
-        if min(img.shape) <= 2 * MARGIN + 2:
+def features(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of a stack of pictures of one size up to CORNERS corners of every level: records of _CORNER, and their BITS tests.
+
+    A corner's angle is the direction of the brightness about it; tests are turned by it, and compare smoothed pixels.
+    """
+    n, height, width = stack.shape
+    own, at, bits = [], [], []
+    for level, scale in enumerate(SCALES):
+        img = _sampler(height, scale) @ stack.astype(np.float32) @ _sampler(width, scale).T
+        h, w = img.shape[1:]
+        if min(h, w) <= 2 * MARGIN + 2:
             continue
-        img = _blur(img, 1)
-        gy, gx = np.gradient(img)
+        gy, gx = np.zeros_like(img), np.zeros_like(img)
+        gy[:, 1:-1] = (img[:, 2:] - img[:, :-2]) / 2
+        gx[:, :, 1:-1] = (img[:, :, 2:] - img[:, :, :-2]) / 2
         xx, yy, xy = (_blur(g, 2) for g in (gx * gx, gy * gy, gx * gy))
         r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        inner = r[1:-1, 1:-1]
-        peak = np.all([inner >= r[1 + dy : r.shape[0] - 1 + dy, 1 + dx : r.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0) & (inner > 1.0)
-        y, x = np.nonzero(peak)
-        y, x = y + 1, x + 1
-        ok = (y >= MARGIN) & (x >= MARGIN) & (y < img.shape[0] - MARGIN) & (x < img.shape[1] - MARGIN)
-        y, x = y[ok], x[ok]
-        best = np.lexsort((x, y, -r[y, x]))[:CORNERS]
-        y, x = y[best], x[best]
-        if not len(y):
+        inner = r[:, MARGIN : h - MARGIN, MARGIN : w - MARGIN]
+        near = r[:, MARGIN - 1 : h - MARGIN + 1, MARGIN - 1 : w - MARGIN + 1]
+        near = np.maximum(np.maximum(near[:, :-2], near[:, 1:-1]), near[:, 2:])
+        near = np.maximum(np.maximum(near[:, :, :-2], near[:, :, 1:-1]), near[:, :, 2:])
+        peak = np.where((inner >= near) & (inner > 1.0), inner, 0).reshape(n, -1)
+        k = min(CORNERS, peak.shape[1])
+        best = np.argsort(-peak, axis=1, kind="stable")[:, :k] if peak.shape[1] <= 64 else _greatest(peak, k)
+        who, nth = np.nonzero(np.take_along_axis(peak, best, axis=1) > 0)
+        if not len(who):
             continue
-        patch = img[y[:, None] + _DY, x[:, None] + _DX]
+        place = best[who, nth]
+        y, x = place // inner.shape[2] + MARGIN, place % inner.shape[2] + MARGIN
+        soft = _blur(img, 2)
+        patch = soft[who[:, None], y[:, None] + _DY, x[:, None] + _DX]
         angle = np.arctan2((patch * _DY).sum(axis=1), (patch * _DX).sum(axis=1))
         c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
-        turn = lambda u, v: (np.rint(np.clip(y[:, None] + s * u + c * v, 0, img.shape[0] - 1)).astype(int), np.rint(np.clip(x[:, None] + c * u - s * v, 0, img.shape[1] - 1)).astype(int))
-        soft = _blur(img, 1)
+        turn = lambda u, v: (who[:, None], np.rint(y[:, None] + s * u + c * v).astype(np.int64), np.rint(x[:, None] + c * u - s * v).astype(np.int64))
         bits.append(soft[turn(_TESTS[:, 0], _TESTS[:, 1])] < soft[turn(_TESTS[:, 2], _TESTS[:, 3])])
-        at.append(np.column_stack([x / scale, y / scale, np.full(len(x), scale), angle]))
-    return (np.concatenate(at), np.concatenate(bits)) if at else (np.zeros((0, 4)), np.zeros((0, BITS), bool))
+        corner = np.zeros(len(who), dtype=_CORNER)
+        corner["x"], corner["y"] = (np.minimum(np.rint(((v + 0.5) / scale - 0.5) * 4), 65535) for v in (x, y))
+        corner["level"], corner["angle"] = level, np.rint(angle / (2 * np.pi) * 256).astype(np.int64) % 256
+        at.append(corner)
+        own.append(who)
+    if not own:
+        return [(np.zeros(0, _CORNER), np.zeros((0, BITS), bool))] * n
+    own, at, bits = np.concatenate(own), np.concatenate(at), np.concatenate(bits)
+    order = np.argsort(own, kind="stable")
+    cut = np.searchsorted(own[order], np.arange(n + 1))
+    return [(at[order[i:j]], bits[order[i:j]]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _greatest(v: np.ndarray, k: int) -> np.ndarray:
+    """The places of each row's k greatest values, of equals the first, in no order."""
+    return np.argpartition(-v + np.arange(v.shape[1], dtype=np.float64) * 1e-9, k - 1, axis=1)[:, :k]
+
+
+def _unpacked(at: np.ndarray) -> np.ndarray:
+    """Rows of x, y, scale and angle."""
+    return np.column_stack([at["x"] / 4, at["y"] / 4, np.array(SCALES)[at["level"]], at["angle"] / 256 * 2 * np.pi])
 
 
 def _words(bits: np.ndarray) -> np.ndarray:
@@ -163,16 +205,27 @@ def _words(bits: np.ndarray) -> np.ndarray:
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (key, id, own, image) with the features of the picture in place of it; null for none. Equal pictures of a batch are read once."""
     for pdf in batches:
-        rows = []
-        for key, data in zip(*(pdf.drop_duplicates("key")[c] for c in ("key", "image")), strict=True):
-            px = decode(data)
+        groups: dict[tuple, list] = {}
+        data: dict[bytes, bytes] = {}
+        first = pdf.drop_duplicates("own")
+        for own, image in zip(first["own"], first["image"], strict=True):
+            px = decode(image)
             if px is None:
                 continue
-            at, bits = features(px)
-            if len(bits):
-                rows.append((key, at.astype(np.float32).tobytes() + _words(bits).tobytes()))
-        yield pd.DataFrame(rows, columns=["key", "data"])
+            held = groups.setdefault(px.shape, [])
+            held.append((own, px))
+            if len(held) * px.size >= STACK_PIXELS:
+                data |= _measured(groups.pop(px.shape))
+        for held in groups.values():
+            data |= _measured(held)
+        yield pd.DataFrame({"id": pdf["id"], "own": pdf["own"], "data": [data.get(k) for k in pdf["own"]]})
+
+
+def _measured(held: list[tuple[bytes, np.ndarray]]) -> dict[bytes, bytes]:
+    found = features(np.stack([px for _, px in held]))
+    return {own: at.tobytes() + _words(bits).tobytes() for (own, _), (at, bits) in zip(held, found, strict=True) if len(at)}
 
 
 # ---------------------------------------------------------------- matching
@@ -194,37 +247,53 @@ def consensus(a: np.ndarray, b: np.ndarray, slack: float = 3.0) -> int:
 
 
 class _Block:
-    """The features of some pictures, one after another, and for each table their compared bits in order."""
+    """The features of some pictures, one after another, and for each table their compared bits, in order."""
 
     def __init__(self, data: list[bytes]) -> None:
-        n = np.array([len(d) // 32 for d in data], dtype=np.int64)
+        n = np.array([len(d) // _FEATURE_BYTES for d in data], dtype=np.int64)
         self.first = np.concatenate([[0], np.cumsum(n)])
-        self.own = np.repeat(np.arange(len(data)), n)
-        self.at = np.frombuffer(b"".join(d[: len(d) // 2] for d in data), np.float32).reshape(-1, 4).astype(float)
-        self.words = np.frombuffer(b"".join(d[len(d) // 2 :] for d in data), np.uint64).reshape(-1, 2)
-        bits = np.unpackbits(self.words.view(np.uint8).reshape(-1, BITS // 8), axis=1)
-        self.keys = [np.ascontiguousarray(np.packbits(bits[:, order[:KEY_BITS]], axis=1)).view(np.uint64).ravel() for order in _TABLE_BITS]
-        self.order = [np.argsort(k, kind="stable") for k in self.keys]
-        self.sorted = [k[o] for k, o in zip(self.keys, self.order, strict=True)]
+        self.own = np.repeat(np.arange(len(data), dtype=np.int32), n)
+        split = [k * _CORNER.itemsize for k in n]
+        self.at = np.frombuffer(b"".join(d[:k] for d, k in zip(data, split, strict=True)), _CORNER)
+        self.words = np.frombuffer(b"".join(d[k:] for d, k in zip(data, split, strict=True)), np.uint64).reshape(-1, 2)
+        raw = self.words.view(np.uint8).reshape(-1, BITS // 8)
+        self.keys = [np.zeros(len(raw), dtype=np.uint32) for _ in range(TABLES)]
+        for key, bits in zip(self.keys, _TABLE_BITS, strict=True):
+            for b in bits.tolist():
+                key <<= 1
+                key |= (raw[:, b // 8] >> (7 - b % 8)) & 1
+
+    @functools.cached_property
+    def order(self) -> list[np.ndarray]:
+        return [np.argsort(k, kind="stable").astype(np.int32) for k in self.keys]
+
+    @functools.cached_property
+    def sorted(self) -> list[np.ndarray]:
+        return [k[o] for k, o in zip(self.keys, self.order, strict=True)]
 
 
 def _matches(left: _Block, right: _Block, lo: int, hi: int, twins: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Features of left's pictures lo to hi and of right within DISTANCE that agree in a table, each pair once. twins: left is right; pairs of a picture and a later one, or itself where twins."""
-    rows = np.arange(left.first[lo], left.first[hi])
+    every = np.arange(left.first[lo], left.first[hi])
     for t in range(TABLES):
+        rows = every[np.argsort(left.keys[t][every], kind="stable")]  # searched in order
         begin = np.searchsorted(right.sorted[t], left.keys[t][rows], side="left")
         n = np.searchsorted(right.sorted[t], left.keys[t][rows], side="right") - begin
+        some = np.flatnonzero(n)
+        rows, begin, n = rows[some], begin[some], n[some]
         for i, j in chunks(n, PAIRS):
             m = n[i:j]
             a = np.repeat(rows[i:j], m)
-            b = right.order[t][np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin[i:j], m)]
+            b = right.order[t][np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin[i:j], m)].astype(np.int64)
             if twins is not None:
                 keep = (right.own[b] > left.own[a]) | ((right.own[b] == left.own[a]) & twins[left.own[a]])
                 a, b = a[keep], b[keep]
-            keep = np.bitwise_count(left.words[a] ^ right.words[b]).sum(axis=1, dtype=np.int64) <= DISTANCE
+            keep = np.flatnonzero(np.bitwise_count(left.words[a] ^ right.words[b]).sum(axis=1, dtype=np.int64) <= DISTANCE)
+            a, b = a[keep], b[keep]
             for u in range(t):
-                keep &= left.keys[u][a] != right.keys[u][b]
-            yield a[keep], b[keep]
+                new = left.keys[u][a] != right.keys[u][b]
+                a, b = a[new], b[new]
+            yield a, b
 
 
 def _linked(least: int):
@@ -247,7 +316,7 @@ def _linked(least: int):
 
         for lo in range(0, len(keys[0]), SLICE):
             a, b = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *_matches(left, right, lo, min(lo + SLICE, len(keys[0])), twins), strict=True))
-            pair = left.own[a] * len(keys[-1]) + right.own[b]
+            pair = left.own[a].astype(np.int64) * len(keys[-1]) + right.own[b]
             _, where, votes = np.unique(pair, return_inverse=True, return_counts=True)
             a, b, pair = (x[votes[where] >= least] for x in (a, b, pair))
             order = np.lexsort((b, a, pair))
@@ -255,7 +324,7 @@ def _linked(least: int):
             starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else []
             for i, j in zip(starts, [*starts[1:], len(pair)], strict=False):
                 p, q = keys[0][left.own[a[i]]], keys[-1][right.own[b[i]]]
-                x, y = left.at[a[i:j]], right.at[b[i:j]]
+                x, y = _unpacked(left.at[a[i:j]]), _unpacked(right.at[b[i:j]])
                 if (consensus(x, y) if p <= q else consensus(y, x)) < least:
                     continue
                 if p == q:
@@ -288,13 +357,15 @@ def picture_copies(media: DataFrame, image: str = "image", key: str = "media_id"
     Pictures of equal bytes are one beforehand (each linked to the others); others are linked if at least ``least``
     corners agree on one shift, turn and scale, which crops and changes of brightness keep. n_links counts rows
     linked to the picture directly. Null and undecodable pictures are linked only to equal bytes, null to none;
-    a picture without corners likewise. Pictures of equal features are compared once. Keys are integers; repeated rows count each.
+    a picture without corners likewise. Pictures of equal features are compared once. Keys are integers, null ones
+    too; repeated rows count each.
     """
-    own = F.unhex(F.md5(image))
-    src = media.select(F.col(key).cast("long").alias("id"), own.alias("key"), F.col(image).alias("image"))
-    classes = staged(src.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")), "pictures")
-    # Features depend on a picture's bytes alone: copies within a batch are read once, those left over go here.
-    found = staged(src.where("key is not null").select("key", "image").mapInPandas(_extract, _FEATURE).dropDuplicates(["key"]), "features")
+    clash = fresh(media, "own")[0]
+    # One pass over the pictures: what follows needs their keys, digests and features only.
+    rows = media.select(F.col(key).cast("long").alias("id"), F.unhex(F.md5(image)).alias("own"), F.col(image).alias("image"))
+    rows = staged(rows.mapInPandas(_extract, "id long, own binary, data binary"), "features")
+    classes = staged(rows.where("own is not null").groupBy(F.col("own").alias("key")).agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("data", ignorenulls=True).alias("data")), "pictures")
+    found = classes.where("data is not null").select("key", "data")
     # Pictures of equal features are compared as one, the node, which counts for all their rows.
     nodes = staged(found.withColumn("equal", F.sha2("data", 256)).groupBy("equal").agg(F.min("key").alias("node")), "nodes")
     placed = staged(found.select("key", F.sha2("data", 256).alias("equal")).join(nodes, "equal").select("key", "node").join(classes.select("key", "n"), "key"), "placed")
@@ -312,21 +383,33 @@ def picture_copies(media: DataFrame, image: str = "image", key: str = "media_id"
     out = staged(out.withColumns({"root": F.coalesce("root", "key"), "links": F.coalesce("links", F.lit(0)) + F.col("n") - 1}), "linked")
     least_id = staged(out.groupBy("root").agg(F.min("least").alias("class_id")), "class_ids")
     labels = staged(out.join(least_id, "root").select("key", "class_id", "links"), "labels")
-    got = media.select(key, own.alias("_own")).join(labels.withColumnRenamed("key", "_own"), "_own", "left")
-    return got.select(key, F.coalesce("class_id", F.col(key).cast("long")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    got = rows.select(F.col("id").alias(key), F.col("own").alias(clash)).join(labels.withColumnRenamed("key", clash), clash, "left")
+    return got.select(F.col(key).cast(dict(media.dtypes)[key]).alias(key), F.coalesce("class_id", F.col(key).cast("long")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
 # ---------------------------------------------------------------- a media column for tables that have vectors only
 
 
+_WAVES, _LOWEST, _STEP = 22, 3.0, 1.5
+
+
+@functools.cache
+def _mixture(n: int) -> np.ndarray:
+    """Weights of the waves by a vector's n components: random, and less for high waves, as in photographs."""
+    f = _LOWEST + _STEP * np.arange(_WAVES)
+    return np.random.default_rng(77).normal(size=(_WAVES, _WAVES, n)) / (np.hypot(f[:, None], f[None]) ** 0.75)[:, :, None]
+
+
+@functools.cache
+def _basis(side: int) -> np.ndarray:
+    return np.cos(np.pi * np.outer(_LOWEST + _STEP * np.arange(_WAVES), np.arange(side) + 0.5) / side)
+
+
 def waves(vector: list[float], side: int = 96) -> np.ndarray:
-    """Grey levels of a sum of waves along both axes, weighed by the vector."""
+    """Grey levels of a sum of waves of many lengths along both axes, weighed by the vector's direction: near vectors give near pictures."""
     x = np.nan_to_num(np.array([0.0 if e is None else e for e in vector], dtype=float))
-    n = int(np.ceil(np.sqrt(len(x))))
-    weight = np.zeros(n * n)
-    weight[: len(x)] = x / max(np.linalg.norm(x), 1e-9)
-    basis = np.cos(np.pi * np.outer(np.arange(n) + 4, np.arange(side) + 0.5) / side)
-    return 127 + 110 * np.tanh(basis.T @ weight.reshape(n, n) @ basis * 1.5)
+    out = _basis(side).T @ (_mixture(len(x)) @ (x / max(np.linalg.norm(x), 1e-9))) @ _basis(side)
+    return 127 + 110 * np.tanh(0.7 * out / max(out.std(), 1e-9))
 
 
 def render_vectors(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
