@@ -215,7 +215,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, text: str = "text") -> D
     total, any_, hot = wanted.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*"), F.coalesce(F.max("hot"), F.lit(False))).first()
     unstage(per, mixed)
     if any_:
-        one = src.select("key", "text").join(small(wanted.select("key", "s")), "key").select("text", F.explode("s").alias("s"))
+        one = src.select("key", "text").join(wanted.select("key", "s"), "key")  # grows with the table: no broadcast.select("text", F.explode("s").alias("s"))
         one = one.select("s.*", F.expr("substring(text, int(s.at) + 1, int(s.bytes))").alias("segment"))
         shards = max(12, int(total / SHARD_BYTES))
         sort, kind = _shard(length)
@@ -228,7 +228,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, text: str = "text") -> D
     for more in marks[1:]:
         every = every.unionByName(more.select("mer", "print", "ranges"))
     every = staged(every, "marks")
-    found = rows.join(small(every), ["mer", "print"]).select("key", F.expr(f"transform(ranges, r -> named_struct('begin', at + r.a, 'end', at + r.b - 1 + {length}))").alias("ranges"))
+    found = rows.join(every, ["mer", "print"]).select("key", F.expr(f"transform(ranges, r -> named_struct('begin', at + r.a, 'end', at + r.b - 1 + {length}))").alias("ranges"))
     out = staged(found.groupBy("key").agg(F.flatten(F.collect_set("ranges")).alias("ranges")), "ranges")
     unstage(rows, wanted, every, *marks)
     return out
