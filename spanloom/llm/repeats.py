@@ -215,7 +215,8 @@ def repeated_ranges(docs: DataFrame, length: int = 400, text: str = "text") -> D
     total, any_, hot = wanted.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*"), F.coalesce(F.max("hot"), F.lit(False))).first()
     unstage(per, mixed)
     if any_:
-        one = src.select("key", "text").join(wanted.select("key", "s"), "key")  # grows with the table: no broadcast.select("text", F.explode("s").alias("s"))
+        # Tables that grow with the input are not broadcast.
+        one = src.select("key", "text").join(wanted.select("key", "s"), "key").select("text", F.explode("s").alias("s"))
         one = one.select("s.*", F.expr("substring(text, int(s.at) + 1, int(s.bytes))").alias("segment"))
         shards = max(12, int(total / SHARD_BYTES))
         sort, kind = _shard(length)
