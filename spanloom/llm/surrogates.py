@@ -59,7 +59,7 @@ _PATTERNS = [  # (type, what a text must contain, expression with the entity as
 _TITLED = re.compile(rf"\b({'|'.join(TITLES)})\b\.? +({_NAME}(?: +{_NAME}){{0,2}})")
 _CUED = re.compile(rf"\b(?:{'|'.join(CUES)}):? *({_NAME}(?: +{_NAME}){{0,2}})")
 _COMMON = {n: g for g, names in COMMON.items() for n in names}
-_COMMONLY = re.compile(rf"\b((?:{'|'.join(sorted(_COMMON))})(?: [A-Z]\.)? +{_NAME})")
+_COMMONLY = re.compile(rf"\b([A-Z][a-z]+)(?=((?: [A-Z]\.)? +{_NAME}))")
 _WORD = re.compile(_NAME)
 _DIGIT = re.compile(r"\d")
 
@@ -104,9 +104,8 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
             if name and (" " in name or "ame" in m[0][: m.start(1) - m.start()]) and name.split(" ")[0] not in TITLES:
                 found += _name_words(name, m.start(1), _gender(name.split(" ")[0]), "given")
     for m in _COMMONLY.finditer(text):
-        first, _, last = m[1].partition(" ")
-        if _capitals(last.split(" ")[-1]):
-            found += _name_words(m[1], m.start(1), _COMMON[first], "given")
+        if m[1] in _COMMON and _capitals(m[2].split(" ")[-1]):
+            found += _name_words(m[1] + m[2], m.start(1), _COMMON[m[1]], "given")
     if not found:
         return []
     known: dict[str, str] = {}

@@ -104,6 +104,19 @@ def test_quality_on_held_out_labels(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
 
 
+def test_long_texts_pass_through_in_slices(spark):
+    """A text of more than a slice, and one word longer than a slice, measure as they do by hand."""
+    long = "A word, 12! " * 130_000
+    solid = "x" * 2_500_000
+    got = quality.statistics([long.encode()])
+    assert got["n_words"][0] == 390_000 and got["digit"][0] == pytest.approx(260_000 / len(long)) and got["kinds_of_words"][0] == pytest.approx(3 / 390_000)
+    h, s = word_hashes(np.frombuffer((solid + " b " + long).encode(), np.uint8))
+    assert len(h) == 390_002 and s[1] == len(solid) + 1 and h[2] == h[5] and len(set(h.tolist())) == 5
+    df = spark.createDataFrame([(1, long, "s"), (2, solid, "s"), (3, None, "s")], DOCS)
+    table, name = quality.with_statistics(df)
+    assert {r["doc_id"]: r["n"] for r in table.select("doc_id", F.col(f"{name}.n_words").alias("n")).collect()} == {1: 390_000, 2: 1, 3: 0}
+
+
 def test_quality_learns_from_text_only(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
@@ -395,7 +408,8 @@ def test_picture_formats():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view pages as select * from '{SF}/pages.parquet'")
+    for t in ("pages", "documents"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     rel = con.sql(queries.ORACLE_SQL[name])
