@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import LABELS
+from .ranks import sums_before
 from .statistics import r6
 
 
@@ -51,8 +52,7 @@ def auc(df: DataFrame, by: str | None = None) -> DataFrame:
     """Area under the curve over rows (y, score) by mid-ranks; null if there is one class only. Equal scores are counted first."""
     keys = [by] if by else []
     n = df.groupBy(*keys, "score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    u = n.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    u = sums_before(n, keys, "score", {"below": F.col("neg")})
     s = u.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     return s.select(*keys, r6(F.when((F.col("np") > 0) & (F.col("nn") > 0), F.col("u") / (F.col("np") * F.col("nn")))).alias("auc"), F.col("np").alias("n_pos"), F.col("nn").alias("n_neg"))
 

@@ -73,7 +73,7 @@ def minmax(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """value scaled to [0, 1] as ``norm``: .5 if all are equal, 1 if there is one. Bounds are aggregated first."""
     keys = [by] if by else []
     b = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_n"))
-    j = df.join(F.broadcast(b), keys) if keys else df.join(F.broadcast(b))
+    j = df.join(b, keys) if keys else df.join(F.broadcast(b))  # one row without keys
     norm = F.when(F.col("_n") == 1, 1.0).when(F.col("_hi") == F.col("_lo"), 0.5).otherwise((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
     return j.withColumn("norm", F.round(norm, 6)).drop("_lo", "_hi", "_n")
 

@@ -16,10 +16,22 @@ def unit(key: str, seed: str = "42") -> Column:
     return F.conv(F.substring(shuffled(key, seed), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def hash_ranked(df: DataFrame, by: list[str], order: Column, key: str, digits: int = 3) -> DataFrame:
+    """df with nth: the rank (from 1) within ``by`` in the order of a hash in hexadecimal, then key. Ranks are counted in parts by the hash's first digits, so that a value with a third of all rows is not one task's."""
+    part = df.withColumns({"hash_": order, "part_": F.substring(order, 1, digits)})
+    counts = part.groupBy(*by, "part_").agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("before_", before).drop("n_")
+    own = F.row_number().over(Window.partitionBy(*by, "part_").orderBy("hash_", key))
+    inside = part.withColumn("own_", own)
+    on = [inside[b].eqNullSafe(counts[b]) for b in by] + [inside["part_"] == counts["part_"]]
+    return inside.join(counts, on).select(*(inside[c] for c in df.columns), (F.col("before_") + F.col("own_")).alias("nth"))
+
+
 def folds(df: DataFrame, k: int, key: str = "doc_id", label: str = "doc_label", seed: str = "42") -> DataFrame:
-    """Rows dealt to k folds in turn within each label, in shuffled order; a null label is a stratum."""
-    w = Window.partitionBy(label).orderBy(shuffled(key, seed), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)))
+    """Rows dealt to k folds in turn within each label, in shuffled order; a null label is a stratum. Ranks are counted in parts of the hash, so that a label with most rows is not one task's."""
+    ranked = hash_ranked(df, [label], shuffled(key, seed), key)
+    return ranked.withColumn("fold", F.pmod(F.col("nth") - 1, F.lit(k)).cast("int")).drop("nth")
 
 
 def hash_sample(df: DataFrame, share: float, keep: Column, key: str = "doc_id", seed: str = "42") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import LABELS
-from .sampling import shuffled
+from .sampling import hash_ranked, shuffled
 from .staging import staged
 
 # Cues that scores count, and the windows of length of the pools.
@@ -89,18 +89,6 @@ def pseudo_groups(df: DataFrame, size: int = 60, source: str = "source", key: st
     return j.withColumn("group", F.concat(F.coalesce(source, F.lit("__unknown__")), F.lit("#"), part.cast("bigint").cast("string"))).drop("rows_", "nth")
 
 
-def hash_ranked(df: DataFrame, by: list[str], order: Column, key: str, digits: int = 3) -> DataFrame:
-    """df with nth: the rank (from 1) within ``by`` in the order of a hash in hexadecimal, then key. Ranks are counted in parts by the hash's first digits, so that a value with a third of all rows is not one task's."""
-    part = df.withColumns({"hash_": order, "part_": F.substring(order, 1, digits)})
-    counts = part.groupBy(*by, "part_").agg(F.count("*").alias("n_"))
-    before = F.coalesce(F.sum("n_").over(Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("before_", before).drop("n_")
-    own = F.row_number().over(Window.partitionBy(*by, "part_").orderBy("hash_", key))
-    inside = part.withColumn("own_", own)
-    on = [inside[b].eqNullSafe(counts[b]) for b in by] + [inside["part_"] == counts["part_"]]
-    return inside.join(counts, on).select(*(inside[c] for c in df.columns), (F.col("before_") + F.col("own_")).alias("nth"))
-
-
 def negative_pools(bank: DataFrame, text: str = "text") -> DataFrame:
     """Rows without spans that may serve as negatives, with pool: clean (60 to 220 characters without any cue), hard (80 to 240 characters with one)."""
     n = F.length(text)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import LABELS
 from ..functions.text import cue_words, lexicon_count, ngrams
+from .ranks import sums_before
 from .spans import overlap_join, self_overlaps, with_text
 
 
@@ -193,9 +194,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, a: str, b: str, key: str
     Values are counted first, so ranks need one row per different value and not an order of all rows.
     """
     n = df.where(F.col(group).isin(a, b)).groupBy(key, value).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb"))
-    w = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("nb").over(w), F.lit(0))
-    per = n.withColumn("below", below).groupBy(key).agg(F.sum(F.col("na") * (F.col("below") + F.col("nb") / 2)).alias("u"), F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    per = sums_before(n, [key], value, {"below": F.col("nb")}).groupBy(key).agg(F.sum(F.col("na") * (F.col("below") + F.col("nb") / 2)).alias("u"), F.sum("na").alias("na"), F.sum("nb").alias("nb"))
     return per.select(key, r6(F.col("u")).alias("u"), r6(2 * F.col("u") / (F.col("na") * F.col("nb")) - 1).alias("cliffs_delta"), "na", "nb")
 
 
