@@ -110,7 +110,7 @@ def test_long_texts_pass_through_in_slices(spark):
     solid = "x" * 2_500_000
     got = quality.statistics([long.encode()])
     assert got["n_words"][0] == 390_000 and got["digit"][0] == pytest.approx(260_000 / len(long)) and got["kinds_of_words"][0] == pytest.approx(3 / 390_000)
-    h, s = word_hashes(np.frombuffer((solid + " b " + long).encode(), np.uint8))
+    h, s = common.word_hashes(np.frombuffer((solid + " b " + long).encode(), np.uint8))
     assert len(h) == 390_002 and s[1] == len(solid) + 1 and h[2] == h[5] and len(set(h.tolist())) == 5
     df = spark.createDataFrame([(1, long, "s"), (2, solid, "s"), (3, None, "s")], DOCS)
     table, name = quality.with_statistics(df)
