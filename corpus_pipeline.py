@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import decontam, mixing, neardup, quality, queries, sharding
-from spanloom.llm.common import fresh, table
+from spanloom.llm.common import fresh, staged, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -46,6 +46,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)  # read again more than once by the next stage
+    return STAGES[-1][1](spark, docs, sf_dir)
