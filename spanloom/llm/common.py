@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import staging
 from ..operators.staging import small, stage_dir, staged, table_bytes, unstage  # noqa: F401
 
 #: Texts become Python objects and arrays in slices of about so many bytes.
@@ -146,3 +148,30 @@ def slices(values: pa.Array, limit: int | None = None) -> Iterator[tuple[int, in
     sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
     for i, j in chunks(sizes, SLICE_BYTES if limit is None else limit):
         yield i, j, [b"" if x is None else x for x in values.slice(i, j - i).to_pylist()]
+
+
+#: Groups with more than 1/HOT_SHARE of all rows are looked up by broadcast; there are fewer than HOT_SHARE of them.
+HOT_SHARE = 256
+
+
+def lookup(rows: DataFrame, groups: DataFrame, on: list[str], count: str) -> DataFrame:
+    """rows, left joined to groups on the columns ``on``; groups has each key once and says in ``count`` how many rows have it.
+
+    A table of groups whose measured bytes fit is broadcast. Beyond that the join shuffles, but for hot keys: those are
+    broadcast (fewer than HOT_SHARE, by their counts), and their rows, as well as rows with a null key, are dealt out
+    evenly. Null keys match nothing. No column of rows may have the name of a column of groups outside ``on``.
+    """
+    values = [c for c in groups.columns if c not in on]
+    if table_bytes(groups) <= staging.BROADCAST_BYTES:
+        return rows.join(F.broadcast(groups), on, "left")
+    least = groups.agg(F.sum(count)).first()[0] / HOT_SHARE
+    salt, hot, rest = fresh(rows.join(groups.limit(0), on, "left"), "salt", "hot", "rest")
+    packed = lambda name: groups.select(*on, F.struct(*values).alias(name))
+    out = rows.join(F.broadcast(packed(hot).where(F.col(f"{hot}.{count}") > least)), on, "left")
+    done = F.col(hot).isNotNull()
+    for c in on:
+        done |= F.col(c).isNull()
+    out = out.withColumn(salt, F.when(done, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) + 1).otherwise(0))
+    others = packed(rest).where(F.col(f"{rest}.{count}") <= least).withColumn(salt, F.lit(0).cast("long"))
+    out = out.join(others, [*on, salt], "left")
+    return out.select(*rows.columns, *(F.coalesce(F.col(hot)[v], F.col(rest)[v]).alias(v) for v in values))

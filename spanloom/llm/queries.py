@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, media, mixing, neardup, quality, repeats, sharding, surrogates, urlrules, warc
+from . import codes, decontam, exact, importance, media, mixing, neardup, quality, repeats, sharding, surrogates, urlrules, warc
 from .common import table
 
 #: Small enough that every table of the tests has several shards; a real run takes some hundred times as much.
@@ -63,7 +63,40 @@ def op10_repeats(spark, d):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_sharding, op3_quality, op4_warc, op5_surrogates, op6_urlrules, op7_neardup, op8_decontam, op9_mixing, op10_repeats)}
+def op11_importance(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return importance.resample(docs, table(spark, d, "benchmark"), width=1).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_codes(spark, d):
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    return codes.compress(vectors).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_exact(spark, d):
+    """The digests of texts that are alone are asked for as the rows' contract has them; they decide nothing."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return exact.label_copies(docs, digests=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_media, op2_sharding, op3_quality, op4_warc, op5_surrogates, op6_urlrules, op7_neardup, op8_decontam, op9_mixing, op10_repeats, op11_importance, op12_codes, op13_exact)
+}
+
+
+def _codebook_rounds(n: int) -> str:
+    """SQL of n rounds: a<r> are the parts' nearest entries, b<r> the entries after r rounds."""
+    nearest = """a{r} as materialized (
+  select vec_id, part, any_value(x) as x, min(d * 16 + e) % 16 as e, min(d * 16 + e) // 16 as d
+  from (select vec_id, part, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from parts join b{r} using (part)) group by vec_id, part)"""
+    moved = """b{s} as materialized (
+  select part, e, coalesce(m.c, b{r}.c) as c
+  from b{r} left join (
+    select part, e, list((t - ((t % n) + n) % n) // n order by pos) as c
+    from (select part, e, pos, sum(x[pos])::bigint as t, count(*) as n from a{r}, range(1, 9) r(pos) group by part, e, pos) group by part, e) m using (part, e))"""
+    return ",\n".join(f"{nearest.format(r=r)},\n{moved.format(r=r, s=r + 1)}" for r in range(n)) + ",\n" + nearest.format(r=n)
+
 
 ORACLE_SQL = {
     # A bucket is the shortest prefix of the hash's bits that fits, or has one row; no two documents here share 48 bits.
@@ -106,4 +139,36 @@ best as (
   from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, t) group by n
 )
 select p.page_id, p.host, p.path, best.rule, coalesce(best.verdict, 'allow') as verdict from p left join best using (n)""",
+    # DuckDB has no CRC-32: a table of 256 remainders by eight steps each, and a fold over each distinct word's bytes. Logarithms are doubles in both.
+    "op11_importance": r"""
+with step as (select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from range(256) r(i)),
+said as (select 0 as side, doc_id, text from documents union all select 1, item_id, text from benchmark),
+w as materialized (select side, doc_id, row_number() over () as row_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from said),
+used as materialized (select side, row_id, word, count(*) as n from (select side, row_id, unnest(w) as word from w) group by all),
+bytes as (select word, list_transform(range(1, octet_length(encode(word)) + 1), lambda i: ('0x' || substr(hex(encode(word)), 2 * i - 1, 2))::bigint) as b from (select distinct word from used)),
+crcs as materialized (select word, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 as bucket from bytes, step),
+s as (select bucket, sum(n) filter (side = 0) as s, sum(n) filter (side = 1) as t from used join crcs using (word) group by bucket),
+total as (select coalesce(sum(s), 0)::double as s, coalesce(sum(t), 0)::double as t from s),
+gain as (select bucket, floor(1000 * ln(((coalesce(s.t, 0) + 1) * (total.s + 10000)) / ((coalesce(s.s, 0) + 1) * (total.t + 10000))))::bigint as g from s, total),
+sums as (select row_id, sum(n)::bigint as n, sum(n * g)::bigint as g from used join crcs using (word) join gain using (bucket) where side = 0 group by row_id),
+d as materialized (
+  select row_id, doc_id, coalesce(n, 0) as n_features, floor(coalesce(g, 0)::double / coalesce(n, 1))::bigint as weight,
+         floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as noise
+  from w left join sums using (row_id) where side = 0),
+r as (select row_id, row_number() over (order by weight + noise desc, doc_id) as rank from d where n_features >= 20)
+select doc_id, n_features, weight, weight + noise as score, case when rank <= (select count(*) from r) * 10 // 100 then rank end as rank from d left join r using (row_id)""",
+    # The vectors here have 64 components, so parts have 8.
+    "op12_codes": f"""
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (select vec_id, part, list_slice(v, part * 8 + 1, part * 8 + 8) as x from kept, range(8) r(part)),
+b0 as materialized (select part, e, x as c from (select part, x, row_number() over (partition by part order by vec_id) - 1 as e from parts) where e < 16),
+{_codebook_rounds(6)},
+coded as materialized (select vec_id, string_agg(printf('%02x', e), '' order by part) as code, sum(d)::bigint as error from a6 group by vec_id),
+books as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, e)) as codebooks_sha256 from b6)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from coded join kept using (vec_id), books""",
+    "op13_exact": """
+select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window g as (partition by coalesce(text, ''))""",
 }
