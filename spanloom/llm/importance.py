@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranks import sums_before
 from . import crc
-from .common import concat, slices
+from .common import concat, slices, staged, unstage
 
 RESULTS = ("n_features", "weight", "score", "rank")
 
@@ -103,7 +103,9 @@ def resample(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str
     noise = F.floor(F.lit(-1000.0) * F.log(-F.log((h + 0.5) / F.lit(4294967296.0))))
     scored = weigh(docs, gains, text, width).withColumn("score_", F.col("weight_") + noise)
     order = F.struct(F.col("n_words_") < least_words, -F.col("score_"), F.col("row_")[key].alias("key"), "n_features_")
+    scored = staged(scored, "scored")  # ranges are found by one scan and dealt by another: the texts are not read for both
     ranked = sums_before(scored.withColumn("order_", order), [], "order_", {"ahead_": F.lit(1)})
+    unstage(scored)
     place = F.col("ahead_") + 1
     drawn = (F.col("n_words_") >= least_words) & (place <= percent * enough // 100)
     others = [F.col("row_")[c].alias(c) for c in docs.columns if c != text]
