@@ -235,16 +235,6 @@ def violations(spans: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     return spans.withColumn("violation", kind).where("violation is not null").select(key, "label", "quote", "violation")
 
 
-def postprocess(spans: DataFrame, tokens: DataFrame, docs: DataFrame, q90: DataFrame | None = None, gap: int = 1, key: str = "doc_id") -> DataFrame:
-    """Predicted spans (key, label, start, end) made ready: snapped to tokens, gated, split at purposes, gated again, long enough, merged over tiny gaps of one label, near copies of one label out, and the rules for overlaps applied."""
-    snapped = sp.snap_to_tokens(spans.select(key, "label", "start", "end"), tokens, key).select(key, "label", F.col("new_start").alias("start"), F.col("new_end").alias("end")).distinct()
-    body = lambda t, s: F.substring(t, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-    read = quality_gate(sp.with_text(snapped, docs, {"span_text": body}, key), q90)
-    read = long_enough(quality_gate(split_purposes(read), q90))
-    merged = sp.merge_gaps(read, [key, "label"], gap, merge_overlaps=False)
-    return overlap_policy(sp.positional_nms(merged.select(key, "label", "start", "end"), 0.9, key), key)
-
-
 def rich_scores(gold: DataFrame, pred: DataFrame, key: str = "doc_id", beta: float = 2.0, least: float = 0.4) -> DataFrame:
     """F-beta by document with partial credit: each prediction in order of place takes the unmatched gold span that it is most like (IoU above 0.3, else the texts' similarity) if at least ``least``.
 

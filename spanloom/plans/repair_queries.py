@@ -10,6 +10,7 @@ from ..operators import evaluation as ev
 from ..operators import location as lc
 from ..operators import profiles as pf
 from ..operators import repair as rp
+from ..operators import rules as rl
 from ..operators import spans as sp
 from ..operators import statistics as st
 from ..operators.views import SPAN_TEXTS_SQL, marked, span_texts, spans, table, tokens
@@ -77,10 +78,37 @@ def overlap_policy(spark, d):
     return rp.overlap_policy(spans(_docs(spark, d)).drop("role"))
 
 
+def _priors(spark, d):
+    """Lengths and places of the gold spans, by label."""
+    docs = _docs(spark, d)
+    gold = spans(docs).where("role = 'gold'")
+    return rl.priors_of(st.length_priors(gold), st.position_priors(gold, docs.select("doc_id", F.length("text").alias("n_text"))))
+
+
 @query()
 def postprocess_spans(spark, d):
+    """All predicted spans, their places one character off, through the whole chain."""
+    docs = _docs(spark, d)
+    off = spans(docs).drop("role").withColumn("end", F.col("end") + 1)
+    return rl.postprocess(off, docs, _priors(spark, d), st.span_quantile(spans(docs).where("role = 'gold'")).withColumnRenamed("q", "q90"))
+
+
+@query()
+def pair_rule_spans(spark, d):
+    docs = _docs(spark, d)
+    return rl.apply_pair_rules(spans(docs).drop("role"), docs, _priors(spark, d)).drop("span_text")
+
+
+@query()
+def role_conflicts(spark, d):
+    docs = _docs(spark, d)
+    return rl.resolve_roles(spans(docs).drop("role"), docs, _priors(spark, d)).drop("span_text")
+
+
+@query()
+def permissive_policy(spark, d):
     docs = _docs(spark, d)
-    return rp.postprocess(spans(docs).drop("role"), tokens(docs), docs)
+    return rl.permissive_policy(spans(docs).drop("role"), docs).drop("span_text")
 
 
 @query(f"""{W}, p as (select doc_id, list({{'label': label, 'start': start, 'end': "end", 'said': span_text}}) as l from span_texts where role = 'pred' group by 1),
