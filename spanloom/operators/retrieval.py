@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import staging
+from .staging import table_bytes
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -20,53 +23,90 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 1e-10, dot(a, b) / n).otherwise(F.lit(0.0))
 
 
-def _blocks(queries: DataFrame, key: str, vector: str, tag: str | None, block: int):
-    """The queries in blocks of at most ``block`` rows: (ids, matrix of unit rows, tags)."""
-    n = queries.count()
-    parts = max(1, -(-n // (block // 2)))
-    for p in range(parts):
-        rows = queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == p).select(key, vector, *([tag] if tag else [])).orderBy(key).collect()
-        for lo in range(0, len(rows), block):
-            part = rows[lo : lo + block]
-            m = np.array([[float(x) for x in r[1]] for r in part], dtype=np.float64)
-            yield np.array([r[0] for r in part]), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-10), [r[2] for r in part] if tag else None
-
-
-def knn(vectors: DataFrame, queries: DataFrame, k: int, tag: str | None = None, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
-    """For each query the k rows with the highest cosine similarity (of equals the lesser key): query, key, sim, rank. With tag, only rows whose tag equals the query's.
-
-    Queries go out in blocks of bounded size; every task scores its rows against a block and keeps k for each query,
-    and these meet by query. Rows and queries without a vector match nothing. Similarities are rounded to 6 digits.
+#: Queries that a task compares at a time, and rows of one block of a join of blocks.
+BLOCK_QUERIES, BLOCK_ROWS = 4096, 32768
+
+
+class _Nearest:
+    """The best k of what was scored so far for each query and group of rows: of bounded size, however many rows come."""
+
+    def __init__(self, k: int, ids: np.ndarray, vectors: list, tags: list | None):
+        self.k, self.ids, self.tags = k, ids, None if tags is None else np.array(tags, dtype=object)
+        m = np.array([np.asarray(v, dtype=np.float64) for v in vectors]).reshape(len(ids), -1 if len(ids) else 1)
+        self.unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-10)
+        self.best: dict = {}
+
+    def add(self, keys: np.ndarray, vectors: list, tags: np.ndarray | None, groups: np.ndarray | None) -> None:
+        if not len(keys) or not len(self.ids):
+            return
+        order = np.argsort(keys, kind="stable")
+        m = np.array([np.asarray(v, dtype=np.float64) for v in vectors])[order]
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-10)
+        keys, names = keys[order], [None] * len(order) if groups is None else groups[order]
+        for group in dict.fromkeys(names):
+            own = np.arange(len(keys)) if groups is None else np.flatnonzero(names == group)
+            for lo in range(0, len(self.ids), BLOCK_QUERIES):
+                here = slice(lo, lo + BLOCK_QUERIES)
+                sims = np.round(self.unit[here] @ m[own].T, 6)
+                if self.tags is not None:
+                    sims = np.where(self.tags[here, None] == tags[order][own][None, :], sims, -2.0)
+                top = np.argsort(-sims, axis=1, kind="stable")[:, : self.k]  # rows stand by key: of equals the lesser comes first
+                found = np.take_along_axis(sims, top, 1), keys[own][top]
+                if (old := self.best.get((group, lo))) is not None:
+                    sim, key = (np.concatenate(x, axis=1) for x in zip(old, found, strict=True))
+                    top = np.lexsort((key, -sim), axis=1)[:, : self.k]
+                    found = np.take_along_axis(sim, top, 1), np.take_along_axis(key, top, 1)
+                self.best[group, lo] = found
+
+    def frames(self, key: str, by: str | None):
+        for (group, lo), (sim, found) in self.best.items():
+            q = np.repeat(np.arange(lo, lo + len(sim)), sim.shape[1])
+            ok = sim.ravel() > -2
+            out = pd.DataFrame({"query": self.ids[q][ok], key: found.ravel()[ok], "sim": sim.ravel()[ok]})
+            yield out.assign(**{by: group}) if by else out
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, tag: str | None = None, key: str = "vec_id", vector: str = "embedding", by: str | None = None) -> DataFrame:
+    """For each query the k rows with the highest cosine similarity (of equals the lesser key): query, key, sim, rank. With tag, only rows whose tag equals the query's; with ``by``, k rows of each value of
+    that column of the rows (a string), which is returned, too.
+
+    Queries whose measured bytes fit go to every task, which keeps the best k for each while it reads its rows once. More queries are dealt to blocks by a hash, and so are the rows: each pair of
+    blocks meets in a task that keeps as little. What tasks keep meets by query. Rows and queries without a vector match nothing. Similarities are rounded to 6 digits.
     """
-    kind = f"query long, {key} long, sim double"
-    src = vectors.where(f"{vector} is not null").select(key, vector, *([tag] if tag else []))
-    found = []
-    for ids, unit, tags in _blocks(queries.where(f"{vector} is not null"), key, vector, tag, block):
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, unit, tags))
-
-        def score(batches, shared=shared):
-            ids, unit, tags = shared.value
+    also = [c for c in (tag, by) if c]
+    src = vectors.where(F.col(vector).isNotNull()).select(key, vector, *also)
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query"), F.col(vector).alias("vector_"), *([F.col(tag).alias("tag_")] if tag else []))
+    kind = f"query long, {key} long, sim double" + (f", {by} string" if by else "")
+    column = lambda pdf, c: pdf[c].to_numpy(dtype=object) if c else None
+    if table_bytes(asked) <= staging.BROADCAST_BYTES:
+        rows = asked.orderBy("query").collect()
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r.query for r in rows], dtype=np.int64), [r.vector_ for r in rows], [r.tag_ for r in rows] if tag else None))
+
+        def score(batches):
+            best = _Nearest(k, *shared.value)
             for pdf in batches:
-                m = np.array(pdf[vector].to_list(), dtype=np.float64)
-                if not len(m):
-                    continue
-                keys = pdf[key].to_numpy()
-                order = np.argsort(keys, kind="stable")
-                m, keys = m[order], keys[order]
-                sims = np.round(unit @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-10)).T, 6)
-                if tags is not None:
-                    sims = np.where(np.array(tags, dtype=object)[:, None] == pdf[tag].to_numpy()[order][None, :], sims, -2.0)
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                q = np.repeat(np.arange(len(ids)), top.shape[1])
-                best = sims[q, top.ravel()]
-                ok = best > -2
-                yield pd.DataFrame({"query": ids[q][ok], key: keys[top.ravel()][ok], "sim": best[ok]})
-
-        found.append(src.mapInPandas(score, kind))
-    if not found:
-        return vectors.sparkSession.createDataFrame([], f"{kind}, rank int")
-    w = Window.partitionBy("query").orderBy(F.desc("sim"), key)
-    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                best.add(pdf[key].to_numpy(), pdf[vector].to_list(), column(pdf, tag), column(pdf, by))
+            yield from best.frames(key, by)
+
+        found = src.mapInPandas(score, kind)
+    else:
+        n_queries, n_rows = asked.count(), src.count()
+        left, right = (max(1, -(-n // most)) for n, most in ((n_queries, 4 * BLOCK_QUERIES), (n_rows, BLOCK_ROWS)))
+        part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        blocks = asked.withColumn("q_", part("query", left)).withColumn("r_", every(right)), src.withColumn("r_", part(key, right)).withColumn("q_", every(left))
+
+        def meet(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            best = _Nearest(k, own["query"].to_numpy(dtype=np.int64), own["vector_"].to_list(), own["tag_"].to_list() if tag else None)
+            for lo in range(0, len(rows), BLOCK_QUERIES):
+                pdf = rows.iloc[lo : lo + BLOCK_QUERIES]
+                best.add(pdf[key].to_numpy(), pdf[vector].to_list(), column(pdf, tag), column(pdf, by))
+            empty = pd.DataFrame({c.split()[0]: [] for c in kind.split(", ")})
+            return pd.concat([*best.frames(key, by)] or [empty])
+
+        found = blocks[0].groupBy("q_", "r_").cogroup(blocks[1].groupBy("q_", "r_")).applyInPandas(meet, kind)
+    w = Window.partitionBy("query", *([by] if by else [])).orderBy(F.desc("sim"), key)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def minmax(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
@@ -164,6 +204,49 @@ def stratified(vectors: DataFrame, queries: DataFrame, strata: dict[str, tuple[C
     return reduce(DataFrame.unionByName, parts).withColumn("place", place).where(F.col("place") <= k).drop("nth")
 
 
+def balanced(vectors: DataFrame, queries: DataFrame, k: int, positive: str, negative: str, unclear: tuple[str, ...], evidence: Column, second: Column, factor: int = 3, most: int = 50, key: str = "vec_id", label: str = "label") -> DataFrame:
+    """For each query k rows of balanced labels: query, key, sim, side and place.
+
+    A fifth (one at least) are of the first of the ``unclear`` labels that has any, the others half positive and half negative; where no unclear ones are, their share
+    goes to the negative. Each stratum gives its nearest rows, ``factor`` times its share but at most ``most``, and of these the best by the second score (by
+    nearness, if there are no more than its share). The nearest row with evidence joins its side (positive, or else negative) if it is not there yet.
+    Positive and negative take turns, what is left over follows, the unclear ones come in behind the second, and k rows stay.
+
+    One pass scores all strata; what remains for a query is a few dozen rows.
+    """
+    n_unclear = max(1, k // 5)
+    shares = {"positive": (k - n_unclear) // 2, "negative": (k - n_unclear) - (k - n_unclear) // 2, "evidence": 1} | {f"unclear{i}": n_unclear for i in range(len(unclear))}
+    of = F.when(F.col(label) == positive, "positive").when(F.col(label) == negative, "negative")
+    for i, name in enumerate(unclear):
+        of = of.when(F.col(label) == name, f"unclear{i}")
+    strata = F.array_compact(F.array(of, F.when(evidence, "evidence")))
+    rows = vectors.select(*vectors.columns, F.explode(strata).alias("stratum_"))
+    widest = max(min(most, s * factor) for s in shares.values())
+    # One side's rank is cut at its own number of candidates; the widest serves all.
+    near = knn(rows, queries, widest, key=key, by="stratum_").join(vectors.drop("embedding"), key)
+    least = F.element_at(F.create_map(*(F.lit(x) for kv in shares.items() for x in kv)), F.col("stratum_"))
+    width = F.when(F.col("stratum_") == "evidence", 1).otherwise(F.least(F.lit(most), least * factor))
+    own, whole = Window.partitionBy("query", "stratum_"), Window.partitionBy("query")
+    near = near.where(F.col("rank") <= width).withColumn("n_", F.count("*").over(own)).withColumn("second_", F.round(second, 6))
+    few = F.col("n_") <= least
+    near = near.withColumn("turn_", F.row_number().over(own.orderBy(F.when(few, F.col("rank")), F.desc("second_"), key)))
+    first = F.min(F.when(F.col("stratum_").startswith("unclear"), F.col("stratum_"))).over(whole)
+    near = near.withColumn("first_", first)
+    room = F.when(F.col("stratum_") == "negative", least + F.when(F.col("first_").isNull(), n_unclear).otherwise(0)).when(F.col("stratum_").startswith("unclear") & (F.col("stratum_") != F.col("first_")), 0).otherwise(least)
+    kept = near.where(F.col("turn_") <= room)
+    kept = kept.withColumn("met_", F.count("*").over(Window.partitionBy("query", key))).where("stratum_ <> 'evidence' or met_ = 1")
+    side = F.when(F.col("stratum_").startswith("unclear"), "unclear").when(F.col("stratum_") == "evidence", F.when(F.col(label) == positive, "positive").otherwise("negative")).otherwise(F.col("stratum_"))
+    kept = kept.withColumn("side", side)
+    kept = kept.withColumn("i_", F.row_number().over(Window.partitionBy("query", "side").orderBy(F.col("stratum_") == "evidence", "turn_")))
+    count = lambda name: F.count_if(F.col("side") == name).over(whole)
+    kept = kept.withColumns({"p_": count("positive"), "m_": count("negative"), "u_": count("unclear")})
+    both, i = F.least("p_", "m_"), F.col("i_")
+    turns = F.when(i > both, both + i).otherwise(2 * i - F.when(F.col("side") == "positive", 1).otherwise(0))
+    behind = F.least(F.col("p_") + F.col("m_"), F.lit(2))
+    place = F.when(F.col("side") == "unclear", behind + i).otherwise(turns + F.when(turns > behind, F.col("u_")).otherwise(0))
+    return kept.withColumn("place", place.cast("int")).where(F.col("place") <= k).select("query", key, "sim", "side", "place")
+
+
 def attach_most(df: DataFrame, by: str, n: int, order: list[Column]) -> DataFrame:
     """At most the first n rows of each value of ``by``, with their rank."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n)

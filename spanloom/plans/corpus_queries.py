@@ -183,6 +183,41 @@ def stratified_retrieve(spark, d):
     return rt.stratified(v, _queries(v), {"low": (F.col("label") < 3, 4), "mid": (F.col("label").between(3, 6), 4), "high": (F.col("label") > 6, 2)}, 9)
 
 
+BALANCED_SQL = f"""with {SIM_SQL}, cases as (select unnest(['both', 'second', 'none']) as case_),
+named as (select case_, query, vec_id, sim, label, case when label < 4 then 'con' when label < 7 then 'non' when label = 7 and case_ = 'both' then 'cant_tell' when label = 8 and case_ <> 'none' then 'ambiguous' end as kind, vec_id % 7 = 0 as proof from s, cases),
+strata as (select *, case kind when 'con' then 'positive' when 'non' then 'negative' when 'cant_tell' then 'unclear0' else 'unclear1' end as stratum from named where kind is not null union all select *, 'evidence' from named where proof),
+near as (select *, row_number() over (partition by case_, query, stratum order by sim desc, vec_id) as rank, case stratum when 'positive' then 3 when 'negative' then 4 when 'evidence' then 1 else 1 end as share from strata),
+cut as (select *, count(*) over (partition by case_, query, stratum) as n, round(sim - label / 50.0, 6) as second from near where rank <= case stratum when 'evidence' then 1 else share * 3 end),
+turns as (select *, row_number() over (partition by case_, query, stratum order by case when n <= share then rank end, second desc, vec_id) as turn, min(case when starts_with(stratum, 'unclear') then stratum end) over (partition by case_, query) as first from cut),
+room as (select * from turns where turn <= case when stratum = 'negative' then share + case when first is null then 1 else 0 end when starts_with(stratum, 'unclear') and stratum <> first then 0 else share end),
+kept as (select *, case when starts_with(stratum, 'unclear') then 'unclear' when stratum = 'evidence' then case when kind = 'con' then 'positive' else 'negative' end else stratum end as side from room qualify stratum <> 'evidence' or count(*) over (partition by case_, query, vec_id) = 1),
+sides as (select *, row_number() over (partition by case_, query, side order by stratum = 'evidence', turn) as i, count(*) filter (side = 'positive') over (partition by case_, query) as p, count(*) filter (side = 'negative') over (partition by case_, query) as m, count(*) filter (side = 'unclear') over (partition by case_, query) as u from kept),
+turned as (select *, case when i > least(p, m) then least(p, m) + i else 2 * i - case when side = 'positive' then 1 else 0 end end as t, least(p + m, 2) as behind from sides),
+placed as (select *, (case when side = 'unclear' then behind + i else t + case when t > behind then u else 0 end end)::int as place from turned)
+select case_ as "case", query, vec_id, sim, side, place from placed where place <= 8"""
+
+
+@query(BALANCED_SQL)
+def balanced_retrieve(spark, d):
+    """Three cases: with both kinds of unclear rows, with the second only, and with none, when their share goes to the negative ones."""
+    v = table(spark, d, "embeddings")
+    q = _queries(v)
+    out = []
+    for case in ("both", "second", "none"):
+        label = F.when(F.col("label") < 4, "con").when(F.col("label") < 7, "non").when((F.col("label") == 7) & F.lit(case == "both"), "cant_tell").when((F.col("label") == 8) & F.lit(case != "none"), "ambiguous")
+        rows = v.withColumn("kind", label)
+        found = rt.balanced(rows, q, 8, "con", "non", ("cant_tell", "ambiguous"), F.col("vec_id") % 7 == 0, F.col("sim") - F.col("label") / 50.0, label="kind")
+        out.append(found.withColumn("case", F.lit(case)))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"with {SIM_SQL}, f as (select * from s where label in (2, 5) qualify row_number() over (partition by query order by sim desc, vec_id) <= 16), g as (select query, vec_id, sim, round(sim + label / 20.0, 6)::double as second from f) select *, (row_number() over (partition by query order by second desc, vec_id))::int as rank from g qualify rank <= 4")
+def hard_negatives(spark, d):
+    """Rows of two labels stand for those that are marked as hard negatives."""
+    v = table(spark, d, "embeddings")
+    return rt.hard_negatives(v, _queries(v), F.col("label").isin(2, 5), 4, 4, F.col("sim") + F.col("label") / 20.0)
+
+
 # ---------------------------------------------------------------- samples and folds
 
 HASH = "md5('42:' || doc_id)"

@@ -315,10 +315,10 @@ def _stream(spark, d):
 @query("select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n from events group by 1, 2")
 def stream_windows(spark, d):
     """Hourly counts in complete mode, so that every window counts, the last ones too."""
-    name = f"w_{uuid.uuid4().hex}"
+    at = _at(spark, "windows")
     counts = _stream(spark, d).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return staged(spark.table(name).select(F.col("w.start").alias("start"), "event_type", "n"))
+    sr.complete_results(counts.select(F.col("w.start").alias("start"), "event_type", "n"), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return sr.latest(spark, f"{at}/out")
 
 
 @query("select distinct user_id from events")
@@ -332,7 +332,7 @@ def stream_first_seen(spark, d):
 
 @query("select (user_id % 2)::int as y, (event_id % 2)::int as p_label, count(*) as n from events group by 1, 2")
 def stream_confusion(spark, d):
-    name = f"c_{uuid.uuid4().hex}"
+    at = _at(spark, "confusion")
     rows = _stream(spark, d).select((F.col("user_id") % 2).cast("int").alias("y"), (F.col("event_id") % 2).cast("int").alias("p_label"))
-    sr.running_confusion(rows).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return staged(spark.table(name))
+    sr.complete_results(sr.running_confusion(rows), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return sr.latest(spark, f"{at}/out")
