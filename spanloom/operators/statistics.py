@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import LABELS
 from ..functions.text import cue_words, lexicon_count, ngrams
-from .ranks import sums_before
+from .ranks import quantiles, sums_before, value_counts
 from .spans import overlap_join, self_overlaps, with_text
 
 
@@ -27,9 +27,10 @@ def drift(before: DataFrame, after: DataFrame, label: str = "doc_label") -> Data
 
 def length_profile(docs: DataFrame, low: int, high: int, text: str = "text") -> DataFrame:
     n = F.length(text)
-    q = F.percentile(n, F.lit([0.1, 0.25, 0.5, 0.75, 0.9]))
-    return docs.agg(F.count("*").alias("n"), r6(F.avg(n)).alias("mean"), q.alias("q"), r6(F.avg((n < low).cast("double"))).alias("below"), r6(F.avg((n > high).cast("double"))).alias("above")).select(
-        "n", "mean", *(F.floor(F.col("q")[i]).cast("long").alias(f"p{p}") for i, p in enumerate((10, 25, 50, 75, 90))), "below", "above")
+    q = quantiles(value_counts(docs, [], n), [], {f"p{p}": p / 100 for p in (10, 25, 50, 75, 90)})
+    means = docs.agg(F.count("*").alias("n"), r6(F.avg(n)).alias("mean"), r6(F.avg((n < low).cast("double"))).alias("below"), r6(F.avg((n > high).cast("double"))).alias("above"))
+    both = means.join(F.broadcast(q))  # one row each
+    return both.select("n", "mean", *(F.floor(f"p{p}").cast("long").alias(f"p{p}") for p in (10, 25, 50, 75, 90)), "below", "above")
 
 
 def length_bucket(text: str = "text") -> Column:
@@ -60,7 +61,8 @@ def marker_counts(spans: DataFrame) -> DataFrame:
 
 def span_quantile(spans: DataFrame, p: float = 0.9) -> DataFrame:
     """The p-quantile of span lengths by label, rounded half to even."""
-    return spans.groupBy("label").agg(F.bround(F.percentile(F.col("end") - F.col("start"), F.lit(p)), 0).cast("long").alias("q"))
+    q = quantiles(value_counts(spans, ["label"], F.col("end") - F.col("start")), ["label"], {"q": p})
+    return q.select("label", F.bround("q", 0).cast("long").alias("q"))
 
 
 def length_priors(spans: DataFrame) -> DataFrame:
@@ -91,7 +93,8 @@ def first_occurrence(spans: DataFrame, lengths: DataFrame, key: str = "doc_id")
     """Quantiles by label of the relative place of a document's first span."""
     first = spans.groupBy(key, "label").agg(F.min("start").alias("s")).join(lengths, key).where("n_text > 0")
     q = (0.1, 0.25, 0.5, 0.75, 0.9)
-    return first.groupBy("label").agg(F.percentile(F.col("s") / F.col("n_text"), F.lit(list(q))).alias("q")).select("label", *(r6(F.col("q")[i]).alias(f"q{int(p * 100)}") for i, p in enumerate(q)))
+    got = quantiles(value_counts(first, ["label"], F.col("s") / F.col("n_text")), ["label"], {f"q{int(p * 100)}": p for p in q})
+    return got.select("label", *(r6(F.col(c)).alias(c) for c in got.columns if c != "label"))
 
 
 def offset_integrity(spans: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -110,8 +113,13 @@ def overlap_pairs(spans: DataFrame) -> DataFrame:
 
 
 def overlap_pair_stats(pairs: DataFrame) -> DataFrame:
-    share = lambda c: r6(F.avg(c.cast("double")))
-    return pairs.groupBy("pair").agg(F.count("*").alias("n"), r6(F.avg("iou")).alias("mean_iou"), r6(F.percentile("iou", F.lit(0.5))).alias("median_iou"), share(F.col("iou") >= 0.1).alias("iou_10"), share(F.col("iou") >= 0.5).alias("iou_50"), share(F.col("starts_first")).alias("starts_first_rate"), share(F.col("contain")).alias("contain_rate"))
+    """By pair of labels: how many, mean and median IoU, shares of high ones, and how often the first label starts first or one span holds the other. All come from counts of each IoU."""
+    counts = value_counts(pairs, ["pair"], F.col("iou"), first=F.col("starts_first").cast("long"), held=F.col("contain").cast("long"))
+    n = F.sum("n")
+    share = lambda c: r6(F.sum(c) / n)
+    over = lambda least: F.when(F.col("value") >= least, F.col("n")).otherwise(0)
+    stats = counts.groupBy("pair").agg(n.alias("n"), share(F.col("value") * F.col("n")).alias("mean_iou"), share(over(0.1)).alias("iou_10"), share(over(0.5)).alias("iou_50"), share(F.col("first")).alias("starts_first_rate"), share(F.col("held")).alias("contain_rate"))
+    return stats.join(quantiles(counts, ["pair"], {"median": 0.5}), "pair").select("pair", "n", "mean_iou", r6(F.col("median")).alias("median_iou"), "iou_10", "iou_50", "starts_first_rate", "contain_rate")
 
 
 def overlap_doc_level(pairs: DataFrame) -> DataFrame:
@@ -173,8 +181,15 @@ def boundary_context(spans: DataFrame, docs: DataFrame, k: int = 25, key: str =
 def lexicon_rates(df: DataFrame, terms: dict[str, tuple[str, ...]], by: str = "doc_label", text: str = "text") -> DataFrame:
     """Occurrences of each list's terms per 1000 characters: mean, median and deviation by label."""
     rate = [F.struct(F.lit(k).alias("metric"), (lexicon_count(F.col(text), t) * 1000.0 / F.greatest(F.length(text), F.lit(1))).alias("rate")) for k, t in terms.items()]
-    rows = df.select(by, F.inline(F.array(*rate)))
-    return rows.groupBy("metric", by).agg(F.round(F.avg("rate"), 4).alias("mean"), F.round(F.percentile("rate", F.lit(0.5)), 4).alias("median"), F.round(F.stddev_samp("rate"), 4).alias("std"), F.count("*").alias("n"))
+    counts = value_counts(df.select(by, F.inline(F.array(*rate))), ["metric", by], F.col("rate"))
+    total = counts.groupBy("metric", by).agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("all"))
+    medians = quantiles(counts, ["metric", by], {"median": 0.5})
+    named = lambda right, *names: right.toDF("metric_", "by_", *names)
+    on = (F.col("metric") == F.col("metric_")) & F.col(by).eqNullSafe(F.col("by_"))
+    around = counts.join(named(total, "mean", "all"), on).select("metric", by, "mean", "all", (F.col("n") * (F.col("value") - F.col("mean")) ** 2).alias("away"))
+    stats = around.groupBy("metric", by, "mean", "all").agg(F.when(F.col("all") > 1, F.sqrt(F.sum("away") / (F.col("all") - 1))).alias("std"))
+    both = stats.join(named(medians, "median"), on)
+    return both.select("metric", by, F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"), F.round("std", 4).alias("std"), F.col("all").alias("n"))
 
 
 def group_means(df: DataFrame, value: Column, by: list[str], least: int, key: str = "doc_id") -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import bank as bk
 from ..operators import profiles as pf
 from ..operators import retrieval as rt
 from ..operators import sampling as sm
 from ..operators import selection as se
 from ..operators import statistics as st
 from ..operators.duplicates import exact_hash
-from ..operators.views import ANNOTATED_SQL, SPAN_TEXTS_SQL, SPANS_SQL, TOKENS_SQL, annotated, marked, spans, table, tokens
+from ..operators.staging import staged
+from ..operators.views import ANNOTATED_SQL, SPAN_TEXTS_SQL, SPANS_SQL, TOKENS_SQL, annotated, marked, span_texts, spans, table, tokens
 from .document_queries import NORMAL_SQL
 from .registry import query
 
@@ -329,3 +331,26 @@ def mmr_quality(spark, d):
 @query(f"""select doc_id, md5(trim(regexp_replace(lower(translate(nfc_normalize(text), '‘’“”', '''''""')), '{WS}', ' ', 'g'))) as h from documents""")
 def nfkc_keys(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(tx.nfkc_key(F.col("text"))).alias("h"))
+
+
+def _full_bank(spark, d):
+    """All gold spans; the invented texts have few of the real kinds, so letters stand for them. A sixth of the documents count as having no spans, half of these as hard negatives."""
+    docs = annotated(spark, d)
+    g = span_texts(_docs(spark, d)).where("role = 'gold' and doc_id % 6 <> 1").drop("role")
+    kinds = {"url": "x|q", "named": "^[A-Z]", "quote_attr": "['\"’]", "numeric_source": "[0-9]"}
+    actors = {"vague_collective": "(?i)^the|^la|^der", "named_org": "[A-Z]{2}", "named_person": "^[A-Z][a-z]+ [A-Z]"}
+    rows = bk.bank_signals(docs, g, F.length("span_text") / 10.0, kinds, actors)
+    return rows.withColumn("pool", F.when(F.col("doc_id") % 12 == 1, "hard").when(F.col("n_spans") == 0, "clean")), g
+
+
+@query()
+def diversified_bank(spark, d):
+    """A bank of ten examples for each language."""
+    return bk.diversified_bank(_full_bank(spark, d)[0], "lang")
+
+
+@query()
+def diversified_bank_spans(spark, d):
+    """What the examples of each language's bank show."""
+    rows, g = _full_bank(spark, d)
+    return bk.bank_spans(staged(bk.diversified_bank(rows, "lang"), "bank"), g).select("doc_id", "label", "start", "end")
