@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.lexicons import DOC_LABELS, ID_KEYS, LABEL_KEYS, LABELS, MARKER_ALIASES, SOURCE_KEYS, STRICT_LABELS, TEXT_KEYS
-
+from .ranks import sums_before
 from .staging import staged
 
 
@@ -144,3 +144,21 @@ def require_unique(df: DataFrame, key: str) -> DataFrame:
     if n != d:
         raise ValueError(f"{key} is not unique: {n} rows, {d} values")
     return df
+
+
+def merge_banks(spans: DataFrame, labels: DataFrame, order: str = "position", text: str = "text") -> DataFrame:
+    """Two banks of examples as one by equal texts: text, markers, doc_label, rationale and place (from 1).
+
+    spans (text, markers, order): of equal texts the first counts. labels (text, doc_label, rationale, order): of equal texts the last counts, doc_label is
+    non and the rationale empty where they are null. Texts of the first bank come first, in its order, then those that only the second has. Rows without a text go. Places
+    are counted in ranges of the order.
+    """
+    some = lambda df: df.where(F.coalesce(F.col(text), F.lit("")) != "")
+    a = some(spans).groupBy(text).agg(F.min(order).alias("a_"), F.min_by("markers", order).alias("markers"))
+    told = F.struct(F.coalesce("doc_label", F.lit("non")).alias("l"), F.coalesce("rationale", F.lit("")).alias("r"))
+    b = some(labels).groupBy(F.col(text).alias("text_")).agg(F.min(order).alias("b_"), F.max_by(told, order).alias("told_"))
+    both = a.join(b, F.col(text) == F.col("text_"), "full")
+    at = F.struct(F.col("a_").isNull().alias("late"), F.coalesce("a_", "b_").alias("nth"), F.md5(F.coalesce(text, "text_")).alias("h"))
+    rows = both.select(F.coalesce(text, "text_").alias(text), "markers", F.col("told_.l").alias("doc_label"), F.col("told_.r").alias("rationale"), at.alias("at_"))
+    ranked = sums_before(rows, [], "at_", {"before_": F.lit(1)})
+    return ranked.select(text, "markers", "doc_label", "rationale", (F.col("before_") + 1).alias("place"))

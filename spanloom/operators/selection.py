@@ -112,6 +112,16 @@ def class_scores(df: DataFrame) -> DataFrame:
     return df.withColumns({"score_yes": F.round(yes, 6), "score_no": F.round(no, 6)})
 
 
+def halves_by_score(scored: DataFrame, n: int, label: str = "doc_label", key: str = "doc_id") -> DataFrame:
+    """n rows of ``class_scores`` with a label: half of them (one at least) the conspiracies with the highest score_yes, the others those of non with the highest score_no, ties to the lesser key; what is missing comes from the rest, in shuffled order. Adds how."""
+    first = max(1, n // 2)
+    parts = []
+    for name, score, most in (("conspiracy", "score_yes", first), ("non", "score_no", n - first)):
+        parts.append(scored.where(F.col(label) == name).orderBy(F.desc(score), key).limit(most))
+    picked = parts[0].unionByName(parts[1]).withColumn("how", F.lit("score"))
+    return _filled(picked, scored, n, [shuffled(key, "fill"), F.col(key)], key)
+
+
 def diverse_pick(df: DataFrame, n: int, order: list[Column], source: str = "source") -> DataFrame:
     """The first row of each source (whatever its case), sources in the order of these rows, at most n. Rows without a source all qualify."""
     own = F.lower(F.coalesce(source, F.lit("")))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lexicons import LABELS
 from ..functions.spans import contains, iou, overlaps, trimmed
 
 #: Spans meet in the cells of this many characters that both touch.
@@ -75,6 +76,16 @@ def merge_gaps(spans: DataFrame, by: list[str], gap: int, merge_overlaps: bool =
     return islands.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_island")
 
 
+def merge_adjacent_texts(spans: DataFrame, by: list[str], gap: int = 2, text: str = "span_text") -> DataFrame:
+    """Spans of the same ``by`` of which each begins 0 to ``gap`` characters behind the one before as one: by, start, end (the last one's), their texts joined by blanks, and n."""
+    w = Window.partitionBy(*by).orderBy("start", "end")
+    new = F.coalesce(~(F.col("start") - F.lag("end").over(w)).between(0, gap), F.lit(True))
+    islands = spans.withColumn("_new", new.cast("int")).withColumn("_island", F.sum("_new").over(w))
+    said = F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce(text, F.lit("")).alias("said"))))
+    out = islands.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max_by("end", F.struct("start", "end")).alias("end"), said.alias("_said"), F.count("*").alias("n"))
+    return out.select(*by, "start", "end", F.array_join(F.transform("_said", lambda s: s["said"]), " ").alias(text), "n")
+
+
 def trim_boundaries(spans: DataFrame, text: str = "text") -> DataFrame:
     """Bounds without outer white space; spans that are empty then, or out of the text, go."""
     inside = spans.where((F.col("start") >= 0) & (F.col("end") <= F.length(text)) & (F.col("start") < F.col("end")))
@@ -87,6 +98,16 @@ def exact_vote(spans: DataFrame, key: str = "doc_id", voter: str = "role", least
     return spans.groupBy(key, "label", "start", "end").agg(F.countDistinct(voter).alias("votes")).where(F.col("votes") >= least)
 
 
+def ranked_votes(spans: DataFrame, k: int = 4, key: str = "doc_id", text: str = "span_text") -> DataFrame:
+    """Of each document the k spans (label, start, end) that occur most often; of equals the longer, then the earlier, then the later in the labels' order. Adds votes, rank and the commonest text (of equals the lesser; null without any)."""
+    each = spans.groupBy(key, "label", "start", "end", text).agg(F.count("*").alias("n"))
+    told = F.when(F.coalesce(text, F.lit("")) != "", F.struct((-F.col("n")).alias("n"), F.col(text).alias("t")))
+    votes = each.groupBy(key, "label", "start", "end").agg(F.sum("n").alias("votes"), F.min(told)["t"].alias(text))
+    place = F.array_position(F.array(*(F.lit(x) for x in LABELS)), F.col("label"))
+    w = Window.partitionBy(key).orderBy(F.desc("votes"), F.desc(F.col("end") - F.col("start")), "start", F.desc(place), "label")
+    return votes.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def label_consensus(votes: DataFrame, key: str = "doc_id", label: str = "label") -> DataFrame:
     """The commonest label of each key; keys whose two commonest labels are as common go."""
     counts = votes.groupBy(key, label).agg(F.count("*").alias("n"))

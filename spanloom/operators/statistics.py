@@ -105,6 +105,16 @@ def offset_integrity(spans: DataFrame, docs: DataFrame, key: str = "doc_id") ->
     return j.agg(F.count("*").alias("total"), F.count_if(ok).alias("in_bounds"), F.count_if(ok & F.col("filled")).alias("with_text"))
 
 
+def offset_rates(spans: DataFrame, docs: DataFrame, said: str = "span_text", key: str = "doc_id") -> DataFrame:
+    """One row: how many spans there are, lie within their text, and read there what they say; and the shares (0 without spans)."""
+    body = lambda t, s: F.substring(t, (s["start"] + 1).cast("int"), F.greatest(F.lit(0), s["end"] - s["start"]).cast("int"))
+    j = with_text(spans.select(key, "start", "end", said), docs, {"n_text": lambda t, s: F.length(t), "there": body}, key)
+    ok = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("n_text"))
+    n = j.agg(F.count("*").alias("total"), F.count_if(ok).alias("in_bounds"), F.count_if(ok & (F.col("there") == F.col(said))).alias("exact"))
+    rate = lambda c: F.round(F.when(F.col("total") > 0, F.col(c) / F.col("total")).otherwise(0.0), 6)
+    return n.select("total", "in_bounds", "exact", rate("in_bounds").alias("in_bounds_rate"), rate("exact").alias("exact_rate"))
+
+
 def overlap_pairs(spans: DataFrame) -> DataFrame:
     """Overlapping pairs of different labels with the pair's name, iou and order."""
     p = self_overlaps(spans).where("label_a <> label_b")

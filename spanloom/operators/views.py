@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,18 +19,27 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(toxic, "doc_id", "left").withColumn("doc_label", label).drop("toxic")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _starts(text: pd.Series) -> pd.Series:
+    """Where the parts between single blanks start, by one scan of each text."""
+    return pd.Series([None if t is None else [0, *(i + 1 for i, c in enumerate(t) if c == " ")] for t in text])
+
+
+def _each(docs: DataFrame, fields) -> DataFrame:
+    """doc_id, i and the fields of every part between single blanks: fields maps (part, its number, parts, starts) to columns. No part is shuffled: what follows one is found in its own array."""
+    rows = docs.where("text is not null").select("doc_id", F.split("text", " ").alias("toks_"), _starts("text").alias("at_"))
+    return rows.select("doc_id", F.inline(F.transform("toks_", lambda t, i: F.struct(i.alias("i"), *(c.alias(n) for n, c in fields(t, i).items())))))
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, i, tok, s: the parts of text between single blanks, and where they start."""
-    parts = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "tok"))
-    upto = F.sum(F.length("tok") + 1).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
-    return parts.withColumn("s", F.coalesce(upto, F.lit(0)).cast("long"))
+    return _each(docs, lambda t, i: {"tok": t, "s": F.get("at_", i)})
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, role (gold or pred), label, start, end: runs of one to three tokens at fixed places of every text."""
-    by = Window.partitionBy("doc_id").orderBy("i")
-    stop = F.col("s") + F.length("tok")
-    t = tokens(docs).withColumns({"e0": stop, "e1": F.lead(stop, 1).over(by), "e2": F.lead(stop, 2).over(by)})
+    stop = lambda i: F.get("at_", i) + F.length(F.get("toks_", i))
+    t = _each(docs, lambda t, i: {"tok": t, "s": F.get("at_", i), "e0": stop(i), "e1": stop(i + 1), "e2": stop(i + 2)}).where("i % 7 in (3, 4)")
     label = F.element_at(F.array(*(F.lit(x) for x in ("Actor", "Action", "Effect", "Victim", "Evidence"))), (F.length("tok") + F.col("i")) % 5 + 1)
     end = lambda width: F.when(width == 0, F.col("e0")).when(width == 1, F.col("e1")).otherwise(F.col("e2"))
     gold = F.when(F.col("i") % 7 == 3, F.struct(F.lit("gold").alias("role"), end(F.col("i") % 3).alias("end")))
@@ -63,8 +74,7 @@ ANNOTATED_SQL = """annotated as (
 
 def span_texts(docs: DataFrame) -> DataFrame:
     """spans() with span_text, put together from the tokens."""
-    by = Window.partitionBy("doc_id").orderBy("i")
-    t = tokens(docs).withColumns({"t1": F.lead("tok", 1).over(by), "t2": F.lead("tok", 2).over(by)})
+    t = _each(docs, lambda t, i: {"tok": t, "s": F.get("at_", i), "t1": F.get("toks_", i + 1), "t2": F.get("toks_", i + 2)}).where("i % 7 in (3, 4)")
     label = F.element_at(F.array(*(F.lit(x) for x in ("Actor", "Action", "Effect", "Victim", "Evidence"))), (F.length("tok") + F.col("i")) % 5 + 1)
     body = lambda w: F.when(w == 0, F.col("tok")).when(w == 1, F.concat("tok", F.lit(" "), "t1")).otherwise(F.concat("tok", F.lit(" "), "t1", F.lit(" "), "t2"))
     gold = F.when(F.col("i") % 7 == 3, F.struct(F.lit("gold").alias("role"), body(F.col("i") % 3).alias("body")))
