@@ -33,6 +33,22 @@ def window_minima(value: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
+def least_places(value: np.ndarray, width: int) -> np.ndarray:
+    """Where the least (by its upper bits) of each ``width`` values in a row is, the first of equals.
+
+    Values carry their place in their lower bits, counted from the start of a block that these bits can number; blocks overlap, so that each run of values lies
+    within one, whatever the text's length.
+    """
+    low = U((1 << _AT) - 1)
+    step = (1 << _AT) - width + 1
+    parts = []
+    for lo in range(0, max(len(value) - width + 1, 0), step):
+        block = value[lo : lo + step + width - 1]
+        packed = (block & ~low) | np.arange(len(block), dtype=np.uint64)
+        parts.append((window_minima(packed, width) & low).astype(np.int64) + lo)
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+
+
 def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """Cuts each text's windows of ``length`` bytes into runs of neighbours that share their least substring of MER bytes.
 
@@ -47,19 +63,16 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         return tuple(np.zeros(0, dtype=x) for x in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     p, up = prefix_hash(data)
     value = mix((p[mer:] - p[:-mer]) * up[: len(p) - mer])
-    packed = (value & ~U((1 << _AT) - 1)) | (np.arange(len(value), dtype=np.uint64) & U((1 << _AT) - 1))
-    least = window_minima(packed, length - mer + 1)
-    start = np.arange(len(least))
+    place = least_places(value, length - mer + 1)
+    start = np.arange(len(place))
     doc = np.searchsorted(at, start, side="right") - 1
     inside = start + length <= at[doc + 1]
-    start, doc, least = start[inside], doc[inside], least[inside]
+    start, doc, place = start[inside], doc[inside], place[inside]
     if not len(start):
         return tuple(np.zeros(0, dtype=x) for x in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
-    head = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])]))
+    head = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
     count = np.diff(np.append(head, len(start)))
-    s = start[head]
-    where = (s & ~((1 << _AT) - 1)) | (least[head] & U((1 << _AT) - 1)).astype(np.int64)
-    where = np.where(where < s, where + (1 << _AT), where)
+    s, where = start[head], place[head]
     e = s + count - 1 + length
     return doc[head], s - at[doc[head]], count, value[where], mix((p[e] - p[s]) * up[s] + (e - s).astype(np.uint64) * U(0x9E3779B97F4A7C15)), where - s
 
