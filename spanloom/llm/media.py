@@ -28,6 +28,8 @@ VOTES = 5
 DISTANCE = 28
 #: Pictures are compared in pairs of blocks of about so many; in a task SLICE of them at a time, and so many pairs of features.
 BLOCK, LEAST_BLOCKS, SLICE, PAIRS = 8_000, 3, 500, 1 << 20
+#: Pictures of more pixels, or longer sides, are folded to this size as they are read, a strip of rows at a time.
+LARGEST, SIDE, STRIP_BYTES = 1 << 22, 1 << 12, 1 << 24
 #: Pictures of one size are measured so many pixels at a time.
 STACK_PIXELS = 1 << 18
 
@@ -83,24 +85,64 @@ def _unfilter(raw: np.ndarray, h: int, stride: int, step: int) -> np.ndarray:
     return out
 
 
+def _fold(w: int, h: int) -> int:
+    """How many pixels a side become one, so that a picture has at most LARGEST pixels and SIDE a side."""
+    return max(1, int(np.ceil(np.sqrt(w * h / LARGEST))), -(-max(w, h) // SIDE))
+
+
+_GREY = np.array([0.299, 0.587, 0.114], np.float32)
+
+
+def _means(px: np.ndarray, k: int) -> np.ndarray:
+    """Grey levels of rows of pixels, k by k of them as one; what is left over at the edges goes."""
+    px = px.astype(np.float32)
+    grey = px[:, :, 0] if px.shape[2] < 3 else px[:, :, :3] @ _GREY
+    if k == 1:
+        return grey
+    h, w = grey.shape[0] // k * k, grey.shape[1] // k * k
+    return grey[:h, :w].reshape(h // k, k, w // k, k).mean(axis=(1, 3))
+
+
+def _png(body: bytes, w: int, h: int, step: int) -> np.ndarray:
+    """Grey levels of a PNG's compressed rows, inflated and folded strip by strip: a picture of any size takes a strip's memory and that of its folded pixels."""
+    k, row = _fold(w, h), w * step + 1
+    rows = k * max(1, STRIP_BYTES // (row * k))
+    inflate, held, last, out = zlib.decompressobj(), bytearray(), None, []
+    for lo in range(0, h, rows):
+        n = min(rows, h - lo)
+        while len(held) < n * row:
+            more = inflate.decompress(body, n * row - len(held))
+            body = inflate.unconsumed_tail
+            if not more:
+                raise ValueError("too few rows")
+            held += more
+        raw = np.frombuffer(bytes(held[: n * row]), np.uint8).reshape(n, row)
+        del held[: n * row]
+        if last is not None:  # a row may refer to the one above
+            raw = np.vstack([np.concatenate([[np.uint8(0)], last])[None], raw])
+        px = _unfilter(raw, len(raw), row - 1, step)[len(raw) - n :]
+        last = px[-1]
+        out.append(_means(px.reshape(n, w, step), k))
+    return np.concatenate(out)
+
+
 def decode(data: bytes | None) -> np.ndarray | None:
-    """Grey levels of a PNG (8 bits, not interlaced, no palette), or of a binary PGM or PPM; None for anything else."""
+    """Grey levels of a PNG (8 bits, not interlaced, no palette), or of a binary PGM or PPM; None for anything else. Large pictures are folded: see ``_fold``."""
     try:
         if data and data[:8] == b"\x89PNG\r\n\x1a\n":
-            at, body, head = 8, b"", None
+            at, body, head = 8, [], None
             while at < len(data):
                 n, kind = struct.unpack(">I4s", data[at : at + 8])
                 if kind == b"IHDR":
                     head = struct.unpack(">IIBBBBB", data[at + 8 : at + 8 + n])
-                body += data[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+                if kind == b"IDAT":
+                    body.append(data[at + 8 : at + 8 + n])
                 at += n + 12
             w, h, depth, colour, _, _, laced = head
             step = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
-            if depth != 8 or laced or w * h > 1 << 26:
+            if depth != 8 or laced or not w or not h:
                 return None
-            raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, w * step + 1)
-            px = _unfilter(raw, h, w * step, step).reshape(h, w, step).astype(np.float32)
-            return px[:, :, 0] if step < 3 else px[:, :, :3] @ np.array([0.299, 0.587, 0.114], np.float32)
+            return _png(b"".join(body), w, h, step)
         if data and data[:2] in (b"P5", b"P6"):
             fields, at = [], 2
             while len(fields) < 3:
@@ -112,8 +154,9 @@ def decode(data: bytes | None) -> np.ndarray | None:
                 fields.append(int(data[at:end]))
                 at = end
             (w, h, most), step = fields, 1 if data[:2] == b"P5" else 3
-            px = np.frombuffer(data, np.uint8, w * h * step, at + 1).reshape(h, w, step).astype(np.float32) * (255 / most)
-            return px[:, :, 0] if step == 1 else px @ np.array([0.299, 0.587, 0.114], np.float32)
+            px, k = np.frombuffer(data, np.uint8, w * h * step, at + 1).reshape(h, w, step), _fold(w, h)
+            rows = k * max(1, STRIP_BYTES // (w * step * k))
+            return np.concatenate([_means(px[lo : lo + rows], k) for lo in range(0, h, rows)]) * np.float32(255 / most)
     except (ValueError, KeyError, TypeError, IndexError, struct.error, zlib.error):
         return None
     return None
