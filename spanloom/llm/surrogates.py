@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, small, staged
+from .common import fresh, slices, small, staged, unstage
 
 #: Rounds without any progress after which distinct surrogates are taken to be impossible.
 STUCK_ROUNDS = 20
@@ -25,6 +25,8 @@ COMMON = {
     "m": "James John Robert Michael William David Richard Joseph Charles Christopher Daniel Matthew Anthony Mark Paul Steven Andrew Kenneth George Joshua Kevin Brian Edward Ronald Timothy Jason Jeffrey Ryan Jacob Gary Juan Carlos Luis Jorge Pedro Pablo Diego Miguel Antonio Jose Hans Klaus Wolfgang Jean Pierre Jacques Giovanni Marco Luca Ahmed Mohammed Ali Omar".split(),
     "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Karen Lisa Nancy Betty Sandra Margaret Ashley Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen Amy Angela Ana Carmen Lucia Isabel Elena Marta Ingrid Ursula Monique Chantal Giulia Francesca Fatima Aisha Maria Anna".split(),
 }
+#: Small words within names.
+PARTICLES = ("van", "von", "vom", "der", "den", "de", "del", "della", "di", "da", "do", "dos", "das", "du", "des", "la", "las", "los", "le", "bin", "ibn", "al", "el", "ten", "ter", "zu", "zum", "zur", "af", "av")
 STREETS = ("Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Boulevard", "Blvd")
 GIVEN = {
     ("latin", "m"): ["Adam", "Boris", "Carl", "David", "Edgar", "Felix", "Gustav", "Henry", "Isaac", "Jonas", "Karl", "Leon", "Martin", "Noah", "Oscar", "Peter", "Robert", "Simon", "Thomas", "Victor"],
@@ -51,25 +53,38 @@ _PATTERNS = [  # (type, what a text must contain, expression with the entity as
     ("address", " ", re.compile(rf"\b(\d{{1,5}} [A-Z][a-z]+(?: [A-Z][a-z]+)?)(?= (?:{'|'.join(STREETS)})\b)")),
     ("iban", None, re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("ip", ".", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")),
+    ("ip6", ":", re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])")),
     ("card", None, re.compile(r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])")),
     ("phone", None, re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{2,4}\)[ .-]?\d{3,4}(?:[ .-]\d{2,4}){1,2}(?!\w)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])")),
+    ("phone", "0", re.compile(r"(?<![\w.,+/-])0\d{2,4}[ /-](?:\d{5,8}|\d{2,4}(?:[ /-]\d{2,4}){1,3})(?![\w/-]|[.,]\d)")),
     ("ssn", "-", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("number", None, re.compile(r"(?<![\w.,-])\d{9,12}(?![\w-]|[.,]\d)")),
 ]
-_TITLED = re.compile(rf"\b({'|'.join(TITLES)})\b\.? +({_NAME}(?: +{_NAME}){{0,2}})")
-_CUED = re.compile(rf"\b(?:{'|'.join(CUES)}):? *({_NAME}(?: +{_NAME}){{0,2}})")
+#: Behind a title or a cue: a look at the words that may be a name.
+_AHEAD = rf"(?=({_NAME}(?: +{_NAME}){{0,7}}))"
+_TITLED = re.compile(rf"\b({'|'.join(TITLES)})\b\.? +{_AHEAD}")
+_CUED = re.compile(rf"\b(?:{'|'.join(CUES)}):? *{_AHEAD}")
+_TURNED = re.compile(rf"({_NAME}), ({_NAME})")
 _COMMON = {n: g for g, names in COMMON.items() for n in names}
-_COMMONLY = re.compile(rf"\b([A-Z][a-z]+)(?=((?: [A-Z]\.)? +{_NAME}))")
+_COMMONLY = re.compile(rf"\b([A-Z][a-z]+)(?=((?: [A-Z]\.)? +{_NAME}(?: +{_NAME}){{0,5}}))")
 _WORD = re.compile(_NAME)
 _DIGIT = re.compile(r"\d")
 
 
-def _capitals(name: str) -> str:
-    """The leading words of name that begin with a capital."""
-    out = []
-    for word in name.split(" "):
-        if not word[:1].isupper() or word.isupper() and len(word) > 1:
+def _capitals(name: str, most: int = 3, shouted: bool = False, lead: bool = False) -> str:
+    """The leading words of name that begin with a capital, at most so many, with the small words between them (lead: before them, too). shouted: all of them may be in capitals, else none is."""
+    words, out, n, loud = name.split(" "), [], 0, False
+    for i, word in enumerate(words):
+        if word in PARTICLES:
+            after = next((w for w in words[i + 1 : i + 4] if w not in PARTICLES), "")
+            if (n or lead) and n < most and after[:1].isupper() and (not after.isupper() or len(after) == 1 or loud):
+                out.append(word)
+                continue
+            break
+        capitals = word.isupper() and len(word) > 1
+        if n == most or not word[:1].isupper() or capitals and not (loud or shouted and not n) or loud and not capitals:
             break
+        loud, n = capitals, n + 1
         out.append(word)
     return " ".join(out)
 
@@ -81,7 +96,7 @@ def _script(text: str) -> str:
 
 def _name_words(name: str, at: int, gender: str, lone: str) -> list[tuple[int, int, str, str]]:
     """The words of a name: given names, and the last a surname; one alone is what ``lone`` says. A kind tells script and, for given names, gender."""
-    words = [(m.start(), m[0]) for m in _WORD.finditer(name) if len(m[0]) > 1 or len(name) == 1]
+    words = [(m.start(), m[0]) for m in _WORD.finditer(name) if (len(m[0]) > 1 or len(name) == 1) and m[0] not in PARTICLES]
     out = []
     for i, (k, word) in enumerate(words):
         surname = i == len(words) - 1 if len(words) > 1 else lone == "surname"
@@ -95,17 +110,30 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, str, str]] = []
     if any(t in text for t in TITLES):
         for m in _TITLED.finditer(text):
-            if name := _capitals(m[2]):
+            if name := _capitals(m[2], shouted=True, lead=True):
                 found += _name_words(name, m.start(2), TITLES[m[1]] or _gender(name.split(" ")[0]), "surname")
     if any(c in text for c in CUES):
         for m in _CUED.finditer(text):
-            name = _capitals(m[1])
+            stated = "ame" in m[0]
+            if stated and (t := _TURNED.match(text, m.start(1))) and t[1][0].isupper() and t[2][0].isupper() and t[2].capitalize() in _COMMON:
+                script = _script(t[1])  # the surname first
+                found.append((*t.span(1), f"surname:{script}", t[1].casefold()))
+                found.append((*t.span(2), f"given:{_gender(t[2])}:{_script(t[2])}", t[2].casefold()))
+                continue
+            name = _capitals(m[1], shouted=stated)
+            words = name.split(" ")
             # A cue that is no statement of a name needs two words, so that a sentence's capital is not taken for one.
-            if name and (" " in name or "ame" in m[0][: m.start(1) - m.start()]) and name.split(" ")[0] not in TITLES:
-                found += _name_words(name, m.start(1), _gender(name.split(" ")[0]), "given")
+            if name and (stated or len(words) > 1 and words[1] not in PARTICLES) and words[0] not in TITLES:
+                found += _name_words(name, m.start(1), _gender(words[0]), "given")
     for m in _COMMONLY.finditer(text):
-        if m[1] in _COMMON and _capitals(m[2].split(" ")[-1]):
-            found += _name_words(m[1] + m[2], m.start(1), _COMMON[m[1]], "given")
+        if m[1] not in _COMMON:
+            continue
+        words = m[2].split(" ")
+        more = next((i for i, w in enumerate(words) if w and not w.endswith(".") and w not in _COMMON), len(words))
+        behind = " ".join(words[more:])  # further given names, then one surname with its small words
+        name = " ".join([*words[:more], _capitals(behind, 1, lead=True)]).rstrip()
+        if _capitals(behind, 1, lead=True) or any(w in _COMMON for w in words[:more]):
+            found += _name_words(m[1] + name, m.start(1), _COMMON[m[1]], "given")
     if not found:
         return []
     known: dict[str, str] = {}
@@ -131,8 +159,10 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
             continue
         for m in pattern.finditer(text):
             a, b = m.span(m.lastindex or 0)
+            if kind == "ip6" and not _DIGIT.search(m[0]):
+                continue
             plain = text[a:b]
-            canon = {"email": plain.lower, "address": plain.lower, "ip": lambda p=plain: p, "secret": lambda p=plain: p, "date": lambda p=plain: p}.get(kind, lambda p=plain: re.sub(r"[^0-9A-Za-z]", "", p))()
+            canon = {"email": plain.lower, "address": plain.lower, "ip": lambda p=plain: p, "ip6": plain.lower, "secret": lambda p=plain: p, "date": lambda p=plain: p}.get(kind, lambda p=plain: re.sub(r"[^0-9A-Za-z]", "", p))()
             found.append((a, b, kind, canon))
     found += _names(text)
     rank = {k: i for i, k in enumerate(dict.fromkeys(k for k, _, _ in _PATTERNS))}
@@ -147,6 +177,7 @@ def find_entities(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def _gender(given: str) -> str:
+    given = given.capitalize() if given.isupper() else given
     return _COMMON.get(given) or next((g for (_, g), names in GIVEN.items() if given in names), "f" if given[-1:] in "aeαая" else "m")
 
 
@@ -217,6 +248,8 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     if family == "ip":
         first = [n for n in range(11, 224) if n not in (100, 127, 169, 172, 192, 198, 203)]
         return ".".join(map(str, (first[draws.below(len(first))], draws.below(256), draws.below(256), 1 + draws.below(254))))
+    if family == "ip6":  # the blocks' lengths and what is left out stay
+        return "".join((("123456789abcdef" if i == 0 or canon[i - 1] == ":" else "0123456789abcdef")[draws.below(15 if i == 0 or canon[i - 1] == ":" else 16)]) if c != ":" else c for i, c in enumerate(canon))
     if family == "card":
         body = _alike(canon[:-1], draws, 1)
         if _luhn(canon) == 0:
@@ -248,6 +281,8 @@ def _as_written(plain: str, kind: str, replacement: str) -> str:
         return replacement.upper() if plain.isupper() and len(plain) > 1 else replacement
     if kind in ("email", "ip", "secret", "date", "address"):
         return replacement
+    if kind == "ip6":
+        return replacement.upper() if plain.isupper() else replacement
     it = iter(replacement)
     return "".join(next(it, "") if c.isalnum() and c.isascii() else c for c in plain)
 
@@ -280,7 +315,7 @@ def _family(kind: str) -> str:
 
 
 def with_surrogates(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
-    """Replaces text by one in which e-mail and IP addresses, telephone, card, account, passport, social-security and other long numbers, dates of birth, street addresses, secrets and personal names are surrogates; adds n_entities.
+    """Replaces text by one in which e-mail and IP addresses (both versions), telephone, card, account, passport, social-security and other long numbers, dates of birth, street addresses, secrets and personal names are surrogates; adds n_entities.
 
     A surrogate is drawn by a keyed hash of the entity's type and canonical form (case of e-mail addresses and names,
     and separators of numbers, do not count), so an entity has one surrogate wherever it occurs. Names are replaced
@@ -304,21 +339,25 @@ def with_surrogates(docs: DataFrame, key: bytes, text: str = "text") -> DataFram
     def draw(kinds: pa.Array, canons: pa.Array, attempts: pa.Array) -> pa.Array:
         return pa.array([surrogate(key, k, c, a) for k, c, a in zip(kinds.to_pylist(), canons.to_pylist(), attempts.to_pylist(), strict=True)], pa.string())
 
-    # A name met with different titles is one entity; it takes the first of the kinds.
-    names = found.groupBy(F.split("kind", ":")[0].alias("family"), "canon").agg(F.min("kind").alias("kind"), (F.min("kind") != F.max("kind")).alias("several"))
+    # A name met with different titles is one entity; it takes the kind that most texts give it, of equals the first.
+    by_kind = found.groupBy(F.split("kind", ":")[0].alias("family"), "canon", "kind").agg(F.count("*").alias("n"))
+    most = F.min(F.struct((-F.col("n")).alias("n"), "kind"))
+    names = by_kind.groupBy("family", "canon").agg(most["kind"].alias("kind"), (F.count("*") > 1).alias("several"))
     real = staged(names, "entities")
-    open_, settled, stuck, before = real.withColumn("attempt", F.lit(0)), None, 0, None
+    open_, parts, stuck, before = real.withColumn("attempt", F.lit(0)), [], 0, None
     while True:
         # Those of e-mail addresses must differ within their domain, as domains do among each other.
         whole = F.when(F.col("family") == "email", F.concat(F.arrow_udf(draw, "string")("kind", "canon", "attempt"), F.lit("@"), F.split("canon", "@")[1])).otherwise(F.arrow_udf(draw, "string")("kind", "canon", "attempt"))
         drawn = staged(open_.withColumn("drawn", F.lower(whole)), "drawn")
         first = drawn.groupBy("family", "drawn").agg(F.min("canon").alias("canon"))
         taken = real.select("family", F.lower("canon").alias("drawn"))
-        if settled is not None:
-            taken = taken.unionByName(settled.select("family", "drawn"))
-        won = drawn.join(first.join(taken, ["family", "drawn"], "left_anti"), ["family", "drawn", "canon"], "left_semi")
-        settled = staged(won if settled is None else settled.unionByName(won), "settled")
-        open_ = staged(drawn.join(won.select("family", "canon"), ["family", "canon"], "left_anti").withColumn("attempt", F.col("attempt") + 1).drop("drawn"), "open")
+        for p in parts:
+            taken = taken.unionByName(p.select("family", "drawn"))
+        won = staged(drawn.join(first.join(taken, ["family", "drawn"], "left_anti"), ["family", "drawn", "canon"], "left_semi"), "settled")
+        parts.append(won)
+        later = staged(drawn.join(won.select("family", "canon"), ["family", "canon"], "left_anti").withColumn("attempt", F.col("attempt") + 1).drop("drawn"), "open")
+        unstage(drawn, open_ if len(parts) > 1 else None)
+        open_ = later
         n = open_.count()
         if not n:
             break
@@ -326,9 +365,13 @@ def with_surrogates(docs: DataFrame, key: bytes, text: str = "text") -> DataFram
         before = n
         if stuck >= STUCK_ROUNDS:
             raise RuntimeError(f"{n} surrogates still coincide after {stuck} draws without progress")
+    settled = parts[0]
+    for p in parts[1:]:
+        settled = settled.unionByName(p)
     odd = settled.where("attempt > 0 or several")
     per = found.select("own", F.split("kind", ":")[0].alias("family"), "canon").join(odd, ["family", "canon"]).groupBy("own").agg(F.collect_set(F.struct("family", "canon", "kind", "attempt")).alias("odd"))
     per = staged(per.select(F.col("own").alias(own), F.col("odd").alias(exceptions)), "exceptions")
+    unstage(found, real, open_, *parts)
     out_kind = pa.struct([("text", pa.string()), ("n", pa.int32())])
 
     def replace(texts: pa.Array, odd: pa.Array) -> pa.Array:
