@@ -30,8 +30,8 @@ BLOCK_QUERIES, BLOCK_ROWS = 4096, 32768
 class _Nearest:
     """The best k of what was scored so far for each query and group of rows: of bounded size, however many rows come."""
 
-    def __init__(self, k: int, ids: np.ndarray, vectors: list, tags: list | None):
-        self.k, self.ids, self.tags = k, ids, None if tags is None else np.array(tags, dtype=object)
+    def __init__(self, k: int, block: int, ids: np.ndarray, vectors: list, tags: list | None):
+        self.k, self.block, self.ids, self.tags = k, block, ids, None if tags is None else np.array(tags, dtype=object)
         m = np.array([np.asarray(v, dtype=np.float64) for v in vectors]).reshape(len(ids), -1 if len(ids) else 1)
         self.unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-10)
         self.best: dict = {}
@@ -45,8 +45,8 @@ class _Nearest:
         keys, names = keys[order], [None] * len(order) if groups is None else groups[order]
         for group in dict.fromkeys(names):
             own = np.arange(len(keys)) if groups is None else np.flatnonzero(names == group)
-            for lo in range(0, len(self.ids), BLOCK_QUERIES):
-                here = slice(lo, lo + BLOCK_QUERIES)
+            for lo in range(0, len(self.ids), self.block):
+                here = slice(lo, lo + self.block)
                 sims = np.round(self.unit[here] @ m[own].T, 6)
                 if self.tags is not None:
                     sims = np.where(self.tags[here, None] == tags[order][own][None, :], sims, -2.0)
@@ -66,13 +66,14 @@ class _Nearest:
             yield out.assign(**{by: group}) if by else out
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, tag: str | None = None, key: str = "vec_id", vector: str = "embedding", by: str | None = None) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, tag: str | None = None, key: str = "vec_id", vector: str = "embedding", by: str | None = None, block: int | None = None) -> DataFrame:
     """For each query the k rows with the highest cosine similarity (of equals the lesser key): query, key, sim, rank. With tag, only rows whose tag equals the query's; with ``by``, k rows of each value of
     that column of the rows (a string), which is returned, too.
 
     Queries whose measured bytes fit go to every task, which keeps the best k for each while it reads its rows once. More queries are dealt to blocks by a hash, and so are the rows: each pair of
-    blocks meets in a task that keeps as little. What tasks keep meets by query. Rows and queries without a vector match nothing. Similarities are rounded to 6 digits.
+    blocks meets in a task that keeps as little. What tasks keep meets by query. Rows and queries without a vector match nothing. Similarities are rounded to 6 digits. A task compares ``block`` queries at a time.
     """
+    block = block or BLOCK_QUERIES
     also = [c for c in (tag, by) if c]
     src = vectors.where(F.col(vector).isNotNull()).select(key, vector, *also)
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query"), F.col(vector).alias("vector_"), *([F.col(tag).alias("tag_")] if tag else []))
@@ -83,7 +84,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, tag: str | None = None,
         shared = vectors.sparkSession.sparkContext.broadcast((np.array([r.query for r in rows], dtype=np.int64), [r.vector_ for r in rows], [r.tag_ for r in rows] if tag else None))
 
         def score(batches):
-            best = _Nearest(k, *shared.value)
+            best = _Nearest(k, block, *shared.value)
             for pdf in batches:
                 best.add(pdf[key].to_numpy(), pdf[vector].to_list(), column(pdf, tag), column(pdf, by))
             yield from best.frames(key, by)
@@ -91,15 +92,15 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, tag: str | None = None,
         found = src.mapInPandas(score, kind)
     else:
         n_queries, n_rows = asked.count(), src.count()
-        left, right = (max(1, -(-n // most)) for n, most in ((n_queries, 4 * BLOCK_QUERIES), (n_rows, BLOCK_ROWS)))
+        left, right = (max(1, -(-n // most)) for n, most in ((n_queries, 4 * block), (n_rows, BLOCK_ROWS)))
         part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         blocks = asked.withColumn("q_", part("query", left)).withColumn("r_", every(right)), src.withColumn("r_", part(key, right)).withColumn("q_", every(left))
 
         def meet(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-            best = _Nearest(k, own["query"].to_numpy(dtype=np.int64), own["vector_"].to_list(), own["tag_"].to_list() if tag else None)
-            for lo in range(0, len(rows), BLOCK_QUERIES):
-                pdf = rows.iloc[lo : lo + BLOCK_QUERIES]
+            best = _Nearest(k, block, own["query"].to_numpy(dtype=np.int64), own["vector_"].to_list(), own["tag_"].to_list() if tag else None)
+            for lo in range(0, len(rows), block):
+                pdf = rows.iloc[lo : lo + block]
                 best.add(pdf[key].to_numpy(), pdf[vector].to_list(), column(pdf, tag), column(pdf, by))
             empty = pd.DataFrame({c.split()[0]: [] for c in kind.split(", ")})
             return pd.concat([*best.frames(key, by)] or [empty])
