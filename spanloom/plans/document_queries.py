@@ -196,6 +196,13 @@ def lsh_sweep_counts(spark, d):
     return dup.band_sweep(simhash64(_docs(spark, d)), (4, 8, 16), (2, 4, 6))
 
 
+@query()
+def lsh_precision(spark, d):
+    """For each setting how many pairs there are, and how many of at most 4000 sampled ones are alike as texts."""
+    docs = _docs(spark, d)
+    return dup.sweep_precision(simhash64(docs), docs.select("doc_id", tx.normal_space(F.col("text")).alias("text")), (4, 8, 16), (2, 3, 4, 5, 6, 8))
+
+
 COMPONENT_SQL = PAIRS_SQL + f""", texts as (select doc_id, {NORMAL_SQL} as t from documents),
 links as (select a, b from pairs union select x.doc_id, y.doc_id from texts x join texts y on x.t = y.t and x.doc_id < y.doc_id),
 sym as (select a, b from links union select b, a from links)"""

@@ -76,7 +76,7 @@ def first_occurrence_quantiles(spark, d):
 
 # Overlaps: in SQL each span meets the next twelve of its document by place. That is enough: a span has at most three tokens, and at
 # most three spans begin at a token (one gold, two predicted places), so at most eight others begin before its end.
-OV = f"""{W}, o as (select *, row_number() over (partition by doc_id order by start, "end", label) as rn from spans),
+OV = f"""{W}, o as materialized (select *, row_number() over (partition by doc_id order by start, "end", label) as rn from spans),
 pairs as (select a.doc_id, a.label as label_a, b.label as label_b, a.start as sa, a."end" as ea, b.start as sb, b."end" as eb,
   (least(a."end", b."end") - greatest(a.start, b.start)) / (greatest(a."end", b."end") - least(a.start, b.start)) as iou
   from o a, (select unnest(range(1, 13)) as k) k, o b where b.doc_id = a.doc_id and b.rn = a.rn + k.k
@@ -234,7 +234,7 @@ def span_conflicts(spark, d):
 
 
 # As above: an overlapping pair of one label is at most six places apart.
-CAND = f"""{G}, u as (select doc_id, label, role, start, "end", row_number() over (partition by doc_id, label order by start, "end", role) as rn from spans),
+CAND = f"""{G}, u as materialized (select doc_id, label, role, start, "end", row_number() over (partition by doc_id, label order by start, "end", role) as rn from spans),
 c as (select g.doc_id, g.label, g.start as start_g, g."end" as end_g, p.start as start_p, p."end" as end_p, round((least(g."end", p."end") - greatest(g.start, p.start)) / (greatest(g."end", p."end") - least(g.start, p.start)), 6) as iou
 from u g, (select unnest(range(-6, 7)) as k) k, u p where g.role = 'gold' and p.role = 'pred' and p.doc_id = g.doc_id and p.label = g.label and p.rn = g.rn + k.k and greatest(g.start, p.start) < least(g."end", p."end"))"""
 
