@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import staging
-from ..operators.staging import small, stage_dir, staged, table_bytes, unstage  # noqa: F401
+from ..operators.staging import scratch, small, stage_dir, staged, table_bytes, unstage  # noqa: F401
 
 #: Texts become Python objects and arrays in slices of about so many bytes.
 SLICE_BYTES = 1 << 20

@@ -172,7 +172,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     every = out.withColumn("copies", F.col(whole) + goes)
     if torn:
         split = F.coalesce((F.col(rank) == F.col(cut)) & (F.col(places) < F.col(same)), F.lit(False))
-        nth = F.row_number().over(Window.partitionBy(src, "size").orderBy(rank))
+        told = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))  # reruns agree on rows that differ elsewhere
+        nth = F.row_number().over(Window.partitionBy(src, "size").orderBy(rank, told))
         every = every.where(~split).unionByName(out.where(split).withColumn("copies", F.col(whole) + F.when(nth <= F.col(places), 1).otherwise(0)))
     unstage(lengths, narrow, counted, edge)
     return every.withColumns({"copies": F.col("copies").cast("int"), "taken": F.col("copies") * F.col("size")}).select(*docs.columns, "size", "source_size", "target", "copies", "taken")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, stage_dir, staged, unstage
+from .common import scratch, small, staged, unstage
 
 #: Payloads at least so long are written once; later captures of the same bytes refer to that one.
 REVISIT_BYTES = 1000
@@ -239,7 +238,7 @@ def archive_pages(pages: DataFrame, path: str | None = None, payloads: bool = Fa
     the response a revisit refers to. An empty table gives no captures.
     """
     spark = pages.sparkSession
-    path = path or f"{stage_dir(spark)}/spanloom/warc-{uuid.uuid4().hex}"
+    path = path or scratch(spark, "warc")
     write_warc(pages, path)
     records = staged(read_warc(spark, path, payloads), "records")
     told = F.from_json(F.col("metadata")[0]["block"], "page_id string, url string")
