@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import LABELS
 from .ranks import sums_before
+from .spans import greedy_match, overlap_join
 from .statistics import r6
 
 
@@ -24,6 +25,20 @@ def prf(counts: DataFrame) -> DataFrame:
     return s.select("label", "tp", "fp", "fn", div(tp, tp + fp).alias("precision"), div(tp, tp + fn).alias("recall"), r6(_f1(tp, fp, fn)).alias("f1"))
 
 
+def token_ranges(spans: DataFrame, tokens: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Spans as ranges of the numbers of the tokens that they touch: key, label, start, end; those that touch none go."""
+    cover = token_cover(spans, tokens, key)
+    return cover.select(key, "label", F.array_min("cover").cast("long").alias("start"), (F.array_max("cover") + 1).cast("long").alias("end"))
+
+
+def token_match(gold: DataFrame, pred: DataFrame, tokens: DataFrame, known: DataFrame, strict: bool = False, threshold: float = 0.5, key: str = "doc_id") -> DataFrame:
+    """Counts (tp, fp, fn) by document and label of the greedy match by token IoU. known has the documents that are annotated, some perhaps without spans:
+    predictions for others are left out, or with ``strict`` all false positives."""
+    mine = pred if strict else pred.join(known.select(key), key, "left_semi")
+    own = gold.join(known.select(key), key, "left_semi")
+    return greedy_match(token_ranges(own, tokens, key), token_ranges(mine, tokens, key), threshold, key)
+
+
 def macro_f1(scores: DataFrame) -> DataFrame:
     tp, fp, fn = F.sum("tp"), F.sum("fp"), F.sum("fn")
     return scores.agg(r6(F.avg("f1")).alias("macro_f1"), r6(_f1(tp, fp, fn)).alias("micro_f1"))
@@ -87,8 +102,6 @@ def temperature_grid(df: DataFrame, grid: list[float]) -> DataFrame:
 
 def token_cover(spans: DataFrame, tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     """For each span the tokens that it touches, as a sorted array of their numbers."""
-    from .spans import overlap_join
-
     t = tokens.select(key, "i", F.col("s").alias("start"), (F.col("s") + F.length("tok")).alias("end"))
     hit = overlap_join(spans, t, [key])
     cols = [c for c in spans.columns if c not in (key, "start", "end")]
@@ -105,7 +118,5 @@ def pair_agreement(spans: DataFrame, key: str = "doc_id", who: str = "role", a:
 def match_candidates(gold: DataFrame, pred: DataFrame, threshold: float = 0.5, key: str = "doc_id") -> DataFrame:
     """Pairs of equal document and label with an IoU of at least the threshold."""
     from ..functions.spans import iou
-    from .spans import overlap_join
-
     p = overlap_join(gold, pred, [key, "label"], "g", "p")
     return p.withColumn("iou", r6(iou(F.col("start_g"), F.col("end_g"), F.col("start_p"), F.col("end_p")))).where(F.col("iou") >= threshold).select(key, "label", "start_g", "end_g", "start_p", "end_p", "iou")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 #: A table is broadcast only if its measured rows take at most so many bytes.
 BROADCAST_BYTES = 16 << 20
 _OWN: dict[str, str] = {}
+_SCRATCH: set[str] = set()
 
 
 def stage_dir(spark: SparkSession) -> str:
@@ -26,10 +29,26 @@ def stage_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, in a folder of this application's own that goes when its driver ends."""
+    own = f"{stage_dir(spark)}/spanloom/{spark.sparkContext.applicationId}"
+    if own not in _SCRATCH:
+        _SCRATCH.add(own)
+        atexit.register(_clear, spark._jvm, spark._jsc.hadoopConfiguration(), own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _clear(jvm, conf, path: str) -> None:
+    """Deletes a folder while the driver's JVM is still there; else it stays for whoever tidies the shared folder."""
+    with contextlib.suppress(Exception):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def staged(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation beyond it."""
+    """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation beyond it. What unstage() does not delete earlier goes with the application."""
     spark = df.sparkSession
-    path = f"{stage_dir(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path

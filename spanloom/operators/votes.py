@@ -80,3 +80,16 @@ def graded_score(votes: DataFrame, gold: DataFrame, key: str = "doc_id") -> Data
     for_gold = F.when(F.col("gold") == "yes", F.col("yes")).otherwise(F.col("n") - F.col("yes"))
     win = F.when(F.col("yes") * 2 >= F.col("n"), "yes").otherwise("no")
     return n.select(key, F.round(F.when(win == F.col("gold"), 1.0).otherwise(for_gold / F.col("n")), 6).alias("score"))
+
+
+def judge_flags(verdict: Column, majority: Column, consensus: Column) -> tuple[Column, Column]:
+    """Whether a judge's verdict is borderline (the council was split or had no votes), and whether it overrides the council: differs from its majority where it was not split."""
+    return consensus.isin("split", "chaotic"), (verdict != majority) & (consensus != "split")
+
+
+def appeal_diagnosis(verdict: Column, jaqing: Column, intensity: Column, shouting: Column, agency: Column) -> Column:
+    """What an appeal is to look at, by the verdict and the text's profile: of a no, questions that insinuate, terms of truth and waking, else claims of engineered harm; of a yes,
+    anger in capitals, named targets in place of vague ones, else plainer explanations. Null for other verdicts."""
+    no = F.when(jaqing, "asks_questions").when(intensity > 1.5, "truth_terms").otherwise("structural_claims")
+    yes = F.when(shouting > 3.0, "shouting").when(agency < 0.2, "named_targets").otherwise("plain_causes")
+    return F.when(verdict == "no", no).when(verdict == "yes", yes)

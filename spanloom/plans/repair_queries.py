@@ -191,9 +191,9 @@ def ordinal_positions(spark, d):
     return rp.nth_positions(marked(docs).select("doc_id", "label", F.col("span_text").alias("quote"), nth.alias("nth")), docs)
 
 
-@query(f"""{W}, v as (select distinct doc_id, label, start, "end", span_text from span_texts), a as (select doc_id, start, "end", unnest(range(start // 64, ("end" - 1) // 64 + 1)) as cell from v where label = 'Action' and "end" > start),
-bad as (select distinct x.doc_id, x.start, x."end" from (select *, start // 64 as cell from v where label = 'Victim' and regexp_matches({TRIM}, '^[A-Za-z]+$')) x join a on a.doc_id = x.doc_id and a.cell = x.cell and a.start <= x.start and x."end" <= a."end")
-select {KEYS} from v where not (label = 'Victim' and (doc_id, start, "end") in (select doc_id, start, "end" from bad))""")
+@query(f"""{W}, v as materialized (select distinct doc_id, label, start, "end", span_text from span_texts), a as materialized (select doc_id, start, "end", unnest(range(start // 64, ("end" - 1) // 64 + 1)) as cell from v where label = 'Action' and "end" > start),
+bad as materialized (select distinct x.doc_id, x.start, x."end" from (select *, start // 64 as cell from v where label = 'Victim' and regexp_matches({TRIM}, '^[A-Za-z]+$')) x join a on a.doc_id = x.doc_id and a.cell = x.cell and a.start <= x.start and x."end" <= a."end")
+select {KEYS} from v where label <> 'Victim' union all select {KEYS} from v anti join bad using (doc_id, start, "end") where label = 'Victim'""")
 def embedded_victims_out(spark, d):
     s = _texts(spark, d).drop("role").distinct()
     return rp.without_embedded_victims(s, "^[A-Za-z]+$").select("doc_id", "label", "start", "end")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import hashing as hs
 from ..functions import text as tx
 from ..operators import documents as dc
 from ..operators import retrieval as rt
-from ..operators.staging import shared_dir, staged
+from ..operators.staging import scratch, staged
 from ..operators.views import ANNOTATED_SQL, SPANS_SQL, annotated, spans, table
 from ..sources import readers as rd
 from ..sources import writers as wr
@@ -26,7 +24,7 @@ def _docs(spark, d):
 
 
 def _at(spark, name):
-    return f"{shared_dir(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def _hashed(df):

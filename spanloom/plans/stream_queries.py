@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..operators.staging import shared_dir
+from ..operators.staging import scratch
 from ..operators.views import table
 from ..streaming.streams import append_results, finished_windows, late_counts, read_stream
 from .registry import query
@@ -16,7 +14,7 @@ from .registry import query
 def stream_event_counts(spark, d):
     """Batches append their own counts; the counts are added up when read."""
     schema = table(spark, d, "events").schema
-    at = f"{shared_dir(spark)}/spanloom/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     stream = read_stream(spark, f"{d}/events.parquet", schema)
     append_results(stream, f"{at}/out", f"{at}/checkpoint", lambda df: df.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))).awaitTermination()
     return spark.read.parquet(f"{at}/out").groupBy("user_id", "event_type").agg(F.sum("n").alias("n"))
@@ -33,7 +31,7 @@ select start, event_type, case when epoch_us(start) // 1000 + 3600000 <= any_val
 def stream_late_windows(spark, d):
     """The events in slices of ten days, one in 29 of them a slice late, each slice after the stream has stopped and is started again: counts of the windows that the watermark (two hours behind) has passed,
     each written once, and of the rows that came too late for theirs. A window that is still open has no count."""
-    at = f"{shared_dir(spark)}/spanloom/late-{uuid.uuid4().hex}"
+    at = scratch(spark, "late")
     events = table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     first = F.unix_micros(F.lit(events.agg(F.min("ts")).first()[0]).cast("timestamp"))
     late = F.when(F.col("event_id") % 29 == 0, 1).otherwise(0)

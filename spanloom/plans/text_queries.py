@@ -10,7 +10,7 @@ from ..operators import duplicates as dup
 from ..operators import selection as se
 from ..operators import spans as sp
 from ..operators import statistics as st
-from ..operators.staging import shared_dir
+from ..operators.staging import scratch
 from ..operators.views import ANNOTATED_SQL, SPAN_TEXTS_SQL, annotated, span_texts, table
 from ..sources import readers as rd
 from .registry import query
@@ -102,9 +102,7 @@ def score_halves(spark, d):
 select octet_length(encode(body))::bigint as bytes, sha256(body) as sha256, substr(body, 1, 200) as preview from f""")
 def fingerprints(spark, d):
     """Sixteen files for each source with its documents' digests, in order; then each file's size, SHA-256 and first bytes."""
-    import uuid
-
-    at = f"{shared_dir(spark)}/spanloom/files-{uuid.uuid4().hex}"
+    at = scratch(spark, "files")
     line = F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.md5(F.coalesce("text", F.lit(""))))
     rows = _docs(spark, d).select("source", (F.col("doc_id") % 16).alias("part"), "doc_id", line.alias("value"))
     rows.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").select("source", "part", "value").write.partitionBy("source", "part").text(at)
