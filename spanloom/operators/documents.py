@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions.lexicons import DOC_LABELS, ID_KEYS, LABEL_KEYS, LABELS, MARKER_ALIASES, SOURCE_KEYS, STRICT_LABELS, TEXT_KEYS
@@ -26,6 +27,21 @@ def harmonise(records: DataFrame) -> DataFrame:
         tx.first_filled(*cols["text"]).alias("text"), tx.doc_label(F.coalesce(*(c.cast("string") for c in cols["doc_label"])), DOC_LABELS).alias("doc_label"))
 
 
+def label_value(records: DataFrame) -> Column:
+    """The document label of the first of the known keys that a record has; of a struct its label, or else its value. Labels outside the table are null."""
+    found = []
+    for k in LABEL_KEYS:
+        if k in records.columns:
+            kind = records.schema[k].dataType
+            if isinstance(kind, T.StructType):
+                # An empty label counts as none, as a null does.
+                parts = [F.nullif(F.col(k)[f].cast("string"), F.lit("")) for f in ("label", "value") if f in kind.fieldNames()]
+                found.append(F.coalesce(*parts) if parts else F.lit(None).cast("string"))
+            else:
+                found.append(F.col(k).cast("string"))
+    return tx.doc_label(F.coalesce(*found) if found else F.lit(None).cast("string"), DOC_LABELS)
+
+
 def strict_label(c: Column) -> Column:
     return tx.lookup(c, STRICT_LABELS, "DROP_ME")
 

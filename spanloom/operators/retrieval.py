@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import staging
-from .staging import table_bytes
+from .staging import staged, table_bytes
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -178,6 +178,62 @@ def mmr_centroid(candidates: DataFrame, k: int, weight: float = 0.6, by: str = "
     return candidates.groupBy(by).applyInPandas(pick, f"{by} long, {key} long, place long")
 
 
+def mmr_strata(rows: DataFrame, quotas: dict[str, int], by: str, weight: float = 0.6, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """What mmr_centroid picks, of strata of any size: of each value of ``by`` in quotas as many rows as it says. Returns by, key and place.
+
+    A round picks one row of each stratum: every task scores its rows against the picks so far and keeps its best, and these meet as one row
+    a task and stratum. Only picks, as many as the quotas, come to the driver. Rows without a vector are left out; a stratum of no more than its quota
+    gives all, in key order.
+    """
+    src = staged(rows.where(F.col(vector).isNotNull() & F.col(by).isin(*quotas)).select(F.col(by).alias("by_"), F.col(key).alias("key_"), F.col(vector).cast("array<double>").alias("v_")), "strata")
+    unit = lambda m: m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-10)
+    kind = dict(src.dtypes)["key_"]
+
+    def sums(batches):
+        for pdf in batches:
+            for b, g in pdf.groupby("by_"):
+                m = unit(np.array(g["v_"].to_list(), dtype=float))
+                yield pd.DataFrame({"by_": b, "n": len(m), "at": np.arange(m.shape[1]), "x": m.sum(axis=0)})
+
+    mean: dict[str, dict[int, float]] = {}
+    sizes: dict[str, int] = {}
+    for r in src.mapInPandas(sums, "by_ string, n long, at long, x double").groupBy("by_", "at").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect():
+        mean.setdefault(r.by_, {})[r.at] = r.x / r.n
+        sizes[r.by_] = r.n
+    centre = {b: (lambda v: v / max(float(np.linalg.norm(v)), 1e-10))(np.array([x[i] for i in range(len(x))])) for b, x in mean.items()}
+    whole = [b for b, n in sizes.items() if n <= quotas[b]]
+    picked: dict[str, list] = {b: [] for b in sizes if b not in whole}
+    taken: dict[str, list[np.ndarray]] = {b: [] for b in picked}
+    while any(len(p) < quotas[b] for b, p in picked.items()):
+        open_ = {b: (set(picked[b]), np.array(taken[b])) for b in picked if len(picked[b]) < quotas[b]}
+
+        def best(batches, open_=open_):
+            top: dict = {}
+            for pdf in batches:
+                for b, g in pdf[pdf["by_"].isin(open_)].groupby("by_"):
+                    done, near = open_[b]
+                    g = g[~g["key_"].isin(done)]
+                    if not len(g):
+                        continue
+                    m = unit(np.array(g["v_"].to_list(), dtype=float))
+                    like = (m @ near.T).max(axis=1) if len(near) else np.full(len(m), -1.0)
+                    value = np.round(weight * (m @ centre[b]) - (1 - weight) * like, 9)
+                    i = np.lexsort((g["key_"].to_numpy(), -value))[0]
+                    found = (-value[i], g["key_"].iloc[i], m[i].tolist())
+                    top[b] = min(top.get(b, found), found, key=lambda f: f[:2])
+            if top:
+                yield pd.DataFrame([(b, *f) for b, f in top.items()], columns=["by_", "less", "key_", "v_"])
+
+        rows_ = src.mapInPandas(best, f"by_ string, less double, key_ {kind}, v_ array<double>").groupBy("by_").agg(F.min(F.struct("less", "key_", "v_")).alias("b")).collect()
+        for r in rows_:
+            picked[r.by_].append(r.b.key_)
+            taken[r.by_].append(np.array(r.b.v_))
+    all_of = src.where(F.col("by_").isin(*whole)).select("by_", "key_", F.row_number().over(Window.partitionBy("by_").orderBy("key_")).alias("place")) if whole else None
+    found = rows.sparkSession.createDataFrame([(b, x, i + 1) for b, p in picked.items() for i, x in enumerate(p)], f"by_ string, key_ {kind}, place int")
+    out = found if all_of is None else found.unionByName(all_of)
+    return out.toDF(by, key, "place")
+
+
 def mmr_quality(candidates: DataFrame, k: int, score: str = "score", weight: float = 0.5, by: str = "query", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Of each group's candidates picks k by a score, brought to 0 to 1 within the group (1 if all are equal), and distance to those picked; the first has the best score. All in key order if there are no more than k. Returns by, key, place."""
 

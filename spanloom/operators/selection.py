@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import LABELS
+from .retrieval import mmr_strata
 from .sampling import hash_ranked, shuffled
 from .staging import staged
 
@@ -219,6 +220,16 @@ def rare_quotas(bank: DataFrame, n: int, rare: tuple[str, ...] = ("Evidence", "V
     return ranked.where(F.col("nth") <= F.element_at(F.create_map(*(F.lit(x) for kv in quota.items() for x in kv)), F.col("how"))).drop("nth")
 
 
+def rare_quotas_diverse(bank: DataFrame, n: int, rare: tuple[str, ...] = ("Evidence", "Victim"), key: str = "doc_id", vector: str = "embedding") -> DataFrame:
+    """As rare_quotas(), but within each kind the examples are picked by nearness to its centre and distance to those picked: key, how, place."""
+    kind = F.when(F.col("n_spans") == 0, "negative").when(F.arrays_overlap("labels", F.array(*(F.lit(x) for x in rare))), "rare").otherwise("common")
+    rows = bank.where(F.col(vector).isNotNull()).withColumn("how", kind)
+    half = n // 2
+    n_rare = min(rows.where(F.col("how") == "rare").count(), int(half * 0.6))
+    quotas = {"rare": n_rare, "common": max(0, half - n_rare), "negative": half}
+    return mmr_strata(rows, {k: v for k, v in quotas.items() if v}, "how", key=key, vector=vector)
+
+
 def component_folds(df: DataFrame, k: int, component: str = "component", label: str = "doc_label", seed: str = "42") -> DataFrame:
     """component, label and fold: whole components dealt to k folds in turn within the label that most of their rows have (of equals the first by name). Ranks are counted in parts by hash."""
     votes = df.groupBy(component, label).agg(F.count("*").alias("n"))

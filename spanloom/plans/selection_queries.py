@@ -354,3 +354,10 @@ def diversified_bank_spans(spark, d):
     """What the examples of each language's bank show."""
     rows, g = _full_bank(spark, d)
     return bk.bank_spans(staged(bk.diversified_bank(rows, "lang"), "bank"), g).select("doc_id", "label", "start", "end")
+
+
+@query()
+def rare_quotas_diverse(spark, d):
+    """The documents that have a vector of the same number."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return se.rare_quotas_diverse(_bank(spark, d).join(vectors, "doc_id"), 16)

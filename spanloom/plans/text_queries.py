@@ -147,3 +147,15 @@ def ranked_votes(spark, d):
     """The spans of all annotators; some say it in lower case, some say nothing."""
     said = F.when(F.col("start") % 3 == 0, F.lower("span_text")).when((F.col("start") % 3 == 1) & (F.col("role") == "gold"), F.lit(None)).otherwise(F.col("span_text"))
     return sp.ranked_votes(span_texts(_docs(spark, d)).withColumn("span_text", said))
+
+
+@query(f"""with {ANNOTATED_SQL} select doc_id, case when doc_id % 5 = 4 then case when doc_label = 'cant_tell' then null else 'non' end when doc_id % 5 = 3 then null else case doc_label when 'cant_tell' then case when doc_id % 5 = 2 then 'non' end else doc_label end end as label from annotated""")
+def label_values(spark, d):
+    """Labels in structs: under label, under value, in both (label counts), in neither, and beside a plain key."""
+    a = annotated(spark, d)
+    said = F.when(F.col("doc_label") == "conspiracy", "Yes").when(F.col("doc_label") == "non", "No")
+    fifth = F.col("doc_id") % 5
+    label = F.when(fifth.isin(0, 2), said).when(fifth == 1, "").when((fifth == 4) & said.isNotNull(), "No")
+    value = F.when(fifth.isin(1, 4), said).when(fifth == 2, "No")
+    rows = a.select("doc_id", F.struct(label.alias("label"), value.alias("value")).alias("conspiracy_label"))
+    return rows.select("doc_id", dc.label_value(rows).alias("label"))

@@ -57,3 +57,17 @@ def test_balanced_places_by_hand(spark):
     assert picked(("cant",), 10) == [2, 1, 7, 4, 3]  # the row with evidence follows, and is cut
     assert picked(("cant",), 10, 6) == [2, 1, 7, 4, 3, 6]
     assert picked(("nothing",), 9) == [2, 1, 4, 3, 9]
+
+
+def test_strata_are_picked_as_one_group_is(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, np.round(rng.normal(size=5), 1).tolist(), "abc"[i % 3] if i < 90 else "few") for i in range(93)] + [(200, None, "a")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, kind string").repartition(6)
+    got = {}
+    for r in rt.mmr_strata(frame, {"a": 5, "b": 7, "few": 4}, "kind").orderBy("place").collect():
+        got.setdefault(r.kind, []).append(r.vec_id)
+    want = {}
+    for kind, k in (("a", 5), ("b", 7), ("few", 4)):
+        own = frame.where(f"kind = '{kind}' and embedding is not null")
+        want[kind] = [r.vec_id for r in rt.mmr_centroid(own, k, by="kind").orderBy("place").collect()]
+    assert got == want and len(got["few"]) == 3
