@@ -68,6 +68,6 @@ def test_strata_are_picked_as_one_group_is(spark):
         got.setdefault(r.kind, []).append(r.vec_id)
     want = {}
     for kind, k in (("a", 5), ("b", 7), ("few", 4)):
-        own = frame.where(f"kind = '{kind}' and embedding is not null")
-        want[kind] = [r.vec_id for r in rt.mmr_centroid(own, k, by="kind").orderBy("place").collect()]
+        own = frame.where(f"kind = '{kind}' and embedding is not null").selectExpr("*", "0L as query")
+        want[kind] = [r.vec_id for r in rt.mmr_centroid(own, k).orderBy("place").collect()]
     assert got == want and len(got["few"]) == 3
