@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import sums_before
+
 
 def shuffled(key: str, seed: str = "42") -> Column:
     """A sort key that shuffles by id."""
@@ -45,10 +47,11 @@ def per_key_quota(df: DataFrame, by: str, n: int, order: list[Column]) -> DataFr
 
 
 def interleave(df: DataFrame, by: str, order: list[Column], strata: list[str]) -> DataFrame:
-    """First rows of each stratum, then second ones, and so on: adds position, from 1."""
-    turn = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    """First rows of each stratum, then second ones, and so on: adds position, from 1. order: ascending columns, unique within a stratum; ranks are counted in ranges of them, so that no task has a whole stratum."""
     nth = F.array_position(F.array(*(F.lit(s) for s in strata)), F.col(by))
-    out = df.where(F.col(by).isin(*strata)).withColumns({"turn": turn, "nth": nth})
+    at, before = "_at", "_before"
+    ranked = sums_before(df.where(F.col(by).isin(*strata)).withColumn(at, F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))), [by], at, {before: F.lit(1)})
+    out = ranked.withColumns({"turn": F.col(before) + 1, "nth": nth}).drop(at, before)
     # In turn t a row stands behind all rows of lesser turns: that many can be counted from the strata's sizes.
     sizes = df.where(F.col(by).isin(*strata)).groupBy(by).agg(F.count("*").alias("size"))
     sizes = sizes.withColumn("other", F.array_position(F.array(*(F.lit(s) for s in strata)), F.col(by))).groupBy(F.lit(1).alias("one")).agg(F.collect_list(F.struct("other", "size")).alias("sizes"))
@@ -59,11 +62,13 @@ def interleave(df: DataFrame, by: str, order: list[Column], strata: list[str]) -
 def quota_sample(df: DataFrame, quotas: dict[str, int], target: int, stratum: str, order: list[Column], key: str = "doc_id") -> DataFrame:
     """The first rows of each stratum up to its quota, then the first of the rest until ``target`` rows; each row once."""
     limit = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv)), F.col(stratum)), F.lit(0))
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
-    picked = ranked.where(F.col("_rank") <= limit).withColumn("how", F.lit("quota"))
+    # A rank beyond the largest quota matters to nobody: it is cut in every task, before the strata meet.
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).where(F.col("_rank") <= max(quotas.values(), default=0))
+    picked = ranked.where(F.col("_rank") <= limit).drop("_rank").withColumn("how", F.lit("quota"))
     taken = sum(min(q, r["n"]) for r in df.groupBy(stratum).agg(F.count("*").alias("n")).where(F.col(stratum).isin(*quotas)).collect() for q in [quotas[r[stratum]]])
-    rest = ranked.where(F.col("_rank") > limit).orderBy(*order).limit(max(0, target - taken)).withColumn("how", F.lit("fill"))
-    return picked.unionByName(rest).drop("_rank")
+    # Of the first ``target`` rows of all at most as many as were taken are gone.
+    rest = df.orderBy(*order).limit(target).join(picked.select(key), key, "left_anti").orderBy(*order).limit(max(0, target - taken))
+    return picked.unionByName(rest.withColumn("how", F.lit("fill")))
 
 
 def split_search(groups: DataFrame, seeds: int, share: float, group: str = "grp", label: str = "doc_label") -> DataFrame:
@@ -71,7 +76,7 @@ def split_search(groups: DataFrame, seeds: int, share: float, group: str = "grp"
 
     groups: one row per (group, label) with n. A seed's side holds the groups whose hash is below ``share``.
     """
-    trial = groups.join(groups.sparkSession.range(seeds).withColumnRenamed("id", "seed").hint("broadcast"))
+    trial = groups.withColumn("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(seeds - 1).cast("long"))))  # summed up in the task that makes them
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col(group).cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     side = trial.withColumn("inside", u < share).groupBy("seed", label).agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("b"))
     total = side.groupBy("seed").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))

@@ -247,7 +247,7 @@ def role_turns(spark, d):
 @query(f"""with {ANNOTATED_SQL}, t as (select doc_id, doc_label, row_number() over (partition by doc_label order by {HASH}, doc_id) as turn from annotated where doc_label in ('conspiracy', 'non'))
 select doc_id, doc_label, turn::int as turn, row_number() over (order by turn, case doc_label when 'conspiracy' then 1 else 2 end) as position from t""")
 def interleave(spark, d):
-    return sm.interleave(annotated(spark, d), "doc_label", [sm.shuffled("doc_id"), F.col("doc_id")], ["conspiracy", "non"]).select("doc_id", "doc_label", "turn", "position")
+    return sm.interleave(annotated(spark, d), "doc_label", [sm.shuffled("doc_id"), F.col("doc_id")], ["conspiracy", "non"]).select("doc_id", "doc_label", F.col("turn").cast("int").alias("turn"), "position")
 
 
 @query(f"""with {ANNOTATED_SQL}, r as (select doc_id, doc_label, length(text) as n, row_number() over (partition by doc_label order by length(text) desc, doc_id) as rk from annotated),

@@ -293,17 +293,15 @@ def cliffs_delta(spark, d):
     return st.mann_whitney(_rates(spark, d), "v", "doc_label", "conspiracy", "non")
 
 
-@query()
+@query(f"""with {U_SQL}, s as (select metric, sum(na * (below + nb / 2)) as u, sum(na) as na, sum(nb) as nb, sum((na + nb)::double * (na + nb) * (na + nb) - (na + nb)) as ties from b group by 1),
+x as (select *, sqrt(na * nb / 12 * ((na + nb + 1) - ties / greatest((na + nb) * (na + nb - 1), 1))) as spread, greatest(abs(u - na * nb / 2) - 0.5, 0) as far from s),
+y as (select *, far / spread / sqrt(2.0::double) as x, 1 / (1 + 0.3275911::double * (far / spread / sqrt(2.0::double))) as t from x),
+p as (select *, round(least(((((1.061405429::double * t - 1.453152027::double) * t + 1.421413741::double) * t - 0.284496736::double) * t + 0.254829592::double) * t * exp(-x * x), 1), 6) as p from y),
+r as (select *, row_number() over (order by p, metric) as rk, count(*) over () as n from p)
+select metric, round(u, 6)::double as u, round(2 * u / (na * nb) - 1, 6)::double as cliffs_delta, na::bigint as na, nb::bigint as nb, p, round(least(1.0, min(p * n / rk) over (order by rk desc rows between unbounded preceding and current row)), 6) as p_bh from r""")
 def mannwhitney_p(spark, d):
-    """Two-sided p by the normal approximation with tie correction, adjusted for the number of metrics."""
-    u = st.mann_whitney(_rates(spark, d), "v", "doc_label", "conspiracy", "non")
-    mean, sd = F.col("na") * F.col("nb") / 2, F.sqrt(F.col("na") * F.col("nb") * (F.col("na") + F.col("nb") + 1) / 12)
-    z = F.abs(F.col("u") - mean) / sd
-    # The complementary error function by its rational approximation (Abramowitz and Stegun 7.1.26).
-    x = z / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.3275911 * x)
-    tail = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * F.exp(-x * x)
-    return st.benjamini_hochberg(u.withColumn("p", F.round(tail, 6)))
+    """Two-sided p, adjusted for the number of metrics."""
+    return st.benjamini_hochberg(st.mann_whitney_p(_rates(spark, d), "v", "doc_label", "conspiracy", "non"))
 
 
 @query("""with p as (select source, round(count(*) / (select count(*) from documents), 6) as p from documents group by 1),

@@ -284,7 +284,7 @@ def attach_few(spark, d):
 
 @query("select a.doc_id, b.doc_id as other from documents a join documents b on md5(trim(a.text)) = md5(trim(b.text)) and a.doc_id < b.doc_id and a.source <> b.source")
 def merge_on_text(spark, d):
-    """Rows of two banks that have the same text: here documents of different sources, each with each other's first."""
+    """Pairs of rows of two banks that have the same text: here documents of different sources. merge_banks is the merge of two banks into one."""
     docs = _docs(spark, d).select("doc_id", "source", F.md5(F.trim("text")).alias("t"))
     a, b = docs.alias("a"), docs.alias("b")
     return a.join(b, "t").where((F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.source") != F.col("b.source"))).select(F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("other"))
