@@ -73,7 +73,15 @@ def role_lengths(spark, d):
     return rp.long_enough(rp.split_purposes(_texts(spark, d).where("role = 'gold'").drop("role"), ("the", "sur", "and"))).select("doc_id", "label", "start", "end")
 
 
-@query()
+# The first kept span that x may not overlap, by number: Actor and Victim never meet, Victim and Action only if the Victim is short and inside.
+CLASH = """list_position(list_transform(acc, lambda k: greatest(k.s, x[1].s) < least(k.e, x[1].e) and ((k.l, x[1].l) in (('Actor', 'Victim'), ('Victim', 'Actor')) or ((k.l, x[1].l) in (('Action', 'Victim'), ('Victim', 'Action'))
+  and not case when k.l = 'Victim' then x[1].s <= k.s and k.e <= x[1].e and k.e - k.s <= 24 else k.s <= x[1].s and x[1].e <= k.e and x[1].e - x[1].s <= 24 end))), true)"""
+STAYS = "(acc[c].l = 'Actor' and x[1].l = 'Victim') or (not (acc[c].l = 'Victim' and x[1].l = 'Actor') and x[1].e - x[1].s <= acc[c].e - acc[c].s)"
+
+
+@query(f"""{W}, lists as (select doc_id, list([{{l: label, s: start, e: "end"}}] order by start, "end" desc, label) as l from span_texts group by 1),
+kept as (select doc_id, unnest(list_reduce(l, lambda acc, x: list_transform([coalesce({CLASH}, 0)], lambda c: case when c = 0 then list_concat(acc, x) when {STAYS} then acc else list_concat(list_filter(acc, lambda k, i: i <> c), x) end)[1])) as k from lists)
+select doc_id, k.l as label, k.s as start, k.e as "end" from kept""")
 def overlap_policy(spark, d):
     return rp.overlap_policy(spans(_docs(spark, d)).drop("role"))
 

@@ -218,12 +218,34 @@ def _scored(spark, d):
     return _spans(spark, d, "pred").withColumn("score", score())
 
 
-@query()
+# Ordered folds in SQL: a group's spans as a list of one-element lists, reduced to the list of those that stay (or of clusters).
+OVERLAP = "case when least(k.e, x[1].e) > greatest(k.s, x[1].s) then (least(k.e, x[1].e) - greatest(k.s, x[1].s)) / (greatest(k.e, x[1].e) - least(k.s, x[1].s)) else 0 end"
+
+
+def _kept_sql(role: str, order: str, least: str, fields: str = "s: start, e: \"end\"") -> str:
+    """Spans by document and label of which each stays if no kept one overlaps it by so much."""
+    return f"""lists as (select doc_id, label, list([{{{fields}}}] order by {order}) as l from (select *, ((start * 31 + "end") % 101) / 101.0::double as score from spans where role = '{role}') group by 1, 2),
+kept as (select doc_id, label, unnest(list_reduce(l, lambda acc, x: case when len(list_filter(acc, lambda k: {OVERLAP} >= {least})) > 0 then acc else list_concat(acc, x) end)) as k from lists)"""
+
+
+@query(f"""{W}, {_kept_sql('pred', 'score desc, start, "end"', "case when label in ('Actor', 'Victim') then 0.6 else 0.5 end", 's: start, e: "end", score: score')} select doc_id, label, k.s as start, k.e as "end", k.score as score from kept""")
 def span_nms(spark, d):
     return sp.nms(_scored(spark, d), {"Actor": 0.6, "Victim": 0.6})
 
 
-@query()
+def _clusters_sql(member: str, meets: str) -> str:
+    """Spans of all roles by document and label, in clusters: each joins the first one whose member (of c) it meets, or begins one."""
+    k = f"list_position(list_transform(acc, lambda c: {meets.format(k=member)}), true)"
+    return f"""lists as (select doc_id, label, list([[{{s: start, e: "end"}}]] order by start, "end") as l from spans group by 1, 2),
+clusters as (select doc_id, label, unnest(list_reduce(l, lambda acc, x: case when coalesce({k}, 0) > 0 then list_transform(acc, lambda c, i: case when i = {k} then list_concat(c, x[1]) else c end) else list_concat(acc, x) end)) as c from lists)"""
+
+
+MEETS = "greatest({k}.s, x[1][1].s) < least({k}.e, x[1][1].e)"
+NEARLY = "greatest({k}.s, x[1][1].s) < least({k}.e, x[1][1].e) and (least({k}.e, x[1][1].e) - greatest({k}.s, x[1][1].s)) / (greatest({k}.e, x[1][1].e) - least({k}.s, x[1][1].s)) >= 0.8"
+
+
+@query(f"""{W}, {_clusters_sql('c[1]', MEETS)}, best as (select doc_id, label, list_sort(list_transform(c, lambda k: {{n: k.s - k.e, s: k.s, e: k.e}}))[1] as b, len(c) as votes from clusters where len(c) >= 2)
+select doc_id, label, b.s as start, b.e as "end", votes from best""")
 def span_consensus_cluster(spark, d):
     return sp.consensus_clusters(_spans(spark, d), 2)
 
@@ -314,12 +336,12 @@ def crop_context(spark, d):
     return g.select("doc_id", "start", F.md5("snippet").alias("snippet_md5"), F.col("new_start").cast("long").alias("new_start"))
 
 
-@query()
+@query(f"""{W}, {_kept_sql('pred', 'start, "end"', '0.9')} select doc_id, label, k.s as start, k.e as "end" from kept""")
 def span_positional_nms(spark, d):
     return sp.positional_nms(_spans(spark, d, "pred"))
 
 
-@query()
+@query(f"""{W}, {_clusters_sql('c[len(c) // 2 + 1]', NEARLY)} select doc_id, label, c[len(c) // 2 + 1].s as start, c[len(c) // 2 + 1].e as "end", len(c) as votes from clusters where len(c) >= 2""")
 def span_self_consistency(spark, d):
     return sp.self_consistency(_spans(spark, d), 3)
 
