@@ -147,6 +147,18 @@ def json_block(c: Column) -> Column:
     return F.regexp_replace(x, r",(\s*[}\]])", "$1")
 
 
+def json_value(c: Column) -> Column:
+    """The JSON of a reply, without code fences: a struct of text and kind (array, if there is one, or object). As it is if it parses, else with straight quotes and without
+    trailing commas, if that does; else null."""
+    x = F.regexp_replace(c, r"```(json)?", "")
+    part = lambda p: F.nullif(F.regexp_extract(x, p, 1), F.lit(""))
+    array, one = part(r"(?s)(\[.*\])"), part(r"(?s)(\{.*\})")
+    block = F.coalesce(array, one)
+    mended = F.regexp_replace(F.translate(block, "“”’", "\"\"'"), r",(\s*[}\]])", "$1")
+    parses = lambda t: F.try_parse_json(t).isNotNull()
+    return F.when(parses(block) | parses(mended), F.struct(F.when(parses(block), block).otherwise(mended).alias("text"), F.when(array.isNotNull(), "array").otherwise("object").alias("kind")))
+
+
 def position_phrase(mean: Column) -> Column:
     return F.when(mean < 0.33, "early").when(mean < 0.66, "middle").otherwise("late")
 

@@ -129,6 +129,22 @@ def validate_and_repair(spark, d):
     return rp.validate_and_repair(items, docs).drop("said")
 
 
+@query(f"""{W}, p as (select doc_id, label, start, "end", span_text, start % 4 as kind from span_texts where role = 'gold'),
+m as (select doc_id, kind, case kind when 0 then 'Nobody' else label end as label, case kind when 2 then start + 1000000 when 3 then start + 2 else start end as start, case kind when 2 then "end" + 1000000 when 3 then "end" + 2 else "end" end as "end",
+  start as s, "end" as e, span_text, case kind when 1 then '§§§' else span_text end as said, greatest(0, start + 2 - 40) as lo, text from p join documents using (doc_id)),
+f as (select *, lo + instr(substr(text, cast(lo + 1 as bigint), cast(least(length(text), e + 2 + 40) - lo as bigint)), said) - 1 as pos from m)
+select doc_id, label, start, "end", case kind when 0 then 'badkeys' when 1 then 'mismatch' when 2 then 'oob' else 'ok' end as status, case kind when 0 then null when 3 then pos else start end as new_start,
+  case kind when 0 then null when 3 then pos + length(said) else "end" end as new_end, kind = 3 and pos <> start as snapped, case kind when 1 then span_text when 3 then said end as slice from f""")
+def validate_every_status(spark, d):
+    """A quarter of the spans have an unknown label, a quarter say what is not there, a quarter lie behind their text, and a quarter are two characters off."""
+    docs = _docs(spark, d)
+    kind = F.col("start") % 4
+    g = _texts(spark, d).where("role = 'gold'")
+    off = F.when(kind == 2, 1_000_000).when(kind == 3, 2).otherwise(0)
+    items = g.select("doc_id", F.when(kind == 0, "Nobody").otherwise(F.col("label")).alias("label"), (F.col("start") + off).alias("start"), (F.col("end") + off).alias("end"), F.when(kind == 1, "§§§").otherwise(F.col("span_text")).alias("said"))
+    return rp.validate_and_repair(items, docs).drop("said")
+
+
 @query(f"""{W}, g as (select *, {TRIM} as t, len(list_filter(regexp_split_to_array({TRIM}, '[ \\t\\r\\n\\f\\v]+'), lambda w: w <> '')) as words from span_texts),
 timed as (select *, words <= 6 and regexp_matches(t, '(?i)\\b\\d{{1,2}}[/-]\\d{{1,2}}[/-]\\d{{2,4}}\\b|\\b(19|20)\\d{{2}}\\b|\\b\\d+ (seconds|minutes|hours|days|weeks|months|years)\\b|\\b(today|yesterday|tomorrow|recently|now|ago)\\b') as timed from g),
 k as (select * from timed where words >= 2 and not (label in ('Victim', 'Effect') and timed) and not (label = 'Evidence' and words <= 2 and (regexp_matches(t, 'https?://|www\\.') or timed)))

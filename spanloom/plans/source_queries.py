@@ -93,6 +93,15 @@ def json_with_default(spark, d):
     return rd.read_json(spark, _at(spark, "missing"), table(spark, d, "region")).agg(F.count("*").alias("n"))
 
 
+@query("select count(*) as n, sum(doc_id)::bigint as total from documents")
+def json_with_default_found(spark, d):
+    """Files that are there count, and not the default: one array for each sixteenth of a source."""
+    at = _at(spark, "found")
+    each = _docs(spark, d).groupBy("source", (F.col("doc_id") % 16).alias("part")).agg(F.to_json(F.collect_list(F.struct("doc_id"))).alias("value"))
+    each.write.partitionBy("source", "part").text(at)
+    return rd.read_json(spark, at, table(spark, d, "region")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("total"))
+
+
 @query(DOCS)
 def append_missing(spark, d):
     """Half of the documents are there already, and all are offered, twice."""
@@ -253,6 +262,19 @@ def json_blocks(spark, d):
     return _docs(spark, d).select("doc_id", tx.json_block(reply).alias("json"))
 
 
+@query("""select doc_id, case doc_id % 6 when 0 then '[{"id": ' || doc_id || '}, {"of": "' || source || '"}]' when 1 then '{"id": ' || doc_id || ', "t": "it''s"}' when 2 then '{"id": ' || doc_id || '}' when 3 then '[1, ' || doc_id || ']' end as json,
+case doc_id % 6 when 0 then 'array' when 1 then 'object' when 2 then 'object' when 3 then 'array' end as kind from documents""")
+def json_values(spark, d):
+    """Replies with an array and a trailing comma in fences, an object with curly quotes, one that parses, an array of numbers beside words, no JSON, and JSON that cannot be mended."""
+    i = F.col("doc_id").cast("string")
+    say = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    sixth = F.col("doc_id") % 6
+    reply = (F.when(sixth == 0, say('Sure:\n```json\n[{"id": ', i, '}, {"of": "', F.col("source"), '"},]\n```')).when(sixth == 1, say("{“id”: ", i, ", “t”: “it’s”,}"))
+             .when(sixth == 2, say('{"id": ', i, "}")).when(sixth == 3, say("so [1, ", i, "] it is")).when(sixth == 4, say("none ", i)).otherwise(say("{", i, ": }")))
+    v = tx.json_value(reply)
+    return _docs(spark, d).select("doc_id", v["text"].alias("json"), v["kind"].alias("kind"))
+
+
 @query("select source, case when avg(n_chars % 100 / 100.0) < 0.33 then 'early' when avg(n_chars % 100 / 100.0) < 0.66 then 'middle' else 'late' end as place from documents group by 1")
 def position_phrases(spark, d):
     return _docs(spark, d).groupBy("source").agg(tx.position_phrase(F.avg(F.col("n_chars") % 100 / F.lit(100.0))).alias("place"))
