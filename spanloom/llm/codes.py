@@ -133,9 +133,10 @@ def compress(df: DataFrame, key: str = "vec_id", vector: str = "embedding", labe
     """One row per coded vector: its other columns, code (two hex digits a part), error (squared distances to the entries, summed), label_error (that
     summed over equal labels, nulls together) and codebooks_sha256 (of all components of the final entries, joined by commas).
 
-    Codebooks start as the parts of the vectors with the ``entries`` smallest keys (fewer, where there are fewer vectors; nulls last, ties by the vector)
-    and move to floored means ``rounds`` times. Codebooks are ``entries`` vectors whatever the table's size, so they go to every task; each round returns as
-    many sums. Sums and distances are whole numbers, so neither the order of rows nor the partitions matter.
+    Codebooks start as the parts of the vectors with the ``entries`` smallest keys (fewer, where there are fewer vectors; nulls last, ties
+    by the vector) and move to floored means ``rounds`` times. Codebooks are ``entries`` vectors whatever the table's size, so they go to
+    every task; each round returns as many sums. Sums and distances are whole numbers, so neither the order of rows nor the partitions
+    matter.
 
     See ``integer_vectors`` for rows without a code. An empty table gives no rows. Columns of df that have a result's name are replaced, unless
     they are the key or the label. The number of components must be a multiple of ``parts``; else a ValueError says so.

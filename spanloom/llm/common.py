@@ -144,7 +144,8 @@ def chunks(sizes: np.ndarray, limit: int):
 
 
 def slices(values: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Ranges (i, j) of an array of binary values of about ``limit`` bytes together, one value at least, with the values (null: empty): only they become Python objects."""
+    """Ranges (i, j) of an array of binary values of about ``limit`` bytes together, one value at least, with the values (null: empty): only
+    they become Python objects."""
     sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
     for i, j in chunks(sizes, SLICE_BYTES if limit is None else limit):
         yield i, j, [b"" if x is None else x for x in values.slice(i, j - i).to_pylist()]

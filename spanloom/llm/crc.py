@@ -90,7 +90,8 @@ def word_crcs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 def gram_crcs(crc: np.ndarray, sizes: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """CRCs of all runs of 1 to width words of one text, joined by a space, and the text of each run.
 
-    crc, sizes and text are the words' own, in order. A run of k words is a run of k - 1 words, shifted over the next word and its space, with that added.
+    crc, sizes and text are the words' own, in order. A run of k words is a run of k - 1 words, shifted over the next word and its space,
+    with that added.
     """
     spaced = joined(np.full(len(crc), zlib.crc32(b" "), dtype=np.uint32), crc, sizes) if width > 1 else crc
     run, of, runs, texts = crc, text, [crc], [text]

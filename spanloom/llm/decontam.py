@@ -116,7 +116,8 @@ class Items:
             yield size, np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel(), start
 
     def tables(self) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
-        """A table per block, of items by every value within some bits of theirs, as many bits as INDEX_BYTES allow: these, and the tables. Lookups cover the other bits of BLOCK_RADIUS."""
+        """A table per block, of items by every value within some bits of theirs, as many bits as INDEX_BYTES allow: these, and the tables.
+        Lookups cover the other bits of BLOCK_RADIUS."""
         if not hasattr(self, "_tables"):
             near = max(r for r in range(BLOCK_RADIUS + 1) if not r or len(self.prints) * len(_MASKS[r]) * BLOCKS * 4 <= INDEX_BYTES)
             per = []

@@ -89,8 +89,8 @@ def resample(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str
 
     Features are all runs of 1 to ``width`` words; each one's bucket is its CRC-32 modulo ``buckets``, composed from its words' CRCs
     (``crc``). weight is the floored mean over a document's features of how much likelier their buckets are in ``target``, and score adds a
-    Gumbel variable made of seed and key, so that the highest ``percent`` of a hundred scores among the documents of at least ``least_words`` words are a sample
-    without replacement. Ties go to the lesser key.
+    Gumbel variable made of seed and key, so that the highest ``percent`` of a hundred scores among the documents of at least
+    ``least_words`` words are a sample without replacement. Ties go to the lesser key.
 
     Two passes over the texts; ranks are sums over ranges of the order, so no task has all rows. Null texts have no words; a null key is drawn
     for as an empty one and comes before others of its score. Repeated rows are ranked one after the other. An empty target or empty table is fine.

@@ -104,7 +104,8 @@ def _means(px: np.ndarray, k: int) -> np.ndarray:
 
 
 def _png(body: bytes, w: int, h: int, step: int) -> np.ndarray:
-    """Grey levels of a PNG's compressed rows, inflated and folded strip by strip: a picture of any size takes a strip's memory and that of its folded pixels."""
+    """Grey levels of a PNG's compressed rows, inflated and folded strip by strip: a picture of any size takes a strip's memory and that of
+    its folded pixels."""
     k, row = _fold(w, h), w * step + 1
     rows = k * max(1, STRIP_BYTES // (row * k))
     inflate, held, last, out = zlib.decompressobj(), bytearray(), None, []
@@ -127,7 +128,8 @@ def _png(body: bytes, w: int, h: int, step: int) -> np.ndarray:
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
-    """Grey levels of a PNG (8 bits, not interlaced, no palette), or of a binary PGM or PPM; None for anything else. Large pictures are folded: see ``_fold``."""
+    """Grey levels of a PNG (8 bits, not interlaced, no palette), or of a binary PGM or PPM; None for anything else. Large pictures are
+    folded: see ``_fold``."""
     try:
         if data and data[:8] == b"\x89PNG\r\n\x1a\n":
             at, body, head = 8, [], None
@@ -316,7 +318,8 @@ class _Block:
 
 
 def _matches(left: _Block, right: _Block, lo: int, hi: int, twins: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Features of left's pictures lo to hi and of right within DISTANCE that agree in a table, each pair once. twins: left is right; pairs of a picture and a later one, or itself where twins."""
+    """Features of left's pictures lo to hi and of right within DISTANCE that agree in a table, each pair once. twins: left is right; pairs
+    of a picture and a later one, or itself where twins."""
     every = np.arange(left.first[lo], left.first[hi])
     for t in range(TABLES):
         rows = every[np.argsort(left.keys[t][every], kind="stable")]  # searched in order
@@ -383,7 +386,8 @@ def _linked(least: int):
 
 
 def picture_links(found: DataFrame, least: int = VOTES) -> DataFrame:
-    """Of pictures (key, data, rows, twins) those whose matched corners agree with another's on a similarity transform: node, root (the least it is linked to here), others (rows of those linked to it), alike (has twins and agrees with itself).
+    """Of pictures (key, data, rows, twins) those whose matched corners agree with another's on a similarity transform: node, root (the
+    least it is linked to here), others (rows of those linked to it), alike (has twins and agrees with itself).
 
     Features match if they agree on the bits of one of TABLES tables and differ in at most DISTANCE bits: all that do,
     however many share the bits. Pictures meet in pairs of blocks, so that there are no rows for pairs; a picture has a row for each.

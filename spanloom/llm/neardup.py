@@ -50,12 +50,14 @@ def least_attainable(size: int, similarity: float) -> float:
 
 
 def prefix_lengths(similarity: float, target: float) -> np.ndarray:
-    """For sets of 0, 1, 2 ... FINE_SIZES elements and more: how far their prefixes are shortened so that the least similar partner they can have is met with the target probability."""
+    """For sets of 0, 1, 2 ... FINE_SIZES elements and more: how far their prefixes are shortened so that the least similar partner they can
+    have is met with the target probability."""
     return np.array([DEPTH] + [forest_depth(least_attainable(n, similarity), target) for n in range(1, FINE_SIZES + 1)] + [forest_depth(similarity, target)], dtype=np.int8)
 
 
 def labels(texts: list[bytes], width: int, trees: int = TREES) -> tuple[np.ndarray, np.ndarray]:
-    """For each text and tree its path: the tree's number and DEPTH minima of hashed shingles, as bytes that sort as the path does; and each text's number of different shingles. A text without shingles has path 0."""
+    """For each text and tree its path: the tree's number and DEPTH minima of hashed shingles, as bytes that sort as the path does; and each
+    text's number of different shingles. A text without shingles has path 0."""
     s, begin = shingles(texts, width)
     out = np.zeros((len(texts), trees, 1 + DEPTH * MINIMUM_BYTES), dtype=np.uint8)
     sizes = np.zeros(len(texts), dtype=np.int64)
@@ -136,7 +138,8 @@ _LINKS = "a binary, b binary, label binary, depth byte"
 
 
 def _climb(edges: bool, levels: list[int]):
-    """Walks sorted rows (label, depth, key): yields links (a, b) and, where ``edges``, the range's outermost texts of each level (a, label, depth), which meet those of other ranges later."""
+    """Walks sorted rows (label, depth, key): yields links (a, b) and, where ``edges``, the range's outermost texts of each level (a, label,
+    depth), which meet those of other ranges later."""
     kind = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("label", pa.binary()), ("depth", pa.int8())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +163,8 @@ def _climb(edges: bool, levels: list[int]):
 
 
 def forest_links(seen: DataFrame, levels: list[int]) -> DataFrame:
-    """Links (a, b) between the texts of _signatures() under a common node of the forest; texts under one node are linked in a chain. levels: the prefix lengths there are.
+    """Links (a, b) between the texts of _signatures() under a common node of the forest; texts under one node are linked in a chain.
+    levels: the prefix lengths there are.
 
     All labels are sorted as a whole, in ranges by their values, so that however many texts are under a node, it is
     spread over tasks; what the ranges' ends have in common is linked in a second walk over the ends alone.
@@ -240,7 +244,8 @@ def _verify(width: int, similarity: float):
 
 
 def _placed(comps: DataFrame, similarity: float) -> DataFrame:
-    """Deals the members of candidate components (root, key, n, least, bytes, size) into blocks, and names for each the blocks it meets: columns comp, key, n, least, block, blocks, others.
+    """Deals the members of candidate components (root, key, n, least, bytes, size) into blocks, and names for each the blocks it meets:
+    columns comp, key, n, least, block, blocks, others.
 
     A large component's blocks hold texts of like numbers of shingles. Sets of which one has less than ``similarity``
     times the other's elements cannot be similar, so blocks farther apart do not meet.
@@ -321,7 +326,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, re
 
 
 def label_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """One row per row of docs: key, class_id (the least id of its class; its own id without links) and n_links (documents linked to it, equal ones included)."""
+    """One row per row of docs: key, class_id (the least id of its class; its own id without links) and n_links (documents linked to it,
+    equal ones included)."""
     classes = near_duplicates(docs, text=text, key=key, **how)
     src = docs.select(key, F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("text_key"))
     out = src.join(small(classes), "text_key", "left")
@@ -329,7 +335,8 @@ def label_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """Keeps one document of each class, the one with the least id (null ids last), and everything that is not linked; of equal rows of that id one stays."""
+    """Keeps one document of each class, the one with the least id (null ids last), and everything that is not linked; of equal rows of that
+    id one stays."""
     classes = near_duplicates(docs, text=text, key=key, **how)
     own, k, i = fresh(docs, "own", "keep_k", "keep_i")
     classes = classes.select(F.col("text_key").alias(own), F.col("keep_key").alias(k), F.col("keep_id").alias(i))

@@ -36,8 +36,8 @@ def window_minima(value: np.ndarray, width: int) -> np.ndarray:
 def least_places(value: np.ndarray, width: int) -> np.ndarray:
     """Where the least (by its upper bits) of each ``width`` values in a row is, the first of equals.
 
-    Values carry their place in their lower bits, counted from the start of a block that these bits can number; blocks overlap, so that each run of values lies
-    within one, whatever the text's length.
+    Values carry their place in their lower bits, counted from the start of a block that these bits can number; blocks overlap, so that each
+    run of values lies within one, whatever the text's length.
     """
     low = U((1 << _AT) - 1)
     step = (1 << _AT) - width + 1
@@ -111,7 +111,9 @@ def _shard(length: int):
 
 
 def _bands(length: int):
-    """Cuts each run (mer, print, n, lead, segment) into bands of BAND windows, counted from its least substring, so that equal windows are in bands of one number: band, core (a hash of the bytes that all windows of such a band have), whole (of all bytes of the band's windows here), and the windows a to b."""
+    """Cuts each run (mer, print, n, lead, segment) into bands of BAND windows, counted from its least substring, so that equal windows are
+    in bands of one number: band, core (a hash of the bytes that all windows of such a band have), whole (of all bytes of the band's windows
+    here), and the windows a to b."""
     kind = pa.schema([("mer", pa.int64()), ("print", pa.int64()), ("n", pa.int64()), ("band", pa.int32()), ("core", pa.int64()), ("whole", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +161,8 @@ def _windows(length: int):
 
 
 def _repeated_in_bands(segments: DataFrame, length: int) -> DataFrame:
-    """The repeated windows, as ranges a to b, of runs (mer, print, n, lead, segment) of hot least substrings, without any task that has all runs of one.
+    """The repeated windows, as ranges a to b, of runs (mer, print, n, lead, segment) of hot least substrings, without any task that has all
+    runs of one.
 
     A band whose core no other run has is done with, and one that is the same in all runs that have its core is
     repeated as a whole. Only the windows of the others, where what is shared begins or ends, are counted one by one.
@@ -208,7 +211,8 @@ def _cut(texts: pa.Array, ranges: pa.Array) -> pa.Array:
 
 
 def repeated_ranges(docs: DataFrame, length: int = 400, text: str = "text") -> DataFrame:
-    """For each different text with a string of ``length`` bytes that starts anywhere else in the table, too: its MD5 (key, binary) and ranges, an array of (begin, end), not merged.
+    """For each different text with a string of ``length`` bytes that starts anywhere else in the table, too: its MD5 (key, binary) and
+    ranges, an array of (begin, end), not merged.
 
     Windows are dealt to shards by their least substring of MER bytes, so that equal windows meet. A run of windows
     that is found twice as a whole is repeated; where different runs share their least substring, the suffixes of the

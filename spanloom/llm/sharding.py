@@ -26,7 +26,8 @@ def _bits(h: Column, used: int, bits: int) -> Column:
 
 
 def _leaves(cells: DataFrame, bits: int, limit: int) -> DataFrame:
-    """Of the trees over cells (lead, cell of ``bits`` bits, bytes, rows): the buckets at or under the limit whose parent is over it, and cells over it that no bit here splits."""
+    """Of the trees over cells (lead, cell of ``bits`` bits, bytes, rows): the buckets at or under the limit whose parent is over it, and
+    cells over it that no bit here splits."""
     depths = F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth")
     nodes = cells.select(depths, "*").groupBy("lead", "depth", F.expr("substr(cell, 1, depth)").alias("node")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
     nodes = staged(nodes, "nodes")
@@ -40,7 +41,8 @@ def _leaves(cells: DataFrame, bits: int, limit: int) -> DataFrame:
 
 
 def _numbered(rest: DataFrame, h: str, columns: list[str]) -> DataFrame:
-    """rest with another hash in h, that also covers the other columns and, of rows equal in all, a number from 0 for each. Equal rows are numbered by the part of the table they are in, so that however many there are, no task has all."""
+    """rest with another hash in h, that also covers the other columns and, of rows equal in all, a number from 0 for each. Equal rows are
+    numbered by the part of the table they are in, so that however many there are, no task has all."""
     at, part, nth, before = fresh(rest, "at", "part", "nth", "before")
     fixed = staged(rest.withColumn(h, F.xxhash64(h, *columns)).withColumn(at, F.monotonically_increasing_id()), "rest")
     parted = fixed.withColumn(part, F.shiftrightunsigned(at, 33))

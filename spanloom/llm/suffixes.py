@@ -132,7 +132,8 @@ class _Sorter:
             queue.push(s, given[a:b], common[a:b])
 
     def induce(self, low: np.ndarray, lcp: np.ndarray, emit: Callable[[np.ndarray, np.ndarray], None]) -> None:
-        """From the low suffixes in order (lcp: with the one before) to all suffixes, emitted in descending order with what each has in common with the one emitted before."""
+        """From the low suffixes in order (lcp: with the one before) to all suffixes, emitted in descending order with what each has in
+        common with the one emitted before."""
         queue, falling = Queue(), Queue()
         since, fresh = np.full(self.sigma, self.cap, dtype=np.int64), np.ones(self.sigma, dtype=bool)
         bound = np.searchsorted(self.text[low], np.arange(self.sigma + 1))
@@ -209,7 +210,8 @@ class _Sorter:
 
 
 def suffix_order(text: np.ndarray, cap: int, emit: Callable[[np.ndarray, np.ndarray], None]) -> None:
-    """Emits the suffixes of text (symbols from 1), ordered by their first cap symbols, in descending order: positions, and the length (up to cap) that each shares with the one before."""
+    """Emits the suffixes of text (symbols from 1), ordered by their first cap symbols, in descending order: positions, and the length (up
+    to cap) that each shares with the one before."""
     s = _Sorter(np.append(text, 0).astype(np.uint16), cap)
     low, lcp = s.sorted_low()
     s.induce(low, lcp, emit)

@@ -72,7 +72,8 @@ _DIGIT = re.compile(r"\d")
 
 
 def _capitals(name: str, most: int = 3, shouted: bool = False, lead: bool = False) -> str:
-    """The leading words of name that begin with a capital, at most so many, with the small words between them (lead: before them, too). shouted: all of them may be in capitals, else none is."""
+    """The leading words of name that begin with a capital, at most so many, with the small words between them (lead: before them, too).
+    shouted: all of them may be in capitals, else none is."""
     words, out, n, loud = name.split(" "), [], 0, False
     for i, word in enumerate(words):
         if word in PARTICLES:
@@ -106,7 +107,8 @@ def _name_words(name: str, at: int, gender: str, lone: str) -> list[tuple[int, i
 
 
 def _names(text: str) -> list[tuple[int, int, str, str]]:
-    """Words of personal names: behind a title, a cue or as a common given name with a capitalised word, and every other mention of the same words in the text, capitalised or in capitals."""
+    """Words of personal names: behind a title, a cue or as a common given name with a capitalised word, and every other mention of the same
+    words in the text, capitalised or in capitals."""
     found: list[tuple[int, int, str, str]] = []
     if any(t in text for t in TITLES):
         for m in _TITLED.finditer(text):
@@ -235,7 +237,8 @@ def _date(canon: str, draws: _Draws) -> str:
 
 
 def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
-    """The canonical form of the replacement: same type, length and kinds of characters; of an e-mail address the part before the @; a given name of the same gender and script. Later attempts may be longer where the type allows it."""
+    """The canonical form of the replacement: same type, length and kinds of characters; of an e-mail address the part before the @; a given
+    name of the same gender and script. Later attempts may be longer where the type allows it."""
     family = kind.split(":")[0]
     draws = _Draws(key, family, canon, attempt)
     longer = "".join(chr(97 + draws.below(26)) for _ in range(attempt // 4)) if family in ("email", "domain", "secret") else ""
@@ -315,7 +318,8 @@ def _family(kind: str) -> str:
 
 
 def with_surrogates(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
-    """Replaces text by one in which e-mail and IP addresses (both versions), telephone, card, account, passport, social-security and other long numbers, dates of birth, street addresses, secrets and personal names are surrogates; adds n_entities.
+    """Replaces text by one in which e-mail and IP addresses (both versions), telephone, card, account, passport, social-security and other
+    long numbers, dates of birth, street addresses, secrets and personal names are surrogates; adds n_entities.
 
     A surrogate is drawn by a keyed hash of the entity's type and canonical form (case of e-mail addresses and names,
     and separators of numbers, do not count), so an entity has one surrogate wherever it occurs. Names are replaced
