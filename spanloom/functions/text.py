@@ -148,8 +148,8 @@ def json_block(c: Column) -> Column:
 
 
 def json_value(c: Column) -> Column:
-    """The JSON of a reply, without code fences: a struct of text and kind (array, if there is one, or object). As it is if it parses, else with straight quotes and without
-    trailing commas, if that does; else null."""
+    """The JSON of a reply, without code fences: a struct of text and kind (array, if there is one, or object). As it is if it parses, else
+    with straight quotes and without trailing commas, if that does; else null."""
     x = F.regexp_replace(c, r"```(json)?", "")
     part = lambda p: F.nullif(F.regexp_extract(x, p, 1), F.lit(""))
     array, one = part(r"(?s)(\[.*\])"), part(r"(?s)(\{.*\})")
@@ -190,7 +190,8 @@ def nfkc_key(c: Column) -> Column:
 
 
 def markdown_text(c: Column) -> Column:
-    """Text of markdown: code, images and tags go, links keep their words, marks of headings, quotes, lists and emphasis go; text nodes joined by blanks."""
+    """Text of markdown: code, images and tags go, links keep their words, marks of headings, quotes, lists and emphasis go; text nodes
+    joined by blanks."""
     x = F.regexp_replace(c, r"(?s)```.*?```", " ")
     for pattern, by in ((r"`[^`\n]*`", " "), (r"!\[[^\]\n]*\]\([^)\n]*\)", " "), (r"\[([^\]\n]*)\]\([^)\n]*\)", "$1"), (r"(?m)^ {0,3}(#{1,6} +|> ?|[-*+] +|[0-9]+[.] +)", ""), (r"\*\*([^*\n]+)\*\*", "$1"), (r"\*([^*\n]+)\*", "$1"), (r"__([^_\n]+)__", "$1")):
         x = F.regexp_replace(x, pattern, by)
@@ -229,7 +230,8 @@ def is_evidence(c: Column, attribution: str = ATTRIBUTION, numbers: str = NUMBER
 
 
 def token_offsets(c: Column) -> Column:
-    """Start and end of every word (a run of letters, digits and underscores) and every other mark that is not white space, in order: an array, by one scan of the text. Null for a null text."""
+    """Start and end of every word (a run of letters, digits and underscores) and every other mark that is not white space, in order: an
+    array, by one scan of the text. Null for a null text."""
 
     @F.pandas_udf("array<struct<start: long, end: long>>")
     def scan(texts: pd.Series) -> pd.Series:

@@ -28,8 +28,9 @@ def _kinds(text: Column, patterns: dict[str, str]) -> Column:
 
 
 def bank_signals(docs: DataFrame, spans: DataFrame, score: Column, evidence: dict[str, str] | None = None, actors: dict[str, str] | None = None, key: str = "doc_id") -> DataFrame:
-    """docs with what a bank asks of them: labels, evidence_kinds and actor_kinds (sorted arrays), n_spans, n_overlaps, n_nested (ordered pairs, equal spans both ways) and quality, the mean of
-    ``score`` over its spans (columns key, label, start, end, span_text); empty, 0 and 0.0 without spans."""
+    """docs with what a bank asks of them: labels, evidence_kinds and actor_kinds (sorted arrays), n_spans, n_overlaps, n_nested (ordered
+    pairs, equal spans both ways) and quality, the mean of ``score`` over its spans (columns key, label, start, end, span_text); empty, 0
+    and 0.0 without spans."""
     said = F.trim("span_text")
     kinds = lambda label, patterns: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("label") == label, _kinds(said, patterns))))))
     per = spans.groupBy(key).agg(
@@ -99,10 +100,11 @@ def _picked(rows: list[dict], n: int, negatives: int, n_complex: int, most: int,
 def diversified_bank(rows: DataFrame, by: str, n: int = 10, negatives: int = 2, n_complex: int = 3, least_spans: int = 6, least_overlaps: int = 1, most: int = 4, evidence: tuple[str, ...] = tuple(EVIDENCE_KINDS), actors: tuple[str, ...] = tuple(ACTOR_KINDS), key: str = "doc_id") -> DataFrame:
     """For each value of ``by`` a bank of n examples: by, key, how and place, a shuffled order.
 
-    rows: ``bank_signals`` with pool (clean, hard or null: as ``negative_pools`` has it; hard may be told apart by a column hard). Complex ones come first, by spans, overlaps, nested pairs, labels, and an
-    Action with an Effect. Normal ones follow by quality, in passes: for kinds of evidence not seen yet, for kinds of actors, for a Victim, for an
-    Action with an Effect, then any. What is missing comes from all others. No label is in more than ``most`` examples, until nothing else is left
-    (relaxed). One hard negative and clean ones close the bank; without any positive there are only these.
+    rows: ``bank_signals`` with pool (clean, hard or null: as ``negative_pools`` has it; hard may be told apart by a column hard). Complex
+    ones come first, by spans, overlaps, nested pairs, labels, and an Action with an Effect. Normal ones follow by quality, in passes: for
+    kinds of evidence not seen yet, for kinds of actors, for a Victim, for an Action with an Effect, then any. What is missing comes from
+    all others. No label is in more than ``most`` examples, until nothing else is left (relaxed). One hard negative and clean ones close the
+    bank; without any positive there are only these.
 
     Rows that have the same labels and kinds can only be taken in their order, so the first n of each such class are all that any pass can
     reach: ranks are cut there, by task first, and what a bank chooses from is as bounded as the classes. Ties go to the lesser key.

@@ -28,7 +28,8 @@ def harmonise(records: DataFrame) -> DataFrame:
 
 
 def label_value(records: DataFrame) -> Column:
-    """The document label of the first of the known keys that a record has; of a struct its label, or else its value. Labels outside the table are null."""
+    """The document label of the first of the known keys that a record has; of a struct its label, or else its value. Labels outside the
+    table are null."""
     found = []
     for k in LABEL_KEYS:
         if k in records.columns:
@@ -73,21 +74,24 @@ def fill_ids(df: DataFrame, name: str, order: list[Column], key: str = "doc_id")
 
 
 def markers(c: Column, drop_bad: bool = True) -> Column:
-    """An array of spans of any spelling as (label, start, end, text): labels brought to the five, offsets cast; spans with an unknown label go, and those with bad offsets if drop_bad."""
+    """An array of spans of any spelling as (label, start, end, text): labels brought to the five, offsets cast; spans with an unknown label
+    go, and those with bad offsets if drop_bad."""
     norm = F.transform(c, lambda m: F.struct(tx.lookup(F.lower(F.trim(m["type"])), MARKER_ALIASES).alias("label"), m["startIndex"].try_cast("int").alias("start"), m["endIndex"].try_cast("int").alias("end"), m["text"].alias("text")))
     keep = lambda m: m["label"].isin(*LABELS) & (m["start"].isNotNull() & m["end"].isNotNull() if drop_bad else F.lit(True))
     return F.filter(norm, keep)
 
 
 def span_records(markers: Column, prediction_spans: Column, prediction: Column) -> Column:
-    """The spans of a record, whichever of the three arrays (label, type, start, startIndex, end, endIndex, text, score) it has first, as (label, start, end, text, score); spans without a label or an offset go. An offset of 0 is one."""
+    """The spans of a record, whichever of the three arrays (label, type, start, startIndex, end, endIndex, text, score) it has first, as
+    (label, start, end, text, score); spans without a label or an offset go. An offset of 0 is one."""
     norm = F.transform(F.coalesce(markers, prediction_spans, prediction), lambda m: F.struct(
         F.coalesce(m["label"], m["type"]).alias("label"), F.coalesce(m["start"], m["startIndex"]).alias("start"), F.coalesce(m["end"], m["endIndex"]).alias("end"), m["text"].alias("text"), m["score"].alias("score")))
     return F.filter(norm, lambda m: m["label"].isNotNull() & m["start"].isNotNull() & m["end"].isNotNull())
 
 
 def few_shot_entries(docs: DataFrame, text: str = "text", spans: str = "spans", label: str = "doc_label") -> DataFrame:
-    """Examples for both tasks, with kind: s1 for texts that are not blank, whatever their spans; s2 for those of the two classes. Texts are trimmed, and spans (label, start, end) cut to them; those under three characters go."""
+    """Examples for both tasks, with kind: s1 for texts that are not blank, whatever their spans; s2 for those of the two classes. Texts are
+    trimmed, and spans (label, start, end) cut to them; those under three characters go."""
     t = F.trim(F.coalesce(F.col(text), F.lit("")))
     low = lambda x: F.least(F.greatest(x, F.lit(0)), F.length(t))
     cut = F.filter(F.transform(F.col(spans), lambda m: F.struct(m["label"].alias("label"), low(m["start"]).alias("start"), F.greatest(low(m["start"]), low(m["end"])).alias("end"))), lambda m: m["label"].isin(*LABELS) & (m["end"] - m["start"] >= 3))
@@ -165,9 +169,9 @@ def require_unique(df: DataFrame, key: str) -> DataFrame:
 def merge_banks(spans: DataFrame, labels: DataFrame, order: str = "position", text: str = "text") -> DataFrame:
     """Two banks of examples as one by equal texts: text, markers, doc_label, rationale and place (from 1).
 
-    spans (text, markers, order): of equal texts the first counts. labels (text, doc_label, rationale, order): of equal texts the last counts, doc_label is
-    non and the rationale empty where they are null. Texts of the first bank come first, in its order, then those that only the second has. Rows without a text go. Places
-    are counted in ranges of the order.
+    spans (text, markers, order): of equal texts the first counts. labels (text, doc_label, rationale, order): of equal texts the last
+    counts, doc_label is non and the rationale empty where they are null. Texts of the first bank come first, in its order, then those that
+    only the second has. Rows without a text go. Places are counted in ranges of the order.
     """
     some = lambda df: df.where(F.coalesce(F.col(text), F.lit("")) != "")
     a = some(spans).groupBy(text).agg(F.min(order).alias("a_"), F.min_by("markers", order).alias("markers"))

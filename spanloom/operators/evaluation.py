@@ -32,8 +32,8 @@ def token_ranges(spans: DataFrame, tokens: DataFrame, key: str = "doc_id") -> Da
 
 
 def token_match(gold: DataFrame, pred: DataFrame, tokens: DataFrame, known: DataFrame, strict: bool = False, threshold: float = 0.5, key: str = "doc_id") -> DataFrame:
-    """Counts (tp, fp, fn) by document and label of the greedy match by token IoU. known has the documents that are annotated, some perhaps without spans:
-    predictions for others are left out, or with ``strict`` all false positives."""
+    """Counts (tp, fp, fn) by document and label of the greedy match by token IoU. known has the documents that are annotated, some perhaps
+    without spans: predictions for others are left out, or with ``strict`` all false positives."""
     mine = pred if strict else pred.join(known.select(key), key, "left_semi")
     own = gold.join(known.select(key), key, "left_semi")
     return greedy_match(token_ranges(own, tokens, key), token_ranges(mine, tokens, key), threshold, key)

@@ -148,7 +148,8 @@ def locate_spans(quotes: DataFrame, text: str = "text", quote: str = "quote") ->
 
 
 def locate_in_context(quotes: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds start and end to rows (key, before, quote, after): see locate_context(). A document meets its quotes as one array, and its text crosses to Python once."""
+    """Adds start and end to rows (key, before, quote, after): see locate_context(). A document meets its quotes as one array, and its text
+    crosses to Python once."""
     cols = [c for c in quotes.columns if c != key]
     grouped = quotes.groupBy(key).agg(F.collect_list(F.struct(*cols)).alias("quotes_"))
     j = grouped.join(docs.select(key, F.col(text).alias("text_")), key)
@@ -163,7 +164,8 @@ def locate_in_context(quotes: DataFrame, docs: DataFrame, key: str = "doc_id", t
 
 
 def similarity(a: str, b: str) -> float:
-    """How alike two labels' texts are: 1 for equal ones whatever the case, .9 and .8 for a part of a compound, else the better of matching blocks and word overlap."""
+    """How alike two labels' texts are: 1 for equal ones whatever the case, .9 and .8 for a part of a compound, else the better of matching
+    blocks and word overlap."""
     x, y = a.strip().lower(), b.strip().lower()
     if x == y:
         return 1.0

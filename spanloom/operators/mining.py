@@ -46,9 +46,9 @@ class TextClassifier:
 def fit_texts(train: DataFrame, y: str = "y", text: str = "text", terms: int = 5000, penalty: float = 1.0, stop: list[str] | None = None, rounds: int = 200, tolerance: float = 1e-9) -> TextClassifier:
     """A logistic regression of y (0 or 1) on the normalised TF-IDF of the ``terms`` commonest terms, classes weighed as if equally common.
 
-    Minimised is half the squared weights plus ``penalty`` times the weighed losses; the intercept is free. Terms are counted by documents first, and only the
-    chosen ones come to the driver. A document's vector is sparse and made once, into a table; each round
-    of the fit is one tree of sums over it. Without documents of both classes a ValueError is raised.
+    Minimised is half the squared weights plus ``penalty`` times the weighed losses; the intercept is free. Terms are counted by documents
+    first, and only the chosen ones come to the driver. A document's vector is sparse and made once, into a table; each round of the fit is
+    one tree of sums over it. Without documents of both classes a ValueError is raised.
     """
     stop = StopWordsRemover.loadDefaultStopWords("english") if stop is None else stop
     docs = train.where(F.col(y).isin(0, 1)).select(F.col(y).cast("double").alias("y_"), F.col(text).alias("text_"))
@@ -72,7 +72,8 @@ def fit_texts(train: DataFrame, y: str = "y", text: str = "text", terms: int = 5
 
 
 def confident_errors(train: DataFrame, dev: DataFrame, positive: str, negative: str, label: str = "doc_label", text: str = "text", least: float = 0.8, **fit) -> DataFrame:
-    """dev's documents of the two labels with predicted, confidence (that of the predicted label) and confident_error: wrong, and surer than ``least``."""
+    """dev's documents of the two labels with predicted, confidence (that of the predicted label) and confident_error: wrong, and surer than
+    ``least``."""
     y = F.when(F.col(label) == positive, 1).when(F.col(label) == negative, 0)
     model = fit_texts(train.withColumn("y_", y), "y_", text, **fit)
     told = model.predict(dev.where(F.col(label).isin(positive, negative)), text)

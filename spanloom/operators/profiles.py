@@ -56,7 +56,8 @@ def fold_pivot(df: DataFrame, labels: tuple[str, ...], fold: str = "fold", label
 
 
 def priors_with_rates(spans: DataFrame, lengths: DataFrame, key: str = "doc_id") -> DataFrame:
-    """By label, over spans that are not empty in texts that are not: the logarithmic length's mean and deviation, the start's beta parameters, the 90 % length cut to a whole number, spans per document of the table, and per document with spans."""
+    """By label, over spans that are not empty in texts that are not: the logarithmic length's mean and deviation, the start's beta
+    parameters, the 90 % length cut to a whole number, spans per document of the table, and per document with spans."""
     j = spans.join(lengths, key).where((F.col("end") > F.col("start")) & (F.col("n_text") > 0))
     n, x = F.col("end") - F.col("start"), F.col("start") / F.col("n_text")
     docs = lengths.agg(F.greatest(F.lit(1), F.count("*")).alias("docs"))
@@ -93,13 +94,15 @@ def document_groups(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def token_runs(tokens: DataFrame, wanted: Column, score: Column, key: str = "doc_id") -> DataFrame:
-    """Runs of neighbouring tokens (key, i, tok, s) that are wanted, as spans: start of the first to end of the last, how many, and their mean score."""
+    """Runs of neighbouring tokens (key, i, tok, s) that are wanted, as spans: start of the first to end of the last, how many, and their
+    mean score."""
     kept = tokens.where(wanted).withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy(key).orderBy("i")))
     return kept.groupBy(key, "island").agg(F.min("s").alias("start"), F.max(F.col("s") + F.length("tok")).alias("end"), F.count("*").cast("int").alias("n"), r6(F.avg(score)).alias("score")).drop("island")
 
 
 def context_windows(spans: DataFrame, tokens: DataFrame, docs: DataFrame, width: int = 12, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds window: the tokens up to ``width`` on either side of the one at the span's centre (the last that starts at or before it), joined by blanks.
+    """Adds window: the tokens up to ``width`` on either side of the one at the span's centre (the last that starts at or before it), joined
+    by blanks.
 
     Spans and tokens of a document go by place once; a text is cut where its spans are, as one array.
     """
@@ -168,7 +171,8 @@ def dedup_by_id_then_text(df: DataFrame, norm: Column, order: list[Column], key:
 
 
 def hard_score(df: DataFrame, reasons: Column, pairs: Column, n_spans: Column, n_labels: Column, label: str = "doc_label", text: str = "text") -> DataFrame:
-    """Adds score: 10 for each reason, 15 for each kind of high overlap, 10 for a clear label, 2 for each span up to five, 3 for each label, 5 for a length of 201 to 599, less 10 outside 160 to 800."""
+    """Adds score: 10 for each reason, 15 for each kind of high overlap, 10 for a clear label, 2 for each span up to five, 3 for each label,
+    5 for a length of 201 to 599, less 10 outside 160 to 800."""
     n = F.length(text)
     fit = F.when((n > 200) & (n < 600), 5).when((n < 160) | (n > 800), -10).otherwise(0)
     clear = F.when(F.col(label).isin("conspiracy", "non"), 10).otherwise(0)

@@ -12,7 +12,8 @@ from .staging import staged, table_bytes
 def sums_before(df: DataFrame, by: list[str], order: str, sums: dict[str, Column]) -> DataFrame:
     """df with, for each name in sums, the sum of that column over the rows of equal ``by`` with a lesser ``order``, which is unique within ``by``.
 
-    Rows go to tasks by ranges of ``order``. Each range's totals are added up (there are as many rows of them as ranges), and within a range a window does the rest.
+    Rows go to tasks by ranges of ``order``. Each range's totals are added up (there are as many rows of them as ranges), and within a range
+    a window does the rest.
     """
     part = "part_"
     fixed = staged(df.repartitionByRange(F.col(order)).withColumn(part, F.spark_partition_id()))

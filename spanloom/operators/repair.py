@@ -40,7 +40,9 @@ def guard_rails(spans: DataFrame, why: Column, names: tuple[str, ...] = REPORTER
 
 
 def quality_gate(spans: DataFrame, q90: DataFrame | None = None, verbish: str = VERBISH, attribution: str = tx.ATTRIBUTION, numbers: str = tx.NUMBERS) -> DataFrame:
-    """Spans (label, start, end, span_text) that may stand: of the five labels, at least three characters and not one empty word; Evidence that names its source, Actions with a verb, Actors and Victims that do not begin with an auxiliary, and none but Evidence longer than 1.2 times its label's 90 % length (q90: label, q90; at least 8)."""
+    """Spans (label, start, end, span_text) that may stand: of the five labels, at least three characters and not one empty word; Evidence
+    that names its source, Actions with a verb, Actors and Victims that do not begin with an auxiliary, and none but Evidence longer than
+    1.2 times its label's 90 % length (q90: label, q90; at least 8)."""
     t = F.trim(F.coalesce("span_text", F.lit("")))
     words = F.size(F.filter(F.split(t, r"[ \t\r\n\f\x0B]+"), lambda w: w != ""))
     ok = F.col("label").isin(*LABELS) & (F.col("end") > F.col("start")) & (F.length(t) >= 3) & ~((words == 1) & F.lower(t).isin(*EMPTY_WORDS))
@@ -54,7 +56,8 @@ def quality_gate(spans: DataFrame, q90: DataFrame | None = None, verbish: str =
 
 
 def split_purposes(spans: DataFrame, purposes: tuple[str, ...] = PURPOSES) -> DataFrame:
-    """An Action with a purpose clause becomes the Action before it and the Effect behind its marker; pieces under three characters: a short head leaves the span whole, a short tail goes."""
+    """An Action with a purpose clause becomes the Action before it and the Effect behind its marker; pieces under three characters: a short
+    head leaves the span whole, a short tail goes."""
     found = rf"(?i)(?<![A-Za-z0-9_])({'|'.join(purposes)})(?![A-Za-z0-9_])"
     at = F.regexp_instr("span_text", F.lit(found))
     marker = F.length(F.regexp_extract("span_text", found, 1))
@@ -124,7 +127,8 @@ def overlap_policy(spans: DataFrame, key: str = "doc_id", short: int = 24) -> Da
 
 
 def validate_and_repair(items: DataFrame, docs: DataFrame, window: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds status, new_start, new_end and slice to predicted spans (key, label, start, end, said): offsets move to where the text they echo stands within ``window`` characters, if it does.
+    """Adds status, new_start, new_end and slice to predicted spans (key, label, start, end, said): offsets move to where the text they echo
+    stands within ``window`` characters, if it does.
 
     status: badkeys (label not of the five, or no length), oob (outside the text), else ok, or mismatch where the slice
     differs from what was said; snapped tells that offsets moved. The slice of the text counts. Echoes are
@@ -162,7 +166,8 @@ def validate_and_repair(items: DataFrame, docs: DataFrame, window: int = 40, key
 
 
 def hygiene(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Spans fit for examples: at least two words, no Victim or Effect that is a mere time, no Evidence of two words that is an address or a time; of equal texts in a document Evidence stays, else the first."""
+    """Spans fit for examples: at least two words, no Victim or Effect that is a mere time, no Evidence of two words that is an address or a
+    time; of equal texts in a document Evidence stays, else the first."""
     t = F.trim(F.coalesce("span_text", F.lit("")))
     words = F.size(F.filter(F.split(t, r"[ \t\r\n\f\x0B]+"), lambda w: w != ""))
     timed = tx.time_anchor(t)
@@ -173,7 +178,8 @@ def hygiene(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def span_scores(spans: DataFrame, verbish: str = VERBISH) -> DataFrame:
-    """Adds score: what a span shows of its role. Evidence 2 for each kind; an Action 2 for a verb and 1 for two words; an Effect 2 for a purpose and 1 for three words; a Victim 1 for a word for people."""
+    """Adds score: what a span shows of its role. Evidence 2 for each kind; an Action 2 for a verb and 1 for two words; an Effect 2 for a
+    purpose and 1 for three words; a Victim 1 for a word for people."""
     t = F.trim("span_text")
     words = F.size(F.split(t, r"[ \t\r\n\f\x0B]+"))
     score = (F.when(F.col("label") == "Evidence", 2 * F.size(tx.evidence_kinds(t)))
@@ -184,7 +190,8 @@ def span_scores(spans: DataFrame, verbish: str = VERBISH) -> DataFrame:
 
 
 def prune(spans: DataFrame, k: int, stopwords: tuple[str, ...] = STOPWORDS, key: str = "doc_id") -> DataFrame:
-    """Spans for the next stage: at least three characters, not begun with a stop word, no Victim that is money or an abstract; of each label the k most salient."""
+    """Spans for the next stage: at least three characters, not begun with a stop word, no Victim that is money or an abstract; of each
+    label the k most salient."""
     t = F.lower(F.trim("span_text"))
     first = F.regexp_extract(t, r"^([a-z0-9_]+|[^a-z0-9_ ])", 1)
     bad = (F.length("span_text") < 3) | (t == "") | first.isin(*stopwords) | ((F.col("label") == "Victim") & (t.rlike(MONEY) | t.isin(*NO_VICTIMS)))
@@ -192,7 +199,8 @@ def prune(spans: DataFrame, k: int, stopwords: tuple[str, ...] = STOPWORDS, key:
 
 
 def recover(quotes: DataFrame, text: str = "text", quote: str = "quote") -> DataFrame:
-    """Adds start, end and how to rows: where the quote stands, else where it does without its first word (leading), else without its last (trailing); -1 and missing otherwise."""
+    """Adds start, end and how to rows: where the quote stands, else where it does without its first word (leading), else without its last
+    (trailing); -1 and missing otherwise."""
     q = F.coalesce(quote, F.lit(""))
     blank = r"[ \t\r\n\f\x0B]+"
     body = F.regexp_replace(q, f"^{blank}|{blank}$", "")
@@ -208,7 +216,8 @@ def recover(quotes: DataFrame, text: str = "text", quote: str = "quote") -> Data
 
 
 def nth_positions(quotes: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The place of each quote (key, label, quote, nth: a number from 1) in its document: its nth occurrence (of those that do not overlap), or the first where there are fewer; quotes that do not occur go. One row for each label and place.
+    """The place of each quote (key, label, quote, nth: a number from 1) in its document: its nth occurrence (of those that do not overlap),
+    or the first where there are fewer; quotes that do not occur go. One row for each label and place.
 
     A document meets its quotes as one array; the nth occurrence is found by going from one to the next.
     """
@@ -229,14 +238,16 @@ def without_embedded_victims(spans: DataFrame, bare: str, key: str = "doc_id") -
 
 
 def violations(spans: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """What is wrong with quoted spans (key, label, quote and the text): missing (not in the text, whatever the case) or short (an Action of one word)."""
+    """What is wrong with quoted spans (key, label, quote and the text): missing (not in the text, whatever the case) or short (an Action of
+    one word)."""
     words = F.size(F.filter(F.split("quote", r"[ \t\r\n\f\x0B]+"), lambda w: w != ""))
     kind = F.when(locate_plain(F.col(text), F.col("quote")) < 0, "missing").when((F.col("label") == "Action") & (words < 2), "short")
     return spans.withColumn("violation", kind).where("violation is not null").select(key, "label", "quote", "violation")
 
 
 def rich_scores(gold: DataFrame, pred: DataFrame, key: str = "doc_id", beta: float = 2.0, least: float = 0.4) -> DataFrame:
-    """F-beta by document with partial credit: each prediction in order of place takes the unmatched gold span that it is most like (IoU above 0.3, else the texts' similarity) if at least ``least``.
+    """F-beta by document with partial credit: each prediction in order of place takes the unmatched gold span that it is most like (IoU
+    above 0.3, else the texts' similarity) if at least ``least``.
 
     A match counts 1 if it is above 0.9 like and of the same label, its similarity if not so near, half of that if of
     another label. Rows: key, label, start, end, span_text. Documents with neither are not there; with one side only, the score is 0.

@@ -67,11 +67,12 @@ class _Nearest:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, tag: str | None = None, key: str = "vec_id", vector: str = "embedding", by: str | None = None, block: int | None = None) -> DataFrame:
-    """For each query the k rows with the highest cosine similarity (of equals the lesser key): query, key, sim, rank. With tag, only rows whose tag equals the query's; with ``by``, k rows of each value of
-    that column of the rows (a string), which is returned, too.
+    """For each query the k rows with the highest cosine similarity (of equals the lesser key): query, key, sim, rank. With tag, only rows
+    whose tag equals the query's; with ``by``, k rows of each value of that column of the rows (a string), which is returned, too.
 
-    Queries whose measured bytes fit go to every task, which keeps the best k for each while it reads its rows once. More queries are dealt to blocks by a hash, and so are the rows: each pair of
-    blocks meets in a task that keeps as little. What tasks keep meets by query. Rows and queries without a vector match nothing. Similarities are rounded to 6 digits. A task compares ``block`` queries at a time.
+    Queries whose measured bytes fit go to every task, which keeps the best k for each while it reads its rows once. More queries are dealt
+    to blocks by a hash, and so are the rows: each pair of blocks meets in a task that keeps as little. What tasks keep meets by query. Rows
+    and queries without a vector match nothing. Similarities are rounded to 6 digits. A task compares ``block`` queries at a time.
     """
     block = block or BLOCK_QUERIES
     also = [c for c in (tag, by) if c]
@@ -128,7 +129,8 @@ def two_stage(vectors: DataFrame, queries: DataFrame, k: int, factor: int, secon
 
 
 def mmr(candidates: DataFrame, k: int, weight: float = 0.6, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Of each query's candidates (a retrieval's result with vectors) picks k in turn: the highest weight·sim − (1−weight)·greatest similarity to those picked; of equals the lesser key. Returns query, key, place and sim."""
+    """Of each query's candidates (a retrieval's result with vectors) picks k in turn: the highest weight·sim − (1−weight)·greatest
+    similarity to those picked; of equals the lesser key. Returns query, key, place and sim."""
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key).reset_index(drop=True)
         v = np.array(pdf[vector].to_list(), dtype=float)
@@ -146,7 +148,8 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.6, key: str = "vec_id",
 
 
 def _mmr_order(vectors: np.ndarray, relevance: np.ndarray, k: int, weight: float, first: float) -> tuple[list[int], list[float]]:
-    """Indices in the order of greatest weight·relevance − (1−weight)·similarity to those picked (``first`` before any is), and these values; of equals the earlier."""
+    """Indices in the order of greatest weight·relevance − (1−weight)·similarity to those picked (``first`` before any is), and these
+    values; of equals the earlier."""
     v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-10)
     near, left, order, values = np.full(len(v), first), np.ones(len(v), bool), [], []
     for _ in range(min(k, len(v))):
@@ -160,7 +163,8 @@ def _mmr_order(vectors: np.ndarray, relevance: np.ndarray, k: int, weight: float
 
 
 def mmr_centroid(candidates: DataFrame, k: int, weight: float = 0.6, by: str = "query", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Of each group's candidates picks k that are near the mean of all their directions and far from each other; all in key order if there are no more than k. Returns by, key, place.
+    """Of each group's candidates picks k that are near the mean of all their directions and far from each other; all in key order if there
+    are no more than k. Returns by, key, place.
 
     A group is one query's candidates, and thus of bounded size.
     """
@@ -235,7 +239,8 @@ def mmr_strata(rows: DataFrame, quotas: dict[str, int], by: str, weight: float =
 
 
 def mmr_quality(candidates: DataFrame, k: int, score: str = "score", weight: float = 0.5, by: str = "query", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Of each group's candidates picks k by a score, brought to 0 to 1 within the group (1 if all are equal), and distance to those picked; the first has the best score. All in key order if there are no more than k. Returns by, key, place."""
+    """Of each group's candidates picks k by a score, brought to 0 to 1 within the group (1 if all are equal), and distance to those picked;
+    the first has the best score. All in key order if there are no more than k. Returns by, key, place."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key).reset_index(drop=True)
@@ -264,10 +269,11 @@ def stratified(vectors: DataFrame, queries: DataFrame, strata: dict[str, tuple[C
 def balanced(vectors: DataFrame, queries: DataFrame, k: int, positive: str, negative: str, unclear: tuple[str, ...], evidence: Column, second: Column, factor: int = 3, most: int = 50, key: str = "vec_id", label: str = "label") -> DataFrame:
     """For each query k rows of balanced labels: query, key, sim, side and place.
 
-    A fifth (one at least) are of the first of the ``unclear`` labels that has any, the others half positive and half negative; where no unclear ones are, their share
-    goes to the negative. Each stratum gives its nearest rows, ``factor`` times its share but at most ``most``, and of these the best by the second score (by
-    nearness, if there are no more than its share). The nearest row with evidence joins its side (positive, or else negative) if it is not there yet.
-    Positive and negative take turns, what is left over follows, the unclear ones come in behind the second, and k rows stay.
+    A fifth (one at least) are of the first of the ``unclear`` labels that has any, the others half positive and half negative; where no
+    unclear ones are, their share goes to the negative. Each stratum gives its nearest rows, ``factor`` times its share but at most
+    ``most``, and of these the best by the second score (by nearness, if there are no more than its share). The nearest row with evidence
+    joins its side (positive, or else negative) if it is not there yet. Positive and negative take turns, what is left over follows, the
+    unclear ones come in behind the second, and k rows stay.
 
     One pass scores all strata; what remains for a query is a few dozen rows.
     """
@@ -310,7 +316,8 @@ def attach_most(df: DataFrame, by: str, n: int, order: list[Column]) -> DataFram
 
 
 def embed(docs: DataFrame, embedder, size: int, batch: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Vectors of texts by a function from a list of texts to a list of vectors, in batches; where it fails texts are tried alone, and those that fail again get zeros."""
+    """Vectors of texts by a function from a list of texts to a list of vectors, in batches; where it fails texts are tried alone, and those
+    that fail again get zeros."""
     def run(batches):
         for pdf in batches:
             out: list = []

@@ -125,7 +125,8 @@ def pair_rules(spans: list[Span], text: str, priors: Priors, early: float = 0.25
 
 
 def near_copies_out(spans: list[Span], text: str, priors: Priors, least: float = 0.9) -> list[Span]:
-    """Of each label, spans that overlap an earlier one (by start and end) by at least ``least`` go with it: the one nearer its priors stays if it is not shorter than what stood so far."""
+    """Of each label, spans that overlap an earlier one (by start and end) by at least ``least`` go with it: the one nearer its priors stays
+    if it is not shorter than what stood so far."""
     out = []
     for label in LABELS:
         own = sorted((s for s in spans if s["label"] == label), key=lambda s: (s["start"], s["end"]))
@@ -151,7 +152,8 @@ def _purpose(text: str, a: Span) -> bool:
 
 
 def _trim(a: Span, b: Span, text: str, most: int = 2) -> bool:
-    """Cuts an overlapping Action and Effect back to ``most`` common characters: the Action's end where only the Effect begins with a purpose, else the Effect's start. False where nothing would be left."""
+    """Cuts an overlapping Action and Effect back to ``most`` common characters: the Action's end where only the Effect begins with a
+    purpose, else the Effect's start. False where nothing would be left."""
     act, eff = (a, b) if a["label"] == "Action" else (b, a)
     if _common(act, eff) <= most:
         return True
@@ -174,10 +176,10 @@ def _first_stands(a: Span, b: Span, priors: Priors, n: int) -> bool:
 def conflicts_out(spans: list[Span], text: str, priors: Priors, pairs: tuple[tuple[str, str], ...] = CONFLICTS, least: float = 0.5, short: int = 16) -> list[Span]:
     """Overlaps of conflicting labels, in order of place; a dropped span meets no other.
 
-    Action and Effect: with a purpose to the Effect and an Action of at most ``short`` characters both are cut back to two common characters; else, if only
-    the Effect begins with a purpose, the Action goes; else what is farther from its priors, shorter or later. Actor and Victim: the smaller stays, of equals
-    the earlier. Other ``pairs``: from an IoU of ``least``, as by priors; Evidence that cites may overlap anything. In the end what is left of Actions and
-    Effects is cut back, too.
+    Action and Effect: with a purpose to the Effect and an Action of at most ``short`` characters both are cut back to two common
+    characters; else, if only the Effect begins with a purpose, the Action goes; else what is farther from its priors, shorter or later.
+    Actor and Victim: the smaller stays, of equals the earlier. Other ``pairs``: from an IoU of ``least``, as by priors; Evidence that cites
+    may overlap anything. In the end what is left of Actions and Effects is cut back, too.
     """
     spans = [dict(s) for s in sorted(spans, key=lambda s: (s["start"], s["end"]))]
     begins, ends = [s["start"] for s in spans], [s["end"] for s in spans]
@@ -231,8 +233,8 @@ def conflicts_out(spans: list[Span], text: str, priors: Priors, pairs: tuple[tup
 
 
 def surfaces_out(spans: list[Span], text: str, least: float = 0.5) -> list[Span]:
-    """Each span in order with the first later one, not yet met, that overlaps it by ``least`` or reads the same: the shorter stays (of equals the earlier), but
-    of a Victim and an Effect that read the same the Victim if it names people who are harmed, else the Effect."""
+    """Each span in order with the first later one, not yet met, that overlaps it by ``least`` or reads the same: the shorter stays (of
+    equals the earlier), but of a Victim and an Effect that read the same the Victim if it names people who are harmed, else the Effect."""
     said = [text[s["start"] : s["end"]] for s in spans]
     same: dict[str, list[int]] = {}
     for i, t in enumerate(said):
@@ -266,7 +268,8 @@ _TOKENS = re.compile(r"\w+|[^\w\s]")
 
 
 def snapped(spans: list[Span], text: str) -> Iterator[Span]:
-    """Spans of the five labels, moved into the text and out to the bounds of the words and marks that they touch; a span of white space goes to the one with the nearest centre."""
+    """Spans of the five labels, moved into the text and out to the bounds of the words and marks that they touch; a span of white space
+    goes to the one with the nearest centre."""
     tokens = [m.span() for m in _TOKENS.finditer(text)]
     if not tokens:
         return
@@ -289,8 +292,8 @@ def snapped(spans: list[Span], text: str) -> Iterator[Span]:
 def by_document(spans: DataFrame, docs: DataFrame, fold: Callable[[list[Span], str], list[Span]], key: str = "doc_id", text: str = "text", order: str | None = None) -> DataFrame:
     """What fold makes of each document's spans (label, start, end) and its text, with span_text, the text at their places.
 
-    A document's spans meet its text as one array, in the order of the column ``order`` or else of start, end and label, and the text moves once. Spans
-    without a document go; a null text is empty.
+    A document's spans meet its text as one array, in the order of the column ``order`` or else of start, end and label, and the text moves
+    once. Spans without a document go; a null text is empty.
     """
     lead = [order] if order else ["start", "end", "label"]
     fields = ["label", "start", "end"]
@@ -338,8 +341,9 @@ def _short_name(text: str, a: Span, most: int = 24) -> bool:
 def permissive(spans: list[Span], text: str, same: float = 0.5, tie: int = 2, wider: int = 3) -> list[Span]:
     """Shortest first: of one label, what overlaps a shorter one by more than ``same`` goes. Then each meets those that stand, in order.
 
-    An Actor and a Victim may overlap if both bounds differ by at most ``tie`` or the later or the earlier is a Victim that is a short name; else the Victim goes.
-    An Action may hold a Victim that is a short name. Otherwise a span goes that is longer by ``wider`` than one that it overlaps.
+    An Actor and a Victim may overlap if both bounds differ by at most ``tie`` or the later or the earlier is a Victim that is a short name;
+    else the Victim goes. An Action may hold a Victim that is a short name. Otherwise a span goes that is longer by ``wider`` than one that
+    it overlaps.
     """
     kept: list[Span] = []
     index = {label: _Index() for label in {s["label"] for s in spans}}

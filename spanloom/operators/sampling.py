@@ -19,7 +19,8 @@ def unit(key: str, seed: str = "42") -> Column:
 
 
 def hash_ranked(df: DataFrame, by: list[str], order: Column, key: str, digits: int = 3) -> DataFrame:
-    """df with nth: the rank (from 1) within ``by`` in the order of a hash in hexadecimal, then key. Ranks are counted in parts by the hash's first digits, so that a value with a third of all rows is not one task's."""
+    """df with nth: the rank (from 1) within ``by`` in the order of a hash in hexadecimal, then key. Ranks are counted in parts by the
+    hash's first digits, so that a value with a third of all rows is not one task's."""
     part = df.withColumns({"hash_": order, "part_": F.substring(order, 1, digits)})
     counts = part.groupBy(*by, "part_").agg(F.count("*").alias("n_"))
     before = F.coalesce(F.sum("n_").over(Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -31,7 +32,8 @@ def hash_ranked(df: DataFrame, by: list[str], order: Column, key: str, digits: i
 
 
 def folds(df: DataFrame, k: int, key: str = "doc_id", label: str = "doc_label", seed: str = "42") -> DataFrame:
-    """Rows dealt to k folds in turn within each label, in shuffled order; a null label is a stratum. Ranks are counted in parts of the hash, so that a label with most rows is not one task's."""
+    """Rows dealt to k folds in turn within each label, in shuffled order; a null label is a stratum. Ranks are counted in parts of the
+    hash, so that a label with most rows is not one task's."""
     ranked = hash_ranked(df, [label], shuffled(key, seed), key)
     return ranked.withColumn("fold", F.pmod(F.col("nth") - 1, F.lit(k)).cast("int")).drop("nth")
 
@@ -47,7 +49,8 @@ def per_key_quota(df: DataFrame, by: str, n: int, order: list[Column]) -> DataFr
 
 
 def interleave(df: DataFrame, by: str, order: list[Column], strata: list[str]) -> DataFrame:
-    """First rows of each stratum, then second ones, and so on: adds position, from 1. order: ascending columns, unique within a stratum; ranks are counted in ranges of them, so that no task has a whole stratum."""
+    """First rows of each stratum, then second ones, and so on: adds position, from 1. order: ascending columns, unique within a stratum;
+    ranks are counted in ranges of them, so that no task has a whole stratum."""
     nth = F.array_position(F.array(*(F.lit(s) for s in strata)), F.col(by))
     at, before = "_at", "_before"
     ranked = sums_before(df.where(F.col(by).isin(*strata)).withColumn(at, F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))), [by], at, {before: F.lit(1)})
@@ -72,7 +75,8 @@ def quota_sample(df: DataFrame, quotas: dict[str, int], target: int, stratum: st
 
 
 def split_search(groups: DataFrame, seeds: int, share: float, group: str = "grp", label: str = "doc_label") -> DataFrame:
-    """Of ``seeds`` random splits of whole groups the one with the least objective: the label shares' distance between the sides plus half of how far the side's size is from ``share``.
+    """Of ``seeds`` random splits of whole groups the one with the least objective: the label shares' distance between the sides plus half
+    of how far the side's size is from ``share``.
 
     groups: one row per (group, label) with n. A seed's side holds the groups whose hash is below ``share``.
     """

@@ -28,7 +28,8 @@ def example_bank(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> Data
 
 
 def round_robin(df: DataFrame, by: str, n: int, order: list[Column], within: list[str] | None = None, name: str = "pick") -> DataFrame:
-    """The first n rows when each value of ``by`` gives one row in turn, keys in shuffled order; adds the turn's position (from 1). within: columns whose values are dealt apart.
+    """The first n rows when each value of ``by`` gives one row in turn, keys in shuffled order; adds the turn's position (from 1). within:
+    columns whose values are dealt apart.
 
     Only the first n rows of a value can be among them, which is cut before rows of all values meet.
     """
@@ -61,7 +62,8 @@ def _filled(picked: DataFrame, pool: DataFrame, n: int, order: list[Column], key
 
 
 def halved_examples(bank: DataFrame, n: int, label: str = "doc_label", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """n examples, half of them conspiracy and half not (any other label counts as not), by round robin over sources; missing ones from the rest, in shuffled order."""
+    """n examples, half of them conspiracy and half not (any other label counts as not), by round robin over sources; missing ones from the
+    rest, in shuffled order."""
     side = F.when(F.col(label) == "conspiracy", "conspiracy").otherwise("non")
     pool = bank.withColumn("side", side)
     picked = round_robin(pool, source, n // 2, [shuffled(key), F.col(key)], ["side"]).withColumn("how", F.lit("half")).drop("pick")
@@ -75,7 +77,8 @@ def balanced_pick(df: DataFrame, n: int, label: str = "doc_label", source: str =
 
 
 def pseudo_groups(df: DataFrame, size: int = 60, source: str = "source", key: str = "doc_id") -> DataFrame:
-    """Adds group '<source>#<i>': the rows of a source, shuffled, in as few parts of at most ``size`` rows as possible, the first ones larger by one where they do not divide.
+    """Adds group '<source>#<i>': the rows of a source, shuffled, in as few parts of at most ``size`` rows as possible, the first ones
+    larger by one where they do not divide.
 
     A source's rows are ranked in ranges of their hash, so that no task has a whole source.
     """
@@ -91,7 +94,8 @@ def pseudo_groups(df: DataFrame, size: int = 60, source: str = "source", key: st
 
 
 def negative_pools(bank: DataFrame, text: str = "text") -> DataFrame:
-    """Rows without spans that may serve as negatives, with pool: clean (60 to 220 characters without any cue), hard (80 to 240 characters with one)."""
+    """Rows without spans that may serve as negatives, with pool: clean (60 to 220 characters without any cue), hard (80 to 240 characters
+    with one)."""
     n = F.length(text)
     cue = F.col(text).rlike(r"(?i)http|www\.|@[a-z0-9_]|%|[0-9]{4}|deep state|globalist|they|elite")
     tempting = F.col(text).rlike(r"(?i)they|elite|deep state|globalist|agenda|cover[- ]?up|manipulat|engineer|weaponiz")
@@ -114,7 +118,8 @@ def class_scores(df: DataFrame) -> DataFrame:
 
 
 def halves_by_score(scored: DataFrame, n: int, label: str = "doc_label", key: str = "doc_id") -> DataFrame:
-    """n rows of ``class_scores`` with a label: half of them (one at least) the conspiracies with the highest score_yes, the others those of non with the highest score_no, ties to the lesser key; what is missing comes from the rest, in shuffled order. Adds how."""
+    """n rows of ``class_scores`` with a label: half of them (one at least) the conspiracies with the highest score_yes, the others those of
+    non with the highest score_no, ties to the lesser key; what is missing comes from the rest, in shuffled order. Adds how."""
     first = max(1, n // 2)
     parts = []
     for name, score, most in (("conspiracy", "score_yes", first), ("non", "score_no", n - first)):
@@ -131,7 +136,8 @@ def diverse_pick(df: DataFrame, n: int, order: list[Column], source: str = "sour
 
 
 def per_label_examples(bank: DataFrame, n: int, cues: tuple[str, ...] = SALIENCE_CUES, per_label: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """For each label the first per_label examples that have it, then the most salient others until n: those with most cues, a text of at most 220 characters counting as one more.
+    """For each label the first per_label examples that have it, then the most salient others until n: those with most cues, a text of at
+    most 220 characters counting as one more.
 
     An example chosen for several labels is there once. Adds label (the first it was chosen for) and salience.
     """
@@ -146,7 +152,8 @@ def per_label_examples(bank: DataFrame, n: int, cues: tuple[str, ...] = SALIENCE
 
 
 def prototype_order(examples: DataFrame, n: int = 8, position: str = "position", key: str = "doc_id") -> DataFrame:
-    """Orders chosen examples (key, position, labels, reason): the first without labels, then for each label its prototype, then a conflicting one, then the others; n at most. Adds place from 1.
+    """Orders chosen examples (key, position, labels, reason): the first without labels, then for each label its prototype, then a
+    conflicting one, then the others; n at most. Adds place from 1.
 
     A label's prototype is the first example that has it and whose reason begins with prototype_clean, or else is
     per_label_top; a conflicting one's reason begins with ambiguous_pair_. examples are few.
@@ -164,7 +171,8 @@ def prototype_order(examples: DataFrame, n: int = 8, position: str = "position",
 
 
 def closeness(spans: DataFrame, priors: DataFrame, lengths: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds z_len, pos_dist and score: how near a span is to its label's usual length and place, with a bonus where its document has an ambiguous pair and where it is not overlong.
+    """Adds z_len, pos_dist and score: how near a span is to its label's usual length and place, with a bonus where its document has an
+    ambiguous pair and where it is not overlong.
 
     priors: label, mu, sigma, mode, q90; lengths: key, n_text; pairs: key of documents with such a pair.
     """
@@ -177,7 +185,8 @@ def closeness(spans: DataFrame, priors: DataFrame, lengths: DataFrame, pairs: Da
 
 
 def fewshot_for_document(pool: DataFrame, k: int = 8, key: str = "doc_id") -> DataFrame:
-    """k examples of pool (key, n_spans, has_ae, has_victim) in shuffled order, changed so that two have spans, one a Victim and one an Action with an Effect, if the pool has them.
+    """k examples of pool (key, n_spans, has_ae, has_victim) in shuffled order, changed so that two have spans, one a Victim and one an
+    Action with an Effect, if the pool has them.
 
     Positives from behind replace the first ones without spans; a Victim then takes the last place and an Action
     with Effect the first. Ordered by what they show, then by key; adds place. Only the first rows of each kind are
@@ -231,7 +240,8 @@ def rare_quotas_diverse(bank: DataFrame, n: int, rare: tuple[str, ...] = ("Evide
 
 
 def component_folds(df: DataFrame, k: int, component: str = "component", label: str = "doc_label", seed: str = "42") -> DataFrame:
-    """component, label and fold: whole components dealt to k folds in turn within the label that most of their rows have (of equals the first by name). Ranks are counted in parts by hash."""
+    """component, label and fold: whole components dealt to k folds in turn within the label that most of their rows have (of equals the
+    first by name). Ranks are counted in parts by hash."""
     votes = df.groupBy(component, label).agg(F.count("*").alias("n"))
     major = votes.groupBy(component).agg(F.max_by(label, F.struct("n", F.lit(0))).alias("any"), F.max("n").alias("top"))
     best = votes.join(major.select(component, "top"), component).where("n = top").groupBy(component).agg(F.min(label).alias(label))
@@ -240,7 +250,8 @@ def component_folds(df: DataFrame, k: int, component: str = "component", label:
 
 
 def greedy_jaccard(df: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows that stay when each row goes that has a Jaccard similarity of ``threshold`` or more, of sets of lowered words, with a row that stayed before it by key. Blank texts go.
+    """The rows that stay when each row goes that has a Jaccard similarity of ``threshold`` or more, of sets of lowered words, with a row
+    that stayed before it by key. Blank texts go.
 
     Rows of equal sets count as the first of them. Pairs are met on the rarest words of a set, as many as a similar
     set must share one of; they are decided in rounds, each settling the rows whose earlier neighbours are settled.

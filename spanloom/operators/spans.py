@@ -77,7 +77,8 @@ def merge_gaps(spans: DataFrame, by: list[str], gap: int, merge_overlaps: bool =
 
 
 def merge_adjacent_texts(spans: DataFrame, by: list[str], gap: int = 2, text: str = "span_text") -> DataFrame:
-    """Spans of the same ``by`` of which each begins 0 to ``gap`` characters behind the one before as one: by, start, end (the last one's), their texts joined by blanks, and n."""
+    """Spans of the same ``by`` of which each begins 0 to ``gap`` characters behind the one before as one: by, start, end (the last one's),
+    their texts joined by blanks, and n."""
     w = Window.partitionBy(*by).orderBy("start", "end")
     new = F.coalesce(~(F.col("start") - F.lag("end").over(w)).between(0, gap), F.lit(True))
     islands = spans.withColumn("_new", new.cast("int")).withColumn("_island", F.sum("_new").over(w))
@@ -99,7 +100,8 @@ def exact_vote(spans: DataFrame, key: str = "doc_id", voter: str = "role", least
 
 
 def ranked_votes(spans: DataFrame, k: int = 4, key: str = "doc_id", text: str = "span_text") -> DataFrame:
-    """Of each document the k spans (label, start, end) that occur most often; of equals the longer, then the earlier, then the later in the labels' order. Adds votes, rank and the commonest text (of equals the lesser; null without any)."""
+    """Of each document the k spans (label, start, end) that occur most often; of equals the longer, then the earlier, then the later in the
+    labels' order. Adds votes, rank and the commonest text (of equals the lesser; null without any)."""
     each = spans.groupBy(key, "label", "start", "end", text).agg(F.count("*").alias("n"))
     told = F.when(F.coalesce(text, F.lit("")) != "", F.struct((-F.col("n")).alias("n"), F.col(text).alias("t")))
     votes = each.groupBy(key, "label", "start", "end").agg(F.sum("n").alias("votes"), F.min(told)["t"].alias(text))
@@ -171,7 +173,8 @@ def _fold(spans: DataFrame, by: list[str], keep, order: list[str], schema: str)
 
 
 def nms(spans: DataFrame, thresholds: dict[str, float], default: float = 0.5, key: str = "doc_id") -> DataFrame:
-    """Greedy suppression per document and label: by falling score (then start and end), a span stays if its IoU with every kept one is below the label's threshold."""
+    """Greedy suppression per document and label: by falling score (then start and end), a span stays if its IoU with every kept one is
+    below the label's threshold."""
     def keep(g: dict) -> list[tuple]:
         t = thresholds.get(g["label"][0], default)
         at: dict[int, list[int]] = {}  # kept spans by the cells they touch
@@ -188,7 +191,8 @@ def nms(spans: DataFrame, thresholds: dict[str, float], default: float = 0.5, ke
 
 
 def consensus_clusters(spans: DataFrame, voters: int, key: str = "doc_id") -> DataFrame:
-    """Clusters of spans per document and label: by (start, end) a span joins the first cluster whose first member it overlaps; clusters of more than half of the voters give their longest, then earliest, span."""
+    """Clusters of spans per document and label: by (start, end) a span joins the first cluster whose first member it overlaps; clusters of
+    more than half of the voters give their longest, then earliest, span."""
     def keep(g: dict) -> list[tuple]:
         rows = list(zip(g["start"].tolist(), g["end"].tolist(), strict=True))
         clusters: list[list[tuple[int, int]]] = []
@@ -222,7 +226,8 @@ def positional_nms(spans: DataFrame, threshold: float = 0.9, key: str = "doc_id"
 
 
 def self_consistency(spans: DataFrame, runs: int, threshold: float = 0.8, key: str = "doc_id") -> DataFrame:
-    """Spans of several runs, per document and label by (start, end): a span joins the first cluster whose representative, its middle member, it overlaps with at least the threshold; clusters of max(2, runs/3) members give their representative."""
+    """Spans of several runs, per document and label by (start, end): a span joins the first cluster whose representative, its middle
+    member, it overlaps with at least the threshold; clusters of max(2, runs/3) members give their representative."""
     def keep(g: dict) -> list[tuple]:
         clusters: list[list[tuple[int, int]]] = []
         live: list[list[tuple[int, int]]] = []
@@ -251,7 +256,8 @@ def salience(label: Column, length: Column) -> Column:
 
 
 def greedy_match(gold: DataFrame, pred: DataFrame, threshold: float = 0.5, key: str = "doc_id") -> DataFrame:
-    """Matches per document and label: each gold span in order takes the unmatched prediction with the highest IoU of at least the threshold (the first of equals). Counts tp, fp, fn."""
+    """Matches per document and label: each gold span in order takes the unmatched prediction with the highest IoU of at least the threshold
+    (the first of equals). Counts tp, fp, fn."""
     both = gold.select(key, "label", "start", "end", F.lit(True).alias("is_gold")).unionByName(pred.select(key, "label", "start", "end", F.lit(False).alias("is_gold")))
 
     def keep(g: dict) -> list[tuple]:

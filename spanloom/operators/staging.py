@@ -46,7 +46,8 @@ def _clear(jvm, conf, path: str) -> None:
 
 
 def staged(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation beyond it. What unstage() does not delete earlier goes with the application."""
+    """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation beyond it. What unstage() does not
+    delete earlier goes with the application."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)

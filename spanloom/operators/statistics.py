@@ -123,7 +123,8 @@ def overlap_pairs(spans: DataFrame) -> DataFrame:
 
 
 def overlap_pair_stats(pairs: DataFrame) -> DataFrame:
-    """By pair of labels: how many, mean and median IoU, shares of high ones, and how often the first label starts first or one span holds the other. All come from counts of each IoU."""
+    """By pair of labels: how many, mean and median IoU, shares of high ones, and how often the first label starts first or one span holds
+    the other. All come from counts of each IoU."""
     counts = value_counts(pairs, ["pair"], F.col("iou"), first=F.col("starts_first").cast("long"), held=F.col("contain").cast("long"))
     n = F.sum("n")
     share = lambda c: r6(F.sum(c) / n)
@@ -230,7 +231,8 @@ def _rank_sums(df: DataFrame, value: str, group: str, a: str, b: str, key: str)
 
 
 def mann_whitney_p(df: DataFrame, value: str, group: str, a: str, b: str, key: str = "metric") -> DataFrame:
-    """mann_whitney() with p: two-sided, by the normal approximation with corrections for ties and continuity; 1 where all values are equal. The error function is a rational approximation (Abramowitz and Stegun 7.1.26, within 1.5e-7)."""
+    """mann_whitney() with p: two-sided, by the normal approximation with corrections for ties and continuity; 1 where all values are equal.
+    The error function is a rational approximation (Abramowitz and Stegun 7.1.26, within 1.5e-7)."""
     per = _rank_sums(df, value, group, a, b, key)
     na, nb, n = F.col("na"), F.col("nb"), F.col("na") + F.col("nb")
     spread = F.sqrt(na * nb / 12 * ((n + 1) - F.col("ties") / F.greatest(n * (n - 1), F.lit(1))))

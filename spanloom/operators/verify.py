@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .location import locate
 
-# Characters that count as their plain forms, what counts as white space besides Python's, and Victims that are no span inside an Action.
+# Characters that count as their plain forms, what counts as white space besides Python's, and Victims that are no span
+# inside an Action.
 PLAIN = {"“": '"', "”": '"', "‘": "'", "’": "'", "‚": "'", "‛": "'", "«": '"', "»": '"', "–": "-", "—": "-", "−": "-", "…": "."}
 BLANKS = r"[\s  -​ ]+"
 BARE_VICTIMS = ("child", "person", "people", "man", "woman")
@@ -55,7 +56,8 @@ def places(text: str, wanted: dict[str, int]) -> dict[str, list[int]]:
 
 
 class _Finder:
-    """The places of a document's quotes: as they are, whatever the case, and in plain form. A quote is looked for in the next form only if the forms before have too few places."""
+    """The places of a document's quotes: as they are, whatever the case, and in plain form. A quote is looked for in the next form only if
+    the forms before have too few places."""
 
     def __init__(self, text: str, quotes: list[str]):
         self.text = text
@@ -208,8 +210,8 @@ def _verified(quotes: DataFrame, docs: DataFrame, fold: Callable, fields: tuple[
 def verify_ordinal(quotes: DataFrame, docs: DataFrame, bare: tuple[str, ...] = BARE_VICTIMS, key: str = "doc_id", order: str = "nr", text: str = "text", observation: Observation | None = None) -> DataFrame:
     """Adds start, end, how and status to quotes (key, nr, label, quote); nr orders a document's quotes.
 
-    The n-th use of a label and quote (in plain form) takes the quote's n-th place: as it is (exact), whatever the case (folded) or in plain form (normal);
-    where no form has so many, the first place (first). Bounds grow to whole words if the text stays equal in plain form.
+    The n-th use of a label and quote (in plain form) takes the quote's n-th place: as it is (exact), whatever the case (folded) or in plain
+    form (normal); where no form has so many, the first place (first). Bounds grow to whole words if the text stays equal in plain form.
 
     status: kept; missing; unequal (the place reads otherwise in plain form, as for another case); repeated (same label and
     place as an earlier one); embedded (a Victim of one bare word inside a kept Action). ``observation`` counts them. Null quotes are missing; quotes

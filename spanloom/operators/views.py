@@ -26,7 +26,8 @@ def _starts(text: pd.Series) -> pd.Series:
 
 
 def _each(docs: DataFrame, fields) -> DataFrame:
-    """doc_id, i and the fields of every part between single blanks: fields maps (part, its number, parts, starts) to columns. No part is shuffled: what follows one is found in its own array."""
+    """doc_id, i and the fields of every part between single blanks: fields maps (part, its number, parts, starts) to columns. No part is
+    shuffled: what follows one is found in its own array."""
     rows = docs.where("text is not null").select("doc_id", F.split("text", " ").alias("toks_"), _starts("text").alias("at_"))
     return rows.select("doc_id", F.inline(F.transform("toks_", lambda t, i: F.struct(i.alias("i"), *(c.alias(n) for n, c in fields(t, i).items())))))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def council(votes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per key over votes (juror, verdict yes/no, confidence): tally, mean confidences, signed sum, dissent and level of consensus (unanimous, strong from three alike on, else split; chaotic without votes)."""
+    """Per key over votes (juror, verdict yes/no, confidence): tally, mean confidences, signed sum, dissent and level of consensus
+    (unanimous, strong from three alike on, else split; chaotic without votes)."""
     yes, no = F.col("verdict") == "yes", F.col("verdict") == "no"
     agg = votes.groupBy(key).agg(F.count_if(yes).alias("yes"), F.count_if(no).alias("no"), F.round(F.coalesce(F.avg(F.when(yes, F.col("confidence"))), F.lit(0.0)), 6).alias("yes_confidence"), F.round(F.coalesce(F.avg(F.when(no, F.col("confidence"))), F.lit(0.0)), 6).alias("no_confidence"),
                                  F.round(F.sum(F.when(yes, F.col("confidence")).otherwise(-F.col("confidence"))), 6).alias("signed"))
@@ -83,13 +84,15 @@ def graded_score(votes: DataFrame, gold: DataFrame, key: str = "doc_id") -> Data
 
 
 def judge_flags(verdict: Column, majority: Column, consensus: Column) -> tuple[Column, Column]:
-    """Whether a judge's verdict is borderline (the council was split or had no votes), and whether it overrides the council: differs from its majority where it was not split."""
+    """Whether a judge's verdict is borderline (the council was split or had no votes), and whether it overrides the council: differs from
+    its majority where it was not split."""
     return consensus.isin("split", "chaotic"), (verdict != majority) & (consensus != "split")
 
 
 def appeal_diagnosis(verdict: Column, jaqing: Column, intensity: Column, shouting: Column, agency: Column) -> Column:
-    """What an appeal is to look at, by the verdict and the text's profile: of a no, questions that insinuate, terms of truth and waking, else claims of engineered harm; of a yes,
-    anger in capitals, named targets in place of vague ones, else plainer explanations. Null for other verdicts."""
+    """What an appeal is to look at, by the verdict and the text's profile: of a no, questions that insinuate, terms of truth and waking,
+    else claims of engineered harm; of a yes, anger in capitals, named targets in place of vague ones, else plainer explanations. Null for
+    other verdicts."""
     no = F.when(jaqing, "asks_questions").when(intensity > 1.5, "truth_terms").otherwise("structural_claims")
     yes = F.when(shouting > 3.0, "shouting").when(agency < 0.2, "named_targets").otherwise("plain_causes")
     return F.when(verdict == "no", no).when(verdict == "yes", yes)

@@ -136,7 +136,8 @@ f as (select *, lo + instr(substr(text, cast(lo + 1 as bigint), cast(least(lengt
 select doc_id, label, start, "end", case kind when 0 then 'badkeys' when 1 then 'mismatch' when 2 then 'oob' else 'ok' end as status, case kind when 0 then null when 3 then pos else start end as new_start,
   case kind when 0 then null when 3 then pos + length(said) else "end" end as new_end, kind = 3 and pos <> start as snapped, case kind when 1 then span_text when 3 then said end as slice from f""")
 def validate_every_status(spark, d):
-    """A quarter of the spans have an unknown label, a quarter say what is not there, a quarter lie behind their text, and a quarter are two characters off."""
+    """A quarter of the spans have an unknown label, a quarter say what is not there, a quarter lie behind their text, and a quarter are two
+    characters off."""
     docs = _docs(spark, d)
     kind = F.col("start") % 4
     g = _texts(spark, d).where("role = 'gold'")
@@ -236,7 +237,8 @@ def baseline_submission(spark, d):
     return _docs(spark, d).select("doc_id", F.lit("No").alias("conspiracy"), F.size(F.array().cast("array<string>")).alias("n_markers"))
 
 
-# Gold spans here never overlap one another, nor do predicted ones of one document and label beyond their neighbours: the greedy match is that each takes its best candidate, and a prediction counts once.
+# Gold spans here never overlap one another, nor do predicted ones of one document and label beyond their neighbours: the greedy match is
+# that each takes its best candidate, and a prediction counts once.
 PRF = f"""{W}, g as (select * from span_texts where role = 'gold'), p as (select * from span_texts where role = 'pred'),
 u as (select doc_id, label, role, start, "end", row_number() over (partition by doc_id, label order by start, "end", role) as rn from span_texts),
 c as (select g.doc_id, g.label, g.start as sg, p.start as sp, p."end" as ep, (least(g."end", p."end") - greatest(g.start, p.start)) / (greatest(g."end", p."end") - least(g.start, p.start)) as iou

@@ -334,7 +334,8 @@ def nfkc_keys(spark, d):
 
 
 def _full_bank(spark, d):
-    """All gold spans; the invented texts have few of the real kinds, so letters stand for them. A sixth of the documents count as having no spans, half of these as hard negatives."""
+    """All gold spans; the invented texts have few of the real kinds, so letters stand for them. A sixth of the documents count as having no
+    spans, half of these as hard negatives."""
     docs = annotated(spark, d)
     g = span_texts(_docs(spark, d)).where("role = 'gold' and doc_id % 6 <> 1").drop("role")
     kinds = {"url": "x|q", "named": "^[A-Z]", "quote_attr": "['\"’]", "numeric_source": "[0-9]"}

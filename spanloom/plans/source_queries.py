@@ -265,7 +265,8 @@ def json_blocks(spark, d):
 @query("""select doc_id, case doc_id % 6 when 0 then '[{"id": ' || doc_id || '}, {"of": "' || source || '"}]' when 1 then '{"id": ' || doc_id || ', "t": "it''s"}' when 2 then '{"id": ' || doc_id || '}' when 3 then '[1, ' || doc_id || ']' end as json,
 case doc_id % 6 when 0 then 'array' when 1 then 'object' when 2 then 'object' when 3 then 'array' end as kind from documents""")
 def json_values(spark, d):
-    """Replies with an array and a trailing comma in fences, an object with curly quotes, one that parses, an array of numbers beside words, no JSON, and JSON that cannot be mended."""
+    """Replies with an array and a trailing comma in fences, an object with curly quotes, one that parses, an array of numbers beside words,
+    no JSON, and JSON that cannot be mended."""
     i = F.col("doc_id").cast("string")
     say = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
     sixth = F.col("doc_id") % 6

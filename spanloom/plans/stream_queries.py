@@ -29,8 +29,9 @@ select start, event_type, case when epoch_us(start) // 1000 + 3600000 <= any_val
 
 @query(LATE_SQL)
 def stream_late_windows(spark, d):
-    """The events in slices of ten days, one in 29 of them a slice late, each slice after the stream has stopped and is started again: counts of the windows that the watermark (two hours behind) has passed,
-    each written once, and of the rows that came too late for theirs. A window that is still open has no count."""
+    """The events in slices of ten days, one in 29 of them a slice late, each slice after the stream has stopped and is started again:
+    counts of the windows that the watermark (two hours behind) has passed, each written once, and of the rows that came too late for
+    theirs. A window that is still open has no count."""
     at = scratch(spark, "late")
     events = table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     first = F.unix_micros(F.lit(events.agg(F.min("ts")).first()[0]).cast("timestamp"))

@@ -50,7 +50,8 @@ f as (select w.*, case when strpos(text, quote) > 0 then strpos(text, quote) whe
 select doc_id, nr, label, case when pos > 0 then pos - 1 else -1 end as start, case when pos > 0 then pos - 1 + length(quote) else -1 end as "end", case when exact then 'exact' when pos > 0 then 'folded' else 'none' end as how,
   case when pos = 0 then 'missing' when row_number() over (partition by doc_id, label, pos, length(quote) order by nr) > 1 then 'repeated' else 'kept' end as status from f""")
 def verify_first(spark, d):
-    """A third of the spans in capitals (a to z: engines differ in others), a third with a letter too many; these texts have plain quotes and single blanks."""
+    """A third of the spans in capitals (a to z: engines differ in others), a third with a letter too many; these texts have plain quotes
+    and single blanks."""
     q = span_texts(table(spark, d, "documents"))
     by = Window.partitionBy("doc_id").orderBy("role", "start", "end", "label")
     q = q.withColumn("nr", F.row_number().over(by).cast("long"))

@@ -60,7 +60,8 @@ def has_labels(df: DataFrame, label: Column, rows: int = 200) -> bool:
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes, SHA-256 and a preview (the first 200 bytes as text) of every file. Files are read whole, one at a time: for configuration and prompts, not for data."""
+    """path, bytes, SHA-256 and a preview (the first 200 bytes as text) of every file. Files are read whole, one at a time: for
+    configuration and prompts, not for data."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.decode(F.substring("content", 1, 200), "UTF-8").alias("preview"))
 
 
@@ -72,7 +73,8 @@ def collection(vectors: DataFrame, **filters) -> DataFrame:
 
 
 def rehydrate(ids: DataFrame, fetched: DataFrame, key: str = "_id") -> tuple[DataFrame, DataFrame]:
-    """Ids joined to fetched texts (key, body): records with text, and failures with a reason: not_found, invalid_body, empty_body, deleted or removed."""
+    """Ids joined to fetched texts (key, body): records with text, and failures with a reason: not_found, invalid_body, empty_body, deleted
+    or removed."""
     j = ids.join(fetched.select(key, F.col("body").alias("text"), F.lit(True).alias("_found")), key, "left")
     t = F.trim("text")
     reason = F.when(F.col("_found").isNull(), "not_found").when(F.col("text").isNull(), "invalid_body").when(t == "", "empty_body").when(t == "[deleted]", "deleted").when(t == "[removed]", "removed")

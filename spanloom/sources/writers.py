@@ -49,7 +49,8 @@ def package(rows: DataFrame, zip_path: str, name: str, limit: int = 1_000_000) -
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """table with the given columns from changes where these have the key, and the rows of changes whose key is new; columns that changes lacks are null there. Keys are unique in changes."""
+    """table with the given columns from changes where these have the key, and the rows of changes whose key is new; columns that changes
+    lacks are null there. Keys are unique in changes."""
     hit, *new = ["_hit", *(f"_new_{c}" for c in columns)]
     while {hit, *new} & set(table.columns):
         hit, new = f"_{hit}", [f"_{c}" for c in new]
