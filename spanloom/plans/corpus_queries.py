@@ -170,7 +170,19 @@ def minmax_scores(spark, d):
     return rt.minmax(rt.knn(v, _queries(v), 20).drop("rank"), "sim", "query")
 
 
-@query()
+def mmr_sql(n: int, k: int, weight: float, relevance: str, first: float, score: str = "0") -> str:
+    """Of each query's n nearest rows k in turn: a list of picks, to which each step adds the best of the others. l has all, mean the mean of their directions."""
+    value = f"round({weight} * {relevance} - {round(1 - weight, 9)} * case when len(acc) = 0 then {first} else list_max(list_transform(acc, lambda a: list_dot_product(a.v, c.v))) end, 9)"
+    best = f"list_sort(list_transform(list_filter(l, lambda c: not list_contains(list_transform(acc, lambda a: a.id), c.id)), lambda c: {{m: -({value}), id: c.id, c: c}}))[1].c"
+    return f"""with {SIM_SQL}, top as (select * from s qualify row_number() over (partition by query order by sim desc, vec_id) <= {n}),
+units as (select query, vec_id, sim, {score} as score, list_transform(embedding, lambda x: x::double / (sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))) + 1e-10)) as v from top join embeddings using (vec_id)),
+means as (select query, list(m order by i) as mean from (select query, i, avg(v[i]) as m from units, range(1, 65) r(i) group by 1, 2) group by 1),
+lists as (select query, any_value(mean) as mean, sqrt(list_dot_product(any_value(mean), any_value(mean))) as size, min(score)::double as low, max(score)::double as high, list({{id: vec_id, sim: sim, score: score::double, v: v}} order by vec_id) as l from units join means using (query) group by 1),
+picks as (select query, list_reduce(list_transform(range(0, {k + 1}), lambda i: list_slice(l, 1, 0)), lambda acc, x: list_concat(acc, [{best}])) as p from lists)
+"""
+
+
+@query(mmr_sql(50, 10, 0.6, "c.sim", 0.0) + "select query, p[i].id as vec_id, i as place, p[i].sim as sim from picks, range(1, 11) r(i)")
 def mmr_select(spark, d):
     v = table(spark, d, "embeddings")
     return rt.mmr(rt.knn(v, _queries(v), 50).join(v.select("vec_id", "embedding"), "vec_id"), 10)

@@ -14,6 +14,7 @@ from ..operators import statistics as st
 from ..operators.duplicates import exact_hash
 from ..operators.staging import staged
 from ..operators.views import ANNOTATED_SQL, SPAN_TEXTS_SQL, SPANS_SQL, TOKENS_SQL, annotated, marked, span_texts, spans, table, tokens
+from .corpus_queries import mmr_sql
 from .document_queries import NORMAL_SQL
 from .registry import query
 
@@ -318,12 +319,12 @@ def _nearest(spark, d, k):
     return rt.knn(v, q, k).join(v.select("vec_id", "embedding"), "vec_id")
 
 
-@query()
+@query(mmr_sql(40, 8, 0.6, "list_dot_product(c.v, mean) / size", -1.0) + "select query, p[i].id as vec_id, i as place from picks, range(1, 9) r(i)")
 def mmr_centroid(spark, d):
     return rt.mmr_centroid(_nearest(spark, d, 40), 8)
 
 
-@query()
+@query(mmr_sql(40, 8, 0.5, "(c.score - low) / (high - low)", 0.0, "vec_id % 17") + "select query, p[i].id as vec_id, i as place from picks, range(1, 9) r(i)")
 def mmr_quality(spark, d):
     return rt.mmr_quality(_nearest(spark, d, 40).withColumn("score", F.col("vec_id") % 17), 8)
 
