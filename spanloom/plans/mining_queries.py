@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mining as mn
 from ..operators import views
+from .corpus_queries import PRED_SQL, _pred
 from .registry import query
 
 
@@ -31,11 +32,16 @@ def hard_example_reasons(spark, d):
     return mn.hard_examples(docs, views.spans(docs), _errors(spark, d), overlap=0.4)
 
 
-@query()
+@query(f"""with recursive {PRED_SQL}, z as materialized (select case when y = 1 then score * 4 - 2 else 2 - score * 4 end as z from pred),
+steps as (
+  select 0 as n, 1 / 5.0::double as a, 1 / 0.05::double as b, 0.0::double as best, 0.0::double as nll
+  union all
+  select n + 1, a + (b - a) * greatest(i - 1, 0) / 10, a + (b - a) * least(i + 1, 10) / 10, a + (b - a) * i / 10, m
+  from (select n, a, b, arg_min(i, (m, i)) as i, min(m) as m from (
+    select n, a, b, i, (select avg(greatest(-z * (a + (b - a) * i / 10), 0) + ln(1 + exp(-abs(z * (a + (b - a) * i / 10))))) from z) as m from steps, range(0, 11) r(i) where 1 / a - 1 / b >= 1e-5) group by n, a, b))
+select (select count(*) from pred) as n, round(1 / best, 3) as temperature, round(nll, 6) as nll from steps order by steps.n desc limit 1""")
 def temperature_fit(spark, d):
     """One row, as a fit has: the temperature at which the scores of all labelled documents are least surprised by their labels."""
-    from .corpus_queries import _pred
-
     scored = _pred(spark, d).select("y", (F.col("score") * 4 - 2).alias("logit"))
     temperature, nll = mn.fit_temperature(scored)
     return scored.agg(F.count("*").alias("n")).select("n", F.lit(round(temperature, 3)).alias("temperature"), F.lit(round(nll, 6)).alias("nll"))
