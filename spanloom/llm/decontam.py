@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, fresh, shingles, slices, small, staged, unstage
+from .common import U, fresh, shingles, slices, small, small_batches, staged, unstage
 
 #: 64-bit fingerprints are found within this distance: of four blocks of 16 bits one then differs in at most 3 bits.
 RADIUS, BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 15, 4, 16, 3
@@ -226,6 +226,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     src = benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).cast("binary").alias("t")).where("i is not null and t is not null")
     size = src.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     passes = max(1, -(-size // PASS_BYTES))
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     whole = whole_statistics(src, width) if passes > 1 else None
     parts, own = [], fresh(docs.drop(column), "own")[0]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, mix, seeds, shingles, slices, small, staged, unstage
+from .common import chunks, fresh, mix, seeds, shingles, slices, small, small_batches, staged, unstage
 from .graph import components
 
 #: Tries of the forest, the minima in a label (a text's path in a trie, from the root), and the bytes of each.
@@ -290,6 +290,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, re
     links (documents linked to each of them, copies included), class_key (the least key of the class), class_id
     (the least id in the class; null if all are), keep_key and keep_id (text and id of the one that stays: the least id, nulls last).
     """
+    small_batches(docs.sparkSession)
     src = docs.select(F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("key"), F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).cast("binary").alias("text"))
     depths = prefix_lengths(similarity, recall)
     run, kind = _signatures(width, depths)

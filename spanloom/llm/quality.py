@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import concat, fresh, prefix_hash, shingles, slices, word_hashes, words
+from .common import concat, fresh, prefix_hash, shingles, slices, small_batches, word_hashes, words
 
 #: The classifier is fitted on at most about so many labelled rows, chosen by a hash of their ids.
 SAMPLE_ROWS = 20_000
@@ -216,6 +216,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", th
     the text only. Null and empty texts are scored as texts of no bytes. Without usable labels every score is the
     offset's. Columns of the added names are replaced; repeated rows get equal scores.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("held_out", "score", "predicted")
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("k")).agg(F.avg(label).alias("y"))
     n = known.count()
