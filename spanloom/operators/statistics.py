@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +14,7 @@ from ..functions.lexicons import LABELS
 from ..functions.text import cue_words, lexicon_count, ngrams
 from .ranks import quantiles, sums_before, value_counts
 from .spans import overlap_join, self_overlaps, with_text
+from .staging import small_batches
 
 
 def r6(c: Column) -> Column:
@@ -157,34 +163,56 @@ def max_pair_iou(left: DataFrame, right: DataFrame, key: str = "doc_id") -> Data
     return p.groupBy(key).agg(r6(F.max(iou(F.col("start_a"), F.col("end_a"), F.col("start_b"), F.col("end_b")))).alias("max_iou"))
 
 
-def boundary_context(spans: DataFrame, docs: DataFrame, k: int = 25, key: str = "doc_id") -> DataFrame:
-    """By label: the k commonest five characters, single words and pairs of words before and after spans (of equals the lesser)."""
-    cut = lambda a, n: lambda t, s: F.substring(t, a(s).cast("int"), n(s).cast("int"))
-    word, gap = "([a-z0-9_]+)", "[^a-z0-9_]"
-
-    def found(s: Column, n: int, end: str = "") -> Column:
-        return F.concat_ws(" ", *(F.regexp_extract(s, f"^{gap}*{word}{f'{gap}+{word}' if n == 2 else ''}{end}", i) for i in range(1, n + 1)))
+_BESIDE_KINDS = ("char_before", "char_after", "word_before", "word_after", "words_before", "words_after")
 
-    def words(near: Column, whole: Column, n: int) -> Column:
-        # Words that end within the neighbourhood are those of the whole text, which is read only for others.
-        inside = found(near, n, gap)
-        return F.when(F.trim(inside) != "", inside).otherwise(F.when(F.trim(found(whole, n)) != "", found(whole, n)).otherwise(""))
 
-    def before(n: int):
-        def run(t: Column, s: Column) -> Column:
-            back = lambda c: F.reverse(F.lower(c))
-            return F.reverse(words(back(cut(lambda s: F.greatest(F.lit(1), s["start"] - 79), lambda s: F.least(F.lit(80), s["start"]))(t, s)), back(F.substring(t, F.lit(1), s["start"].cast("int"))), n))
+def _beside(text: str, places: list[tuple[str, int, int]], reach: int | None) -> Counter:
+    """How often each (label, kind, value) stands beside the places (label, start, end) of a text. Its words are found once, by one scan."""
+    low = text.replace("\u0130", "i").lower()  # the one letter that lower() makes two of
+    begins, ends = [], []
+    for m in re.finditer("[a-z0-9_]+", low):
+        begins.append(m.start())
+        ends.append(m.end())
+    counts: Counter = Counter()
+    for label, s, e in places:
+        s, e = min(max(s, 0), len(low)), max(e, 0)
+        lo, hi = (0, len(low)) if reach is None else (max(0, s - reach), e + reach)
+        k = bisect.bisect_left(begins, s) - 1
+        back = [low[max(begins[j], lo) : min(ends[j], s)] for j in (k - 1, k) if j >= 0 and ends[j] > lo]
+        k = bisect.bisect_right(ends, e)
+        ahead = [low[max(begins[j], e) : min(ends[j], hi)] for j in (k, k + 1) if j < len(ends) and begins[j] < hi]
+        pair = lambda w: " ".join(w) if len(w) == 2 else ""
+        values = (text[max(0, s - 5) : s], text[e : e + 5], back[-1] if back else "", ahead[0] if ahead else "", pair(back), pair(ahead))
+        counts.update((label, kind, v) for kind, v in zip(_BESIDE_KINDS, values, strict=True) if v)
+    return counts
 
-        return run
 
-    def after(n: int):
-        return lambda t, s: words(F.lower(cut(lambda s: s["end"] + 1, lambda s: F.lit(80))(t, s)), F.lower(F.substring(t, (s["end"] + 1).cast("int"), F.length(t))), n)
+def boundary_context(spans: DataFrame, docs: DataFrame, k: int = 25, key: str = "doc_id", text: str = "text", reach: int | None = None) -> DataFrame:
+    """By label: the k commonest five characters, single words and pairs of words before and after spans (of equals the lesser).
 
-    j = with_text(spans.select(key, "label", "start", "end"), docs, {
-        "char_before": cut(lambda s: F.greatest(F.lit(1), s["start"] - 4), lambda s: F.least(F.lit(5), s["start"])), "char_after": cut(lambda s: s["end"] + 1, lambda s: F.lit(5)),
-        "word_before": before(1), "word_after": after(1), "words_before": before(2), "words_after": after(2)}, key)
-    kinds = F.array(*(F.struct(F.lit(n).alias("kind"), F.col(n).alias("value")) for n in ("char_before", "char_after", "word_before", "word_after", "words_before", "words_after")))
-    counts = j.select("label", F.inline(kinds)).where("value <> ''").groupBy("label", "kind", "value").agg(F.count("*").alias("n"))
+    Words are those of the whole text cut at the span, or with ``reach`` of so many characters beside it. A text is scanned once for all of
+    its spans; what a task counts of it leaves as counts.
+    """
+    small_batches(docs.sparkSession)
+
+    def told(found: Counter) -> pa.RecordBatch:
+        labels, kinds, values = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(found.values(), pa.int64())], names=["label", "kind", "value", "n"])
+
+    def run(batches):
+        found: Counter = Counter()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                found.update(_beside(row["text_"], [(p["label"], p["start"], p["end"]) for p in row["places_"] if p["start"] is not None and p["end"] is not None], reach))
+                if len(found) > 50_000:
+                    yield told(found)
+                    found = Counter()
+        yield told(found)
+
+    places = spans.groupBy(key).agg(F.collect_list(F.struct("label", "start", "end")).alias("places_"))
+    beside = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("text_")).join(places, key).select("text_", "places_")
+    counts = beside.mapInArrow(run, "label string, kind string, value string, n long").groupBy("label", "kind", "value").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("label", "kind").orderBy(F.desc("n"), "value")
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
