@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .staging import small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,34 +22,102 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(toxic, "doc_id", "left").withColumn("doc_label", label).drop("toxic")
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _starts(text: pd.Series) -> pd.Series:
-    """Where the parts between single blanks start, by one scan of each text."""
-    return pd.Series([None if t is None else [0, *(i + 1 for i, c in enumerate(t) if c == " ")] for t in text])
-
-
-def _each(docs: DataFrame, fields) -> DataFrame:
-    """doc_id, i and the fields of every part between single blanks: fields maps (part, its number, parts, starts) to columns. No part is
-    shuffled: what follows one is found in its own array."""
-    rows = docs.where("text is not null").select("doc_id", F.split("text", " ").alias("toks_"), _starts("text").alias("at_"))
-    return rows.select("doc_id", F.inline(F.transform("toks_", lambda t, i: F.struct(i.alias("i"), *(c.alias(n) for n, c in fields(t, i).items())))))
+#: Texts are scanned in slices of about so many bytes.
+SLICE_BYTES = 1 << 20
+
+
+def _slices(batch: pa.RecordBatch):
+    """A batch (doc_id, text) in slices of rows of about SLICE_BYTES of text, one row at least."""
+    size = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).cumsum()
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + SLICE_BYTES, side="right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def _parts(batch: pa.RecordBatch):
+    """Of the texts of a slice, one behind the other: their bytes, and for every part between single blanks its row, its number within the
+    text, the bytes where it begins and ends, and the characters where it begins and ends, counted from the text's first; last, how many parts its text has."""
+    text = batch.column(1).cast(pa.string())
+    off = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    off = off - off[0]
+    chars = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
+    blank = np.flatnonzero(data == 32)
+    per = np.diff(np.searchsorted(blank, off)) + 1
+    row = np.repeat(np.arange(len(text)), per)
+    first = np.cumsum(per) - per
+    begin = np.empty(len(row), np.int64)
+    end = np.empty(len(row), np.int64)
+    inner = np.ones(len(row), bool)
+    inner[first] = False
+    begin[first], begin[inner] = off[:-1], blank + 1
+    inner[:] = True
+    inner[first + per - 1] = False
+    end[first + per - 1], end[inner] = off[1:], blank
+    base = chars[off[:-1]][row]
+    return data, row, np.arange(len(row)) - first[row], begin, end, chars[begin] - base, chars[end] - base, per[row]
+
+
+def _strings(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The texts of these stretches of bytes."""
+    n = end - begin
+    off = np.zeros(len(n) + 1, np.int64)
+    np.cumsum(n, out=off[1:])
+    at = np.arange(off[-1]) + np.repeat(begin - off[:-1], n)
+    return pa.StringArray.from_buffers(len(n), pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[at])))
+
+
+def _scanned(docs: DataFrame, made, schema: str) -> DataFrame:
+    """What ``made`` (a function of a slice that yields record batches) makes of the texts that there are; no part is shuffled."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for rows in _slices(batch):
+                yield made(rows)
+
+    return docs.where("text is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {schema}")
 
 
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, i, tok, s: the parts of text between single blanks, and where they start."""
-    return _each(docs, lambda t, i: {"tok": t, "s": F.get("at_", i)})
+    def made(rows: pa.RecordBatch) -> pa.RecordBatch:
+        data, row, i, begin, end, s, _, _ = _parts(rows)
+        return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(row)), pa.array(i, pa.int32()), _strings(data, begin, end), pa.array(s)], names=["doc_id", "i", "tok", "s"])
+
+    return _scanned(docs, made, "i int, tok string, s long")
+
+
+_LABELS = pa.array(["Actor", "Action", "Effect", "Victim", "Evidence"])
+
+
+def _spans(docs: DataFrame, said: bool) -> DataFrame:
+    def made(rows: pa.RecordBatch) -> pa.RecordBatch:
+        data, row, i, begin, end, s, e, n = _parts(rows)
+        three = i % 7 == 3
+        both = [np.flatnonzero(three), np.flatnonzero(three | (i % 7 == 4))]
+        at = np.concatenate(both)
+        gold = np.arange(len(at)) < len(both[0])
+        last = np.where(gold, i[at] % 3, i[at] % 2)  # how many parts follow the first
+        there = i[at] + last < n[at]
+        at, gold, last = at[there], gold[there], last[there]
+        label = _LABELS.take(pa.array((e[at] - s[at] + i[at]) % 5))
+        role = pa.array(["pred", "gold"]).take(pa.array(gold.astype(np.int64)))
+        cols = [rows.column(0).take(pa.array(row[at])), role, label, pa.array(s[at]), pa.array(e[at + last])]
+        names = ["doc_id", "role", "label", "start", "end"]
+        if said:
+            cols, names = [*cols, _strings(data, begin[at], end[at + last])], [*names, "span_text"]
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    return _scanned(docs, made, "role string, label string, start long, end long" + (", span_text string" if said else ""))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, role (gold or pred), label, start, end: runs of one to three tokens at fixed places of every text."""
-    stop = lambda i: F.get("at_", i) + F.length(F.get("toks_", i))
-    t = _each(docs, lambda t, i: {"tok": t, "s": F.get("at_", i), "e0": stop(i), "e1": stop(i + 1), "e2": stop(i + 2)}).where("i % 7 in (3, 4)")
-    label = F.element_at(F.array(*(F.lit(x) for x in ("Actor", "Action", "Effect", "Victim", "Evidence"))), (F.length("tok") + F.col("i")) % 5 + 1)
-    end = lambda width: F.when(width == 0, F.col("e0")).when(width == 1, F.col("e1")).otherwise(F.col("e2"))
-    gold = F.when(F.col("i") % 7 == 3, F.struct(F.lit("gold").alias("role"), end(F.col("i") % 3).alias("end")))
-    pred = F.when((F.col("i") % 7).isin(3, 4), F.struct(F.lit("pred").alias("role"), end(F.col("i") % 2).alias("end")))
-    made = t.select("doc_id", label.alias("label"), F.col("s").alias("start"), F.explode(F.array_compact(F.array(gold, pred))).alias("x"))
-    return made.select("doc_id", "x.role", "label", "start", F.col("x.end").alias("end")).where("end is not null")
+    return _spans(docs, False)
 
 
 def score(start: str = "start", end: str = "end"):
@@ -74,18 +145,10 @@ ANNOTATED_SQL = """annotated as (
 
 
 def span_texts(docs: DataFrame) -> DataFrame:
-    """spans() with span_text, put together from the tokens."""
-    t = _each(docs, lambda t, i: {"tok": t, "s": F.get("at_", i), "t1": F.get("toks_", i + 1), "t2": F.get("toks_", i + 2)}).where("i % 7 in (3, 4)")
-    label = F.element_at(F.array(*(F.lit(x) for x in ("Actor", "Action", "Effect", "Victim", "Evidence"))), (F.length("tok") + F.col("i")) % 5 + 1)
-    body = lambda w: F.when(w == 0, F.col("tok")).when(w == 1, F.concat("tok", F.lit(" "), "t1")).otherwise(F.concat("tok", F.lit(" "), "t1", F.lit(" "), "t2"))
-    gold = F.when(F.col("i") % 7 == 3, F.struct(F.lit("gold").alias("role"), body(F.col("i") % 3).alias("body")))
-    pred = F.when((F.col("i") % 7).isin(3, 4), F.struct(F.lit("pred").alias("role"), body(F.col("i") % 2).alias("body")))
-    made = t.select("doc_id", label.alias("label"), F.col("s").alias("start"), F.explode(F.array_compact(F.array(gold, pred))).alias("x")).where("x.body is not null")
-    return made.select("doc_id", "x.role", "label", "start", (F.col("start") + F.length("x.body")).alias("end"), F.col("x.body").alias("span_text"))
+    """spans() with span_text, what stands there."""
+    return _spans(docs, True)
 
 
 def marked(docs: DataFrame) -> DataFrame:
     """The gold spans that begin with a capital A to Z: doc_id, label, start, end, span_text. Many documents have none."""
     return span_texts(docs).where("role = 'gold'").where(F.col("span_text").rlike("^[A-Z]")).drop("role")
-
-
