@@ -104,9 +104,10 @@ def negative_pools(bank: DataFrame, text: str = "text") -> DataFrame:
 
 
 def cue_signals(df: DataFrame, cues: str = CONSPIRACY_CUES, debunk: str = DEBUNK_CUES, text: str = "text") -> DataFrame:
-    """Adds cues (matches), debunk (whether there is one), qmarks and length."""
+    """Adds cues (matches), debunk (whether there is one), qmarks and length. Where a pattern ignores case, it does so for letters beyond a to z, too."""
     c = F.col(text)
-    return df.withColumns({"cues": F.regexp_count(c, F.lit(cues)), "debunk": c.rlike(debunk), "qmarks": F.length(c) - F.length(F.replace(c, F.lit("?"), F.lit(""))), "length": F.length(c)})
+    read = F.translate(c, "\u0130\u0131", "\ufffd\ufffd")  # I with, i without a dot are other letters than i
+    return df.withColumns({"cues": F.regexp_count(read, F.lit(f"(?u){cues}")), "debunk": read.rlike(f"(?u){debunk}"), "qmarks": F.length(c) - F.length(F.replace(c, F.lit("?"), F.lit(""))), "length": F.length(c)})
 
 
 def class_scores(df: DataFrame) -> DataFrame:
