@@ -141,9 +141,9 @@ def submission(df: DataFrame, column: str = "markers") -> Column:
 
 
 def crop_parts(around: int = 120) -> dict:
-    """For spans.with_text: the text within ``around`` characters of the span, without outer white space, and the span's bounds in it."""
+    """For spans.with_pieces: the text within ``around`` characters of the span, without outer white space, and the span's bounds in it."""
     lo = lambda s: F.greatest(F.lit(0), s["start"] - around)
-    raw = lambda t, s: F.substring(t, (lo(s) + 1).cast("int"), (F.least(F.length(t), s["end"] + around) - lo(s)).cast("int"))
+    raw = lambda t, s: t.cut(lo(s), F.least(t.length, s["end"] + around) - lo(s))
     lead = lambda t, s: F.length(raw(t, s)) - F.length(F.regexp_replace(raw(t, s), r"^[ \t\r\n\f\x0B]+", ""))
     return {
         "snippet": lambda t, s: F.regexp_replace(raw(t, s), r"^[ \t\r\n\f\x0B]+|[ \t\r\n\f\x0B]+$", ""),

@@ -76,10 +76,10 @@ def split_purposes(spans: DataFrame, purposes: tuple[str, ...] = PURPOSES) -> Da
 
 def clip(spans: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Spans of the five labels with bounds moved into the text and slice, what stands there; those that are empty then go."""
-    low = lambda x, t: F.least(F.length(t).cast("long"), F.greatest(F.lit(0).cast("long"), x))
+    low = lambda x, t: F.least(t.length.cast("long"), F.greatest(F.lit(0).cast("long"), x))
     named = spans.where(F.col("label").isin(*LABELS)).select(key, "label", F.col("start").alias("s_"), F.col("end").alias("e_"))
-    body = lambda t, s: F.substring(t, (low(s["s_"], t) + 1).cast("int"), F.greatest(F.lit(0), low(s["e_"], t) - low(s["s_"], t)).cast("int"))
-    out = sp.with_text(named, docs, {"start": lambda t, s: low(s["s_"], t), "end": lambda t, s: low(s["e_"], t), "slice": body}, key, text)
+    body = lambda t, s: t.cut(low(s["s_"], t), low(s["e_"], t) - low(s["s_"], t))
+    out = sp.with_pieces(named, docs, {"start": lambda t, s: low(s["s_"], t), "end": lambda t, s: low(s["e_"], t), "slice": body}, key, text)
     return out.where("end > start").select(key, "label", "start", "end", "slice")
 
 
@@ -137,8 +137,8 @@ def validate_and_repair(items: DataFrame, docs: DataFrame, window: int = 40, key
     good = F.col("label").isin(*LABELS) & F.col("start").isNotNull() & F.col("end").isNotNull() & (F.col("end") > F.col("start"))
     rows = items.withColumn("good_", F.coalesce(good, F.lit(False)))
     lo = lambda s: F.greatest(F.lit(0), s["start"] - window).cast("int")
-    near = lambda t, s: F.substring(t, lo(s) + 1, (F.least(F.length(t), F.greatest(s["start"], s["end"]) + window) - lo(s)).cast("int"))
-    got = sp.with_text(rows, docs, {"near_": near, "lo_": lambda t, s: lo(s), "n_": lambda t, s: F.length(t)}, key, text)
+    near = lambda t, s: t.cut(lo(s), F.least(t.length, F.greatest(s["start"], s["end"]) + window) - lo(s))
+    got = sp.with_pieces(rows, docs, {"near_": near, "lo_": lambda t, s: lo(s), "n_": lambda t, s: t.length}, key, text)
     said = F.coalesce("said", F.lit(""))
     at = F.instr("near_", said)
 

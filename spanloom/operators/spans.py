@@ -49,6 +49,40 @@ def with_text(spans: DataFrame, docs: DataFrame, derive: dict, key: str = "doc_i
     return j.select(key, F.inline(made))
 
 
+#: Texts are cut into pieces of this many characters.
+PIECE = 512
+
+
+class Pieces:
+    """A text in pieces, so that what stands at a place is read there and not sought from the text's first character on."""
+
+    def __init__(self, pieces: Column, length: Column):
+        self.pieces, self.length = pieces, length
+
+    def cut(self, start: Column, length: Column) -> Column:
+        """The text from the character ``start`` (from 0) on; empty before the text's first."""
+        start, length = start.cast("int"), length.cast("int")
+        k = (start / PIECE).cast("int")
+        off = start - k * PIECE
+        piece = lambda i: F.coalesce(F.get(self.pieces, i), F.lit(""))
+        long = F.array_join(F.slice(self.pieces, k + 1, ((off + length) / PIECE).cast("int") + 1), "")
+        part = F.when(start.isNull() | length.isNull(), F.lit(None)).when((start < 0) | (length <= 0), "").when(off + length <= 2 * PIECE, F.concat(piece(k), piece(k + 1))).otherwise(long)
+        return F.substring(part, off + 1, length)
+
+
+def with_pieces(spans: DataFrame, docs: DataFrame, derive: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As with_text(), but derive's functions get the text as Pieces: the work grows with the text and its spans, not with their product.
+    Spans of a document without a text get nulls."""
+    cols = [c for c in spans.columns if c != key]
+    grouped = spans.groupBy(key).agg(F.collect_list(F.struct(*cols)).alias("_spans"))
+    # Cut before the join, so that no plan moves the cutting to each span.
+    cut = docs.select(key, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("_pieces"), F.length(text).alias("_n"))
+    j = grouped.join(cut, key)
+    there = lambda c: F.when(F.col("_n").isNotNull(), c)
+    made = F.transform("_spans", lambda s: F.struct(*(s[c].alias(c) for c in cols), *(there(f(Pieces(F.col("_pieces"), F.col("_n")), s)).alias(n) for n, f in derive.items())))
+    return j.select(key, F.inline(made))
+
+
 def self_overlaps(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """Unordered pairs of overlapping spans of a document, ordered by (start, end, label), with iou."""
     pairs = overlap_join(spans, spans, [key])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicons import LABELS
 from ..functions.text import cue_words, lexicon_count, ngrams
 from .ranks import quantiles, sums_before, value_counts
-from .spans import overlap_join, self_overlaps, with_text
+from .spans import overlap_join, self_overlaps, with_pieces
 from .staging import small_batches
 
 
@@ -105,16 +105,16 @@ def first_occurrence(spans: DataFrame, lengths: DataFrame, key: str = "doc_id")
 
 def offset_integrity(spans: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Spans in all, inside their text, and with more than white space."""
-    body = lambda t, s: F.trim(F.substring(t, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))) != ""
-    j = with_text(spans, docs, {"n_text": lambda t, s: F.length(t), "filled": body}, key)
+    body = lambda t, s: F.trim(t.cut(s["start"], s["end"] - s["start"])) != ""
+    j = with_pieces(spans, docs, {"n_text": lambda t, s: t.length, "filled": body}, key)
     ok = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("n_text"))
     return j.agg(F.count("*").alias("total"), F.count_if(ok).alias("in_bounds"), F.count_if(ok & F.col("filled")).alias("with_text"))
 
 
 def offset_rates(spans: DataFrame, docs: DataFrame, said: str = "span_text", key: str = "doc_id") -> DataFrame:
     """One row: how many spans there are, lie within their text, and read there what they say; and the shares (0 without spans)."""
-    body = lambda t, s: F.substring(t, (s["start"] + 1).cast("int"), F.greatest(F.lit(0), s["end"] - s["start"]).cast("int"))
-    j = with_text(spans.select(key, "start", "end", said), docs, {"n_text": lambda t, s: F.length(t), "there": body}, key)
+    body = lambda t, s: t.cut(s["start"], s["end"] - s["start"])
+    j = with_pieces(spans.select(key, "start", "end", said), docs, {"n_text": lambda t, s: t.length, "there": body}, key)
     ok = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("n_text"))
     n = j.agg(F.count("*").alias("total"), F.count_if(ok).alias("in_bounds"), F.count_if(ok & (F.col("there") == F.col(said))).alias("exact"))
     rate = lambda c: F.round(F.when(F.col("total") > 0, F.col(c) / F.col("total")).otherwise(0.0), 6)
