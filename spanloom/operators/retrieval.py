@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import staging
-from .staging import staged, table_bytes
+from .staging import small_batches, staged, table_bytes
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,6 +25,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Queries that a task compares at a time, and rows of one block of a join of blocks.
 BLOCK_QUERIES, BLOCK_ROWS = 4096, 32768
+#: Similarities that a task holds at a time; sorting takes a few times their bytes.
+CELLS = 1 << 20
 
 
 class _Nearest:
@@ -47,16 +49,19 @@ class _Nearest:
             own = np.arange(len(keys)) if groups is None else np.flatnonzero(names == group)
             for lo in range(0, len(self.ids), self.block):
                 here = slice(lo, lo + self.block)
-                sims = np.round(self.unit[here] @ m[own].T, 6)
-                if self.tags is not None:
-                    sims = np.where(self.tags[here, None] == tags[order][own][None, :], sims, -2.0)
-                top = np.argsort(-sims, axis=1, kind="stable")[:, : self.k]  # rows stand by key: of equals the lesser comes first
-                found = np.take_along_axis(sims, top, 1), keys[own][top]
-                if (old := self.best.get((group, lo))) is not None:
-                    sim, key = (np.concatenate(x, axis=1) for x in zip(old, found, strict=True))
-                    top = np.lexsort((key, -sim), axis=1)[:, : self.k]
-                    found = np.take_along_axis(sim, top, 1), np.take_along_axis(key, top, 1)
-                self.best[group, lo] = found
+                most = max(1, CELLS // len(self.unit[here]))
+                for at in range(0, len(own), most):
+                    some = own[at : at + most]
+                    sims = np.round(self.unit[here] @ m[some].T, 6)
+                    if self.tags is not None:
+                        sims = np.where(self.tags[here, None] == tags[order][some][None, :], sims, -2.0)
+                    top = np.argsort(-sims, axis=1, kind="stable")[:, : self.k]  # rows stand by key: of equals the lesser comes first
+                    found = np.take_along_axis(sims, top, 1), keys[some][top]
+                    if (old := self.best.get((group, lo))) is not None:
+                        sim, key = (np.concatenate(x, axis=1) for x in zip(old, found, strict=True))
+                        top = np.lexsort((key, -sim), axis=1)[:, : self.k]
+                        found = np.take_along_axis(sim, top, 1), np.take_along_axis(key, top, 1)
+                    self.best[group, lo] = found
 
     def frames(self, key: str, by: str | None):
         for (group, lo), (sim, found) in self.best.items():
@@ -75,6 +80,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, tag: str | None = None,
     and queries without a vector match nothing. Similarities are rounded to 6 digits. A task compares ``block`` queries at a time.
     """
     block = block or BLOCK_QUERIES
+    small_batches(vectors.sparkSession)
     also = [c for c in (tag, by) if c]
     src = vectors.where(F.col(vector).isNotNull()).select(key, vector, *also)
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query"), F.col(vector).alias("vector_"), *([F.col(tag).alias("tag_")] if tag else []))
@@ -82,7 +88,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, tag: str | None = None,
     column = lambda pdf, c: pdf[c].to_numpy(dtype=object) if c else None
     if table_bytes(asked) <= staging.BROADCAST_BYTES:
         rows = asked.orderBy("query").collect()
-        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r.query for r in rows], dtype=np.int64), [r.vector_ for r in rows], [r.tag_ for r in rows] if tag else None))
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r.query for r in rows], dtype=np.int64), [np.array(r.vector_, dtype=np.float64) for r in rows], [r.tag_ for r in rows] if tag else None))
 
         def score(batches):
             best = _Nearest(k, block, *shared.value)
@@ -189,6 +195,7 @@ def mmr_strata(rows: DataFrame, quotas: dict[str, int], by: str, weight: float =
     a task and stratum. Only picks, as many as the quotas, come to the driver. Rows without a vector are left out; a stratum of no more than its quota
     gives all, in key order.
     """
+    small_batches(rows.sparkSession)
     src = staged(rows.where(F.col(vector).isNotNull() & F.col(by).isin(*quotas)).select(F.col(by).alias("by_"), F.col(key).alias("key_"), F.col(vector).cast("array<double>").alias("v_")), "strata")
     unit = lambda m: m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-10)
     kind = dict(src.dtypes)["key_"]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .location import locate
+from .staging import small_batches
 
 # Characters that count as their plain forms, what counts as white space besides Python's, and Victims that are no span
 # inside an Action.
@@ -190,6 +191,7 @@ def _in_context(text: str, rows: list[dict]) -> Iterator[Row]:
 
 def _verified(quotes: DataFrame, docs: DataFrame, fold: Callable, fields: tuple[str, ...], key: str, order: str, text: str, observation: Observation | None) -> DataFrame:
     """quotes with start, end, how and status: a document's quotes, in order, meet its text as one array, which is read once."""
+    small_batches(docs.sparkSession)  # spans as objects take many times their bytes
     grouped = quotes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *(c for c in quotes.columns if c not in (key, order))))).alias("quotes_"))
     both = grouped.join(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text_")), key)
 
