@@ -8,10 +8,11 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from .folds import ROWS, columns, documents
 from .location import locate
 from .staging import small_batches
 
@@ -160,16 +161,64 @@ def _first(text: str, rows: list[dict]) -> Iterator[Row]:
         yield *hit, "repeated" if repeated else "kept"
 
 
+class _Folded(dict):
+    """For each character one that stands for all that a regular expression takes for it where case does not count."""
+
+    same: dict[str, str] = {}
+
+    def __missing__(self, c: int) -> str:
+        low = chr(c).lower()[0]
+        up = low.upper()
+        self[c] = up if len(up) == 1 else self.same.setdefault(up, low)
+        return self[c]
+
+
+_FOLDED = _Folded()
+_GAPS = re.compile(r"\s\s+")
+
+
+class _Contexts:
+    """First places of quotes between their neighbours, whatever the white space and case: one scan of the text for all."""
+
+    def __init__(self, text: str, asked: list[tuple[str, str, str]]):
+        """asked: words before, quote and words after, each with single blanks; what is empty does not count."""
+        self.text = re.sub(r"\s+", " ", text).translate(_FOLDED)
+        self.cuts, self.shifts, gone = [], [0], 0  # from which character on how many were left out
+        for m in _GAPS.finditer(text):
+            self.cuts.append(m.start() - gone + 1)
+            gone += m.end() - m.start() - 1
+            self.shifts.append(gone)
+        self.forms = {a: list(self._forms(*a)) for a in asked}
+        self.found = places(self.text, {p: 1 for forms in self.forms.values() for p, _ in forms})
+
+    @staticmethod
+    def _forms(before: str, quote: str, after: str) -> Iterator[tuple[str, int]]:
+        """What may stand in the text, and where the quote begins in it."""
+        before, quote, after = (x.translate(_FOLDED) for x in (before, quote, after))
+        for left in (before, f"{before} ") if before else ("",):
+            for right in (after, f" {after}") if after else ("",):
+                yield left + quote + right, len(left)
+
+    def first(self, before: str, quote: str, after: str) -> tuple[int, int] | None:
+        hits = [(self.found[p][0], at) for p, at in self.forms[before, quote, after] if self.found[p]]
+        if not hits:
+            return None
+        s = sum(min(hits))
+        return self._place(s), self._place(s + len(quote) - 1) + 1
+
+    def _place(self, i: int) -> int:
+        return i + self.shifts[bisect.bisect_right(self.cuts, i)]
+
+
 def _in_context(text: str, rows: list[dict]) -> Iterator[Row]:
-    flexible = lambda s: r"\s+".join(map(re.escape, s.split()))
     out: list[Row] = []
-    for r in rows:
-        quote, before, after = " ".join((r["quote"] or "").split()), r["before"] or "", r["after"] or ""
+    asked = [tuple(" ".join((r[c] or "").split()) for c in ("before", "quote", "after")) for r in rows]
+    near = _Contexts(text, [a for a in asked if a[1] and (a[0] or a[2])])
+    for before, quote, after in asked:
         hit = None
-        if quote and (before.split() or after.split()):
-            pattern = (f"(?:{flexible(before)})\\s*" if before.split() else "") + f"({flexible(quote)})" + (f"\\s*(?:{flexible(after)})" if after.split() else "")
-            m = re.search(pattern, text, re.IGNORECASE)
-            hit = (*m.span(1), "context") if m else None
+        if quote and (before or after):
+            m = near.first(before, quote, after)
+            hit = (*m, "context") if m else None
         if not hit:
             s, e, how = locate(text, quote)
             hit = (s, e, "fallback") if s >= 0 else None
@@ -195,14 +244,23 @@ def _verified(quotes: DataFrame, docs: DataFrame, fold: Callable, fields: tuple[
     grouped = quotes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *(c for c in quotes.columns if c not in (key, order))))).alias("quotes_"))
     both = grouped.join(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text_")), key)
 
-    @F.pandas_udf("array<struct<start: long, end: long, how: string, status: string>>")
-    def run(texts: pd.Series, rows: pd.Series) -> pd.Series:
-        names = ("start", "end", "how", "status")
-        return pd.Series([[dict(zip(names, o, strict=True)) for o in fold(t, list(q))] for t, q in zip(texts, rows, strict=True)])
-
-    asked = F.transform("quotes_", lambda q: F.struct(*(q[c].alias(c) for c in fields)))
-    found = both.withColumn("found_", run("text_", asked)).select(key, F.inline(F.arrays_zip("quotes_", "found_")))
-    out = found.select(key, *(F.col(f"quotes_.{c}").alias(c) for c in quotes.columns if c != key), *(F.col(f"found_.{c}").alias(c) for c in ("start", "end", "how", "status")))
+    kinds = [("start", pa.int64()), ("end", pa.int64()), ("how", pa.string()), ("status", pa.string())]
+    mine = [c for c in quotes.columns if c != key]
+
+    def run(batches):
+        for batch in batches:
+            flat = batch.column(2).flatten()
+            ids, out, first = [], [], 0
+            for i, t, rows in documents(batch, fields):
+                ids += [i] * len(rows)
+                out += fold(t, rows)
+                if len(out) >= ROWS or i == batch.num_rows - 1:
+                    cols = [flat.field(c).slice(first, len(out)) for c in mine]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int32())), *cols, *columns(out, kinds)], names=[key, *mine, *(k for k, _ in kinds)])
+                    ids, out, first = [], [], first + len(out)
+
+    schema = ", ".join(f"`{c}` {quotes.schema[c].dataType.simpleString()}" for c in (key, *mine))
+    out = both.select(key, "text_", "quotes_").mapInArrow(run, f"{schema}, start long, end long, how string, status string")
     if observation is not None:
         count = lambda c: F.count_if(c)
         out = out.observe(observation, F.count("*").alias("candidates"), *(count(F.col("status") == s).alias(s) for s in ("kept", "missing", "unequal", "repeated", "embedded", "inside")), *(count(F.col("how") == h).alias(f"how_{h}") for h in ("exact", "folded", "normal", "first", "context", "fallback")))

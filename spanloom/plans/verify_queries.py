@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import verify as vf
-from ..operators.spans import with_text
+from ..operators.spans import with_pieces
 from ..operators.views import SPAN_TEXTS_SQL, span_texts, table
 from .registry import query
 
@@ -34,9 +34,9 @@ def verify_ordinal(spark, d):
 def verify_in_context(spark, d):
     """A fifth of the quotes lack the words before, a fifth those after, and a fifth have neither."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    cut = lambda t, a, b: F.substring(t, (a + 1).cast("int"), (b - a).cast("int"))
-    near = {"before": lambda t, s: cut(t, F.greatest(F.lit(0), s["start"] - 20), s["start"]), "after": lambda t, s: cut(t, s["end"], s["end"] + 20)}
-    s = with_text(span_texts(docs).where("role = 'gold'"), docs, near)
+    from_ = lambda s: F.greatest(F.lit(0), s["start"] - 20)
+    near = {"before": lambda t, s: t.cut(from_(s), s["start"] - from_(s)), "after": lambda t, s: t.cut(s["end"], F.lit(20))}
+    s = with_pieces(span_texts(docs).where("role = 'gold'"), docs, near)
     s = s.withColumn("nr", F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end", "label")))
     kind = F.col("nr") % 5
     near = {"before": F.when(kind.isin(1, 3), "").otherwise(F.col("before")), "after": F.when(kind.isin(2, 3), "").otherwise(F.col("after"))}
