@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -172,24 +170,13 @@ def _iou(a, b) -> float:
     return common / (max(a[1], b[1]) - min(a[0], b[0])) if common > 0 else 0.0
 
 
-def _fold(spans: DataFrame, by: list[str], keep, order: list[str], schema: str) -> DataFrame:
-    """Applies keep to every group (a dict of arrays, by column, in order); it returns tuples of what follows ``by``. A group is one document's spans.
+def _folded(spans: DataFrame, by: list[str], fold, order: list[str], schema: str) -> DataFrame:
+    """What fold makes of whole groups: it gets rows in order and where each group starts (last, how many rows there are), and returns rows. A
+    group is one document's spans.
 
     Rows are dealt and sorted by Spark and pass through in batches, a group that a batch's end may have cut waits for
     the next; so many small groups cost no more than few large ones.
     """
-    names = spans.columns
-    fields = [f.split()[0] for f in schema.split(", ")]
-
-    def fold(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        cols = {c: pdf[c].to_numpy() for c in names}
-        out = []
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            group = {c: v[a:b] for c, v in cols.items()}
-            head = tuple(group[c][0] for c in by)
-            out += [head + r for r in keep(group)]
-        return pd.DataFrame(out, columns=fields)
-
     def run(batches):
         rest = None
         for pdf in batches:
@@ -198,12 +185,29 @@ def _fold(spans: DataFrame, by: list[str], keep, order: list[str], schema: str)
                 continue
             starts = (pdf[by] != pdf[by].shift()).any(axis=1).to_numpy().nonzero()[0]
             rest = pdf.iloc[starts[-1] :].reset_index(drop=True)
-            yield fold(pdf, starts)
+            yield fold(pdf.iloc[: starts[-1]], starts)
         if rest is not None and len(rest):
             yield fold(rest, np.array([0, len(rest)]))
 
     keys = [F.desc(o[1:]) if o.startswith("-") else F.col(o) for o in order]
-    return spans.repartition(*by).sortWithinPartitions(*by, *keys).select(*names).mapInPandas(run, schema)
+    return spans.repartition(*by).sortWithinPartitions(*by, *keys).mapInPandas(run, schema)
+
+
+def _fold(spans: DataFrame, by: list[str], keep, order: list[str], schema: str) -> DataFrame:
+    """Applies keep to every group (a dict of arrays, by column, in order); it returns tuples of what follows ``by``."""
+    names = spans.columns
+    fields = [f.split()[0] for f in schema.split(", ")]
+
+    def fold(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        cols = {c: pdf[c].to_numpy() for c in names}
+        out = []
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            group = {c: v[a:b] for c, v in cols.items()}
+            head = tuple(group[c][0] for c in by)
+            out += [head + r for r in keep(group)]
+        return pd.DataFrame(out, columns=fields)
+
+    return _folded(spans, by, fold, order, schema)
 
 
 def nms(spans: DataFrame, thresholds: dict[str, float], default: float = 0.5, key: str = "doc_id") -> DataFrame:
@@ -289,28 +293,66 @@ def salience(label: Column, length: Column) -> Column:
     return weight + 1 / (1 + length / 10.0)
 
 
+#: Matching looks at about so many pairs of a gold span and a prediction at a time.
+PAIRS = 1 << 20
+
+
+def matched(gold: tuple[np.ndarray, np.ndarray, np.ndarray], pred: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """Which gold spans take a prediction when each in turn takes the free one of its group with the highest IoU of at least the threshold (the
+    first of equals). Both sides are arrays of group, start and end, in this order.
+
+    Gold spans none of whose predictions another one may take are decided at once, the others one by one.
+    """
+    (g, gs, ge), (p, ps, pe) = gold, pred
+    hit = np.zeros(len(g), bool)
+    if not len(g) or not len(p):
+        return hit
+    low = min(gs.min(), ps.min())
+    wide = max(ge.max(), pe.max(), gs.max(), ps.max()) - low + 2
+    longest = np.zeros(max(g[-1], p[-1]) + 1, np.int64)
+    np.maximum.at(longest, p, pe - ps)
+    place = p * wide + ps - low
+    at = np.searchsorted(place, g * wide + np.maximum(gs - longest[g] - low, 0))
+    n = np.maximum(np.searchsorted(place, g * wide + np.maximum(ge - low, 0)) - at, 0)
+    upto = n.cumsum()
+    used = np.zeros(len(p), bool)
+    i = 0
+    while i < len(g):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PAIRS, side="right")))
+        of = np.repeat(np.arange(i, j), n[i:j])
+        k = np.arange(len(of)) - np.repeat(upto[i:j] - n[i:j] - (upto[i - 1] if i else 0) - at[i:j], n[i:j])
+        common = np.minimum(ge[of], pe[k]) - np.maximum(gs[of], ps[k])
+        near = np.flatnonzero((common > 0) & ~used[k])
+        of, k = of[near], k[near]
+        iou = common[near] / (np.maximum(ge[of], pe[k]) - np.minimum(gs[of], ps[k]))
+        near = np.flatnonzero(iou >= threshold)
+        near = near[np.lexsort((k[near], -iou[near], of[near]))]
+        of, k = of[near], k[near]
+        shared = np.unique(of[np.bincount(k, minlength=len(p))[k] > 1]) if len(k) else of
+        alone = ~np.isin(of, shared)
+        mine, first = np.unique(of[alone], return_index=True)
+        hit[mine] = used[k[alone][first]] = True
+        for a, b in zip(of[~alone].tolist(), k[~alone].tolist(), strict=True):
+            if not hit[a] and not used[b]:
+                hit[a] = used[b] = True
+        i = j
+    return hit
+
+
 def greedy_match(gold: DataFrame, pred: DataFrame, threshold: float = 0.5, key: str = "doc_id") -> DataFrame:
     """Matches per document and label: each gold span in order takes the unmatched prediction with the highest IoU of at least the threshold
     (the first of equals). Counts tp, fp, fn."""
     both = gold.select(key, "label", "start", "end", F.lit(True).alias("is_gold")).unionByName(pred.select(key, "label", "start", "end", F.lit(False).alias("is_gold")))
 
-    def keep(g: dict) -> list[tuple]:
-        rows = list(zip(g["start"].tolist(), g["end"].tolist(), g["is_gold"].tolist(), strict=True))
-        gold_, pred_ = [r for r in rows if r[2]], [r for r in rows if not r[2]]
-        longest = max((e - s for s, e, _ in pred_), default=0)
-        begins = [r[0] for r in pred_]
-        used: set[int] = set()
-        for s, e, _ in gold_:
-            best, at = 0.0, -1
-            for k in range(bisect.bisect_left(begins, s - longest), bisect.bisect_left(begins, e)):
-                v = _iou((s, e), pred_[k])
-                if k not in used and v >= threshold and v > best:
-                    best, at = v, k
-            if at >= 0:
-                used.add(at)
-        return [(len(used), len(pred_) - len(used), len(gold_) - len(used))]
-
-    return _fold(both, [key, "label"], keep, ["start", "end"], f"{key} long, label string, tp long, fp long, fn long")
+    def fold(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        n = len(starts) - 1
+        group, gold_ = np.repeat(np.arange(n), np.diff(starts)), pdf["is_gold"].to_numpy(bool)
+        side = lambda of: (group[of], pdf["start"].to_numpy(np.int64)[of], pdf["end"].to_numpy(np.int64)[of])
+        tp = np.bincount(group[gold_][matched(side(gold_), side(~gold_), threshold)], minlength=n)
+        counts = {"tp": tp, "fp": np.bincount(group[~gold_], minlength=n) - tp, "fn": np.bincount(group[gold_], minlength=n) - tp}
+        return pdf.iloc[starts[:-1]][[key, "label"]].reset_index(drop=True).assign(**counts)
+
+    return _folded(both, [key, "label"], fold, ["start", "end"], f"{key} long, label string, tp long, fp long, fn long")
 
 
 def resolve_conflicts(spans: DataFrame, key: str = "doc_id") -> DataFrame:
