@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -227,17 +225,3 @@ def is_evidence(c: Column, attribution: str = ATTRIBUTION, numbers: str = NUMBER
     t = F.trim(F.coalesce(c, F.lit("")))
     quote = F.contains(t, F.lit('"')) | F.contains(t, F.lit("'")) | F.contains(t, F.lit("\u201c")) | F.contains(t, F.lit("\u201d"))
     return (t != "") & (t.rlike(DOMAIN) | ((quote | t.rlike(numbers)) & t.rlike(attribution)))
-
-
-def token_offsets(c: Column) -> Column:
-    """Start and end of every word (a run of letters, digits and underscores) and every other mark that is not white space, in order: an
-    array, by one scan of the text. Null for a null text."""
-
-    @F.pandas_udf("array<struct<start: long, end: long>>")
-    def scan(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else [{"start": m.start(), "end": m.end()} for m in _TOKENS.finditer(t)] for t in texts])
-
-    return scan(c)
-
-
-_TOKENS = re.compile(r"\w+|[^\w\s]")

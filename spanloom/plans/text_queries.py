@@ -10,6 +10,7 @@ from ..operators import duplicates as dup
 from ..operators import selection as se
 from ..operators import spans as sp
 from ..operators import statistics as st
+from ..operators import views as vw
 from ..operators.staging import scratch
 from ..operators.views import ANNOTATED_SQL, SPAN_TEXTS_SQL, annotated, span_texts, table
 from ..sources import readers as rd
@@ -27,7 +28,7 @@ def _docs(spark, d):
 select doc_id, i::int as i, (sum(length(gap) + length(tok)) over w - length(tok))::bigint as start, (sum(length(gap) + length(tok)) over w)::bigint as "end" from t window w as (partition by doc_id order by i)""")
 def token_offsets(spark, d):
     """Words and marks of whole texts, where they stand."""
-    return _docs(spark, d).select("doc_id", F.posexplode(tx.token_offsets(F.col("text"))).alias("i", "t")).select("doc_id", "i", "t.start", "t.end")
+    return vw.token_offsets(_docs(spark, d))
 
 
 MARKDOWN_SQL = "'# ' || source || chr(10) || chr(10) || '**Submission Statement:** see [the ' || lang || ' page](https://x.org/a) with `code here`, __strong__ and *soft* words' || chr(10) || '> quoted &amp; <b>bold</b>' || chr(10) || '- item ' || text"
